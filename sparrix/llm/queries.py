@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparrix.llm.canon import canonical_text, look_alike_pairs, look_classes
 from sparrix.llm.cluster import CompositionClusters
 from sparrix.llm.cooccur import cooccurrence
 
@@ -33,5 +34,17 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return look_alike_pairs(_read(spark, sf_dir, "documents"))
+
+
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return look_classes(_read(spark, sf_dir, "documents"))
+
+
+def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", canonical_text(F.col("text")).alias("text")).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p5_found, p5_pairs)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p5_found, p5_pairs, p9_found, p9_classes, p9_canonical)}
