@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparrix.operators.nested import TABLE_SHAPE, node_table, table_relations
 from sparrix.operators.packed import split_packed
 
 
@@ -13,10 +14,18 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_relations(_read(spark, sf_dir, "table_files"))
+
+
+def p2_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return node_table(_read(spark, sf_dir, "table_files"), ["file_id"], "body", TABLE_SHAPE).distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = split_packed(_read(spark, sf_dir, "obs"), "taxonomy", ["id"])
     return rows.toDF("obs_id", "pos", "taxon").distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found,)}
+    return {f.__name__: f for f in (p2_found, p2_nodes, p4_found)}
