@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparrix.operators.drift import header_fields, schema_changes, unify
 from sparrix.operators.nested import TABLE_SHAPE, node_table, table_relations
 from sparrix.operators.packed import split_packed
+from sparrix.runtime import materialize
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,10 +24,23 @@ def p2_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return node_table(_read(spark, sf_dir, "table_files"), ["file_id"], "body", TABLE_SHAPE).distinct()
 
 
+#: The columns of the common table, whatever a producer calls them.
+HEADER_COLUMNS = ["format", "matrix_type", "matrix_element_type", "type", "shape", "date", "generated_by"]
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_changes(materialize(header_fields(_read(spark, sf_dir, "table_headers")), "fields"))
+
+
+def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = materialize(header_fields(_read(spark, sf_dir, "table_headers")), "fields")
+    return unify(fields, schema_changes(fields), HEADER_COLUMNS)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = split_packed(_read(spark, sf_dir, "obs"), "taxonomy", ["id"])
     return rows.toDF("obs_id", "pos", "taxon").distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_nodes, p4_found)}
+    return {f.__name__: f for f in (p2_found, p2_nodes, p3_found, p3_unified, p4_found)}
