@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from sparrix.llm.canon import canonical_text, look_alike_pairs, look_classes
 from sparrix.llm.cluster import CompositionClusters
 from sparrix.llm.cooccur import cooccurrence
+from sparrix.llm.mix import SourceMix
+from sparrix.llm.pack import pack_all
+from sparrix.llm.stable import StableSample
+from sparrix.llm.tokens import token_counts
+from sparrix.operators.packed import split_packed
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +39,58 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _axis_samples(spark: SparkSession, sf_dir: str) -> dict[str, StableSample]:
+    """Samples by body site, observations by the first rank of their lineage."""
+    site = F.lower(F.trim(F.regexp_replace("body_site", "^[A-Za-z]+:", "")))
+    samp = StableSample(_read(spark, sf_dir, "samp"), "id", site, "load_no", rate=0.1)
+    obs = _read(spark, sf_dir, "obs").select("id", "load_no", "taxonomy")
+    names = split_packed(obs.select("id", "taxonomy").distinct(), "taxonomy", ["id"]).where("lower(value) <> 'root'")
+    first = names.groupBy("id").agg(F.min_by(F.lower(F.regexp_replace("value", "^[a-z]__", "")), F.struct("pos", "value")).alias("top"))
+    obs = StableSample(obs.join(first, "id", "left"), "id", F.col("top"), "load_no", rate=0.1)
+    return {"samp": samp, "obs": obs}
+
+
+def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = _axis_samples(spark, sf_dir)
+    parts = [s.sample().select(F.lit(axis).alias("axis"), F.col("key").alias("id"), F.col("delivery").alias("load_no")) for axis, s in samples.items()]
+    return parts[0].unionByName(parts[1])
+
+
+def p6_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = _axis_samples(spark, sf_dir)
+    parts = [s.thresholds().select(F.lit(axis).alias("axis"), "stratum", F.round("threshold", 9).alias("threshold"), "keys", "chosen") for axis, s in samples.items()]
+    return parts[0].unionByName(parts[1])
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_all(token_counts(_read(spark, sf_dir, "documents")), _read(spark, sf_dir, "containers"))
+    return packed.withColumnRenamed("doc", "doc_id")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and unused share of each kind, with the least number there could be."""
+    packed = pack_all(token_counts(_read(spark, sf_dir, "documents")), _read(spark, sf_dir, "containers"))
+    sums = packed.groupBy("container_kind").agg((F.max("container") + 1).alias("containers"), F.sum("tokens").alias("tokens"))
+    joined = sums.join(F.broadcast(_read(spark, sf_dir, "containers")), "container_kind")
+    least = F.ceil(F.col("tokens") / F.col("capacity_tokens"))
+    unused = F.round(1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6)
+    return joined.select("container_kind", "capacity_tokens", "containers", "tokens", least.alias("least_containers"), unused.alias("unused_share"))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> SourceMix:
+    docs = _read(spark, sf_dir, "documents")
+    targets = _read(spark, sf_dir, "mix_targets")
+    return SourceMix(token_counts(docs, keep=("source",)), targets)
+
+
+def p8_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).mixed().withColumnRenamed("doc", "doc_id")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).shares_reached()
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(_read(spark, sf_dir, "documents"))
 
@@ -47,4 +104,4 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p5_found, p5_pairs, p9_found, p9_classes, p9_canonical)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p5_found, p5_pairs, p6_sample, p6_thresholds, p7_packed, p7_fill, p8_mixed, p8_shares, p9_found, p9_classes, p9_canonical)}
