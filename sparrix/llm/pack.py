@@ -5,9 +5,10 @@ not by the data. A configuration linear program (cover the histogram by the fewe
 containers, a variable for each way to fill one) is solved by multiplicative weights: the
 lengths not yet covered have the highest weights, and knapsack dynamic programming prices
 the best fill under the weights. The solution is rounded down, the space left in its
-containers is filled from what remains, and the rest is filled largest first. The plan says
-for each length which ranks go to which containers; texts are ranked within their length
-by bucket, without any group being gathered, and looked up in the plan.
+containers is filled from what remains, and the rest is filled largest first. A plan made
+largest first throughout is kept if it needs fewer containers. The plan
+says for each length which ranks go to which containers; texts are ranked within their
+length by bucket, without any group being gathered, and looked up in the plan.
 
 Edge cases: a text without tokens is in no container; one that exceeds the capacity is
 split into pieces of the capacity and a rest, others never; texts of equal length go by
@@ -26,10 +27,11 @@ from sparrix.runtime import materialize
 
 #: Size classes of the linear program, and units of capacity in its pricing.
 CLASSES = 96
-UNITS = 1024
-#: Share of a class's demand that one step may cover, and the steps there may be.
-STEP = 0.1
-MOST_STEPS = 4000
+UNITS = 512
+#: The cover is to be within about this share of the best; the steps there may be.
+PRECISION, MOST_STEPS = 0.08, 80_000
+#: Pricing is done in so many first steps and every so many later ones.
+ALWAYS_PRICED, PRICED_EVERY = 150, 150
 #: Items below this share of the capacity are left to fill what space remains.
 SMALL = 1 / 48
 #: Rows of one bucket of the ranking, about.
@@ -64,36 +66,56 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray
 
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
-    """A fractional cover of the demand by fills of one container: fills with their number."""
+    """A fractional cover of the demand by fills of one container: fills with their number.
+
+    Each step uses the fill that is worth most under the weights a little more often.
+    Pricing for a better one than those known is done for the first steps, then now and
+    then, as the weights move slowly.
+    """
     unit = max(1, -(-capacity // UNITS))
     units, room = -(-sizes // unit), capacity // unit
-    eta = np.log(len(sizes) + 1) / STEP
-    cover, found = np.zeros(len(sizes)), {}
-    for _ in range(MOST_STEPS):
+    most = np.maximum(1, demand).astype(np.int64)
+    eta = np.log(len(sizes) + 1) / PRECISION
+    cover, fills, uses = np.zeros(len(sizes)), np.zeros((0, len(sizes)), np.int64), []
+    for k in range(MOST_STEPS):
         level = cover / demand
-        if level.min() >= 1:
+        least = level.min()
+        if least >= 1:
             break
-        open_ = level < 1
-        weight = np.where(open_, np.exp(-eta * (level - level.min())) / demand, 0.0)
-        fill = np.minimum(knapsack(weight, units, room), np.maximum(1, demand))
-        used = fill > 0
-        step = float((demand[used] / fill[used]).min() * STEP)
-        key = fill.tobytes()
-        found[key] = (fill, found.get(key, (fill, 0.0))[1] + step)
-        cover += step * fill
-    return list(found.values())
+        weight = np.exp(-eta * (level - least)) / demand
+        worth = fills @ weight
+        if k < ALWAYS_PRICED or not k % PRICED_EVERY:
+            fill = np.minimum(knapsack(weight, units, room), most)
+            if not len(fills) or fill @ weight > worth.max() * (1 + PRECISION / 10):
+                fills, worth = np.vstack((fills, fill)), np.append(worth, fill @ weight)
+                uses.append(0.0)
+        best = int(np.argmax(worth))
+        used = fills[best] > 0
+        step = float((demand[used] / fills[best][used]).min()) * PRECISION / eta
+        uses[best] += step
+        cover = cover + step * fills[best]
+    return [(f, x) for f, x in zip(fills, uses, strict=True) if x]
 
 
 def plan_containers(histogram: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
-    """Fills, each with the number of containers so filled; every item is in one of them."""
-    left = {s: n for s, n in sorted(histogram.items()) if n > 0}
-    if any(s > capacity or s < 1 for s in left):
+    """Fills, each with the number of containers so filled; every item is in one of them.
+
+    Rounding the program may cost what it gained, so the plan that fills largest first
+    without it is made as well, and taken if it needs fewer containers.
+    """
+    items = {s: n for s, n in sorted(histogram.items()) if n > 0}
+    if any(s > capacity or s < 1 for s in items):
         raise ValueError("an item is larger than the capacity or empty")
+    plans = [_plan(dict(items), capacity, program) for program in (True, False)]
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def _plan(left: dict[int, int], capacity: int, program: bool) -> list[tuple[Pattern, int]]:
     plan: list[tuple[Pattern, int]] = []
     if capacity in left:
         plan.append(({capacity: 1}, left.pop(capacity)))
     large = [s for s in left if s > capacity * SMALL]
-    if large:
+    if large and program:
         plan += _from_configurations(left, large, capacity)
     plan = _filled(plan, left, capacity)
     while left:  # what remains, largest first
@@ -124,7 +146,8 @@ def _from_configurations(left: dict[int, int], large: list[int], capacity: int)
     sizes = np.array([m[0] for m in members])
     demand = np.array([sum(left[s] for s in m) for m in members], float)
     plan: list[tuple[Pattern, int]] = []
-    for fill, times in sorted(configurations(sizes, demand, capacity), key=lambda x: -x[1]):
+    # the fullest first: the solution covers some classes more than once
+    for fill, times in sorted(configurations(sizes, demand, capacity), key=lambda x: (-(x[0] @ sizes), -x[1])):
         times, used = int(times), np.flatnonzero(fill)
         while times > 0:
             # as long as the same real lengths last, the containers are alike
