@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sparrix.core import MatrixTable, Props
 from sparrix.functions.scalar import natural_key
+from sparrix.runtime import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -24,7 +25,7 @@ def _query(f: Query) -> Query:
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{table}.parquet")
+    return ship(spark).read.parquet(f"{d}/{table}.parquet")
 
 
 def sales(spark: SparkSession, d: str, flag: str | None = None) -> MatrixTable:

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from sparrix.operators.drift import header_fields, schema_changes, unify
 from sparrix.operators.nested import TABLE_SHAPE, node_table, table_relations
 from sparrix.operators.packed import split_packed
-from sparrix.runtime import materialize
+from sparrix.runtime import materialize, ship
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +28,26 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
     }
     for key, value in {**settings, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors' Python, unless they find it by themselves.
+
+    They do if it is on PYTHONPATH, or if they run in the folder that holds it.
+    """
+    package = Path(__file__).resolve().parent
+    root, context = str(package.parent), spark.sparkContext
+    here = context.master.startswith("local[") or context.master == "local"
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or here and os.getcwd() == root or getattr(context, "_sparrix_shipped", False):
+        return spark
+    path = Path(tempfile.mkdtemp(prefix="sparrix-")) / "sparrix.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in package.rglob("*.py"):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(path))
+    context._sparrix_shipped = True
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
