@@ -12,7 +12,8 @@ broadcast), all others by hash: any order is exact, it only has to put hot keys
 
 Records of equal content are one vertex. A feature held by many records is a key only
 together with a second common feature; records in which it alone reaches the threshold
-are alike anyway and are linked to one of them.
+are alike anyway. Groups need no more than their links to one of them; clusters take them
+as a clique that is never written out, with all links from outside.
 
 Edge cases: null ids and null, zero and NaN values are absent; records that hold a
 negative or infinite value, or nothing, have no composition and are in no result; ties
@@ -167,7 +168,7 @@ PAIR_NAMES = ["a", "b", "similarity", "sure"]
 PAIR_SCHEMA = "a string, b string, similarity double, sure boolean"
 
 
-def _compare_buckets(threshold: float):
+def _compare_buckets(threshold: float, chains: bool):
     """Compares the records of each key; a partition comes sorted by key."""
     unit = float(1 << SHARE_BITS)
 
@@ -195,10 +196,10 @@ def _compare_buckets(threshold: float):
         batch = table.combine_chunks().to_batches()[0]
         kind = batch["kind"].to_numpy()
         names, sim = batch["record"], batch["similarity"].to_numpy()
-        edge = np.flatnonzero(kind == EDGE)
+        edge = np.flatnonzero((kind == EDGE) & chains)
         if len(edge):
             yield pairs(names.take(pa.array(edge)), batch["other"].take(pa.array(edge)), sim[edge], np.ones(len(edge), bool))
-        star = np.flatnonzero(kind == STAR)
+        star = np.flatnonzero((kind == STAR) & chains)
         if len(star):
             keys = batch["key"].to_numpy()[star]
             new = np.concatenate(([True], keys[1:] != keys[:-1]))
@@ -273,8 +274,8 @@ def _compare_buckets(threshold: float):
             j = hit + cost[i0] - cost[i] + partners[i]
             common = np.bincount(slot, minlength=slots)[hit]  # each packed share is too large by less than one unit
             sure = total[hit] - common >= (threshold + EPSILON) * unit
-            # of those with one dominant feature, which are linked anyway, the closest sure one is enough
-            many = (dom[j] > 0) & sure
+            # for chains, of those with one dominant feature, which are linked anyway, the closest sure one is enough
+            many = (dom[j] > 0) & sure & chains
             order = np.flatnonzero(many)[np.lexsort((-total[hit][many], dom[j][many], i[many]))]
             best = np.concatenate(([True], (i[order][1:] != i[order][:-1]) | (dom[j][order][1:] != dom[j][order][:-1]))) if len(order) else np.zeros(0, bool)
             keep = np.concatenate((np.flatnonzero(~many), order[best]))
@@ -295,31 +296,42 @@ def _compare_buckets(threshold: float):
     return run
 
 
-def alike_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
+def _similarities(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(a, b, similarity)`` of the given pairs, from the whole vectors."""
+    count = pairs.count()
+    if count <= BROADCAST_ROWS:
+        pairs = F.broadcast(pairs)
+    side = vectors.select("record", "feature", "share")
+    joined = pairs.join(side.toDF("a", "fa", "sa"), "a")
+    joined = (F.broadcast(joined) if count <= BROADCAST_ROWS else joined).join(side.toDF("b", "fb", "sb"), "b")
+    shares = joined.select("a", "b", F.explode(F.arrays_zip("fa", "sa")).alias("x"), F.map_from_arrays("fb", "sb").alias("other"))
+    shares = shares.select("a", "b", F.least("x.sa", F.try_element_at("other", F.col("x.fa"))).alias("s"), F.try_element_at("other", F.col("x.fa")).alias("o"))
+    return shares.groupBy("a", "b").agg(F.sum(F.when(F.col("o").isNotNull(), F.col("s"))).alias("similarity"))
+
+
+def alike_pairs(vectors: DataFrame, threshold: float, chains: bool = True) -> DataFrame:
     """``(a, b, similarity)`` with a < b: alike vectors, each pair once.
 
-    Complete but for records in which one hot feature alone reaches the threshold: these
-    are linked to one of them, and any other record to the closest of them.
+    Records in which one hot feature alone reaches the threshold are all alike. With
+    ``chains`` they are linked to one of them, and any other record to the closest of
+    them; without, all pairs are given but those within ``dominant_cliques``.
     """
     keyed = vectors.select("record", "df", "hash", "share").mapInArrow(_key_rows(threshold), KEY_SCHEMA)
-    found = keyed.repartition("key").sortWithinPartitions("key", "dom").mapInArrow(_compare_buckets(threshold), PAIR_SCHEMA)
+    found = keyed.repartition("key").sortWithinPartitions("key", "dom").mapInArrow(_compare_buckets(threshold, chains), PAIR_SCHEMA)
     found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity", "sure")
     found = found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"), F.max("sure").alias("sure"))
     found = materialize(found, "alike")
     unsure = found.where(~F.col("sure")).select("a", "b")
-    count = unsure.count()
     sure = found.where("sure").select("a", "b", "similarity")
-    if not count:
+    if unsure.isEmpty():
         return sure
-    if count <= BROADCAST_ROWS:
-        unsure = F.broadcast(unsure)
-    side = vectors.select("record", "feature", "share")
-    joined = unsure.join(side.toDF("a", "fa", "sa"), "a")
-    joined = (F.broadcast(joined) if count <= BROADCAST_ROWS else joined).join(side.toDF("b", "fb", "sb"), "b")
-    shares = joined.select("a", "b", F.explode(F.arrays_zip("fa", "sa")).alias("x"), F.map_from_arrays("fb", "sb").alias("other"))
-    shares = shares.select("a", "b", F.least("x.sa", F.try_element_at("other", F.col("x.fa"))).alias("s"), F.try_element_at("other", F.col("x.fa")).alias("o"))
-    exact = shares.groupBy("a", "b").agg(F.sum(F.when(F.col("o").isNotNull(), F.col("s"))).alias("similarity"))
-    return sure.unionByName(exact.where(F.col("similarity") >= threshold - EPSILON))
+    return sure.unionByName(_similarities(vectors, unsure).where(F.col("similarity") >= threshold - EPSILON))
+
+
+def dominant_cliques(vectors: DataFrame, threshold: float) -> DataFrame:
+    """``(id, clique)``: records in which one hot feature alone reaches the threshold, by that feature's hash."""
+    full = F.filter(F.arrays_zip("df", "hash", "share"), lambda x: (x["df"] > HOT_KEY) & (x["share"] >= threshold + EPSILON))
+    return vectors.select(F.col("record").alias("id"), F.try_element_at(full, F.lit(-1))["hash"].alias("clique")).where("clique is not null")
 
 
 def _rank(c: str) -> Column:
@@ -327,32 +339,55 @@ def _rank(c: str) -> Column:
     return F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
 
 
-def pivot_clusters(pairs: DataFrame) -> DataFrame:
+def pivot_clusters(pairs: DataFrame, cliques: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """``(id, pivot, similarity)`` for all ids of ``pairs`` (a, b, similarity; each once).
 
     In rounds, every live vertex whose hash is the least among its live neighbours is a
     pivot and absorbs them; then each member goes to the closest pivot it is linked to.
+    The ids of each clique of ``cliques`` (id, clique) are neighbours too, without pairs;
+    their similarities, and any that decide between pivots, are taken from ``vectors``.
     """
     both = pairs.select("a", "b", "similarity").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     both = live = materialize(both, "links")
+    inside = several = None if cliques is None else materialize(cliques, "cliques")
     pivots: DataFrame | None = None
     while True:
-        least = live.groupBy("a").agg(F.min(_rank("b")).alias("least"))
-        chosen = materialize(least.where(_rank("a") < F.col("least")).select(F.col("a").alias("id")), "pivots")
+        least = live.select("a", _rank("b").alias("r"))
+        if several is not None:
+            heads = several.groupBy("clique").agg(F.min(_rank("id")).alias("r"), F.count("*").alias("n")).where("n > 1")
+            several = materialize(several.join(heads.select("clique", "r"), "clique"), "cliques")
+            # the head itself has only ids of a higher rank beside it
+            least = least.unionByName(several.select("id", F.when(F.col("r.id") != F.col("id"), F.col("r")).alias("r")).toDF("a", "r"))
+        least = least.groupBy("a").agg(F.min("r").alias("least"))
+        chosen = materialize(least.where(F.col("least").isNull() | (_rank("a") < F.col("least"))).select(F.col("a").alias("id")), "pivots")
         pivots = chosen if pivots is None else pivots.unionByName(chosen)
-        gone = chosen.unionByName(live.join(chosen.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id"))).distinct()
+        gone = chosen.unionByName(live.join(chosen.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")))
+        if several is not None:
+            gone = gone.unionByName(several.join(several.join(chosen, "id", "left_semi").select("clique"), "clique", "left_semi").select("id"))
+        gone = gone.distinct()
+        if several is not None:
+            gone = materialize(gone, "gone")
+            several = materialize(several.join(gone, "id", "left_anti").select("id", "clique"), "cliques")
         live = live.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
         live = materialize(live, "live")
-        if live.isEmpty():
+        if live.isEmpty() and (several is None or several.groupBy("clique").count().where("count > 1").isEmpty()):
             break
-    to_pivot = both.join(pivots.select(F.col("id").alias("b")), "b", "left_semi")
+    to_pivot = both.join(pivots.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b", "similarity")
+    vertices = both.select(F.col("a").alias("id"))
+    if inside is not None:
+        heads = inside.join(pivots, "id", "left_semi").select("clique", F.col("id").alias("b"))
+        to_pivot = to_pivot.unionByName(inside.join(heads, "clique").where("id <> b").select(F.col("id").alias("a"), "b", F.lit(None).cast("double").alias("similarity")))
+        vertices = vertices.unionByName(inside.join(inside.groupBy("clique").count().where("count > 1"), "clique", "left_semi").select("id"))
+        to_pivot = materialize(to_pivot.withColumn("choices", F.count("*").over(Window.partitionBy("a"))), "to_pivot")
+        decided = _similarities(vectors, to_pivot.where("choices > 1 or similarity is null").select("a", "b")).select("a", "b", F.round("similarity", 9).alias("similarity"))
+        to_pivot = to_pivot.where("choices = 1 and similarity is not null").select("a", "b", "similarity").unionByName(decided)
     best = F.max(F.struct("similarity", (-F.xxhash64("b")).alias("h"), F.col("b").alias("pivot"))).alias("best")
     joined = to_pivot.groupBy(F.col("a").alias("id")).agg(best).select("id", "best.pivot", "best.similarity")
     joined = joined.join(pivots, "id", "left_anti")
     mine = pivots.select("id", F.col("id").alias("pivot"), F.lit(1.0).alias("similarity"))
     # one whose neighbours all went to others in the same round is left alone: its own pivot
     labels = mine.unionByName(joined)
-    alone = both.select(F.col("a").alias("id")).distinct().join(labels, "id", "left_anti")
+    alone = vertices.distinct().join(labels, "id", "left_anti")
     return materialize(labels.unionByName(alone.select("id", F.col("id").alias("pivot"), F.lit(1.0).alias("similarity"))), "clusters")
 
 
@@ -390,12 +425,12 @@ class CompositionClusters:
         self.copies = materialize(copies.select("record", "rep"), "copies")
         few = self.copies.count()
         drop = self.copies.select("record")
-        distinct = self.vectors.join(F.broadcast(drop) if few <= BROADCAST_ROWS else drop, "record", "left_anti") if few else self.vectors
-        self.pairs = materialize(alike_pairs(distinct, threshold), "pairs")
+        self.distinct = self.vectors.join(F.broadcast(drop) if few <= BROADCAST_ROWS else drop, "record", "left_anti") if few else self.vectors
 
     def groups(self) -> DataFrame:
         """``(record, grp)`` of the records that are linked to another by a chain of alike pairs."""
-        return self._with_copies(linked_groups(self.pairs).withColumnRenamed("id", "record"), "grp")
+        pairs = materialize(alike_pairs(self.distinct, self.threshold), "pairs")
+        return self._with_copies(linked_groups(pairs).withColumnRenamed("id", "record"), "grp")
 
     def _with_copies(self, labels: DataFrame, column: str) -> DataFrame:
         """Copies follow their representative, which is in a group by itself if it has no other."""
@@ -414,15 +449,18 @@ class CompositionClusters:
         The medoid has the largest sum of similarities to the others of its cluster, and
         names it; ``typical`` holds the first so many records by that sum, ties by id.
         """
-        labels = pivot_clusters(self.pairs).select(F.col("id").alias("record"), F.col("pivot").alias("grp"))
+        pairs = materialize(alike_pairs(self.distinct, self.threshold, chains=False), "pairs")
+        labels = pivot_clusters(pairs, dominant_cliques(self.distinct, self.threshold), self.vectors).select(F.col("id").alias("record"), F.col("pivot").alias("grp"))
         members = self._with_copies(labels, "grp").join(self.copies, "record", "left").select("record", "grp", F.coalesce("rep", "record").alias("rep"))
         members = materialize(members, "members")
         weight = members.groupBy("rep", "grp").agg(F.count("*").alias("w"))
-        inner = self.pairs.join(weight.toDF("a", "ga", "wa"), "a").join(weight.toDF("b", "gb", "wb"), "b").where("ga = gb")
-        sums = inner.select(F.col("a").alias("rep"), (F.col("similarity") * F.col("wb")).alias("s")).unionByName(
-            inner.select(F.col("b").alias("rep"), (F.col("similarity") * F.col("wa")).alias("s"))
-        )
-        sums = weight.join(sums.groupBy("rep").agg(F.sum("s").alias("s")), "rep", "left").select("rep", (F.coalesce("s", F.lit(0.0)) + F.col("w")).alias("s"))
+        # for each feature, the others of a cluster count with their own share if it is smaller, else with the record's
+        shares = self.vectors.select(F.col("record").alias("rep"), F.explode(F.arrays_zip("feature", "share")).alias("x"))
+        shares = weight.join(shares, "rep").select("rep", "grp", F.col("x.feature").alias("feature"), F.col("x.share").alias("share"), "w")
+        of = Window.partitionBy("grp", "feature")
+        upto = of.orderBy("share").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        least = F.sum(F.col("w") * F.col("share")).over(upto) + F.col("share") * (F.sum("w").over(of) - F.sum("w").over(upto))
+        sums = shares.select("rep", least.alias("s")).groupBy("rep").agg(F.sum("s").alias("s"))
         scored = members.join(sums, "rep").select("record", "grp", F.round("s", 9).alias("s"))
         nth = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("s"), "record")).alias("nth")
         best = scored.select("record", "grp", nth).where(F.col("nth") <= typical).groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("nth", "record"))).alias("x"))

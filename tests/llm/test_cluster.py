@@ -98,3 +98,30 @@ def test_all_alike(spark, n):
     c = CompositionClusters(frame(spark, [(f"s{i}", "o", 1.0 + i) for i in range(n)]))
     assert c.group_pairs().count() == n * (n - 1) // 2
     assert [r["size"] for r in c.clusters().collect()] == [n]
+
+
+def test_clusters_of_a_hot_feature(spark, monkeypatch):
+    """Clusters, sizes and medoids do not depend on which features are hot."""
+    rng = np.random.default_rng(5)
+    triples = random_triples(6)
+    triples += [(f"d{i}", o, float(v)) for i in range(60) for o, v in (("hot", 100 + rng.integers(0, 40)), (f"o{rng.integers(40)}", 20 + rng.integers(0, 60)), (f"u{i}", 5.0))]
+    df = frame(spark, triples)
+    expected = sorted(tuple(r) for r in CompositionClusters(df).clusters().collect())
+    monkeypatch.setattr(cluster, "HOT_KEY", 5)
+    assert sorted(tuple(r) for r in CompositionClusters(df).clusters().collect()) == expected
+    assert max(size for _, size, _, _ in expected) >= 30
+    groups = {tuple(r) for r in CompositionClusters(df).group_pairs().collect()}
+    assert groups == plain_groups(triples)[0]
+
+
+def test_medoid_has_the_largest_sum_over_its_cluster(spark, monkeypatch):
+    """All of one cluster: the sums over all others, compared one by one."""
+    monkeypatch.setattr(cluster, "HOT_KEY", 5)
+    triples = [(f"m{i:02}", o, v) for i in range(20) for o, v in (("hot", 100.0), (f"x{i % 7}", 10.0 + 3 * i), (f"y{i % 3}", 5.0))]
+    vectors = {}
+    for s, o, v in triples:
+        vectors.setdefault(s, {})[o] = v
+    vectors = {s: {o: x / sum(v.values()) for o, x in v.items()} for s, v in vectors.items()}
+    sums = {a: round(sum(min(x, w.get(o, 0)) for w in vectors.values() for o, x in v.items()), 9) for a, v in vectors.items()}
+    best = sorted(sums, key=lambda a: (-sums[a], a))
+    assert [tuple(r) for r in CompositionClusters(frame(spark, triples)).clusters().collect()] == [(best[0], 20, best[0], " ".join(best[:3]))]
