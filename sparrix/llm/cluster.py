@@ -121,7 +121,7 @@ def _key_rows(threshold: float):
                 key = np.concatenate((key, h[i] * 31 + (h[j] >> SHARE_BITS)))
                 start = np.concatenate((start, i))
             # records in which one hot feature reaches the threshold: all alike
-            full = hot[share[hot] >= threshold + EPSILON] if len(hot) else hot
+            full = hot[share[hot] >= threshold - EPSILON] if len(hot) else hot
             dom = np.zeros(len(n), np.int64)
             dom[row[full]] = _positive(h[full])
             yield from out(names, key, row[start], codes, start, last[start], n, dom)
@@ -330,7 +330,7 @@ def alike_pairs(vectors: DataFrame, threshold: float, chains: bool = True) -> Da
 
 def dominant_cliques(vectors: DataFrame, threshold: float) -> DataFrame:
     """``(id, clique)``: records in which one hot feature alone reaches the threshold, by that feature's hash."""
-    full = F.filter(F.arrays_zip("df", "hash", "share"), lambda x: (x["df"] > HOT_KEY) & (x["share"] >= threshold + EPSILON))
+    full = F.filter(F.arrays_zip("df", "hash", "share"), lambda x: (x["df"] > HOT_KEY) & (x["share"] >= threshold - EPSILON))
     return vectors.select(F.col("record").alias("id"), F.try_element_at(full, F.lit(-1))["hash"].alias("clique")).where("clique is not null")
 
 

@@ -125,3 +125,11 @@ def test_medoid_has_the_largest_sum_over_its_cluster(spark, monkeypatch):
     sums = {a: round(sum(min(x, w.get(o, 0)) for w in vectors.values() for o, x in v.items()), 9) for a, v in vectors.items()}
     best = sorted(sums, key=lambda a: (-sums[a], a))
     assert [tuple(r) for r in CompositionClusters(frame(spark, triples)).clusters().collect()] == [(best[0], 20, best[0], " ".join(best[:3]))]
+
+
+def test_tie_of_a_hot_feature(spark, monkeypatch):
+    """Records whose share of a hot feature is the threshold itself, with no other feature in common."""
+    monkeypatch.setattr(cluster, "HOT_KEY", 5)
+    triples = [(f"t{i}", o, v * (i + 1)) for i in range(8) for o, v in (("p", 11.0), (f"q{i}", 9.0))]
+    check(spark, triples)
+    assert [r["size"] for r in CompositionClusters(frame(spark, triples)).clusters().collect()] == [8]
