@@ -8,7 +8,9 @@ between equal weights. All other columns gone or new are removed or added.
 
 To bring all files into one table, each column is followed back through the renames to its
 name in the producer's first file that has it; these names are matched, again as an
-assignment, with the target columns by name similarity and value sketch.
+assignment, with the target columns by name similarity and value sketch. Names that no
+target takes are matched with each other over all producers, and each meaning so found
+gets a column of its own.
 
 Edge cases: a record without a table id or with a body that is no JSON object has no
 fields; records sent again count once; a file whose predecessor is missing is compared
@@ -177,11 +179,50 @@ def _origins(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["producer", "file_no", "field", "origin"])
 
 
+def _weight(a: str, s: set[int], b: str, m: set[int]) -> float:
+    """How alike two columns are by name and sketch; 0 if too little to be one."""
+    weight = (name_similarity(a, b) + (len(s & m) / min(len(s), len(m)) if s and m else 0.0)) / 2
+    return weight if weight >= LEAST_WEIGHT else 0.0
+
+
+def other_meanings(sketches: dict[str, set[int]], beside: set[tuple[str, str]]) -> dict[str, str]:
+    """For each name, the name of its meaning; ``sketches`` lists the most frequent first.
+
+    A name goes to the meaning it is most alike, but to none that has a name it stands
+    ``beside`` in some file.
+    """
+    members: dict[str, list[str]] = {}
+    for name, sketch in sketches.items():
+        weights = {
+            m: max(_weight(name, sketch, x, sketches[x]) for x in names)
+            for m, names in members.items() if not any((name, x) in beside for x in names)
+        }
+        best = max(weights, key=weights.get, default=name)
+        members.setdefault(best if weights.get(best, 0) > 0 else name, []).append(name)
+    return {x: m for m, names in members.items() for x in names}
+
+
+def _column_names(meanings: list[str], taken: list[str]) -> dict[str, str]:
+    """A column name for each meaning; Spark tells names apart without case."""
+    used = {x.lower() for x in taken}
+    out = {}
+    for m in meanings:
+        base = re.sub(r"\W+", "_", m)
+        name, n = base, 1
+        while name.lower() in used:
+            n += 1
+            name = f"{base}_{n}"
+        used.add(name.lower())
+        out[m] = name
+    return out
+
+
 def unify(fields: DataFrame, changes: DataFrame, targets: list[str]) -> DataFrame:
-    """``producer``, ``file_no``, ``rec_id``, ``table_id`` and one text column for each target.
+    """``producer``, ``file_no``, ``rec_id``, ``table_id`` and one text column for each meaning, the targets first.
 
     A producer's columns are matched with the targets as an assignment; at equal weight
-    the name that comes first is taken. A value under no target is in no column.
+    the name that comes first is taken. Every value is in a column: those that no target
+    takes are in one of their own meaning, named by its most frequent name.
     """
     kind = fields.schema["file_no"].dataType
     schema = T.StructType([fields.schema["producer"], T.StructField("file_no", kind), T.StructField("field", T.StringType()), T.StructField("origin", T.StringType())])
@@ -203,17 +244,28 @@ def unify(fields: DataFrame, changes: DataFrame, targets: list[str]) -> DataFram
         w = np.zeros((len(names), len(targets)))
         for i, a in enumerate(names):
             for j, b in enumerate(targets):
-                s, m = sketches[a], model.get(b, set())
-                weight = (name_similarity(a, b) + (len(s & m) / min(len(s), len(m)) if s and m else 0.0)) / 2
-                w[i, j] = weight if weight >= LEAST_WEIGHT else 0.0
+                w[i, j] = _weight(a, sketches[a], b, model.get(b, set()))
         return pd.DataFrame([(pdf["producer"].iloc[0], names[i], targets[j]) for i, j in assign(w)], columns=["producer", "origin", "target"])
 
     matched = mine.groupBy("producer").applyInPandas(
         match, T.StructType([fields.schema["producer"], T.StructField("origin", T.StringType()), T.StructField("target", T.StringType())])
     )
+    matched = materialize(matched, "matched")
+    left = mine.select("producer", "origin").join(matched, ["producer", "origin"], "left_anti")
+    left = materialize(left, "left")
+    files = materialize(origin.join(left, ["producer", "origin"]).select("producer", "file_no", "origin").distinct(), "left_files")
+    # one row for each name and each pair of names: as many as there are columns to make
+    pairs = files.join(files.withColumnRenamed("origin", "other"), ["producer", "file_no"]).where("origin <> other").select("origin", "other").distinct()
+    beside = {(r["origin"], r["other"]) for r in pairs.collect()}
+    sketches = value_sketches(named.join(left, ["producer", "origin"], "left_semi"), ["origin"])
+    sketches = sketches.join(files.groupBy("origin").count(), "origin").orderBy(F.desc("count"), "origin").collect()
+    meanings = other_meanings({r["origin"]: set(r["sketch"]) for r in sketches}, beside)
+    names = _column_names(list(dict.fromkeys(meanings.values())), ["producer", "file_no", "rec_id", "table_id", *targets])
+    columns = [*targets, *names.values()]
+    if meanings:
+        known = fields.sparkSession.createDataFrame([(x, names[m]) for x, m in meanings.items()], "origin string, target string")
+        matched = matched.unionByName(left.join(known, "origin"))
     meaning = origin.join(matched, ["producer", "origin"]).select("producer", "file_no", "field", "target")
     rows = fields.join(meaning, ["producer", "file_no", "field"], "left")
-    value = [F.max(F.when(F.col("target") == t, F.col("value"))).alias(t) for t in targets]
+    value = [F.max(F.when(F.col("target") == t, F.col("value"))).alias(t) for t in columns]
     return rows.groupBy("producer", "file_no", "rec_id", "table_id").agg(*value)
-
-

@@ -24,7 +24,7 @@ def p2_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return node_table(_read(spark, sf_dir, "table_files"), ["file_id"], "body", TABLE_SHAPE).distinct()
 
 
-#: The columns of the common table, whatever a producer calls them.
+#: The first columns of the common table, whatever a producer calls them; other meanings follow.
 HEADER_COLUMNS = ["format", "matrix_type", "matrix_element_type", "type", "shape", "date", "generated_by"]
 
 

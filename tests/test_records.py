@@ -320,6 +320,20 @@ def test_unify(spark):
     assert len(out) == 16 and {(r["table_id"], r["format"], r["matrix_type"]) for r in out} == {(f"t{t}", f"v{t}", "sparse") for t in range(4)}
 
 
+def test_unify_keeps_what_no_target_takes(spark):
+    """One more column for each meaning; names beside each other are two meanings, in any spelling."""
+    rows = [("p", 1, f"t{t}", json.dumps({"format": f"v{t}", "labName": f"bench {t}", "type": "x", "Type": f"y{t}"})) for t in range(4)]
+    rows += [("q", 1, f"t{t}", json.dumps({"format": f"v{t}", "lab_name": f"bench {t}", "new.count": t})) for t in range(4)]
+    fields = materialize(header_fields(headers(spark, rows)), "fields")
+    out = unify(fields, schema_changes(fields), ["format"])
+    assert out.columns[:5] == ["producer", "file_no", "rec_id", "table_id", "format"]
+    kept = [sorted(v for v in r[4:] if v is not None) for r in out.orderBy("producer", "table_id").collect()]
+    assert kept == [sorted([f"v{t}", f"bench {t}", "x", f"y{t}"]) for t in range(4)] + [sorted([f"v{t}", f"bench {t}", str(t)]) for t in range(4)]
+    lab = next(c for c in out.columns if c.lower().startswith("lab"))
+    assert [r[0] for r in out.orderBy("producer", "table_id").select(lab).collect()] == [f"bench {t}" for t in range(4)] * 2
+    assert len({c.lower() for c in out.columns}) == len(out.columns) == 9
+
+
 def test_assignment():
     rng = np.random.default_rng(1)
     for n, m in ((1, 1), (2, 3), (4, 2), (5, 5)):
