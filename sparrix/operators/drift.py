@@ -33,6 +33,8 @@ from sparrix.runtime import materialize
 
 #: Hashes kept of a column's values.
 SKETCH = 64
+#: Stands between an origin's name and the file it starts in, where the name alone is taken.
+MARK = "\0"
 #: Least weight at which a producer's column is taken for a target column.
 LEAST_WEIGHT = 0.3
 
@@ -166,21 +168,33 @@ def schema_changes(fields: DataFrame) -> DataFrame:
 
 
 def _origins(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For one producer, the origin of each field name from a file on."""
+    """For one producer, the origin of each field of each file; ``old`` is the name before a rename.
+
+    No two fields of a file have the same origin: a name that comes back while its column
+    goes on under another name starts an origin of its own, marked by the file.
+    """
     now: dict[str, str] = {}
     out = []
-    for no, rows in pdf.sort_values("file_no").groupby("file_no"):
-        moved = {b: now.get(a, a) for c, a, b in zip(rows["change"], rows["field"], rows["new_field"], strict=True) if c == "renamed"}
-        for c, a in zip(rows["change"], rows["field"], strict=True):
-            if c in ("renamed", "removed"):
-                now.pop(a, None)
-        now |= moved
-        out += [(pdf["producer"].iloc[0], no, b, origin) for b, origin in moved.items()]
+    for no, rows in pdf.sort_values(["file_no", "field"]).groupby("file_no"):
+        came = {f: old for f, old in zip(rows["field"], rows["old"], strict=True) if isinstance(old, str)}
+        held = {f: now.get(old, old) for f, old in came.items()}
+        for old in came.values():
+            now.pop(old, None)
+        held |= {f: now[f] for f in rows["field"] if f not in came and f in now}
+        used: set[str] = set()
+        for f in [*held, *(f for f in rows["field"] if f not in held)]:
+            origin = held.get(f, f)
+            if origin in used:
+                origin = f"{f}{MARK}{no}"
+            used.add(origin)
+            now[f] = origin
+            out.append((pdf["producer"].iloc[0], no, f, origin))
     return pd.DataFrame(out, columns=["producer", "file_no", "field", "origin"])
 
 
 def _weight(a: str, s: set[int], b: str, m: set[int]) -> float:
     """How alike two columns are by name and sketch; 0 if too little to be one."""
+    a, b = a.split(MARK)[0], b.split(MARK)[0]
     weight = (name_similarity(a, b) + (len(s & m) / min(len(s), len(m)) if s and m else 0.0)) / 2
     return weight if weight >= LEAST_WEIGHT else 0.0
 
@@ -207,7 +221,7 @@ def _column_names(meanings: list[str], taken: list[str]) -> dict[str, str]:
     used = {x.lower() for x in taken}
     out = {}
     for m in meanings:
-        base = re.sub(r"\W+", "_", m)
+        base = re.sub(r"\W+", "_", m.split(MARK)[0])
         name, n = base, 1
         while name.lower() in used:
             n += 1
@@ -217,55 +231,76 @@ def _column_names(meanings: list[str], taken: list[str]) -> dict[str, str]:
     return out
 
 
+def _lanes(weights: np.ndarray, files: list[set[int]]) -> list[list[int]]:
+    """Origins of one producer that may share a target: most alike to the same one and never in one file."""
+    best = weights.argmax(axis=1) if weights.size else []
+    lanes: list[tuple[int, list[int], set[int]]] = []
+    for i in sorted(range(len(weights)), key=lambda i: -weights[i].max()):
+        for target, members, seen in lanes:
+            if weights[i].max() > 0 and target == best[i] and not seen & files[i]:
+                members.append(i)
+                seen |= files[i]
+                break
+        else:
+            lanes.append((best[i] if weights[i].max() > 0 else -1, [i], set(files[i])))
+    return [members for _, members, _ in lanes]
+
+
 def unify(fields: DataFrame, changes: DataFrame, targets: list[str]) -> DataFrame:
     """``producer``, ``file_no``, ``rec_id``, ``table_id`` and one text column for each meaning, the targets first.
 
     A producer's columns are matched with the targets as an assignment; at equal weight
-    the name that comes first is taken. Every value is in a column: those that no target
+    the name that comes first is taken. Columns that are never in one file do not compete
+    for a target, as they may be one whose rename cannot be proved. Every value is in a column: those that no target
     takes are in one of their own meaning, named by its most frequent name.
     """
-    kind = fields.schema["file_no"].dataType
-    schema = T.StructType([fields.schema["producer"], T.StructField("file_no", kind), T.StructField("field", T.StringType()), T.StructField("origin", T.StringType())])
-    starts = changes.where("change = 'renamed'").select("producer", "file_no", "change", "field", "new_field").groupBy("producer").applyInPandas(_origins, schema)
-    starts = materialize(starts.withColumnRenamed("file_no", "since"), "origins")
-    files = fields.select("producer", "file_no", "field").distinct().join(starts, ["producer", "field"], "left").where("since is null or since <= file_no")
-    latest = files.groupBy("producer", "file_no", "field").agg(F.max_by("origin", "since").alias("origin"))
-    every = fields.select("producer", "file_no", "field").distinct().join(latest, ["producer", "file_no", "field"], "left")
-    origin = materialize(every.select("producer", "file_no", "field", F.coalesce("origin", "field").alias("origin")), "origin")
-    named = fields.join(origin, ["producer", "file_no", "field"])
+    key = ["producer", "file_no", "field"]
+    schema = T.StructType([*(fields.schema[c] for c in key), T.StructField("origin", T.StringType())])
+    renamed = changes.where("change = 'renamed'").select("producer", "file_no", F.col("new_field").alias("field"), F.col("field").alias("old"))
+    origin = materialize(fields.select(*key).distinct().join(renamed, key, "left").groupBy("producer").applyInPandas(_origins, schema), "origin")
+    named = fields.join(origin, key)
     mine = value_sketches(named, ["producer", "origin"])
-    # a target's sketch comes from the columns that bear its name everywhere
-    model = value_sketches(fields.where(F.col("field").isin(targets)).withColumn("target", F.col("field")), ["target"])
-    model = {r["target"]: set(r["sketch"]) for r in model.collect()}  # as many as targets, each of SKETCH hashes
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(pdf["origin"])
-        sketches = dict(zip(pdf["origin"], map(set, pdf["sketch"]), strict=True))
-        w = np.zeros((len(names), len(targets)))
-        for i, a in enumerate(names):
-            for j, b in enumerate(targets):
-                w[i, j] = _weight(a, sketches[a], b, model.get(b, set()))
-        return pd.DataFrame([(pdf["producer"].iloc[0], names[i], targets[j]) for i, j in assign(w)], columns=["producer", "origin", "target"])
-
-    matched = mine.groupBy("producer").applyInPandas(
-        match, T.StructType([fields.schema["producer"], T.StructField("origin", T.StringType()), T.StructField("target", T.StringType())])
-    )
-    matched = materialize(matched, "matched")
-    left = mine.select("producer", "origin").join(matched, ["producer", "origin"], "left_anti")
-    left = materialize(left, "left")
-    files = materialize(origin.join(left, ["producer", "origin"]).select("producer", "file_no", "origin").distinct(), "left_files")
-    # one row for each name and each pair of names: as many as there are columns to make
-    pairs = files.join(files.withColumnRenamed("origin", "other"), ["producer", "file_no"]).where("origin <> other").select("origin", "other").distinct()
-    beside = {(r["origin"], r["other"]) for r in pairs.collect()}
-    sketches = value_sketches(named.join(left, ["producer", "origin"], "left_semi"), ["origin"])
-    sketches = sketches.join(files.groupBy("origin").count(), "origin").orderBy(F.desc("count"), "origin").collect()
-    meanings = other_meanings({r["origin"]: set(r["sketch"]) for r in sketches}, beside)
-    names = _column_names(list(dict.fromkeys(meanings.values())), ["producer", "file_no", "rec_id", "table_id", *targets])
-    columns = [*targets, *names.values()]
-    if meanings:
-        known = fields.sparkSession.createDataFrame([(x, names[m]) for x, m in meanings.items()], "origin string, target string")
-        matched = matched.unionByName(left.join(known, "origin"))
-    meaning = origin.join(matched, ["producer", "origin"]).select("producer", "file_no", "field", "target")
-    rows = fields.join(meaning, ["producer", "file_no", "field"], "left")
-    value = [F.max(F.when(F.col("target") == t, F.col("value"))).alias(t) for t in columns]
+    mine = mine.join(origin.groupBy("producer", "origin").agg(F.collect_set("file_no").alias("files")), ["producer", "origin"])
+    mine = materialize(mine, "mine")
+
+    def matched_with(targets: list[str]) -> tuple[DataFrame, list[str]]:
+        """``producer``, ``origin``, ``target``, and the meanings of the names that no target takes, which are targets too, marked."""
+        # a target's sketch comes from the columns that bear its name everywhere
+        names = [t.split(MARK)[0] for t in targets]
+        model = value_sketches(fields.where(F.col("field").isin(names)).withColumn("target", F.col("field")), ["target"])
+        model = {r["target"]: set(r["sketch"]) for r in model.collect()}  # as many as targets, each of SKETCH hashes
+
+        def match(pdf: pd.DataFrame) -> pd.DataFrame:
+            origins = sorted(pdf["origin"])
+            sketches = dict(zip(pdf["origin"], map(set, pdf["sketch"]), strict=True))
+            files = dict(zip(pdf["origin"], map(set, pdf["files"]), strict=True))
+            w = np.array([[_weight(a, sketches[a], b, model.get(b, set())) for b in names] for a in origins])
+            lanes = _lanes(w, [files[a] for a in origins])
+            w = np.array([w[lane].max(axis=0) for lane in lanes])
+            return pd.DataFrame([(pdf["producer"].iloc[0], origins[i], targets[j]) for k, j in assign(w) for i in lanes[k]], columns=["producer", "origin", "target"])
+
+        schema = T.StructType([fields.schema["producer"], T.StructField("origin", T.StringType()), T.StructField("target", T.StringType())])
+        matched = materialize(mine.groupBy("producer").applyInPandas(match, schema), "matched")
+        left = mine.select("producer", "origin").join(matched, ["producer", "origin"], "left_anti")
+        files = materialize(origin.join(left, ["producer", "origin"]).select("producer", "file_no", "origin").distinct(), "left")
+        # one row for each name and each pair of names: as many as there are columns to make
+        pairs = files.join(files.withColumnRenamed("origin", "other"), ["producer", "file_no"]).where("origin <> other").select("origin", "other").distinct()
+        beside = {(r["origin"], r["other"]) for r in pairs.collect()}
+        sketches = value_sketches(named.join(left, ["producer", "origin"], "left_semi"), ["origin"])
+        sketches = sketches.join(files.groupBy("origin").count(), "origin").orderBy(F.desc("count"), "origin").collect()
+        meanings = other_meanings({r["origin"]: set(r["sketch"]) for r in sketches}, beside)
+        if not meanings:
+            return matched, []
+        known = fields.sparkSession.createDataFrame([(x, m + MARK) for x, m in meanings.items()], "origin string, target string")
+        return matched.unionByName(left.join(known, "origin")), list(dict.fromkeys(meanings.values()))
+
+    # a name with a meaning of its own elsewhere is matched with it too, not only with the targets
+    matched, more = matched_with(targets)
+    if more:
+        matched, _ = matched_with([*targets, *more])
+    found = matched.groupBy("target").count().orderBy(F.desc("count"), "target").collect()
+    names = _column_names([r["target"] for r in found if r["target"] not in targets], ["producer", "file_no", "rec_id", "table_id", *targets])
+    meaning = origin.join(matched, ["producer", "origin"]).select(*key, "target")
+    rows = fields.join(meaning, key, "left")
+    value = [F.max(F.when(F.col("target") == t, F.col("value"))).alias(c) for t, c in [*((t, t) for t in targets), *names.items()]]
     return rows.groupBy("producer", "file_no", "rec_id", "table_id").agg(*value)

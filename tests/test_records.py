@@ -334,6 +334,36 @@ def test_unify_keeps_what_no_target_takes(spark):
     assert len({c.lower() for c in out.columns}) == len(out.columns) == 9
 
 
+def test_unify_renames_without_proof(spark):
+    """Other tables in the next file, a file missing, a name that comes back: all values reach their target."""
+    names = {1: "type", 2: "tableType", 4: "table.type", 5: "type"}  # no table is in two files
+    rows = [("p", f, f"t{f}{t}", json.dumps({name: f"{'OTU' if t % 2 else 'Gene'} table", "kind": f"k{f}{t}"})) for f, name in names.items() for t in range(4)]
+    rows += [("q", 1, f"t{t}", json.dumps({"type": f"{'OTU' if t % 2 else 'Gene'} table"})) for t in range(4)]
+    fields = materialize(header_fields(headers(spark, rows)), "fields")
+    out = unify(fields, schema_changes(fields), ["type", "format"]).collect()
+    assert len(out) == 20 and all(r["type"] == f"{'OTU' if int(r['table_id'][-1]) % 2 else 'Gene'} table" and r["format"] is None for r in out)
+    assert {r["kind"] for r in out if r["producer"] == "p"} == {f"k{f}{t}" for f in names for t in range(4)}
+
+
+def test_unify_with_a_name_that_comes_back(spark):
+    """The old name comes back while its column goes on under another name: two columns."""
+    bodies = {1: {"a": "u"}, 2: {"b": "u"}, 3: {"b": "u", "a": "w"}}
+    rows = [("p", f, f"t{t}", json.dumps({k: v + str(t) for k, v in body.items()})) for f, body in bodies.items() for t in range(3)]
+    fields = materialize(header_fields(headers(spark, rows)), "fields")
+    out = unify(fields, schema_changes(fields), ["a"]).where("file_no = 3").collect()
+    assert [sorted(v for v in r[4:] if v is not None) for r in sorted(out, key=lambda r: r["table_id"])] == [[f"u{t}", f"w{t}"] for t in range(3)]
+
+
+def test_unify_takes_a_known_meaning_before_a_target(spark):
+    """A flag whose values some target has too is no value of the target, even where the target is absent."""
+    rows = [("p", 1, f"t{t}", json.dumps({"layout": bool(t % 2), "curated": bool(t % 3)})) for t in range(4)]
+    rows += [("q", 1, f"t{t}", json.dumps({"curated": bool(t % 2)})) for t in range(4)]
+    rows += [("r", 1, f"t{t}", json.dumps({"matrix_type": bool(t % 2), "curated": bool(t % 2)})) for t in range(4)]
+    fields = materialize(header_fields(headers(spark, rows)), "fields")
+    out = unify(fields, schema_changes(fields), ["matrix_type"]).where("producer = 'q'").collect()
+    assert all(r["matrix_type"] is None and r["curated"] is not None for r in out) and len(out) == 4
+
+
 def test_assignment():
     rng = np.random.default_rng(1)
     for n, m in ((1, 1), (2, 3), (4, 2), (5, 5)):
