@@ -40,6 +40,13 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p5_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair that is together in any sample; p5_pairs gives those of its two bounds."""
+    return cooccurrence(_read(spark, sf_dir, "cells"), min_count=1, min_lift=0.0).select(
+        "item_a", "item_b", "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr")
+    )
+
+
 def _axis_samples(spark: SparkSession, sf_dir: str) -> dict[str, StableSample]:
     """Samples by body site, observations by the first rank of their lineage."""
     site = F.lower(F.trim(F.regexp_replace("body_site", "^[A-Za-z]+:", "")))
@@ -105,4 +112,4 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p5_found, p5_pairs, p6_sample, p6_thresholds, p7_packed, p7_fill, p8_mixed, p8_shares, p9_found, p9_classes, p9_canonical)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p5_found, p5_pairs, p5_all_pairs, p6_sample, p6_thresholds, p7_packed, p7_fill, p8_mixed, p8_shares, p9_found, p9_classes, p9_canonical)}

@@ -27,4 +27,6 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": COUNTED + "SELECT item_a AS obs_a, item_b AS obs_b FROM q WHERE n_ab * n >= 8 * n_a * n_b",
         "p5_pairs": COUNTED
         + f"SELECT item_a, item_b, n_ab, n_a, n_b, n, ROUND(CAST(n_ab * n AS DOUBLE) / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift, ROUND({LLR}, 4) AS llr FROM q WHERE n_ab * n >= 2 * n_a * n_b",
+        "p5_all_pairs": COUNTED.replace(">= 12", ">= 1")
+        + f"SELECT item_a, item_b, n_ab, n_a, n_b, n, ROUND(CAST(n_ab * n AS DOUBLE) / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift, ROUND({LLR}, 4) AS llr FROM q",
     }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparrix.llm import cooccur
 from sparrix.llm.cooccur import cooccurrence, log_likelihood_ratio
+from sparrix.llm.queries import queries
 
 SCHEMA = "obs_id string, samp_id string, value double, item string, n long"
 
@@ -68,3 +69,13 @@ def test_ratio(spark):
     for r in df.select("*", log_likelihood_ratio(F.col("k"), F.col("a"), F.col("b"), F.col("n")).alias("g")).collect():
         table = [(r["k"], r["a"], r["b"]), (r["a"] - r["k"], r["a"], r["n"] - r["b"]), (r["b"] - r["k"], r["n"] - r["a"], r["b"]), (r["n"] - r["a"] - r["b"] + r["k"], r["n"] - r["a"], r["n"] - r["b"])]
         assert math.isclose(r["g"], 2 * sum(k * math.log(k * r["n"] / (x * y)) for k, x, y in table if k), abs_tol=1e-9)
+
+
+def test_all_pairs_are_registered(spark, tmp_path):
+    """Pairs of one common sample and those of an item that is in nearly all samples."""
+    rows = rows_of(5)
+    spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).write.parquet(f"{tmp_path}/cells.parquet")
+    got = [tuple(r)[:6] for r in queries()["p5_all_pairs"](spark, str(tmp_path)).collect()]
+    expected = plain(rows, 1, 0.0)
+    assert set(got) == expected and len(got) == len(expected)
+    assert min(r[2] for r in expected) == 1 and any("hot" in r[:2] for r in expected)
