@@ -398,6 +398,47 @@ def table_files_validated(spark: SparkSession, d: str) -> DataFrame:
     return validate_documents(_read(spark, d, "table_files"), "file_id", "body").distinct()
 
 
+def _whole(name: str, f: Callable[[MatrixTable], DataFrame]) -> None:
+    """Registers an operator over the whole matrix, beside its query over a part of it."""
+    _QUERIES[f"{name}_whole"] = lambda spark, d: f(sales(spark, d))
+
+
+_whole("sum_observation", lambda t: t.sum("observation").withColumnRenamed("id", "obs_id"))
+_whole("min_observation", lambda t: t.min("observation"))
+_whole("max_observation", lambda t: t.max("observation"))
+_whole("nonzero_counts_observation", lambda t: t.nonzero_counts("observation"))
+_whole("vector_dense", lambda t: t.data(7, "sample").select("id", "value"))
+_whole("reduce_fold", lambda t: t.reduce(lambda a, b: F.greatest(a, b), "sample", column=True))
+_whole("summary_stats_binary", lambda t: t.summary("observation", binary=True).select("mn", "mx", "med", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "total"))
+_whole("positions", lambda t: t.positions("observation"))
+_whole("subsample_by_hash", lambda t: t.subsample_by_hash(1000, seed=3).cells)
+_whole("collapse_zero_aware", lambda t: t.collapse(F.col("md.type"), "observation", how=lambda v: F.percentile(v, 0.9), norm=False, zeros=True).cells)
+
+
+def _sold(spark: SparkSession, d: str) -> tuple[MatrixTable, MatrixTable]:
+    """The lines of two return flags, each on the ids it holds."""
+    return sales(spark, d, "A").remove_empty(), sales(spark, d, "N").remove_empty()
+
+
+@_query
+def merge_intersection_whole(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _sold(spark, d)
+    return a.merge(b, sample="intersection", observation="intersection").cells
+
+
+@_query
+def merge_metadata_whole(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _sold(spark, d)
+    return a.merge(b).obs.select("id", "ord", "md.brand")
+
+
+@_query
+def concat_samples_whole(spark: SparkSession, d: str) -> DataFrame:
+    t = sales(spark, d)
+    joined = t.filter(F.col("id") > 40, "sample").concat(t.filter(F.col("id") <= 40, "sample"))
+    return joined.cells.join(joined.samp.select(F.col("id").alias("samp_id"), "ord"), "samp_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

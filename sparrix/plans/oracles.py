@@ -115,5 +115,26 @@ ORACLES: dict[str, str] = {
 }
 
 
+#: The same over the whole matrix.
+ORACLES |= {
+    f"{name}_whole": CELLS + ORACLES[name].removeprefix(part)
+    for name, part in {
+        "sum_observation": CELLS_R, "min_observation": CELLS_R, "max_observation": CELLS_R, "nonzero_counts_observation": CELLS_A,
+        "vector_dense": CELLS_R, "reduce_fold": CELLS_R, "summary_stats_binary": CELLS_R,
+    }.items()
+}
+_SOLD = "SELECT DISTINCT {id} FROM lineitem WHERE l_returnflag = '{flag}'"
+ORACLES |= {
+    "positions_whole": ORACLES["positions"].removesuffix(" WHERE p_size % 7 = 0"),
+    "collapse_zero_aware_whole": ORACLES["collapse_zero_aware"].replace(" WHERE p_size <= 20", ""),
+    "concat_samples_whole": ORACLES["concat_samples"].replace(" WHERE s_suppkey <= 40 OR s_suppkey > 60", ""),
+    "merge_intersection_whole": "SELECT l_partkey AS obs_id, l_suppkey AS samp_id, SUM(l_quantity) AS value FROM lineitem WHERE l_returnflag IN ('A', 'N')"
+    + "".join(f" AND {i} IN ({_SOLD.format(id=i, flag=f)})" for i in ("l_partkey", "l_suppkey") for f in "AN")
+    + " GROUP BY 1, 2",
+    "merge_metadata_whole": "SELECT p_partkey AS id, ROW_NUMBER() OVER (ORDER BY s.a = 0, p_partkey) - 1 AS ord, p_brand AS brand FROM part "
+    "JOIN (SELECT l_partkey, COUNT(*) FILTER (WHERE l_returnflag = 'A') AS n, LEAST(n, 1) AS a FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY 1) s ON l_partkey = p_partkey",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
