@@ -22,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,8 @@ from sparrix.runtime import materialize
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
 BYTES_AT_ONCE = 1 << 20
+#: Documents of a stored form, and stored forms of a class, that are joined at once, about.
+PART_DOCS, PART_FORMS = 1000, 1000
 
 # Letters and the letter of the Latin script (in Japanese, of Katakana) that
 # has their shape. Each string holds pairs: the letter, then the one it looks like.
@@ -223,21 +225,40 @@ def canonical_text(texts: pa.Array) -> pa.Array:
 def _keys(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """``(doc, same, raw)``: digests of the common form and of the text as stored."""
     rows = docs.where(F.col(text).isNotNull() & (F.col(text) != "") & F.col(doc).isNotNull())
-    return rows.select(F.col(doc).alias("doc"), F.sha2(canonical_text(F.col(text)), 256).alias("same"), F.sha2(F.col(text), 256).alias("raw")).distinct()
+    return rows.select(F.col(doc).alias("doc"), F.unhex(F.sha2(canonical_text(F.col(text)), 256)).alias("same"), F.unhex(F.sha2(F.col(text), 256)).alias("raw")).distinct()
+
+
+def _part(c: str, rows: str, size: int) -> Column:
+    """One of the parts into which ``rows`` rows are split by hash, of about ``size`` rows each."""
+    return F.pmod(F.xxhash64(c), F.ceil(F.col(rows) / size)).cast("int")
+
+
+def _parts(rows: str, size: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.ceil(F.col(rows) / size).cast("int") - 1))
 
 
 def look_alike_pairs(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_a, doc_b)``, doc_a < doc_b: texts that look the same and are stored differently.
 
-    Null and empty texts are in no pair. Only classes that hold more than one stored form
-    are joined, so plain copies, however many, cost nothing.
+    Null and empty texts are in no pair. Stored forms are paired first, then expanded to
+    their documents, so plain copies of one form are never compared. A class of many forms
+    and a form of many documents are split into parts, which are joined part by part: a
+    task holds a part of each of two forms, and makes only rows of the result.
     """
     keys = materialize(_keys(docs, doc, text), "looks")
-    several = keys.groupBy("same").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("same")
-    keys = materialize(keys.join(several, "same", "left_semi"), "variants")
-    a = keys.select("same", F.col("doc").alias("doc_a"), F.col("raw").alias("raw_a"))
-    b = keys.select("same", F.col("doc").alias("doc_b"), F.col("raw").alias("raw_b"))
-    return a.join(b, "same").where("doc_a < doc_b and raw_a <> raw_b").select("doc_a", "doc_b")
+    forms = keys.groupBy("same", "raw").agg(F.count("*").alias("docs"))
+    several = forms.groupBy("same").agg(F.count("*").alias("forms")).where("forms > 1")
+    forms = materialize(forms.join(several, "same"), "forms")
+    variants = keys.join(forms.select("raw", "docs"), "raw").select("raw", "doc", _part("doc", "docs", PART_DOCS).alias("part"))
+    blocks = materialize(variants.groupBy("raw", "part").agg(F.collect_list("doc").alias("ids")), "blocks")
+    a = forms.select("same", F.col("raw").alias("raw_a"), F.col("docs").alias("docs_a"), _part("raw", "forms", PART_FORMS).alias("f"))
+    b = forms.select("same", F.col("raw").alias("raw_b"), F.col("docs").alias("docs_b"), _parts("forms", PART_FORMS).alias("f"))
+    pairs = a.join(b, ["same", "f"]).where("raw_a < raw_b").select("raw_a", "docs_a", "raw_b", "docs_b")
+    pairs = pairs.select("*", _parts("docs_a", PART_DOCS).alias("part_a")).select("*", _parts("docs_b", PART_DOCS).alias("part_b"))
+    for side in "ab":
+        pairs = pairs.join(blocks.select(F.col("raw").alias(f"raw_{side}"), F.col("part").alias(f"part_{side}"), F.col("ids").alias(f"ids_{side}")), [f"raw_{side}", f"part_{side}"])
+    found = pairs.select(F.explode("ids_a").alias("x"), "ids_b").select("x", F.explode("ids_b").alias("y"))
+    return found.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
 
 def look_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,7 +1,8 @@
 """Items that appear together: stripes with a log-likelihood ratio.
 
 Each item of a basket gives a stripe, the items that stand behind it in the basket. A
-task merges the stripes of its baskets before they are shuffled by item and merged again.
+task merges the stripes of its baskets before they are shuffled by item and merged again;
+the stripe of an item is shuffled in ``PARTS`` parts, as an item may be in most baskets.
 
 Two exact bounds keep the stripes short: a pair that is together ``min_count`` times has
 two items with at least so many baskets, and as n(a,b) is at most the smaller of n(a) and
@@ -28,6 +29,10 @@ from sparrix.runtime import materialize
 BROADCAST_ITEMS = 200_000
 #: A basket with more items is spread over several rows, by blocks of first items.
 BLOCK = 1024
+#: Parts of an item's stripe that are merged apart from each other.
+PARTS = 16
+#: The log-likelihood ratio that chance exceeds for one pair in a thousand.
+SIGNIFICANT = 10.83
 #: Pairs that one step of a task holds in memory.
 PAIRS_AT_ONCE = 2_000_000
 
@@ -41,21 +46,21 @@ def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b, n = np.concatenate(a_held), np.concatenate(b_held), np.concatenate(n_held)
-        order = np.lexsort((b, a))
+        order = np.lexsort((b, b % PARTS, a))
         a, b, n = a[order], b[order], n[order]
         new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
         return a[new], b[new], np.add.reduceat(n, new)
 
     def rows(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        start = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+        part = (b % PARTS).astype(np.int32)
+        start = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (part[1:] != part[:-1]))))
         ends = np.append(start[1:], len(a))
         for lo in range(0, len(start), 10_000):
             s, e = start[lo : lo + 10_000], ends[lo : lo + 10_000]
             offsets = pa.array(np.append(s, e[-1]) - s[0], pa.int32())
             values = slice(s[0], e[-1])
-            yield pa.record_batch(
-                [pa.array(a[s]), pa.ListArray.from_arrays(offsets, pa.array(b[values])), pa.ListArray.from_arrays(offsets, pa.array(n[values]))], names=["a", "b", "n"]
-            )
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (b[values], n[values].astype(np.int32))]  # a task has fewer baskets
+            yield pa.record_batch([pa.array(a[s]), pa.array(part[s]), *lists], names=["a", "part", "b", "n"])
 
     def pairs(first: np.ndarray, heads: np.ndarray, items: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """first: bounds of the baskets' items; heads: how many of a basket are first items."""
@@ -104,13 +109,16 @@ def log_likelihood_ratio(nab: Column, na: Column, nb: Column, n: Column) -> Colu
 
 
 def cooccurrence(
-    cells: DataFrame, basket: str = "samp_id", item: str = "obs_id", value: str | None = "value", min_count: int = 12, min_lift: float = 8.0
+    cells: DataFrame, basket: str = "samp_id", item: str = "obs_id", value: str | None = "value", min_count: int = 12, min_lift: float = 8.0, min_llr: float = SIGNIFICANT
 ) -> DataFrame:
     """``(item_a, item_b, n_ab, n_a, n_b, n, lift, llr)``, item_a < item_b.
 
-    All pairs that are together in at least ``min_count`` baskets and at least
-    ``min_lift`` times as often as chance would have it. ``n`` counts the baskets with
-    any item; ``llr`` is the log-likelihood ratio, whose 0.1 % point is 10.83.
+    All pairs that are together in at least ``min_count`` baskets, at least ``min_lift``
+    times as often as chance would have it, and whose log-likelihood ratio ``llr`` is at
+    least ``min_llr``. ``n`` counts the baskets with any item. With k baskets, e expected,
+    llr is at least 2 (k ln(k/e) - k + e), as x ln(x/y) >= x - y for the other three cells
+    of the table; so a count of 12 and a lift of 8 give 28.9, and the significance bound
+    leaves out none of them.
     """
     rows = cells.where(F.col(basket).isNotNull() & F.col(item).isNotNull())
     if value:
@@ -134,8 +142,9 @@ def cooccurrence(
     blocks = baskets.select("items", starts.alias("start")).select(
         F.least(F.size("items") - F.col("start"), F.lit(BLOCK)).alias("heads"), F.expr("slice(items, start + 1, size(items))").alias("items")
     )
-    stripes = blocks.mapInArrow(_stripes, "a long, b array<long>, n array<long>").repartition("a")
-    pairs = stripes.select("a", F.explode(F.arrays_zip("b", "n")).alias("x")).groupBy("a", F.col("x.b").alias("b")).agg(F.sum("x.n").alias("n_ab"))
+    stripes = blocks.mapInArrow(_stripes, "a long, part int, b array<long>, n array<int>").repartition("a", "part")
+    pairs = stripes.select("a", "part", F.explode(F.arrays_zip("b", "n")).alias("x")).select("a", "part", "x.b", "x.n")
+    pairs = pairs.groupBy("a", "part", "b").agg(F.sum("n").alias("n_ab")).drop("part")
     pairs = pairs.where(F.col("n_ab") >= min_count)
     side = F.broadcast(items) if size <= BROADCAST_ITEMS else items
     pairs = pairs.join(side.select(F.col("code").alias("a"), F.col("item").alias("ia"), F.col("c").alias("ca")), "a")
@@ -148,6 +157,7 @@ def cooccurrence(
     chance = F.col("n_a").cast("double") * F.col("n_b")
     # whole numbers are compared, so that a pair right at the bound is not lost to rounding
     exact = F.col("n_ab").cast("decimal(38,0)") * F.col("n") >= F.col("n_a").cast("decimal(19,0)") * F.col("n_b") * F.lit(min_lift).cast("decimal(9,3)")
-    return out.where(exact).select(
+    out = out.where(exact).select(
         "*", (F.col("n_ab") * F.col("n") / chance).alias("lift"), log_likelihood_ratio(F.col("n_ab"), F.col("n_a"), F.col("n_b"), F.col("n")).alias("llr")
     )
+    return out.where(F.col("llr") >= min_llr) if min_llr > 0 else out

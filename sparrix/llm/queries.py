@@ -12,9 +12,8 @@ from sparrix.llm.cluster import CompositionClusters
 from sparrix.llm.cooccur import cooccurrence
 from sparrix.llm.mix import SourceMix
 from sparrix.llm.pack import pack_all
-from sparrix.llm.stable import StableSample
+from sparrix.llm.stable import StableSample, lost_keys
 from sparrix.llm.tokens import token_counts
-from sparrix.operators.packed import split_packed
 from sparrix.runtime import ship
 
 
@@ -42,31 +41,46 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair that is together in any sample; p5_pairs gives those of its two bounds."""
-    return cooccurrence(_read(spark, sf_dir, "cells"), min_count=1, min_lift=0.0).select(
+    return cooccurrence(_read(spark, sf_dir, "cells"), min_count=1, min_lift=0.0, min_llr=0.0).select(
         "item_a", "item_b", "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr")
     )
 
 
-def _axis_samples(spark: SparkSession, sf_dir: str) -> dict[str, StableSample]:
-    """Samples by body site, observations by the first rank of their lineage."""
-    site = F.lower(F.trim(F.regexp_replace("body_site", "^[A-Za-z]+:", "")))
-    samp = StableSample(_read(spark, sf_dir, "samp"), "id", site, "load_no", rate=0.1)
-    obs = _read(spark, sf_dir, "obs").select("id", "load_no", "taxonomy")
-    names = split_packed(obs.select("id", "taxonomy").distinct(), "taxonomy", ["id"]).where("lower(value) <> 'root'")
-    first = names.groupBy("id").agg(F.min_by(F.lower(F.regexp_replace("value", "^[a-z]__", "")), F.struct("pos", "value")).alias("top"))
-    obs = StableSample(obs.join(first, "id", "left"), "id", F.col("top"), "load_no", rate=0.1)
-    return {"samp": samp, "obs": obs}
+#: Deliveries of the two axes.
+LOADS = [1, 2, 3, 4, 5]
+#: Rates of the strata that have one of their own, by name; None stands for the null stratum.
+SITE_RATES = {"gut": 0.05, "silt": 0.2}
+RANK_RATES = {"unassigned": 0.05, "unclassified": 0.05, None: 0.05}
+#: The name of the first rank of a lineage, behind wrappings, a root and a rank prefix.
+FIRST_RANK = "^[^A-Za-z]*(?:[Rr]oot[^A-Za-z]+)?(?:[A-Za-z]_[_0-9]*)?([A-Za-z]*)"
+
+
+def _samp_sample(samp: DataFrame) -> StableSample:
+    """Samples by body site."""
+    return StableSample(samp, "id", F.lower(F.trim(F.regexp_replace("body_site", "^[A-Za-z]+:", ""))), "load_no", 0.1, SITE_RATES)
+
+
+def _obs_sample(obs: DataFrame) -> StableSample:
+    """Observations by the first rank of their lineage."""
+    return StableSample(obs, "id", F.lower(F.regexp_extract("taxonomy", FIRST_RANK, 1)), "load_no", 0.1, RANK_RATES)
+
+
+AXES = {"samp": _samp_sample, "obs": _obs_sample}
 
 
 def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = _axis_samples(spark, sf_dir)
-    parts = [s.sample().select(F.lit(axis).alias("axis"), F.col("key").alias("id"), F.col("delivery").alias("load_no")) for axis, s in samples.items()]
+    parts = [f(_read(spark, sf_dir, axis)).sample().select(F.lit(axis).alias("axis"), F.col("key").alias("id"), F.col("delivery").alias("load_no")) for axis, f in AXES.items()]
     return parts[0].unionByName(parts[1])
 
 
 def p6_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = _axis_samples(spark, sf_dir)
-    parts = [s.thresholds().select(F.lit(axis).alias("axis"), "stratum", F.round("threshold", 9).alias("threshold"), "keys", "chosen") for axis, s in samples.items()]
+    parts = [f(_read(spark, sf_dir, axis)).thresholds().select(F.lit(axis).alias("axis"), "stratum", F.round("threshold", 9).alias("threshold"), "keys", "chosen") for axis, f in AXES.items()]
+    return parts[0].unionByName(parts[1])
+
+
+def p6_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids chosen from the deliveries up to one and not from those up to the next: there are none."""
+    parts = [lost_keys(_read(spark, sf_dir, axis), LOADS, "load_no", f).select(F.lit(axis).alias("axis"), F.col("key").alias("id"), F.col("delivery").alias("load_no")) for axis, f in AXES.items()]
     return parts[0].unionByName(parts[1])
 
 
@@ -112,4 +126,4 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p5_found, p5_pairs, p5_all_pairs, p6_sample, p6_thresholds, p7_packed, p7_fill, p8_mixed, p8_shares, p9_found, p9_classes, p9_canonical)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p5_found, p5_pairs, p5_all_pairs, p6_sample, p6_thresholds, p6_lost, p7_packed, p7_fill, p8_mixed, p8_shares, p9_found, p9_classes, p9_canonical)}

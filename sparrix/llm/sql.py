@@ -18,15 +18,28 @@ def _part(k: str, row: str, column: str) -> str:
 LLR = f"2 * ({_part('n_ab', 'n_a', 'n_b')} + {_part('n_a - n_ab', 'n_a', 'n - n_b')} + {_part('n_b - n_ab', 'n - n_a', 'n_b')} + {_part('n - n_a - n_b + n_ab', 'n - n_a', 'n - n_b')})"
 
 
+SAMP_RATE = "CASE WHEN stratum = 'gut' THEN 0.05 WHEN stratum = 'silt' THEN 0.2 ELSE 0.1 END"
+OBS_RATE = "CASE WHEN stratum IS NULL OR stratum IN ('unassigned', 'unclassified') THEN 0.05 ELSE 0.1 END"
+STRATA = (
+    "WITH r AS (SELECT 'samp' AS axis, id, LOWER(TRIM(REGEXP_REPLACE(body_site, '^[A-Za-z]+:', ''))) AS stratum, load_no FROM samp UNION ALL "
+    "SELECT 'obs', id, LOWER(REGEXP_EXTRACT(taxonomy, '^[^A-Za-z]*(?:[Rr]oot[^A-Za-z]+)?(?:[A-Za-z]_[_0-9]*)?([A-Za-z]*)', 1)), load_no FROM obs), "
+    "k AS (SELECT axis, id, stratum, MIN(COALESCE(CAST(load_no AS BIGINT), -1)) AS load_no FROM r WHERE id IS NOT NULL GROUP BY 1, 2, 3), "
+    f"t AS (SELECT *, CAST('0x' || SUBSTR(MD5('sparrix|' || id), 1, 13) AS BIGINT) / 4503599627370496.0 AS u, CAST(CASE WHEN axis = 'samp' THEN {SAMP_RATE} ELSE {OBS_RATE} END AS DOUBLE) AS threshold FROM k) "
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_sample": STRATA + "SELECT axis, id, MIN(load_no) AS load_no FROM t WHERE u < threshold GROUP BY axis, id",
+        "p6_thresholds": STRATA + "SELECT axis, stratum, MAX(threshold) AS threshold, COUNT(*) AS keys, COUNT(*) FILTER (WHERE u < threshold) AS chosen FROM t GROUP BY axis, stratum",
+        "p6_lost": "SELECT 'samp' AS axis, id, CAST(load_no AS BIGINT) AS load_no FROM samp WHERE FALSE",
         "p1_found": f"WITH RECURSIVE {PRESENT}, t AS (SELECT samp_id, obs_id, SUM(value) AS value FROM v GROUP BY 1, 2), "
         "s AS (SELECT samp_id, obs_id, value / SUM(value) OVER (PARTITION BY samp_id) AS p FROM t), "
         "e AS (SELECT a.samp_id AS a, b.samp_id AS b FROM s a JOIN s b ON a.obs_id = b.obs_id AND a.samp_id <> b.samp_id GROUP BY 1, 2 HAVING SUM(LEAST(a.p, b.p)) >= 0.55 - 1e-9), "
         "reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a) SELECT a AS samp_a, b AS samp_b FROM reach WHERE a < b",
         "p5_found": COUNTED + "SELECT item_a AS obs_a, item_b AS obs_b FROM q WHERE n_ab * n >= 8 * n_a * n_b",
         "p5_pairs": COUNTED
-        + f"SELECT item_a, item_b, n_ab, n_a, n_b, n, ROUND(CAST(n_ab * n AS DOUBLE) / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift, ROUND({LLR}, 4) AS llr FROM q WHERE n_ab * n >= 2 * n_a * n_b",
+        + f"SELECT item_a, item_b, n_ab, n_a, n_b, n, ROUND(CAST(n_ab * n AS DOUBLE) / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift, ROUND({LLR}, 4) AS llr FROM q WHERE n_ab * n >= 2 * n_a * n_b AND {LLR} >= 10.83",
         "p5_all_pairs": COUNTED.replace(">= 12", ">= 1")
         + f"SELECT item_a, item_b, n_ab, n_a, n_b, n, ROUND(CAST(n_ab * n AS DOUBLE) / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift, ROUND({LLR}, 4) AS llr FROM q",
     }
