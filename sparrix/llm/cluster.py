@@ -6,14 +6,15 @@ the sum over features of the smaller of their two shares is at least ``threshold
 Candidate pairs come from an exact prefix filter. Features get one global order, rare
 ones first. If two records are alike, the first feature they have in common has, in
 either record, at least ``threshold`` of mass at or behind it; so only features of that
-prefix are join keys, which leaves out the frequent ones. Only the ``HEAVY`` most
-frequent features are ranked by frequency (a table of fixed size, so it may be
-broadcast), all others by hash: any order is exact, it only has to put hot keys last.
+prefix are join keys, which leaves out the frequent ones. All features held by more than
+``HOT_KEY`` records are ranked by frequency, all others by hash: any order is exact, it
+only has to put hot keys last.
 
 Records of equal content are one vertex. A feature held by many records is a key only
 together with a second common feature; records in which it alone reaches the threshold
 are alike anyway. Groups need no more than their links to one of them; clusters take them
-as a clique that is never written out, with all links from outside.
+as a clique that is never written out, with all links from outside. A key of two features
+that many records may have is split into blocks of records, compared two by two.
 
 Edge cases: null ids and null, zero and NaN values are absent; records that hold a
 negative or infinite value, or nothing, have no composition and are in no result; ties
@@ -23,22 +24,26 @@ between pivots go by hash, then by id; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparrix.runtime import materialize
 
-#: Features that are ranked by frequency.
-HEAVY = 1000
 #: A share is kept in so many bits of a packed entry, the feature's hash in the others.
 SHARE_BITS = 20
 #: Vectors with more entries than this are compared by a join instead of in packed form.
 PACKED_ENTRIES = 512
-#: Features held by more records than this are keys only with a second feature.
+#: Features held by more records than this are keys only with a second feature. It bounds
+#: the work for a key, so it does not grow with the data.
 HOT_KEY = 2000
+#: Records of a key of two features that are compared at once; more are split into blocks.
+BLOCK_RECORDS = 20_000
 #: Slots for candidate pairs that one step of the comparison holds in memory.
 PAIRS_AT_ONCE = 2_000_000
 #: Float sums of shares that should be equal differ by less than this.
@@ -49,31 +54,100 @@ BROADCAST_ROWS = 50_000
 PACKED, STAR, LONG, EDGE = 0, 1, 2, 3
 
 
-def composition_vectors(cells: DataFrame, record: str, feature: str, value: str, cell: str | None = None) -> DataFrame:
-    """One row for each record: its features in the global order, with their shares.
+def feature_numbers(rows: DataFrame) -> tuple[int, bool, DataFrame]:
+    """A seed under which no two features have the same hash, whether their codes differ too, and the frequent ones.
 
-    Rows with the same ``cell`` count once, several cells of one record and feature are
-    added. The vector of a record is bounded by the length of the feature axis.
+    The frequent ones, ``(feature, df)`` by their hash, are held by more than ``HOT_KEY``
+    records (a record's cell sent twice counts twice), so all others are short keys
+    whatever their order.
+    """
+    features = materialize(rows.groupBy("feature").agg(F.count("*").alias("df")), "features")
+    seed = 42
+    while True:
+        h = F.xxhash64("feature", F.lit(seed))
+        n, hashes, codes = features.agg(F.count("*"), F.count_distinct(h), F.count_distinct(F.shiftleft(h, SHARE_BITS))).first()
+        if n == hashes:
+            return seed, n == codes, features.where(F.col("df") > HOT_KEY).select(h.alias("feature"), "df")
+        seed += 1
+
+
+def composition_vectors(cells: DataFrame, record: str, feature: str, value: str, cell: str | None = None) -> tuple[DataFrame, bool]:
+    """One row for each record: its features in the global order, with their shares; and whether codes tell features apart.
+
+    Rows with the same ``cell`` count once, with the largest value; several cells of one
+    record and feature are added. The vector of a record is bounded by the length of the
+    feature axis. Features are named by a hash that is checked to differ for all of them.
     """
     v = F.col(value).cast("double")
     rows = cells.where(v.isNotNull() & (v != 0) & ~F.isnan(v) & F.col(record).isNotNull() & F.col(feature).isNotNull())
-    rows = rows.select(F.col(record).alias("record"), F.col(feature).alias("feature"), v.alias("value"), *([F.col(cell).alias("cell")] if cell else []))
-    top = rows.groupBy("feature").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "feature").limit(HEAVY)
-    rows = rows.repartition("record")  # serves all that follows
-    if cell:
-        rows = rows.groupBy("record", "feature", "cell").agg(F.first("value").alias("value"))
-    rows = rows.groupBy("record", "feature").agg(F.sum("value").alias("value")).join(F.broadcast(top), "feature", "left")
-    entry = F.struct(
-        F.coalesce("df", F.lit(0)).alias("df"), F.shiftleft(F.xxhash64("feature"), SHARE_BITS).alias("hash"), "feature", "value"
-    )
-    packed = rows.groupBy("record").agg(F.sort_array(F.collect_list(entry)).alias("v"), F.min("value").alias("least"))
-    total = F.aggregate("v.value", F.lit(0.0), lambda a, x: a + x)
-    packed = packed.where(F.col("least") > 0).select("record", "v", total.alias("total")).where(F.col("total") < float("inf"))
-    packed = packed.select(
-        "record", F.col("v.df").alias("df"), F.col("v.hash").alias("hash"), F.col("v.feature").alias("feature"),
-        F.transform("v.value", lambda x: x / F.col("total")).alias("share"),
-    )
-    return packed.withColumns({"s1": F.xxhash64("feature", "share"), "s2": F.xxhash64("share", "feature", F.lit(1))})
+    rows = rows.select(F.col(record).cast("string").alias("record"), F.col(feature).alias("feature"), v.alias("value"), *([F.col(cell).alias("cell")] if cell else []))
+    seed, differ, frequent = feature_numbers(rows)
+    whole = not cell or isinstance(rows.schema["cell"].dataType, T.IntegralType)
+    rows = rows.withColumn("feature", F.xxhash64("feature", F.lit(seed))).repartition("record")
+    if not whole:
+        rows = rows.groupBy("record", "feature", "cell").agg(F.max("value").alias("value")).drop("cell")
+    number = F.coalesce(F.col("cell").cast("long"), F.lit(-1)) if cell and whole else F.monotonically_increasing_id()
+    rows = rows.select("record", "feature", "value", number.alias("cell"))
+    few = frequent.count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(frequent) if few else frequent, "feature", "left").select("record", "feature", "value", "cell", F.coalesce("df", F.lit(0)).alias("df"))
+    rows = (rows if few else rows.repartition("record")).sortWithinPartitions("record")
+    packed = rows.mapInArrow(_vectors, "record string, df array<long>, feature array<long>, share array<double>")
+    return packed.withColumns({"s1": F.xxhash64("feature", "share"), "s2": F.xxhash64("share", "feature", F.lit(1))}), differ
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From cells (record, feature, value, cell, df), sorted by record, to one row for each record."""
+
+    def runs(*columns: np.ndarray) -> np.ndarray:
+        new = np.zeros(len(columns[0]), bool)
+        new[:1] = True
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        return np.flatnonzero(new)
+
+    for table in _whole_groups(batches, "record"):
+        names = table["record"].combine_chunks().dictionary_encode()
+        names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+        rec = names.indices.to_numpy().astype(np.int64)
+        feature, value, cell, df = (table[c].to_numpy() for c in ("feature", "value", "cell", "df"))
+        order = np.lexsort((-value, cell, feature, rec))
+        rec, feature, value, cell, df = (x[order] for x in (rec, feature, value, cell, df))
+        once = runs(rec, feature, cell)
+        rec, feature, value, df = rec[once], feature[once], value[once], df[once]
+        first = runs(rec, feature)
+        value, rec, feature, df = np.add.reduceat(value, first), rec[first], feature[first], df[first]
+        order = np.lexsort((feature, feature << SHARE_BITS, df, rec))
+        rec, feature, value, df = (x[order] for x in (rec, feature, value, df))
+        first = runs(rec)
+        n = np.diff(np.append(first, len(rec)))
+        total = np.add.reduceat(value, first)
+        good = (np.minimum.reduceat(value, first) > 0) & np.isfinite(total)
+        kept = np.repeat(good, n)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(n[good]))).astype(np.int32))
+        share = (value / np.repeat(total, n))[kept]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (df[kept], feature[kept], share)]
+        yield pa.record_batch([names.dictionary.take(pa.array(rec[first][good])).cast(pa.string()), *lists], names=["record", "df", "feature", "share"])
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 30_000) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows that cut no group; the rows come sorted by ``key``."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        other = pa.compute.not_equal(table[key], table[key][-1])  # the last group may go on in the next batch
+        cut = pa.compute.sum(other).as_py() or 0
+        if cut:
+            yield table.slice(0, cut)
+        held, n = table.slice(cut).to_batches(), table.num_rows - cut
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,11 +169,10 @@ def _key_rows(threshold: float):
                 continue
             names, shares = batch["record"], batch["share"]
             first = shares.offsets.to_numpy().astype(np.int64)
-            base = first[0]
-            first = first - base
+            first = first - first[0]
             share = shares.flatten().to_numpy(zero_copy_only=False)
             df = batch["df"].flatten().to_numpy(zero_copy_only=False)
-            h = batch["hash"].flatten().to_numpy(zero_copy_only=False)
+            h = batch["feature"].flatten().to_numpy(zero_copy_only=False) << SHARE_BITS
             n = np.diff(first)
             row = np.repeat(np.arange(len(n)), n)
             last = first[row + 1]
@@ -110,44 +183,63 @@ def _key_rows(threshold: float):
             slack = 1e-7  # running sums over a batch are less exact than EPSILON
             prefix = behind >= threshold - slack
             at = np.flatnonzero(prefix & (df <= HOT_KEY))
-            key, start = h[at], at
             hot = np.flatnonzero(prefix & (df > HOT_KEY))
-            if len(hot):
-                group, place = _spread(last[hot] - hot - 1)
-                i = hot[group]
-                j = i + 1 + place
-                ok = (share[i] >= threshold - slack) | (behind[j] >= threshold - share[i] - slack)
-                i, j = i[ok], j[ok]
-                key = np.concatenate((key, h[i] * 31 + (h[j] >> SHARE_BITS)))
-                start = np.concatenate((start, i))
             # records in which one hot feature reaches the threshold: all alike
-            full = hot[share[hot] >= threshold - EPSILON] if len(hot) else hot
+            full = hot[share[hot] >= threshold - EPSILON]
             dom = np.zeros(len(n), np.int64)
             dom[row[full]] = _positive(h[full])
-            yield from out(names, key, row[start], codes, start, last[start], n, dom)
+            yield from out(names, h[at], row[at], at, np.zeros(len(at), np.int32), codes, last, n, dom)
+            room, lo = np.cumsum(last[hot] - hot), 0
+            while lo < len(hot):  # a hot feature with each one behind it
+                hi = lo + max(1, int(np.searchsorted(room[lo:] - (room[lo - 1] if lo else 0), PAIRS_AT_ONCE, side="right")))
+                group, place = _spread(last[hot[lo:hi]] - hot[lo:hi] - 1)
+                i = hot[lo:hi][group]
+                j = i + 1 + place
+                ok = (share[i] >= threshold - slack) | (behind[j] >= threshold - share[i] - slack)
+                i, j = i[ok], j[ok]
+                key = h[i] * 31 + (h[j] >> SHARE_BITS)
+                # no more records than hold the first feature have the key: beyond a block's size, blocks are compared two by two
+                blocks = -(-df[i] // BLOCK_RECORDS)
+                yield from out(names, *blocked(names, key, row[i], i, blocks), codes, last, n, dom)
+                lo = hi
             if len(full):
                 order = full[np.argsort(h[full], kind="stable")]
                 new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
                 lead = order[np.flatnonzero(new)]
                 of = lead[np.cumsum(new) - 1]
                 rest = ~new
-                yield record(names, h[order[rest]], row[order[rest]], EDGE, names.take(pa.array(row[of[rest]])), np.minimum(share[order], share[of])[rest])
+                # these pairs meet no others, so each has a key of its own
+                yield record(names, h[order[rest]] ^ np.arange(rest.sum()), row[order[rest]], EDGE, names.take(pa.array(row[of[rest]])), np.minimum(share[order], share[of])[rest])
                 yield record(names, ~h[lead], row[lead], STAR, None, share[lead])
 
-    def out(names, key, rows, codes, start, end, n, dom) -> Iterator[pa.RecordBatch]:
-        """Key rows with the packed entries from ``start`` to ``end``, in bounded pieces."""
-        size = np.where(n[rows] <= PACKED_ENTRIES, end - start, 0)
+    def blocked(names, key, rows, start, blocks):
+        """Key, row, start and side of each entry, once for each pair of blocks it is in."""
+        side = np.zeros(len(key), np.int32)
+        if not len(key) or blocks.max() <= 1:
+            return key, rows, start, side
+        own, at = np.unique(rows, return_inverse=True)
+        mine = np.array([crc32(x.encode()) for x in names.take(pa.array(own)).to_pylist()], np.int64)[at] % blocks
+        entry, other = _spread(blocks)
+        mine, several = mine[entry], blocks[entry] > 1
+        low, high = np.minimum(mine, other), np.maximum(mine, other)
+        key = np.where(several, key[entry] * 1_000_003 + low * 8191 + high, key[entry])
+        return key, rows[entry], start[entry], np.where(low == high, 0, np.where(mine == low, 1, 2)).astype(np.int32)
+
+    def out(names, key, rows, start, side, codes, last, n, dom) -> Iterator[pa.RecordBatch]:
+        """Key rows with the packed entries from ``start`` to the vector's end, in bounded pieces."""
+        packed = n[rows] <= PACKED_ENTRIES
+        size = np.where(packed, last[start] - start, 0)
         lo = 0
         while lo < len(key):
-            hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:]), 1_000_000, side="right")))
+            hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo : lo + 1_000_000]), 1_000_000, side="right")))
             group, place = _spread(size[lo:hi])
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate(([0], np.cumsum(size[lo:hi]))).astype(np.int32)), pa.array(codes[start[lo:hi][group] + place])
             )
-            kind = np.where(n[rows[lo:hi]] <= PACKED_ENTRIES, PACKED, LONG).astype(np.int32)
+            kind = np.where(packed[lo:hi], PACKED, LONG).astype(np.int32)
             m = hi - lo
             yield pa.record_batch(
-                [pa.array(key[lo:hi]), pa.array(dom[rows[lo:hi]]), names.take(pa.array(rows[lo:hi])), pa.array(kind), pa.nulls(m, pa.string()), pa.array(np.zeros(m)), lists], names=KEY_NAMES
+                [pa.array(key[lo:hi]), pa.array(side[lo:hi]), pa.array(dom[rows[lo:hi]]), names.take(pa.array(rows[lo:hi])), pa.array(kind), pa.nulls(m, pa.string()), pa.array(np.zeros(m)), lists], names=KEY_NAMES
             )
             lo = hi
 
@@ -156,41 +248,25 @@ def _key_rows(threshold: float):
         empty = pa.ListArray.from_arrays(pa.array(np.zeros(m + 1, np.int32)), pa.array([], pa.int64()))
         other = pa.nulls(m, pa.string()) if other is None else other.cast(pa.string())
         return pa.record_batch(
-            [pa.array(key), pa.array(np.zeros(m, np.int64)), names.take(pa.array(rows)), pa.array(np.full(m, kind, np.int32)), other, pa.array(np.asarray(similarity, float)), empty], names=KEY_NAMES
+            [pa.array(key), pa.array(np.zeros(m, np.int32)), pa.array(np.zeros(m, np.int64)), names.take(pa.array(rows)), pa.array(np.full(m, kind, np.int32)), other, pa.array(np.asarray(similarity, float)), empty], names=KEY_NAMES
         )
 
     return run
 
 
-KEY_NAMES = ["key", "dom", "record", "kind", "other", "similarity", "codes"]
-KEY_SCHEMA = "key long, dom long, record string, kind int, other string, similarity double, codes array<long>"
+KEY_NAMES = ["key", "side", "dom", "record", "kind", "other", "similarity", "codes"]
+KEY_SCHEMA = "key long, side int, dom long, record string, kind int, other string, similarity double, codes array<long>"
 PAIR_NAMES = ["a", "b", "similarity", "sure"]
 PAIR_SCHEMA = "a string, b string, similarity double, sure boolean"
 
 
-def _compare_buckets(threshold: float, chains: bool):
+def _compare_buckets(threshold: float, chains: bool, codes_differ: bool):
     """Compares the records of each key; a partition comes sorted by key."""
     unit = float(1 << SHARE_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < 30_000:
-                continue
-            table = pa.Table.from_batches(held).combine_chunks()
-            keys = table["key"].to_numpy()
-            others = np.flatnonzero(keys != keys[-1])  # the last key may go on in the next batch
-            cut = int(others[-1]) + 1 if len(others) else 0
-            if cut:
-                yield from whole(table.slice(0, cut))
-            held, rows = table.slice(cut).to_batches(), table.num_rows - cut
-        if held:
-            yield from whole(pa.Table.from_batches(held))
+        for table in _whole_groups(batches, "key"):
+            yield from whole(table)
 
     def whole(table: pa.Table) -> Iterator[pa.RecordBatch]:
         batch = table.combine_chunks().to_batches()[0]
@@ -227,9 +303,14 @@ def _compare_buckets(threshold: float, chains: bool):
         # a record's partners are the rows of its key behind it, but for those that share its dominant feature
         key = np.repeat(np.arange(len(m)), m)
         ends = np.cumsum(m)[key]
-        block = np.concatenate(([True], (dom[1:] != dom[:-1]) | (key[1:] != key[:-1])))
-        block_end = np.append(np.flatnonzero(block)[1:], len(key))[np.cumsum(block) - 1]
-        partners = np.where(dom > 0, block_end, np.arange(len(key)) + 1)
+        def end_of(same: np.ndarray) -> np.ndarray:
+            new = np.concatenate(([True], (same[1:] != same[:-1]) | (key[1:] != key[:-1])))
+            return np.append(np.flatnonzero(new)[1:], len(key))[np.cumsum(new) - 1]
+
+        side = batch["side"].to_numpy()
+        partners = np.where(dom > 0, end_of(dom), np.arange(len(key)) + 1)
+        # of two blocks, the records of the first have those of the second for partners
+        partners = np.where(side == 0, partners, np.where(side == 1, end_of(side), ends))
         slots = ends - partners
         per_key = np.concatenate(([0], np.cumsum(slots)))[np.concatenate(([0], np.cumsum(m)))]
         row0, lo = 0, 0
@@ -272,8 +353,10 @@ def _compare_buckets(threshold: float, chains: bool):
             hit = np.flatnonzero(total >= (threshold - EPSILON) * unit)
             i = np.searchsorted(cost, hit + cost[i0], side="right") - 1
             j = hit + cost[i0] - cost[i] + partners[i]
+            linked = (dom[i] == dom[j]) & (dom[i] > 0)  # in two blocks
+            hit, i, j = hit[~linked], i[~linked], j[~linked]
             common = np.bincount(slot, minlength=slots)[hit]  # each packed share is too large by less than one unit
-            sure = total[hit] - common >= (threshold + EPSILON) * unit
+            sure = (total[hit] - common >= (threshold + EPSILON) * unit) & codes_differ
             # for chains, of those with one dominant feature, which are linked anyway, the closest sure one is enough
             many = (dom[j] > 0) & sure & chains
             order = np.flatnonzero(many)[np.lexsort((-total[hit][many], dom[j][many], i[many]))]
@@ -309,15 +392,16 @@ def _similarities(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     return shares.groupBy("a", "b").agg(F.sum(F.when(F.col("o").isNotNull(), F.col("s"))).alias("similarity"))
 
 
-def alike_pairs(vectors: DataFrame, threshold: float, chains: bool = True) -> DataFrame:
+def alike_pairs(vectors: DataFrame, threshold: float, chains: bool = True, codes_differ: bool = True) -> DataFrame:
     """``(a, b, similarity)`` with a < b: alike vectors, each pair once.
 
     Records in which one hot feature alone reaches the threshold are all alike. With
     ``chains`` they are linked to one of them, and any other record to the closest of
-    them; without, all pairs are given but those within ``dominant_cliques``.
+    them; without, all pairs are given but those within ``dominant_cliques``. If two
+    features have one code, packed sums may be too large, and all pairs are compared exactly.
     """
-    keyed = vectors.select("record", "df", "hash", "share").mapInArrow(_key_rows(threshold), KEY_SCHEMA)
-    found = keyed.repartition("key").sortWithinPartitions("key", "dom").mapInArrow(_compare_buckets(threshold, chains), PAIR_SCHEMA)
+    keyed = vectors.select("record", "df", "feature", "share").mapInArrow(_key_rows(threshold), KEY_SCHEMA)
+    found = keyed.repartition("key").sortWithinPartitions("key", "side", "dom").mapInArrow(_compare_buckets(threshold, chains, codes_differ), PAIR_SCHEMA)
     found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity", "sure")
     found = found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"), F.max("sure").alias("sure"))
     found = materialize(found, "alike")
@@ -329,9 +413,9 @@ def alike_pairs(vectors: DataFrame, threshold: float, chains: bool = True) -> Da
 
 
 def dominant_cliques(vectors: DataFrame, threshold: float) -> DataFrame:
-    """``(id, clique)``: records in which one hot feature alone reaches the threshold, by that feature's hash."""
-    full = F.filter(F.arrays_zip("df", "hash", "share"), lambda x: (x["df"] > HOT_KEY) & (x["share"] >= threshold - EPSILON))
-    return vectors.select(F.col("record").alias("id"), F.try_element_at(full, F.lit(-1))["hash"].alias("clique")).where("clique is not null")
+    """``(id, clique)``: records in which one hot feature alone reaches the threshold, by that feature."""
+    full = F.filter(F.arrays_zip("df", "feature", "share"), lambda x: (x["df"] > HOT_KEY) & (x["share"] >= threshold - EPSILON))
+    return vectors.select(F.col("record").alias("id"), F.try_element_at(full, F.lit(-1))["feature"].alias("clique")).where("clique is not null")
 
 
 def _rank(c: str) -> Column:
@@ -351,6 +435,7 @@ def pivot_clusters(pairs: DataFrame, cliques: DataFrame | None = None, vectors:
     both = live = materialize(both, "links")
     inside = several = None if cliques is None else materialize(cliques, "cliques")
     pivots: DataFrame | None = None
+    absorbed: DataFrame | None = None
     while True:
         least = live.select("a", _rank("b").alias("r"))
         if several is not None:
@@ -367,17 +452,21 @@ def pivot_clusters(pairs: DataFrame, cliques: DataFrame | None = None, vectors:
         gone = gone.distinct()
         if several is not None:
             gone = materialize(gone, "gone")
+            absorbed = gone if absorbed is None else absorbed.unionByName(gone)
             several = materialize(several.join(gone, "id", "left_anti").select("id", "clique"), "cliques")
         live = live.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
         live = materialize(live, "live")
         if live.isEmpty() and (several is None or several.groupBy("clique").count().where("count > 1").isEmpty()):
             break
-    to_pivot = both.join(pivots.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b", "similarity")
     vertices = both.select(F.col("a").alias("id"))
+    if inside is not None:
+        # one whose neighbours all went to others in the same round is a pivot too
+        vertices = vertices.unionByName(inside.join(inside.groupBy("clique").count().where("count > 1"), "clique", "left_semi").select("id"))
+        pivots = materialize(pivots.unionByName(vertices.distinct().join(absorbed, "id", "left_anti")), "pivots")
+    to_pivot = both.join(pivots.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b", "similarity")
     if inside is not None:
         heads = inside.join(pivots, "id", "left_semi").select("clique", F.col("id").alias("b"))
         to_pivot = to_pivot.unionByName(inside.join(heads, "clique").where("id <> b").select(F.col("id").alias("a"), "b", F.lit(None).cast("double").alias("similarity")))
-        vertices = vertices.unionByName(inside.join(inside.groupBy("clique").count().where("count > 1"), "clique", "left_semi").select("id"))
         to_pivot = materialize(to_pivot.withColumn("choices", F.count("*").over(Window.partitionBy("a"))), "to_pivot")
         decided = _similarities(vectors, to_pivot.where("choices > 1 or similarity is null").select("a", "b")).select("a", "b", F.round("similarity", 9).alias("similarity"))
         to_pivot = to_pivot.where("choices = 1 and similarity is not null").select("a", "b", "similarity").unionByName(decided)
@@ -385,7 +474,7 @@ def pivot_clusters(pairs: DataFrame, cliques: DataFrame | None = None, vectors:
     joined = to_pivot.groupBy(F.col("a").alias("id")).agg(best).select("id", "best.pivot", "best.similarity")
     joined = joined.join(pivots, "id", "left_anti")
     mine = pivots.select("id", F.col("id").alias("pivot"), F.lit(1.0).alias("similarity"))
-    # one whose neighbours all went to others in the same round is left alone: its own pivot
+    # for groups, one that is left alone needs no more than its own label
     labels = mine.unionByName(joined)
     alone = vertices.distinct().join(labels, "id", "left_anti")
     return materialize(labels.unionByName(alone.select("id", F.col("id").alias("pivot"), F.lit(1.0).alias("similarity"))), "clusters")
@@ -419,7 +508,8 @@ class CompositionClusters:
 
     def __init__(self, cells: DataFrame, record: str = "samp_id", feature: str = "obs_id", value: str = "value", cell: str | None = "cell_id", threshold: float = 0.55):
         self.threshold = threshold
-        self.vectors = materialize(composition_vectors(cells, record, feature, value, cell), "vectors")
+        vectors, self.codes_differ = composition_vectors(cells, record, feature, value, cell)
+        self.vectors = materialize(vectors, "vectors")
         same = self.vectors.groupBy("s1", "s2").agg(F.min("record").alias("rep"), F.count("*").alias("n")).where("n > 1")
         copies = self.vectors.select("record", "s1", "s2").join(same, ["s1", "s2"]).where("record <> rep")
         self.copies = materialize(copies.select("record", "rep"), "copies")
@@ -429,7 +519,7 @@ class CompositionClusters:
 
     def groups(self) -> DataFrame:
         """``(record, grp)`` of the records that are linked to another by a chain of alike pairs."""
-        pairs = materialize(alike_pairs(self.distinct, self.threshold), "pairs")
+        pairs = materialize(alike_pairs(self.distinct, self.threshold, codes_differ=self.codes_differ), "pairs")
         return self._with_copies(linked_groups(pairs).withColumnRenamed("id", "record"), "grp")
 
     def _with_copies(self, labels: DataFrame, column: str) -> DataFrame:
@@ -449,7 +539,7 @@ class CompositionClusters:
         The medoid has the largest sum of similarities to the others of its cluster, and
         names it; ``typical`` holds the first so many records by that sum, ties by id.
         """
-        pairs = materialize(alike_pairs(self.distinct, self.threshold, chains=False), "pairs")
+        pairs = materialize(alike_pairs(self.distinct, self.threshold, False, self.codes_differ), "pairs")
         labels = pivot_clusters(pairs, dominant_cliques(self.distinct, self.threshold), self.vectors).select(F.col("id").alias("record"), F.col("pivot").alias("grp"))
         members = self._with_copies(labels, "grp").join(self.copies, "record", "left").select("record", "grp", F.coalesce("rep", "record").alias("rep"))
         members = materialize(members, "members")

@@ -133,3 +133,72 @@ def test_tie_of_a_hot_feature(spark, monkeypatch):
     triples = [(f"t{i}", o, v * (i + 1)) for i in range(8) for o, v in (("p", 11.0), (f"q{i}", 9.0))]
     check(spark, triples)
     assert [r["size"] for r in CompositionClusters(frame(spark, triples)).clusters().collect()] == [8]
+
+
+def plain_clusters(spark, triples, threshold=0.55):
+    """Sequential pivot clustering in hash order over all pairs, members at their closest pivot, medoids by sums."""
+    vectors = {}
+    for s, o, v in triples:
+        vectors.setdefault(s, {}).setdefault(o, 0.0)
+        vectors[s][o] += v
+    vectors = {s: {o: x / sum(v.values()) for o, x in v.items()} for s, v in vectors.items()}
+
+    def alike(a, b):
+        return sum(min(x, vectors[b].get(o, 0)) for o, x in vectors[a].items())
+
+    h = {r[0]: r[1] for r in spark.createDataFrame([(s,) for s in vectors], "id string").selectExpr("id", "xxhash64(id)").collect()}
+    links = {a: {b for b in vectors if a != b and alike(a, b) >= threshold - 1e-9} for a in vectors}
+    pivots, gone = [], set()
+    for a in sorted(vectors, key=lambda x: (h[x], x)):
+        if a not in gone:
+            pivots.append(a)
+            gone |= {a} | links[a]
+    members = {p: [p] for p in pivots}
+    for a in vectors:
+        if a not in members:
+            members[max((p for p in pivots if p in links[a]), key=lambda p: (round(alike(a, p), 9), -h[p], p))].append(a)
+    out = []
+    for group in members.values():
+        best = sorted(group, key=lambda a: (-round(sum(alike(a, b) for b in group), 9), a))
+        out.append((best[0], len(group), best[0], " ".join(best[:3])))
+    return sorted(out)
+
+
+def hot_triples(seed):
+    rng = np.random.default_rng(seed)
+    triples = random_triples(seed)
+    return triples + [(f"d{i}", o, float(v)) for i in range(60) for o, v in (("hot", 100 + rng.integers(0, 40)), (f"o{rng.integers(40)}", 20 + rng.integers(0, 60)), (f"u{i}", 5.0 + i))]
+
+
+@pytest.mark.parametrize("hot, block", [(2000, 20_000), (5, 20_000), (5, 4)])
+def test_plain_pivots(spark, monkeypatch, hot, block):
+    """The clusters are those of a plain pivot clustering, whatever is hot and however keys are split."""
+    monkeypatch.setattr(cluster, "HOT_KEY", hot)
+    monkeypatch.setattr(cluster, "BLOCK_RECORDS", block)
+    triples = hot_triples(8)
+    c = CompositionClusters(frame(spark, triples))
+    assert sorted(tuple(r) for r in c.clusters().collect()) == plain_clusters(spark, triples)
+    assert {tuple(r) for r in c.group_pairs().collect()} == plain_groups(triples)[0]
+
+
+def test_one_dominant_feature(spark, monkeypatch):
+    """Records of one dominant feature and one of three others are one cluster."""
+    monkeypatch.setattr(cluster, "HOT_KEY", 50)
+    triples = [(f"r{i:03}", o, v) for i in range(120) for o, v in (("hot", 60.0 + i % 7), (f"x{i % 3}", 30.0))]
+    assert [r["size"] for r in CompositionClusters(frame(spark, triples)).clusters().collect()] == [120]
+
+
+def test_features_of_one_code(spark, monkeypatch):
+    """Where packed codes do not tell features apart, all candidates are compared exactly."""
+    triples = hot_triples(9)
+    monkeypatch.setattr(cluster, "SHARE_BITS", 20)
+    c = CompositionClusters(frame(spark, triples))
+    assert c.codes_differ
+    c.codes_differ = False
+    assert {tuple(r) for r in c.group_pairs().collect()} == plain_groups(triples)[0]
+
+
+def test_cells_named_by_text(spark):
+    rows = [("1", "a", "s", 2.0), ("1", "a", "s", 2.0), ("2", "b", "s", 2.0), ("3", "a", "t", 2.0), ("4", "b", "t", 2.0), ("5", "c", "t", 1.0)]
+    df = spark.createDataFrame(rows, "cell_id string, obs_id string, samp_id string, value double")
+    assert [tuple(r) for r in CompositionClusters(df).group_pairs().collect()] == [("s", "t")]
