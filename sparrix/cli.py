@@ -144,15 +144,14 @@ def table_ids(spark, input_fp: str, observations: bool = False) -> None:
 
 def validate_table(spark, input_fp: str, format_version: str | None = None) -> int:
     from sparrix.sources.sniff import sniff
-    from sparrix.spec import validate_hdf5, validate_text
+    from sparrix.spec import validate_file, validate_hdf5
 
     if sniff(input_fp) == "hdf5":
         problems = validate_hdf5(input_fp)
     else:
-        with open(input_fp, encoding="utf-8") as f:
-            problems = validate_text(f.read(), format_version or "1.0.0")
-    for _, message in problems:
-        print(message)
+        problems = validate_file(spark, input_fp, format_version or "1.0.0")
+    for rule, message in problems:
+        print(f"{rule}: {message}")
     print("The input file is a valid table." if not problems else "The input file is not a valid table.")
     return int(bool(problems))
 

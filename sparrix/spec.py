@@ -1,187 +1,241 @@
-"""Conformance of JSON tables with the format 1.0: a list of rules, each with its message.
+"""Conformance of JSON tables with the format 1.0.
 
-``validate_documents`` checks many documents in the cluster, one row for each broken rule.
+A document is parsed to a variant; each rule is a column over it, null where the document
+keeps the rule and else a short text of what is wrong. Entries of lists are judged by
+array functions, and the first fault of a list is reported with its place. All of it runs
+within the JVM, in one pass and without a shuffle.
 """
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Callable, Iterator
-from datetime import datetime
-from typing import Any
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The vocabulary of the format.
 TABLE_TYPES = {"otu table", "pathway table", "function table", "ortholog table", "gene table", "metabolite table", "taxon table"}
 MATRIX_TYPES = {"sparse", "dense"}
-ELEMENT_TYPES: dict[str, tuple[type, ...]] = {"int": (int,), "float": (float,), "unicode": (str,), "str": (str,)}
-DATE_PATTERNS = ("%Y-%m-%d", "%Y-%m-%dT%H:%M", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M:%S.%f")
+ELEMENT_KINDS = {"int": "BIGINT", "float": "DECIMAL|DOUBLE|FLOAT", "unicode": "STRING", "str": "STRING"}
+DATE_FORMS = r"\d{4}-\d{1,2}-\d{1,2}(T\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,6})?)?)?"
 
-Rule = Callable[[dict[str, Any]], str]
+#: The column that holds the parsed document.
+DOC = "__doc"
 
 
-def _is_int(x: Any) -> bool:
-    return isinstance(x, int) and not isinstance(x, bool)
+def _part(path: str, v: Column | None = None) -> Column:
+    """What stands at a path: null if there is nothing, a null variant if there is null."""
+    return F.try_variant_get(F.col(DOC) if v is None else v, path, "variant")
 
 
-def _valid_date(text: Any) -> bool:
-    for pattern in DATE_PATTERNS:
-        try:
-            datetime.strptime(str(text), pattern)
-            return True
-        except ValueError:
-            continue
-    return False
+def _kind(v: Column) -> Column:
+    """The kind of a value without the kinds within it; null for an absent one."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
 
-def _format(version: str) -> Rule:
-    # the version alone, or behind the format's name
-    good = re.compile(r"(?:[A-Za-z][A-Za-z ]* )?" + re.escape(version))
-    return lambda t: "" if isinstance(t["format"], str) and good.fullmatch(t["format"]) else f"Invalid format '{t['format']}', must be '{version}'"
+def _text(v: Column) -> Column:
+    """The value of a text; null for anything else."""
+    return F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
-def _shape(t: dict[str, Any]) -> str:
-    s = t["shape"]
-    return "" if isinstance(s, list) and len(s) == 2 and all(_is_int(x) and x >= 0 for x in s) else "'shape' values do not appear to be integers"
+def _number(v: Column) -> Column:
+    return F.when(_kind(v) == "BIGINT", F.try_variant_get(v, "$", "bigint"))
 
 
-def _axis(key: str) -> Rule:
-    required = ("id", "metadata")
+def _list(v: Column) -> Column:
+    """The elements of a list; null for anything else."""
+    return F.when(_kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>"))
 
-    def rule(t: dict[str, Any]) -> str:
-        for i, entry in enumerate(t[key] if isinstance(t[key], list) else [t[key]]):
-            if not isinstance(entry, dict):
-                return f"{key} entry {i} is not an object"
-            for name in required:
-                if name not in entry:
-                    return f"{key} entry {i} lacks '{name}'"
-            if not entry["id"]:
-                return f"'id' in {key} entry {i} is empty"
-            if entry["metadata"] is not None and not isinstance(entry["metadata"], dict):
-                return f"'metadata' in {key} entry {i} is not an object or null"
-        return ""
+
+def _is_blank(v: Column) -> Column:
+    """Null, an empty text, list or object, zero or false."""
+    kind = _kind(v)
+    empty = F.to_json(v).isin('""', "[]", "{}", "0", "0.0", "false")
+    return (kind == "VOID") | F.when(kind == "OBJECT", F.schema_of_variant(v) == "OBJECT<>").otherwise(empty)
+
+
+def _first(faults: Column) -> Column:
+    """The first fault of a list of (place, fault), as text."""
+    bad = F.get(F.filter(faults, lambda x: x["fault"].isNotNull()), F.lit(0))
+    return F.when(bad.isNotNull(), F.concat(bad["fault"], F.lit(" at place "), bad["place"]))
+
+
+def _faults(entries: Column, judge: Callable[[Column], Column]) -> Column:
+    return F.transform(entries, lambda e, i: F.struct(i.alias("place"), judge(e).alias("fault")))
+
+
+def _among(known: set[str] | dict[str, str]) -> Callable[[Column], Column]:
+    return lambda v: F.when(~F.coalesce(_text(v).isin(*sorted(known)), F.lit(False)), F.lit("not one of the known ones"))
+
+
+def _filled(v: Column) -> Column:
+    return F.when(_is_blank(v), F.lit("has no content"))
+
+
+def _known_type(v: Column) -> Column:
+    return F.when(_is_blank(v), F.lit("has no content")).when(~F.coalesce(F.lower(_text(v)).isin(*sorted(TABLE_TYPES)), F.lit(False)), F.lit("not one of the known ones"))
+
+
+def _dated(v: Column) -> Column:
+    text = _text(v)
+    day = F.regexp_extract(text, r"^(\d+-\d+-\d+)", 1)
+    clock = F.transform(F.split(F.regexp_extract(text, r"T([\d:]+)", 1), ":"), lambda x: F.try_variant_get(F.try_parse_json(F.regexp_replace(x, "^0+(?=.)", "")), "$", "int"))
+    late = F.coalesce((F.get(clock, F.lit(0)) > 23) | (F.coalesce(F.get(clock, F.lit(1)), F.lit(0)) > 59) | (F.coalesce(F.get(clock, F.lit(2)), F.lit(0)) > 61), F.lit(False))
+    good = F.coalesce(text.rlike(f"^{DATE_FORMS}$"), F.lit(False)) & F.try_to_date(day, "y-M-d").isNotNull() & ~late
+    return F.when(~good, F.lit("no ISO date"))
+
+
+def _sides(v: Column) -> Column:
+    """The numbers of rows and columns; null if it is not two whole numbers from 0."""
+    both = F.transform(_list(v), _number)
+    return F.when((F.size(both) == 2) & F.forall(both, lambda n: F.coalesce(n >= 0, F.lit(False))), both)
+
+
+def _shape(v: Column) -> Column:
+    return F.when(_sides(v).isNull(), F.lit("not two whole numbers"))
+
+
+def _axis(side: int) -> Callable[[Column], Column]:
+    def judge(entry: Column) -> Column:
+        id_, md = _part("$.id", entry), _part("$.metadata", entry)
+        return (
+            F.when(_kind(entry) != "OBJECT", F.lit("no object"))
+            .when(id_.isNull(), F.lit("no id"))
+            .when(md.isNull(), F.lit("no metadata"))
+            .when(_is_blank(id_), F.lit("empty id"))
+            .when(~_kind(md).isin("VOID", "OBJECT"), F.lit("metadata of another kind"))
+        )
+
+    def rule(v: Column) -> Column:
+        wanted = F.get(_sides(_part("$.shape")), F.lit(side))
+        other = F.size(_list(v)) != wanted
+        return F.when(_list(v).isNull(), F.lit("no list")).otherwise(
+            F.coalesce(_first(_faults(_list(v), judge)), F.when(other, F.concat(F.size(_list(v)).cast("string"), F.lit(" entries where shape has "), wanted)))
+        )
 
     return rule
 
 
-def _data(t: dict[str, Any]) -> str:
-    if t.get("matrix_type") not in MATRIX_TYPES or t.get("matrix_element_type") not in ELEMENT_TYPES or _shape({"shape": t.get("shape")}):
-        return "'data' cannot be checked without valid matrix_type, matrix_element_type and shape"
-    kinds = ELEMENT_TYPES[t["matrix_element_type"]]
-    good = lambda v: isinstance(v, kinds) and not isinstance(v, bool)
-    rows, columns = t["shape"]
-    if t["matrix_type"] == "dense":
-        for i, row in enumerate(t["data"]):
-            if len(row) != columns:
-                return f"Incorrect number of columns in row {i}"
-            if not all(map(good, row)):
-                return f"Bad value in row {i}"
-        return "" if len(t["data"]) == rows else "Incorrect number of rows in matrix"
-    for i, entry in enumerate(t["data"]):
-        if not isinstance(entry, list) or len(entry) != 3:
-            return f"Bad matrix entry at {i}: {entry!r}"
-        x, y, v = entry
-        if not _is_int(x) or not _is_int(y):
-            return f"Bad x or y type at {i}: {entry!r}"
-        if not good(v):
-            return f"Bad value at {i}: {entry!r}"
-        if not 0 <= x < rows:
-            return f"x out of bounds at {i}: {entry!r}"
-        if not 0 <= y < columns:
-            return f"y out of bounds at {i}: {entry!r}"
-    return ""
-
-
-def _type(t: dict[str, Any]) -> str:
-    if not t["type"]:
-        return "Unknown table type, however that is likely okay."
-    return "" if str(t["type"]).lower() in TABLE_TYPES else f"Unknown table type: {t['type']}"
-
-
-def rules(version: str = "1.0.0") -> list[tuple[str, Rule]]:
-    """Required fields with their rules, in the order in which they are reported."""
-    among = lambda key, known, what: lambda t: "" if t[key] in known else f"Unknown {what}: {t[key]}"
+def _data(v: Column) -> Column:
+    """Cells in the layout, kind and bounds that the document names."""
+    sides, layout = _sides(_part("$.shape")), _text(_part("$.matrix_type"))
+    wanted = _text(_part("$.matrix_element_type"))
+    good = lambda x: F.coalesce(F.concat(F.lit("|"), F.element_at(kinds, wanted), F.lit("|")).contains(F.concat(F.lit("|"), _kind(x), F.lit("|"))), F.lit(False))
+    kinds = F.create_map(*[F.lit(x) for pair in ELEMENT_KINDS.items() for x in pair])
+    rows, columns = F.get(sides, F.lit(0)), F.get(sides, F.lit(1))
+
+    def triple(entry: Column) -> Column:
+        e = _list(entry)
+        r, c = _number(F.get(e, F.lit(0))), _number(F.get(e, F.lit(1)))
+        return (
+            F.when(e.isNull() | (F.size(e) != 3), F.lit("no triple"))
+            .when(r.isNull() | c.isNull(), F.lit("no whole coordinate"))
+            .when(~good(F.get(e, F.lit(2))), F.lit("value of another kind"))
+            .when((r < 0) | (r >= rows), F.lit("row out of bounds"))
+            .when((c < 0) | (c >= columns), F.lit("column out of bounds"))
+        )
+
+    def vector(entry: Column) -> Column:
+        e = _list(entry)
+        return F.when(e.isNull(), F.lit("no list")).when(F.size(e) != columns, F.lit("row of another length")).when(~F.forall(e, good), F.lit("value of another kind"))
+
+    whole = F.when(F.size(_list(v)) != rows, F.lit("another number of rows"))
+    known = sides.isNotNull() & layout.isin(*sorted(MATRIX_TYPES)) & wanted.isin(*sorted(ELEMENT_KINDS))
+    judged = F.when(layout == "sparse", _first(_faults(_list(v), triple))).otherwise(F.coalesce(_first(_faults(_list(v), vector)), whole))
+    return F.when(~F.coalesce(known, F.lit(False)), F.lit("cannot be judged")).when(_list(v).isNull(), F.lit("no list")).otherwise(judged)
+
+
+def _version(version: str) -> Callable[[Column], Column]:
+    escaped = version.replace(".", "[.]")
+    return lambda v: F.when(~F.coalesce(_text(v).rlike(f"^([A-Za-z][A-Za-z ]* )?{escaped}$"), F.lit(False)), F.lit(f"not version {version}"))
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A required field and what is wrong with its value, null if nothing is."""
+
+    field: str
+    fault: Callable[[Column], Column]
+
+
+def rules(version: str = "1.0.0") -> list[Rule]:
+    anything = lambda v: F.lit(None).cast("string")
     return [
-        ("format", _format(version)),
-        ("format_url", lambda t: "" if t["format_url"] else "'format_url' is empty"),
-        ("type", _type),
-        ("rows", _axis("rows")),
-        ("columns", _axis("columns")),
-        ("shape", _shape),
-        ("data", _data),
-        ("matrix_type", among("matrix_type", MATRIX_TYPES, "matrix type")),
-        ("matrix_element_type", among("matrix_element_type", ELEMENT_TYPES, "matrix element type")),
-        ("generated_by", lambda t: "" if t["generated_by"] else "'generated_by' is empty"),
-        ("id", lambda t: ""),
-        ("date", lambda t: "" if _valid_date(t["date"]) else "'date' is not in ISO format"),
-    ]
-
-
-def validate_object(table: Any, version: str = "1.0.0") -> list[tuple[str, str]]:
-    """``(rule, message)`` of each broken rule; any message makes the table invalid."""
-    if not isinstance(table, dict):
-        return [("json", "not a JSON object")]
-    out = []
-    for key, rule in rules(version):
-        if key not in table:
-            out.append((key, f"Missing field: '{key}'"))
-            continue
-        try:
-            message = rule(table)
-        except (TypeError, KeyError, AttributeError) as e:
-            message = f"'{key}' cannot be read: {type(e).__name__}"
-        if message:
-            out.append((key, message))
-    shape = table.get("shape")
-    if isinstance(shape, list) and len(shape) == 2:
-        for key, n in zip(("rows", "columns"), shape, strict=True):
-            if isinstance(table.get(key), list) and len(table[key]) != n:
-                out.append(("shape", f"Number of {key} in '{key}' is not equal to 'shape'"))
-    return out
-
-
-def validate_text(text: str | None, version: str = "1.0.0") -> list[tuple[str, str]]:
-    try:
-        return validate_object(json.loads(text or ""), version)
-    except (ValueError, RecursionError):
-        return [("json", "not JSON")]
+        Rule("id", anything), Rule("format", _version(version)), Rule("format_url", _filled), Rule("type", _known_type), Rule("generated_by", _filled), Rule("date", _dated),
+        Rule("matrix_type", _among(MATRIX_TYPES)), Rule("matrix_element_type", _among(ELEMENT_KINDS)), Rule("shape", _shape),
+        Rule("rows", _axis(0)), Rule("columns", _axis(1)), Rule("data", _data),
+    ]
 
 
 def validate_documents(df: DataFrame, key: str, body: str, version: str = "1.0.0") -> DataFrame:
-    """``key``, ``rule``, ``message``: what is wrong with each document; none for a valid one."""
+    """``key``, ``rule``, ``message``: what is wrong with each document; no row for a valid one.
+
+    A null text, one that is no JSON and JSON that is no object break the rule ``json``.
+    """
+    docs = df.select(F.col(key).alias("__key"), F.try_parse_json(body).alias(DOC))
+    found = []
+    for rule in rules(version):
+        v = _part(f"$.{rule.field}")
+        found.append(F.struct(F.lit(rule.field).alias("rule"), F.when(v.isNull(), F.lit("missing")).otherwise(rule.fault(v)).alias("message")))
+    unread = F.array(F.struct(F.lit("json").alias("rule"), F.lit("no JSON object").alias("message")))
+    broken = F.when(F.coalesce(_kind(F.col(DOC)), F.lit("")) != "OBJECT", unread).otherwise(F.filter(F.array(*found), lambda x: x["message"].isNotNull()))
+    return docs.select("__key", F.explode(broken).alias("x")).select(F.col("__key").alias(key), "x.rule", "x.message")
+
+
+def validate_text(spark: SparkSession, text: str | None, version: str = "1.0.0") -> list[tuple[str, str]]:
+    """``(rule, message)`` of each rule that one document breaks."""
+    one = spark.createDataFrame([(0, text)], "k int, body string")
+    return [(r["rule"], r["message"]) for r in validate_documents(one, "k", "body", version).collect()]
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([(k, *x) for k, text in zip(pdf[key], pdf[body], strict=True) for x in validate_text(text, version)], columns=[key, "rule", "message"])
+def validate_file(spark: SparkSession, path: str, version: str = "1.0.0") -> list[tuple[str, str]]:
+    one = spark.read.text(path, wholetext=True).select(F.lit(0).alias("k"), F.col("value").alias("body"))
+    return [(r["rule"], r["message"]) for r in validate_documents(one, "k", "body", version).collect()]
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, body).mapInPandas(run, f"`{key}` {kind}, rule string, message string")
+
+#: What an HDF5 table must hold: attributes of the file; groups and data sets of an axis.
+ATTRIBUTES = ("id", "type", "format-url", "format-version", "generated-by", "creation-date", "shape", "nnz")
+MEMBERS = ("ids", "metadata", "group-metadata", "matrix", "matrix/data", "matrix/indices", "matrix/indptr")
+VERSIONS = {(2, 0), (2, 1)}
 
 
 def validate_hdf5(path: str) -> list[tuple[str, str]]:
-    """Required attributes, groups and data sets of an HDF5 table."""
+    """``(rule, message)`` of what an HDF5 table lacks or holds wrongly.
+
+    Version 2.0 has no group metadata, and its metadata may be one data set of an axis;
+    from 2.1 on, metadata is a group with a data set of one row for each id.
+    """
     from sparrix.sources.hdf5 import _h5py, text
 
-    out: list[tuple[str, str]] = []
     with _h5py().File(path, "r") as f:
-        for name in ("format-url", "format-version", "type", "shape", "nnz", "generated-by", "id", "creation-date"):
-            if name not in f.attrs:
-                out.append((name, f"Missing attribute: '{name}'"))
+        version = tuple(int(x) for x in f.attrs.get("format-version", ()))
+        out = [(name, "missing") for name in ATTRIBUTES if name not in f.attrs]
+        if version not in VERSIONS:
+            return [*out, ("format-version", "not one of the known ones")]
+        sizes = dict(zip(("observation", "sample"), f.attrs.get("shape", ()), strict=False))
         for axis in ("observation", "sample"):
-            for part in ("ids", "matrix", "matrix/data", "matrix/indices", "matrix/indptr", "metadata", "group-metadata"):
-                if f"{axis}/{part}" not in f:
-                    out.append((axis, f"Missing group or data set: '{axis}/{part}'"))
-        if not out:
-            if tuple(f.attrs["format-version"]) not in ((2, 0), (2, 1)):
-                out.append(("format-version", f"Invalid format version {tuple(f.attrs['format-version'])}"))
-            if not _valid_date(text(f.attrs["creation-date"])):
-                out.append(("creation-date", "'creation-date' is not in ISO format"))
-            for axis, n in zip(("observation", "sample"), f.attrs["shape"], strict=True):
-                if len(f[axis]["ids"]) != n:
-                    out.append(("shape", f"Number of {axis} ids is not equal to 'shape'"))
-            if int(f.attrs["nnz"]) < 0 or len(f["sample/matrix/data"]) != int(f.attrs["nnz"]):
-                out.append(("nnz", "nnz is not the number of values"))
-    return out
+            group = f.get(axis, {})
+            out += [(f"{axis}/{m}", "missing") for m in MEMBERS if m not in group and not (version == (2, 0) and m == "group-metadata")]
+            ids = len(group["ids"]) if "ids" in group else 0
+            if "ids" in group and axis in sizes and ids != sizes[axis]:
+                out.append((f"{axis}/ids", f"{ids} entries where shape has {sizes[axis]}"))
+            metadata = group.get("metadata", {})
+            for name in metadata if version != (2, 0) and hasattr(metadata, "keys") else ():
+                if len(metadata[name]) != ids:
+                    out.append((f"{axis}/metadata/{name}", f"{len(metadata[name])} entries for {ids} ids"))
+            if "nnz" in f.attrs and "matrix/data" in group and not 0 <= int(f.attrs["nnz"]) == len(group["matrix/data"]):
+                out.append(("nnz", f"not the number of values of {axis}/matrix"))
+        if "creation-date" in f.attrs and not _is_iso(text(f.attrs["creation-date"])):
+            out.append(("creation-date", "no ISO date"))
+        return out
+
+
+def _is_iso(value: str) -> bool:
+    from datetime import datetime
+
+    try:
+        datetime.fromisoformat(value)
+        return True
+    except ValueError:
+        return False

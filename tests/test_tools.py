@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparrix import cli
 from sparrix.errors import ErrorProfile, TableError, errcheck, errstate, geterr, seterr
 from sparrix.sources import read_matrix, write_matrix
-from sparrix.spec import validate_documents, validate_object, validate_text
+from sparrix.spec import validate_documents, validate_text
 from sparrix.streaming.ingest import append_batches, appended_cells, first_sent, running_cells, windowed_totals
 from tests.helpers import dense, ids, make
 
@@ -23,22 +23,37 @@ DOC = {
     [
         ({}, None), ({"format": "Some Table Format 1.0.0"}, None), ({"format": "0.9"}, "format"), ({"format_url": ""}, "format_url"), ({"type": "other"}, "type"), ({"type": None}, "type"),
         ({"generated_by": ""}, "generated_by"), ({"date": "yesterday"}, "date"), ({"date": "2011-12-19"}, None), ({"matrix_type": "x"}, "matrix_type"), ({"matrix_element_type": "x"}, "matrix_element_type"),
-        ({"shape": [2, "3"]}, "shape"), ({"shape": [3, 3]}, "shape"), ({"rows": [{"id": "r1"}, {"id": "r2", "metadata": None}]}, "rows"), ({"columns": [{"id": "", "metadata": None}] * 3}, "columns"),
+        ({"shape": [2, "3"]}, "shape"), ({"shape": [3, 3]}, "rows"), ({"rows": [{"id": "r1"}, {"id": "r2", "metadata": None}]}, "rows"), ({"columns": [{"id": "", "metadata": None}] * 3}, "columns"),
         ({"data": [[0, 0]]}, "data"), ({"data": [[0, 3, 1]]}, "data"), ({"data": [[-1, 0, 1]]}, "data"), ({"data": [[0.5, 0, 1]]}, "data"), ({"data": [[0, 0, 1.5]]}, "data"), ({"data": 3}, "data"),
         ({"matrix_type": "dense", "data": [[1, 0, 0], [0, 0, 5]]}, None), ({"matrix_type": "dense", "data": [[1, 0], [0, 0]]}, "data"), ({"matrix_type": "dense", "data": [[1, 0, 0]]}, "data"),
     ],
 )
-def test_rules(change, rule):
-    found = [r for r, _ in validate_object(copy.deepcopy(DOC) | change)]
+def test_rules(spark, change, rule):
+    found = [r for r, _ in validate_text(spark, json.dumps(copy.deepcopy(DOC) | change))]
     assert (rule in found) if rule else not found
 
 
 def test_missing_fields_and_bad_text(spark):
     for key in DOC:
-        assert (key, f"Missing field: '{key}'") in validate_object({k: v for k, v in DOC.items() if k != key})
-    assert validate_text("{") == [("json", "not JSON")] and validate_text("[]") == [("json", "not a JSON object")] and validate_text(None) == [("json", "not JSON")]
-    df = spark.createDataFrame([(1, json.dumps(DOC)), (2, "x"), (3, None)], "k int, body string")
+        assert (key, "missing") in validate_text(spark, json.dumps({k: v for k, v in DOC.items() if k != key}))
+    for text in ("{", "[]", "", None, "3"):
+        assert validate_text(spark, text) == [("json", "no JSON object")]
+    df = spark.createDataFrame([(1, json.dumps(DOC), 3), (2, "x", 3), (3, None, 3)], "k int, body string, rule int")
     assert {(r["k"], r["rule"]) for r in validate_documents(df, "k", "body").collect()} == {(2, "json"), (3, "json")}
+    assert validate_documents(df.limit(0), "k", "body").count() == 0
+
+
+def test_first_fault_and_its_place(spark):
+    def found(**change):
+        return validate_text(spark, json.dumps(DOC | change))
+
+    assert found(data=[[0, 0, 1], [0, 1], [9, 9, 9]]) == [("data", "no triple at place 1")]
+    assert found(rows=[{"id": "r1", "metadata": None}, None]) == [("rows", "no object at place 1")]
+    assert found(rows=[{"id": "r1", "metadata": []}, {"id": "r2", "metadata": None}]) == [("rows", "metadata of another kind at place 0")]
+    assert found(columns=DOC["columns"][:2]) == [("columns", "2 entries where shape has 3")]
+    assert found(date="2011-02-30") == [("date", "no ISO date")] and found(date="2011-12-19T25:00:00") == [("date", "no ISO date")]
+    assert found(matrix_element_type="float", data=[[0, 0, 1.5]]) == [] and found(matrix_element_type="str", data=[[0, 0, "a"]]) == []
+    assert found(matrix_element_type="float", data=[[0, 0, 1]]) == [("data", "value of another kind at place 0")]
 
 
 def test_error_profile(capsys):
