@@ -1,16 +1,20 @@
 """Schemas that drift between files: changes from file to file, and one common table.
 
-Each file of a producer is profiled by column: kinds, number of values and a sketch of the
-values. Between a file and the next of the same producer, columns gone are matched with
-columns new as a bipartite assignment. A pair may be matched only if its values agree in
-all records both files have; the weight is the number that agree, name similarity decides
-between equal weights. All other columns gone or new are removed or added.
+Each file of a producer is profiled by column: its kinds, and for columns gone or new a
+sketch of their values, the least hashes of (table, value). Between a file and the next of
+the same producer, columns gone are matched with columns new as a bipartite assignment
+over the sketches: a pair may be matched only if its values agree in all tables that both
+have; the weight is the number that agree, name similarity decides between equal weights.
+A sketch that holds all values of its column decides by itself; where one is cut off, the
+pairs it does not refute are compared in all values before they are matched. All other
+columns gone or new are removed or added.
 
 To bring all files into one table, each column is followed back through the renames to its
 name in the producer's first file that has it; these names are matched, again as an
 assignment, with the target columns by name similarity and value sketch. Names that no
 target takes are matched with each other over all producers, and each meaning so found
-gets a column of its own.
+gets a column of its own. Values are sketched once, by file and field; all other sketches
+are merged from these.
 
 Edge cases: a record without a table id or with a body that is no JSON object has no
 fields; records sent again count once; a file whose predecessor is missing is compared
@@ -21,18 +25,22 @@ lists are leaves, empty objects have none; files of a producer may arrive in any
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparrix.operators.nested import Shape, node_table
+from sparrix.operators.nested import leaf_table
 from sparrix.runtime import materialize
 
 #: Hashes kept of a column's values.
 SKETCH = 64
+#: Kinds of values, as bits.
+KINDS = {"string": 1, "number": 2, "boolean": 4, "array": 8}
 #: Stands between an origin's name and the file it starts in, where the name alone is taken.
 MARK = "\0"
 #: Least weight at which a producer's column is taken for a target column.
@@ -42,26 +50,38 @@ LEAST_WEIGHT = 0.3
 def header_fields(headers: DataFrame, body: str = "body") -> DataFrame:
     """``producer``, ``file_no``, ``rec_id``, ``table_id``, ``field``, ``kind``, ``value``: the leaves of all headers."""
     keys = ["producer", "file_no", "rec_id", "table_id"]
-    nodes = node_table(headers, keys, body, Shape(whole=True)).where((F.col("kind") != "object") & (F.col("type") != "$"))
-    return nodes.select(*keys, F.substring("type", 3, 1 << 30).alias("field"), "kind", "value").distinct()
+    return leaf_table(headers.select(*keys, body).distinct(), keys, body)
+
+
+def kind_bits(kind: Column) -> Column:
+    out = F.lit(0)
+    for name, bit in KINDS.items():
+        out = F.when(kind == name, F.lit(bit)).otherwise(out)
+    return out
 
 
 def profiles(fields: DataFrame) -> DataFrame:
-    """One row for each column of each file: its kinds and a sketch of its values."""
-    known = F.col("kind") != "null"
-    h = F.xxhash64("kind", "value")
-    base = fields.groupBy("producer", "file_no", "field").agg(
-        F.sort_array(F.collect_set(F.when(known, F.col("kind")))).alias("kinds"), F.count(F.when(known, 1)).alias("n"),
-        F.approx_count_distinct(F.when(known, h)).alias("distinct_values"),
-    )
-    return base
+    """``producer``, ``file_no``, ``field``, ``kinds``: one row for each column of each file."""
+    return fields.groupBy("producer", "file_no", "field").agg(F.bit_or(kind_bits(F.col("kind"))).alias("kinds"))
+
+
+def _least(rows: DataFrame, by: list[str], n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows of each group; tasks drop what is beyond before they shuffle."""
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return rows.select("*", nth.alias("nth")).where(F.col("nth") <= n).drop("nth")
 
 
 def value_sketches(fields: DataFrame, by: list[str]) -> DataFrame:
     """``by``, ``sketch``: the least ``SKETCH`` hashes of a column's distinct values."""
-    hashes = fields.where(F.col("kind") != "null").select(*by, F.xxhash64("kind", F.lower(F.regexp_replace("value", "[^A-Za-z0-9.]", ""))).alias("h")).distinct()
-    nth = F.row_number().over(Window.partitionBy(*by).orderBy("h"))
-    return hashes.select(*by, "h", nth.alias("nth")).where(F.col("nth") <= SKETCH).groupBy(*by).agg(F.collect_set("h").alias("sketch"))
+    h = F.xxhash64("kind", F.lower(F.regexp_replace("value", "[^A-Za-z0-9.]", ""))).alias("h")
+    hashes = fields.where(F.col("kind") != "null").select(*by, h).distinct()
+    return _least(hashes, by, SKETCH, "h").groupBy(*by).agg(F.collect_set("h").alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """The sketches of unions: the least hashes of the sketches of their parts."""
+    hashes = sketches.select(*by, F.explode("sketch").alias("h")).distinct()
+    return _least(hashes, by, SKETCH, "h").groupBy(*by).agg(F.collect_set("h").alias("sketch"))
 
 
 def name_tokens(name: str) -> set[str]:
@@ -119,47 +139,122 @@ def assign(weights: np.ndarray) -> list[tuple[int, int]]:
     return [(match[j] - 1, j - 1) for j in range(1, columns + 1) if 1 <= match[j] <= rows and weights[match[j] - 1, j - 1] > 0]
 
 
-def _assign_renames(pdf: pd.DataFrame) -> pd.DataFrame:
-    old, new = sorted(pdf["field"].unique()), sorted(pdf["new_field"].unique())
-    w = np.zeros((len(old), len(new)))
-    for a, b, n in zip(pdf["field"], pdf["new_field"], pdf["agree"], strict=True):
-        w[old.index(a), new.index(b)] = n + name_similarity(a, b) / 2
-    return pd.DataFrame([(pdf["producer"].iloc[0], pdf["file_no"].iloc[0], old[i], new[j]) for i, j in assign(w)], columns=["producer", "file_no", "field", "new_field"])
+def compared(old: dict[int, set[int]], new: dict[int, set[int]], upto: int | None) -> tuple[int, bool]:
+    """How many tables of two sketches agree, and whether none differs; hashes beyond ``upto`` are in one of them only."""
+    agree = 0
+    for h in old.keys() & new.keys():
+        if upto is not None and h > upto:
+            continue
+        if len(old[h]) > 1 or old[h] != new[h]:
+            return 0, False
+        agree += 1
+    return agree, True
+
+
+def _edges(size: int):
+    """From the sketches of columns gone and new, sorted by file, to the pairs that they do not refute."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _files(batches):
+            columns: dict[bool, dict[str, tuple[dict[int, set[int]], int | None]]] = {False: {}, True: {}}
+            for is_new, name, hashes, values in zip(*(group[c] for c in ("is_new", "field", "hashes", "values")), strict=True):
+                tables: dict[int, set[int]] = {}
+                for h, v in zip(hashes, values, strict=True):
+                    tables.setdefault(h, set()).add(v)
+                # one more than a sketch holds was kept to know that it is cut off
+                columns[is_new][name] = (tables, sorted(hashes)[size - 1] - 1 if len(hashes) > size else None)
+            out = []
+            for a, (old, old_end) in sorted(columns[False].items()):
+                for b, (new, new_end) in sorted(columns[True].items()):
+                    ends = [x for x in (old_end, new_end) if x is not None]
+                    agree, same = compared(old, new, min(ends, default=None))
+                    if same and (agree or ends):
+                        out.append((a, b, agree, not ends))
+            if out:
+                n = len(out)
+                named = [pa.array([group[c][0]] * n, t) for c, t in (("producer", pa.string()), ("file_no", pa.int64()))]
+                yield pa.record_batch([*named, *[pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int64(), pa.bool_()), strict=True)]], names=EDGE_NAMES)
+
+    return run
+
+
+EDGE_NAMES = ["producer", "file_no", "field", "new_field", "agree", "sure"]
+EDGE_SCHEMA = "producer string, file_no long, field string, new_field string, agree long, sure boolean"
+
+
+def _assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the edges, sorted by file, to one assignment for each pair of files."""
+    for group in _files(batches):
+        old, new = sorted(set(group["field"])), sorted(set(group["new_field"]))
+        w = np.zeros((len(old), len(new)))
+        for a, b, n in zip(group["field"], group["new_field"], group["agree"], strict=True):
+            w[old.index(a), new.index(b)] = n + name_similarity(a, b) / 2
+        found = [(0, 0)] if w.shape == (1, 1) else assign(w)
+        n = len(found)
+        named = [pa.array([group[c][0]] * n, t) for c, t in (("producer", pa.string()), ("file_no", pa.int64()))]
+        yield pa.record_batch([*named, pa.array([old[i] for i, _ in found], pa.string()), pa.array([new[j] for _, j in found], pa.string())], names=EDGE_NAMES[:4])
+
+
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+    """The rows of each (producer, file_no), as lists by column; they come one behind the other."""
+    held: dict[str, list] = {}
+    for batch in batches:
+        rows = batch.to_pydict()
+        keys = list(zip(rows["producer"], rows["file_no"], strict=True))
+        lo = 0
+        for hi in range(1, len(keys) + 1):
+            if hi < len(keys) and keys[hi] == keys[lo]:
+                continue
+            part = {c: x[lo:hi] for c, x in rows.items()}
+            if held and (held["producer"][0], held["file_no"][0]) == keys[lo]:
+                held = {c: held[c] + part[c] for c in part}
+            else:
+                if held:
+                    yield held
+                held = part
+            lo = hi
+    if held:
+        yield held
 
 
 def schema_changes(fields: DataFrame) -> DataFrame:
     """``producer``, ``file_no``, ``change``, ``field``, ``new_field``: each file against the one before."""
     key = ["producer", "file_no"]
+    number = fields.schema["file_no"].dataType
     columns = materialize(profiles(fields), "profiles")
+    after = (F.col("file_no") + 1).cast(number).alias("file_no")
+    # each column once as new in its file and once as old in the next
+    none = F.lit(None).cast("int")
+    sides = columns.select(*key, "field", F.col("kinds").alias("new"), none.alias("old")).unionByName(columns.select("producer", after, "field", none.alias("new"), F.col("kinds").alias("old")))
+    pairs = sides.groupBy(*key, "field").agg(F.max("old").alias("old"), F.max("new").alias("new")).where("old is null or new is null or old <> new")
     files = columns.select(*key).distinct()
-    both = files.join(files.select("producer", (F.col("file_no") + 1).alias("file_no")), key)
-    old = columns.select("producer", (F.col("file_no") + 1).cast(columns.schema["file_no"].dataType).alias("file_no"), "field", F.col("kinds").alias("old_kinds"))
-    pairs = old.join(columns.select(*key, "field", F.col("kinds").alias("new_kinds")), [*key, "field"], "full").join(both, key, "left_semi")
-    pairs = materialize(pairs, "columns")
-    gone = pairs.where("new_kinds is null").select(*key, "field")
-    new = pairs.where("old_kinds is null").select(*key, F.col("field").alias("new_field"))
-    values = fields.where(F.col("kind") != "null").select(*key, "table_id", "field", F.struct("kind", "value").alias("v")).distinct()
-    old_values = values.select("producer", (F.col("file_no") + 1).alias("file_no"), "table_id", "field", "v").join(gone, [*key, "field"])
-    new_values = values.select(*key, "table_id", F.col("field").alias("new_field"), F.col("v").alias("w")).join(new, [*key, "new_field"])
-    old_values, new_values = materialize(old_values, "gone"), materialize(new_values, "new")
-    # candidates share a value in some record, so only they are looked at in all records
-    candidates = old_values.join(new_values.withColumn("v", F.col("w")), [*key, "table_id", "v"]).select(*key, "field", "new_field").distinct()
-    seen = old_values.join(candidates, [*key, "field"]).join(new_values, [*key, "table_id", "new_field"])
-    agree = seen.groupBy(*key, "field", "new_field").agg(F.sum(F.when(F.col("v") == F.col("w"), 1).otherwise(0)).alias("agree"), F.count("*").alias("n"))
-    edges = materialize(agree.where("agree = n").select(*key, "field", "new_field", "agree"), "edges")
-    # a pair with no rival on either side needs no assignment
-    rivals = F.greatest(F.count("*").over(Window.partitionBy(*key, "field")), F.count("*").over(Window.partitionBy(*key, "new_field"))).alias("rivals")
-    marked = edges.select("*", rivals)
-    schema = T.StructType([edges.schema[c] for c in (*key, "field", "new_field")])
-    contested = marked.where("rivals > 1").groupBy(*key).applyInPandas(_assign_renames, schema)
-    renamed = materialize(marked.where("rivals = 1").select(*key, "field", "new_field").unionByName(contested), "renamed")
+    pairs = materialize(pairs.join(files, key, "left_semi").join(files.select("producer", after), key, "left_semi"), "columns")
+    gone = pairs.where("new is null").select(*key, "field")
+    new = pairs.where("old is null").select(*key, "field")
+    # sketches are needed where a file has both
+    matched = gone.select(*key).distinct().join(new.select(*key).distinct(), key)
+    wanted = gone.select(*key, "field", F.lit(False).alias("is_new")).unionByName(new.select(*key, "field", F.lit(True).alias("is_new"))).join(matched, key, "left_semi")
+    wanted = materialize(wanted.select("*", (F.col("file_no") - F.when(F.col("is_new"), 0).otherwise(1)).cast(number).alias("of")), "wanted")
+    values = fields.where("kind <> 'null' and table_id is not null").select("producer", F.col("file_no").alias("of"), "field", "table_id", "kind", "value")
+    values = values.join(wanted, ["producer", "of", "field"]).select(*key, "is_new", "field", "table_id", "kind", "value")
+    column = [*key, "is_new", "field"]
+    hashes = values.select(*column, F.xxhash64("table_id").alias("h"), F.xxhash64("kind", "value").alias("v")).distinct()
+    sketches = _least(hashes, column, SKETCH + 1, "h", "v").groupBy(*column).agg(F.collect_list(F.struct("h", "v")).alias("x"))
+    sketches = sketches.select("producer", F.col("file_no").cast("long").alias("file_no"), "is_new", "field", F.col("x.h").alias("hashes"), F.col("x.v").alias("values"))
+    edges = sketches.repartition(*key).sortWithinPartitions(*key).mapInArrow(_edges(SKETCH), EDGE_SCHEMA)
+    edges = materialize(edges.withColumn("file_no", F.col("file_no").cast(number)), "edges")
+    unsure = edges.where("not sure").select(*key, "field", "new_field")
+    if not unsure.isEmpty():
+        edges = edges.where("sure").select(*EDGE_NAMES[:5]).unionByName(_agreeing(values, unsure, key))
+    renamed = edges.select("producer", F.col("file_no").cast("long").alias("file_no"), "field", "new_field", "agree").repartition(*key).sortWithinPartitions(*key)
+    renamed = renamed.mapInArrow(_assigned, "producer string, file_no long, field string, new_field string").withColumn("file_no", F.col("file_no").cast(number))
+    renamed = materialize(renamed, "renamed")
     empty = F.lit("").alias("new_field")
-    retyped = pairs.where("old_kinds <> new_kinds and size(old_kinds) > 0 and size(new_kinds) > 0")
     parts = [
         renamed.select(*key, F.lit("renamed").alias("change"), "field", "new_field"),
         gone.join(renamed, [*key, "field"], "left_anti").select(*key, F.lit("removed").alias("change"), "field", empty),
-        new.join(renamed, [*key, "new_field"], "left_anti").select(*key, F.lit("added").alias("change"), F.col("new_field").alias("field"), empty),
-        retyped.select(*key, F.lit("retyped").alias("change"), "field", empty),
+        new.join(renamed.select(*key, F.col("new_field").alias("field")), [*key, "field"], "left_anti").select(*key, F.lit("added").alias("change"), "field", empty),
+        pairs.where("old > 0 and new > 0").select(*key, F.lit("retyped").alias("change"), "field", empty),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -167,6 +262,16 @@ def schema_changes(fields: DataFrame) -> DataFrame:
     return out
 
 
+def _agreeing(values: DataFrame, pairs: DataFrame, key: list[str]) -> DataFrame:
+    """Those of the pairs whose values agree in all tables both have, with the number of these, from all values."""
+    values = values.select("*", F.struct("kind", "value").alias("v")).drop("kind", "value").distinct()
+    old = values.where("not is_new").join(pairs, [*key, "field"]).select(*key, "field", "new_field", "table_id", "v")
+    new = values.where("is_new").select(*key, F.col("field").alias("new_field"), "table_id", F.col("v").alias("w"))
+    seen = old.join(new, [*key, "new_field", "table_id"])
+    agree = seen.groupBy(*key, "field", "new_field").agg(F.sum(F.when(F.col("v") == F.col("w"), 1).otherwise(0)).alias("agree"), F.count("*").alias("n"))
+    return agree.where("agree = n").select(*key, "field", "new_field", "agree")
+
+
 def _origins(pdf: pd.DataFrame) -> pd.DataFrame:
     """For one producer, the origin of each field of each file; ``old`` is the name before a rename.
 
@@ -192,10 +297,18 @@ def _origins(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["producer", "file_no", "field", "origin"])
 
 
+def contained(s: set[int], m: set[int]) -> float:
+    """The part of the smaller column's values that the other has, over the hashes that both sketches hold in full."""
+    ends = [max(x) for x in (s, m) if len(x) >= SKETCH]
+    if ends:
+        s, m = ({h for h in x if h <= min(ends)} for x in (s, m))
+    return len(s & m) / min(len(s), len(m)) if s and m else 0.0
+
+
 def _weight(a: str, s: set[int], b: str, m: set[int]) -> float:
     """How alike two columns are by name and sketch; 0 if too little to be one."""
     a, b = a.split(MARK)[0], b.split(MARK)[0]
-    weight = (name_similarity(a, b) + (len(s & m) / min(len(s), len(m)) if s and m else 0.0)) / 2
+    weight = (name_similarity(a, b) + contained(s, m)) / 2
     return weight if weight >= LEAST_WEIGHT else 0.0
 
 
@@ -258,8 +371,9 @@ def unify(fields: DataFrame, changes: DataFrame, targets: list[str]) -> DataFram
     schema = T.StructType([*(fields.schema[c] for c in key), T.StructField("origin", T.StringType())])
     renamed = changes.where("change = 'renamed'").select("producer", "file_no", F.col("new_field").alias("field"), F.col("field").alias("old"))
     origin = materialize(fields.select(*key).distinct().join(renamed, key, "left").groupBy("producer").applyInPandas(_origins, schema), "origin")
-    named = fields.join(origin, key)
-    mine = value_sketches(named, ["producer", "origin"])
+    base = materialize(value_sketches(fields, key), "sketches")
+    named = materialize(origin.join(base, key, "left").select(*key, "origin", F.coalesce("sketch", F.array().cast("array<long>")).alias("sketch")), "named")
+    mine = merged_sketches(named, ["producer", "origin"])
     mine = mine.join(origin.groupBy("producer", "origin").agg(F.collect_set("file_no").alias("files")), ["producer", "origin"])
     mine = materialize(mine, "mine")
 
@@ -267,7 +381,7 @@ def unify(fields: DataFrame, changes: DataFrame, targets: list[str]) -> DataFram
         """``producer``, ``origin``, ``target``, and the meanings of the names that no target takes, which are targets too, marked."""
         # a target's sketch comes from the columns that bear its name everywhere
         names = [t.split(MARK)[0] for t in targets]
-        model = value_sketches(fields.where(F.col("field").isin(names)).withColumn("target", F.col("field")), ["target"])
+        model = merged_sketches(named.where(F.col("field").isin(names)).withColumn("target", F.col("field")), ["target"])
         model = {r["target"]: set(r["sketch"]) for r in model.collect()}  # as many as targets, each of SKETCH hashes
 
         def match(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -286,7 +400,7 @@ def unify(fields: DataFrame, changes: DataFrame, targets: list[str]) -> DataFram
         # one row for each name and each pair of names: as many as there are columns to make
         pairs = files.join(files.withColumnRenamed("origin", "other"), ["producer", "file_no"]).where("origin <> other").select("origin", "other").distinct()
         beside = {(r["origin"], r["other"]) for r in pairs.collect()}
-        sketches = value_sketches(named.join(left, ["producer", "origin"], "left_semi"), ["origin"])
+        sketches = merged_sketches(named.join(left, ["producer", "origin"], "left_semi"), ["origin"])
         sketches = sketches.join(files.groupBy("origin").count(), "origin").orderBy(F.desc("count"), "origin").collect()
         meanings = other_meanings({r["origin"]: set(r["sketch"]) for r in sketches}, beside)
         if not meanings:

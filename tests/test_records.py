@@ -8,7 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sparrix.operators.drift import assign, header_fields, name_similarity, schema_changes, unify
-from sparrix.operators.nested import TABLE_SHAPE, Shape, matrix_places, node_table, table_relations
+from sparrix.operators import drift, nested
+from sparrix.operators.nested import TABLE_SHAPE, Shape, Walker, as_text, node_table, node_tables, parse, table_relations, unread_records
 from sparrix.operators.packed import BLANKS, DELIMITERS, MASK, resolve, split_packed
 from sparrix.plans import records
 from sparrix.runtime import materialize
@@ -202,21 +203,88 @@ def test_relations(spark, data):
 
 
 def test_odd_records(spark):
-    bodies = [json.dumps(ODD), json.dumps(ODD, indent=2), None, "", "{bad", "[1]", "null", "{}", '{"rows": [], "data": null}', '{"rows": [{"id": "\\ud800"}]}', "[" * 100_000, json.dumps({"rows": [{"id": "x" * 200_000}]})]
+    bodies = [json.dumps(ODD), json.dumps(ODD, indent=2), None, "", "{bad", "[1]", "null", "{}", '{"rows": [], "data": null}', '{"rows": [{"id": "\\ud800"}]}', "[" * 100_000 + "]" * 100_000, json.dumps({"rows": [{"id": "x" * 200_000}]})]
     df = spark.createDataFrame([(i, b, "z") for i, b in enumerate(bodies)] + [(0, bodies[0], "z")], "file_id int, body string, item string")
     got = {tuple(r) for r in table_relations(df).where("file_id <= 8").collect()}
     assert got == plain_relations(0, ODD) | plain_relations(1, ODD)
     assert table_relations(df).where("file_id in (9, 11)").count() == 2 and table_relations(df.limit(0)).count() == 0
 
 
-def test_matrix_places():
+def cell_places(data, layout, rows=None, columns=None):
     two = [{"id": 1}, {"id": 2}]
-    assert set(zip(*matrix_places([1, 0, 5], "sparse", two, two), strict=True)) == {(1, 0)}
-    assert set(zip(*matrix_places([[1, 0], [0, "x"]], "DENSE ", two, two), strict=True)) == {(0, 0), (1, 1)}
-    assert set(zip(*matrix_places([[1, 0], [0, 2]], None, two, two), strict=True)) == {(0, 0), (1, 1)}
-    assert set(zip(*matrix_places([[0, 1, 2.5]], None, two, two), strict=True)) == {(0, 1)}
-    for data in (None, 3, [], [[0.5, 0, 1]], [[True, 0, 1]], [[0, 0, "0"]], [[0, 0]], [None]):
-        assert matrix_places(data, "sparse", two, two) == ([], [])
+    walker = Walker(TABLE_SHAPE)
+    walker.walk(0, {"columns": columns or two, "data": data, "matrix_type": layout, "rows": rows or two})
+    _, docs, places, _ = nested._matrix_rows(walker, nested._Columns(walker.take()), nested.TABLE_MATRIX)
+    return {(int(a), int(b)) for a, b in zip(*places[:2], strict=True)}
+
+
+def test_cells_from_nodes():
+    assert cell_places([1, 0, 5], "sparse") == {(1, 0)}
+    assert cell_places([[1, 0], [0, "x"]], "DENSE ") == {(0, 0), (1, 1)}
+    assert cell_places([[1, 0], None, [0, 2]], "dense", rows=[{"id": 1}] * 3) == {(0, 0), (2, 1)}
+    assert cell_places([[1, None], [None, 2]], "dense") == {(0, 0), (1, 1)}
+    assert cell_places([[1, 0], [0, 2]], None) == {(0, 0), (1, 1)}
+    assert cell_places([[0, 1, 2.5]], None) == {(0, 1)} and cell_places([[0, 1, "2"], [1, 1, True]], None) == {(0, 1), (1, 1)}
+    assert cell_places([[0, 1, 5], [1, 1, [3]], {"a": 1}], "sparse") == {(0, 1), (1, 1)}
+    assert cell_places([[0, 1, 5], [0, 0, 5]], "sparse", columns=[None, {"id": 2}]) == {(0, 1)}
+    for data in (None, 3, [], {}, [[0.5, 0, 1]], [[True, 0, 1]], [[0, 0, "0"]], [[0, 0]], [None], [[None, 0, 1]], [[0, None, 1]], [[0, 0, 1, None]], [["0", 0, 1]], [[1e300, 0, 1]], [[0, 0, None]]):
+        assert cell_places(data, "sparse") == set(), data
+
+
+def test_labels_of_vectors():
+    """Vectors labelled at once have the numbers of a walk over all of their entries."""
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        data = [None if rng.random() < 0.2 else [None if rng.random() < 0.2 else float(rng.integers(9)) for _ in range(rng.integers(0, 5))] for _ in range(rng.integers(0, 7))]
+        data.append([1.5])
+        rows = []
+        for shape in (TABLE_SHAPE, Shape()):
+            walker = Walker(shape)
+            walker.walk(0, {"a": 1, "data": data, "z": [2]})
+            c = nested._Columns(walker.take())
+            rows.append(sorted(zip(c.pre.tolist(), c.post.tolist(), c.parent.tolist(), [walker.kinds[k].path for k in c.kind], c.place.tolist(), c.size.tolist(), strict=True)))
+        assert rows[0] == rows[1]
+
+
+DEEP = 100_000
+
+
+def test_records_of_any_depth(spark):
+    deep = '{"rows": [{"id": "r", "metadata": {"taxonomy": ["t"], "x": ' + '{"a":[' * DEEP + "1" + "]}" * DEEP + "}}]}"
+    broken = deep[:-3]
+    df = spark.createDataFrame([(1, deep), (2, broken), (3, None), (4, "[1]"), (5, "{}"), (6, "{bad")], "file_id int, body string")
+    got = {tuple(r)[1:] for r in table_relations(df).collect()}
+    assert got == {("row", 0, -1, -1, "r"), ("taxon", 0, 0, -1, "t"), ("member", 0, -1, -1, "x")}
+    assert {(r["file_id"], r["reason"]) for r in unread_records(df, ["file_id"], "body").collect()} == {(2, "no JSON"), (3, "null"), (4, "no object"), (6, "no JSON")}
+    nodes = node_table(df.where("file_id = 1"), ["file_id"], "body")
+    assert nodes.count() == 2 * DEEP + 8
+    last = nodes.where("kind = 'number'").first()
+    assert last["value"] == "1" and last["post"] == 3 and len(last["type"]) < 1000
+    whole = node_table(df.where("file_id = 1"), ["file_id"], "body", Shape(whole=True)).where("kind = 'array'").first()
+    assert whole["value"].endswith("1" + "]}" * DEEP + "}}]")
+
+
+@pytest.mark.parametrize("text", ['{"a": [1, -2.5e3, "x\\"]}", {"b": null}], "c": {}}', "[]", " [ [ ] , { } ] ", '"x"', "3", "true", '{"a": {"b": [true, false, null]}, "a": 2}', '{"é": "\\u00e9"}'])
+def test_parser_without_recursion(text):
+    assert nested._parse_deep(text) == json.loads(text)
+    if isinstance(json.loads(text), list | dict):
+        assert nested._deep_text(json.loads(text)) == as_text(json.loads(text))
+
+
+@pytest.mark.parametrize("text", ["", " ", "{", "[1,]", "[,1]", '{"a"}', '{"a":}', '{"a":1,}', "[1 2]", "1 2", "]", "{]", "[}", '{1: 2}', '["a]', "[1]]", "nul", ",", '{"a" 1}'])
+def test_parser_without_recursion_refuses(text):
+    with pytest.raises(ValueError):
+        parse(text)
+    with pytest.raises(ValueError):
+        nested._parse_deep(text)
+
+
+def test_one_table_for_each_type(spark, data):
+    nodes = node_table(spark.read.parquet(f"{data}/table_files.parquet"), ["file_id"], "body", TABLE_SHAPE)
+    tables = node_tables(nodes)
+    assert {"$", "$.rows[]", "$.data[]", "$.data[][]"} <= set(tables) and "type" not in tables["$"].columns
+    assert tables["$.rows[]"].count() == nodes.where("type = '$.rows[]'").count() > 0
+    assert list(node_tables(nodes, ["$.rows"])) == ["$.rows"]
 
 
 def test_interval_labels(spark):
@@ -286,6 +354,21 @@ def headers(spark, rows):
     return spark.createDataFrame([(i, p, f, t, b, "x") for i, (p, f, t, b) in enumerate(rows)], "rec_id long, producer string, file_no int, table_id string, body string, field string")
 
 
+@pytest.mark.parametrize("size", [1, 3])
+def test_changes_by_sketches_cut_off(spark, data, monkeypatch, size):
+    """Where sketches do not hold all values, the pairs they do not refute are compared in full."""
+    monkeypatch.setattr(drift, "SKETCH", size)
+    rows = spark.read.parquet(f"{data}/table_headers.parquet").select("producer", "file_no", "table_id", "body").collect()
+    assert {tuple(r) for r in records.p3_found(spark, data).collect()} == plain_changes([tuple(r) for r in rows])
+
+
+def test_contained():
+    few, many = set(range(0, 4000, 400)), set(range(0, 4000))
+    cut = set(sorted(many)[: drift.SKETCH])
+    assert drift.contained(few, cut) == 1.0 and drift.contained(few, many | {9999}) == 1.0
+    assert drift.contained({5, 7}, {5}) == 1.0 and drift.contained(set(), {1}) == 0.0 and drift.contained({10**9}, cut) == 0.0
+
+
 def test_change_cases(spark):
     rows = [
         ("p", 1, "t1", '{"a": 1, "b": "x", "n": {"m": [1]}, "gone": 3, "nul": null}'),
