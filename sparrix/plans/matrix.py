@@ -28,10 +28,9 @@ def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return ship(spark).read.parquet(f"{d}/{table}.parquet")
 
 
-def sales(spark: SparkSession, d: str, flag: str | None = None) -> MatrixTable:
-    """Parts by suppliers; with a return flag, of these lines only."""
-    lines = _read(spark, d, "lineitem")
-    lines = lines.where(F.col("l_returnflag") == flag) if flag else lines
+def sales(spark: SparkSession, d: str, lines: str = "true") -> MatrixTable:
+    """Parts by suppliers; with a condition, of these lines only, for operators on several tables."""
+    lines = _read(spark, d, "lineitem").where(lines)
     md = F.struct(F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_size").alias("size"), F.col("p_name").alias("name"))
     part = _read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("ord"), md.alias("md"))
     supplier = _read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("ord"), F.struct(F.col("s_nationkey").alias("nation")).alias("md"))
@@ -68,7 +67,7 @@ def sum_sample(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def sum_observation(spark: SparkSession, d: str) -> DataFrame:
-    return sales(spark, d, "R").sum("observation").withColumnRenamed("id", "obs_id")
+    return sales(spark, d).sum("observation").withColumnRenamed("id", "obs_id")
 
 
 @_query
@@ -89,25 +88,22 @@ def min_max_nnz_sample(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def min_observation(spark: SparkSession, d: str) -> DataFrame:
-    return sales(spark, d, "R").min("observation")
+    return sales(spark, d).min("observation")
 
 
 @_query
 def max_observation(spark: SparkSession, d: str) -> DataFrame:
-    return sales(spark, d, "R").max("observation")
+    return sales(spark, d).max("observation")
 
 
 @_query
 def nonzero_counts_observation(spark: SparkSession, d: str) -> DataFrame:
-    return sales(spark, d, "A").nonzero_counts("observation")
+    return sales(spark, d).nonzero_counts("observation")
 
 
 @_query
 def density(spark: SparkSession, d: str) -> DataFrame:
-    t = sales(spark, d)
-    n = [f.agg(F.count("*").alias("n")) for f in (t.cells, t.obs, t.samp)]
-    joined = n[0].toDF("c").join(n[1].toDF("o")).join(n[2].toDF("s"))  # three rows of one number
-    return joined.select((F.col("c") / (F.col("o") * F.col("s")).cast("double")).alias("density"))
+    return spark.createDataFrame([(sales(spark, d).density(),)], "density double")
 
 
 @_query
@@ -189,7 +185,7 @@ def head_5x5(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def vector_dense(spark: SparkSession, d: str) -> DataFrame:
-    return sales(spark, d, "R").data(7, "sample").select("id", "value")
+    return sales(spark, d).data(7, "sample").select("id", "value")
 
 
 @_query
@@ -228,32 +224,37 @@ def metadata_dropped(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def merge_union(spark: SparkSession, d: str) -> DataFrame:
-    return sales(spark, d, "A").merge(sales(spark, d, "N")).cells
+    a, *others = (sales(spark, d, f"l_returnflag = '{flag}'") for flag in "ANR")
+    return a.merge(others).cells
 
 
-def _halves(spark: SparkSession, d: str) -> tuple[MatrixTable, MatrixTable]:
-    a = sales(spark, d, "A").filter(F.col("id") % 3 != 0, "sample").filter(F.col("id") % 2 == 0, "observation")
-    b = sales(spark, d, "N").filter(F.col("id") % 3 != 1, "sample").filter(F.col("id") % 5 != 0, "observation")
-    return a, b
+def _sold(spark: SparkSession, d: str) -> tuple[MatrixTable, MatrixTable]:
+    """All lines in two tables, those returned and the others, each on the ids it holds."""
+    return sales(spark, d, "l_returnflag = 'R'").remove_empty(), sales(spark, d, "l_returnflag <> 'R'").remove_empty()
 
 
 @_query
 def merge_intersection(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _halves(spark, d)
+    a, b = _sold(spark, d)
     return a.merge(b, sample="intersection", observation="intersection").cells
 
 
 @_query
 def merge_metadata(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _halves(spark, d)
+    a, b = _sold(spark, d)
     return a.merge(b).obs.select("id", "ord", "md.brand")
 
 
+@_query
+def merge_sorted(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _sold(spark, d)
+    return a.merge(b, order="sorted").obs.select("id", "ord")
+
+
 @_query
 def concat_samples(spark: SparkSession, d: str) -> DataFrame:
     t = sales(spark, d)
-    low, high = t.filter(F.col("id") <= 40, "sample"), t.filter(F.col("id") > 60, "sample")
-    joined = high.concat(low)
+    joined = t.filter(F.col("id") > 40, "sample").concat(t.filter(F.col("id") <= 40, "sample"))
     return joined.cells.join(joined.samp.select(F.col("id").alias("samp_id"), "ord"), "samp_id")
 
 
@@ -296,20 +297,18 @@ def collapse_min_group_size(spark: SparkSession, d: str) -> DataFrame:
     return sales(spark, d).collapse(F.col("md.brand"), "observation", norm=False, min_group_size=80).cells
 
 
-@_query
-def collapse_median(spark: SparkSession, d: str) -> DataFrame:
-    return sales(spark, d).collapse(F.col("md.type"), "observation", how=F.median, norm=False).cells
+def _collapse(name: str, how, **options) -> None:
+    _QUERIES[name] = lambda spark, d: sales(spark, d).collapse(F.col("md.type"), "observation", how=how, norm=False, **options).cells.select("obs_id", "samp_id", F.round("value", 6).alias("value"))
 
 
-@_query
-def collapse_zero_aware(spark: SparkSession, d: str) -> DataFrame:
-    t = sales(spark, d).filter(F.col("md.size") <= 20, "observation")
-    return t.collapse(F.col("md.type"), "observation", how=lambda v: F.percentile(v, 0.9), norm=False, zeros=True).cells
-
-
-@_query
-def collapse_max(spark: SparkSession, d: str) -> DataFrame:
-    return sales(spark, d).collapse(F.col("md.type"), "observation", how=F.max, norm=False).cells
+_collapse("collapse_median", "median")
+_collapse("collapse_percentile", "percentile:0.99")
+_collapse("collapse_max", "max")
+_collapse("collapse_min", "min")
+_collapse("collapse_mean", "mean")
+_collapse("collapse_count", "count")
+_collapse("collapse_callable", lambda values: float(values.max() - values.mean()))
+_collapse("collapse_nonzero_median", F.median, nonzeros=True)
 
 
 @_query
@@ -352,7 +351,7 @@ def pairwise_dot(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def reduce_fold(spark: SparkSession, d: str) -> DataFrame:
-    return sales(spark, d, "R").reduce(lambda a, b: F.greatest(a, b), "sample", column=True)
+    return sales(spark, d).reduce(lambda a, b: F.greatest(a, b), "sample", column=True)
 
 
 @_query
@@ -362,13 +361,13 @@ def summary_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def summary_stats_binary(spark: SparkSession, d: str) -> DataFrame:
-    s = sales(spark, d, "R").summary("observation", binary=True)
+    s = sales(spark, d).summary("observation", binary=True)
     return s.select("mn", "mx", "med", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "total")
 
 
 @_query
 def positions(spark: SparkSession, d: str) -> DataFrame:
-    return sales(spark, d).filter(F.col("md.size") % 7 == 0, "observation").positions("observation")
+    return sales(spark, d).positions("observation")
 
 
 @_query
@@ -383,7 +382,7 @@ def subsample_with_replacement(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def subsample_by_hash(spark: SparkSession, d: str) -> DataFrame:
-    return sales(spark, d, "R").subsample_by_hash(1000, seed=3).cells
+    return sales(spark, d).subsample_by_hash(1000, seed=3).cells
 
 
 @_query
@@ -398,47 +397,6 @@ def table_files_validated(spark: SparkSession, d: str) -> DataFrame:
     return validate_documents(_read(spark, d, "table_files"), "file_id", "body").distinct()
 
 
-def _whole(name: str, f: Callable[[MatrixTable], DataFrame]) -> None:
-    """Registers an operator over the whole matrix, beside its query over a part of it."""
-    _QUERIES[f"{name}_whole"] = lambda spark, d: f(sales(spark, d))
-
-
-_whole("sum_observation", lambda t: t.sum("observation").withColumnRenamed("id", "obs_id"))
-_whole("min_observation", lambda t: t.min("observation"))
-_whole("max_observation", lambda t: t.max("observation"))
-_whole("nonzero_counts_observation", lambda t: t.nonzero_counts("observation"))
-_whole("vector_dense", lambda t: t.data(7, "sample").select("id", "value"))
-_whole("reduce_fold", lambda t: t.reduce(lambda a, b: F.greatest(a, b), "sample", column=True))
-_whole("summary_stats_binary", lambda t: t.summary("observation", binary=True).select("mn", "mx", "med", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "total"))
-_whole("positions", lambda t: t.positions("observation"))
-_whole("subsample_by_hash", lambda t: t.subsample_by_hash(1000, seed=3).cells)
-_whole("collapse_zero_aware", lambda t: t.collapse(F.col("md.type"), "observation", how=lambda v: F.percentile(v, 0.9), norm=False, zeros=True).cells)
-
-
-def _sold(spark: SparkSession, d: str) -> tuple[MatrixTable, MatrixTable]:
-    """The lines of two return flags, each on the ids it holds."""
-    return sales(spark, d, "A").remove_empty(), sales(spark, d, "N").remove_empty()
-
-
-@_query
-def merge_intersection_whole(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _sold(spark, d)
-    return a.merge(b, sample="intersection", observation="intersection").cells
-
-
-@_query
-def merge_metadata_whole(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _sold(spark, d)
-    return a.merge(b).obs.select("id", "ord", "md.brand")
-
-
-@_query
-def concat_samples_whole(spark: SparkSession, d: str) -> DataFrame:
-    t = sales(spark, d)
-    joined = t.filter(F.col("id") > 40, "sample").concat(t.filter(F.col("id") <= 40, "sample"))
-    return joined.cells.join(joined.samp.select(F.col("id").alias("samp_id"), "ord"), "samp_id")
-
-
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 _SALES = "cells AS (SELECT l_partkey AS obs_id, l_suppkey AS samp_id, SUM(l_quantity) AS value FROM lineitem{where} GROUP BY l_partkey, l_suppkey)"
 CELLS = "WITH " + _SALES.format(where="") + " "
-CELLS_R = "WITH " + _SALES.format(where=" WHERE l_returnflag = 'R'") + " "
-CELLS_A = "WITH " + _SALES.format(where=" WHERE l_returnflag = 'A'") + " "
 SENT = "WITH once AS (SELECT DISTINCT cell_id, obs_id, samp_id, value FROM cells) "
-HALVES = """WITH a AS (SELECT l_partkey AS obs_id, l_suppkey AS samp_id, l_quantity AS value FROM lineitem
-  WHERE l_returnflag = 'A' AND l_suppkey % 3 <> 0 AND l_partkey % 2 = 0),
-b AS (SELECT l_partkey AS obs_id, l_suppkey AS samp_id, l_quantity AS value FROM lineitem
-  WHERE l_returnflag = 'N' AND l_suppkey % 3 <> 1 AND l_partkey % 5 <> 0) """
+_DENSE = (
+    "SELECT * FROM (SELECT p_type AS obs_id, s_suppkey AS samp_id, ROUND(CAST({f} AS DOUBLE), 6) AS value FROM part CROSS JOIN supplier "
+    "LEFT JOIN cells ON obs_id = p_partkey AND samp_id = s_suppkey GROUP BY 1, 2) x WHERE value <> 0"
+)
+_SOLD = "SELECT DISTINCT {id} FROM lineitem WHERE l_returnflag {of} 'R'"
 
 
 def _rank(expression: str) -> str:
@@ -36,13 +35,13 @@ ORACLES: dict[str, str] = {
     "cells_from_events": "SELECT user_id AS obs_id, event_type AS samp_id, CAST(COUNT(*) AS DOUBLE) AS value FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2",
     "cells_sent_once": SENT + "SELECT obs_id, samp_id, ROUND(SUM(value), 6) AS value FROM once GROUP BY obs_id, samp_id HAVING SUM(value) <> 0",
     "sum_sample": CELLS + "SELECT s_suppkey AS samp_id, COALESCE(SUM(value), 0.0) AS total FROM supplier LEFT JOIN cells ON samp_id = s_suppkey GROUP BY s_suppkey",
-    "sum_observation": CELLS_R + "SELECT p_partkey AS obs_id, COALESCE(SUM(value), 0.0) AS total FROM part LEFT JOIN cells ON obs_id = p_partkey GROUP BY p_partkey",
+    "sum_observation": CELLS + "SELECT p_partkey AS obs_id, COALESCE(SUM(value), 0.0) AS total FROM part LEFT JOIN cells ON obs_id = p_partkey GROUP BY p_partkey",
     "sum_whole": "SELECT SUM(l_quantity) AS total FROM lineitem",
     "sum_sample_with_empty": SENT + "SELECT s.id AS samp_id, ROUND(COALESCE(SUM(value), 0.0), 6) AS total FROM (SELECT DISTINCT id FROM samp) s LEFT JOIN once ON samp_id = s.id GROUP BY s.id",
     "min_max_nnz_sample": CELLS + "SELECT s_suppkey AS samp_id, MIN(value) AS mn, MAX(value) AS mx, COUNT(value) AS nnz FROM supplier LEFT JOIN cells ON samp_id = s_suppkey GROUP BY s_suppkey",
-    "min_observation": CELLS_R + "SELECT p_partkey AS id, MIN(value) AS least FROM part LEFT JOIN cells ON obs_id = p_partkey GROUP BY p_partkey",
-    "max_observation": CELLS_R + "SELECT p_partkey AS id, MAX(value) AS most FROM part LEFT JOIN cells ON obs_id = p_partkey GROUP BY p_partkey",
-    "nonzero_counts_observation": CELLS_A + "SELECT p_partkey AS id, CAST(COUNT(value) AS DOUBLE) AS n FROM part LEFT JOIN cells ON obs_id = p_partkey GROUP BY p_partkey",
+    "min_observation": CELLS + "SELECT p_partkey AS id, MIN(value) AS least FROM part LEFT JOIN cells ON obs_id = p_partkey GROUP BY p_partkey",
+    "max_observation": CELLS + "SELECT p_partkey AS id, MAX(value) AS most FROM part LEFT JOIN cells ON obs_id = p_partkey GROUP BY p_partkey",
+    "nonzero_counts_observation": CELLS + "SELECT p_partkey AS id, CAST(COUNT(value) AS DOUBLE) AS n FROM part LEFT JOIN cells ON obs_id = p_partkey GROUP BY p_partkey",
     "density": CELLS + "SELECT (SELECT COUNT(*) FROM cells) / CAST((SELECT COUNT(*) FROM part) * (SELECT COUNT(*) FROM supplier) AS DOUBLE) AS density",
     "norm_sample": CELLS + "SELECT obs_id, samp_id, value / SUM(value) OVER (PARTITION BY samp_id) AS value FROM cells",
     "norm_observation": CELLS + "SELECT obs_id, samp_id, value / SUM(value) OVER (PARTITION BY obs_id) AS value FROM cells",
@@ -65,7 +64,7 @@ ORACLES: dict[str, str] = {
     + ", t AS (SELECT obs_id, samp_id, value - 27 AS value FROM cells WHERE value <> 27), s AS (SELECT t.* FROM t WHERE samp_id IN (SELECT samp_id FROM t GROUP BY samp_id HAVING SUM(value) > 0)) "
     "SELECT obs_id, samp_id, value FROM s WHERE obs_id IN (SELECT obs_id FROM s GROUP BY obs_id HAVING SUM(value) > 0)",
     "head_5x5": CELLS + "SELECT obs_id, samp_id, value FROM cells WHERE obs_id IN (SELECT p_partkey FROM part ORDER BY 1 LIMIT 5) AND samp_id IN (SELECT s_suppkey FROM supplier ORDER BY 1 LIMIT 5)",
-    "vector_dense": CELLS_R + "SELECT p_partkey AS id, COALESCE(value, 0.0) AS value FROM part LEFT JOIN cells ON obs_id = p_partkey AND samp_id = 7",
+    "vector_dense": CELLS + "SELECT p_partkey AS id, COALESCE(value, 0.0) AS value FROM part LEFT JOIN cells ON obs_id = p_partkey AND samp_id = 7",
     "value_by_ids": CELLS
     + ", k(obs_id, samp_id) AS (VALUES (CAST(1 AS BIGINT), CAST(1 AS BIGINT)), (2, 3), (9, 9)) SELECT k.obs_id, k.samp_id, COALESCE(value, 0.0) AS value FROM k LEFT JOIN cells c ON c.obs_id = k.obs_id AND c.samp_id = k.samp_id",
     "nonzero": CELLS + "SELECT obs_id, samp_id FROM cells",
@@ -73,12 +72,15 @@ ORACLES: dict[str, str] = {
     "update_ids": CELLS + "SELECT obs_id, 'sup-' || CAST(samp_id AS VARCHAR) AS samp_id, value FROM cells",
     "metadata_added": "SELECT s_suppkey AS id, s_nationkey AS nation, n_name AS nation_name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey",
     "metadata_dropped": "SELECT p_partkey AS id, p_brand AS brand, p_size AS size FROM part",
-    "merge_union": "SELECT l_partkey AS obs_id, l_suppkey AS samp_id, SUM(l_quantity) AS value FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY 1, 2",
-    "merge_intersection": HALVES
-    + "SELECT obs_id, samp_id, SUM(value) AS value FROM (SELECT * FROM a UNION ALL SELECT * FROM b) u WHERE samp_id % 3 = 2 AND obs_id % 2 = 0 AND obs_id % 5 <> 0 GROUP BY 1, 2",
-    "merge_metadata": "SELECT p_partkey AS id, ROW_NUMBER() OVER (ORDER BY p_partkey % 2, p_partkey) - 1 AS ord, p_brand AS brand FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 5 <> 0",
+    "merge_union": CELLS + "SELECT obs_id, samp_id, value FROM cells",
+    "merge_intersection": "SELECT l_partkey AS obs_id, l_suppkey AS samp_id, SUM(l_quantity) AS value FROM lineitem WHERE TRUE"
+    + "".join(f" AND {i} IN ({_SOLD.format(id=i, of=of)})" for i in ("l_partkey", "l_suppkey") for of in ("=", "<>"))
+    + " GROUP BY 1, 2",
+    "merge_metadata": "SELECT p_partkey AS id, ROW_NUMBER() OVER (ORDER BY s.a = 0, p_partkey) - 1 AS ord, p_brand AS brand FROM part "
+    "JOIN (SELECT l_partkey, MAX(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS a FROM lineitem GROUP BY 1) s ON l_partkey = p_partkey",
+    "merge_sorted": "SELECT l_partkey AS id, ROW_NUMBER() OVER (ORDER BY l_partkey) - 1 AS ord FROM (SELECT DISTINCT l_partkey FROM lineitem) s",
     "concat_samples": CELLS
-    + ", o AS (SELECT s_suppkey, ROW_NUMBER() OVER (ORDER BY s_suppkey <= 40, s_suppkey) - 1 AS ord FROM supplier WHERE s_suppkey <= 40 OR s_suppkey > 60) "
+    + ", o AS (SELECT s_suppkey, ROW_NUMBER() OVER (ORDER BY s_suppkey <= 40, s_suppkey) - 1 AS ord FROM supplier) "
     "SELECT obs_id, samp_id, value, ord FROM cells JOIN o ON s_suppkey = samp_id",
     "align_to": "SELECT s_suppkey AS id, ROW_NUMBER() OVER (ORDER BY s_suppkey DESC) - 1 AS pos FROM supplier",
     "sort_order": CELLS + ", o(samp_id, ord) AS (VALUES (9, CAST(0 AS BIGINT)), (2, 1), (5, 2)) SELECT obs_id, cells.samp_id, value, ord FROM cells JOIN o ON o.samp_id = cells.samp_id",
@@ -92,11 +94,14 @@ ORACLES: dict[str, str] = {
     "FROM cells JOIN supplier s ON s_suppkey = samp_id JOIN k ON k.s_nationkey = s.s_nationkey GROUP BY 1, 2",
     "collapse_min_group_size": CELLS
     + "SELECT p_brand AS obs_id, samp_id, SUM(value) AS value FROM cells JOIN part ON p_partkey = obs_id WHERE p_brand IN (SELECT p_brand FROM part GROUP BY 1 HAVING COUNT(*) >= 80) GROUP BY 1, 2",
-    "collapse_median": CELLS + "SELECT p_type AS obs_id, samp_id, CAST(MEDIAN(value) AS DOUBLE) AS value FROM cells JOIN part ON p_partkey = obs_id GROUP BY 1, 2",
-    "collapse_zero_aware": CELLS
-    + "SELECT * FROM (SELECT p_type AS obs_id, s_suppkey AS samp_id, CAST(QUANTILE_CONT(COALESCE(value, 0.0), 0.9) AS DOUBLE) AS value FROM part CROSS JOIN supplier "
-    "LEFT JOIN cells ON obs_id = p_partkey AND samp_id = s_suppkey WHERE p_size <= 20 GROUP BY 1, 2) x WHERE value <> 0",
-    "collapse_max": CELLS + "SELECT p_type AS obs_id, samp_id, MAX(value) AS value FROM cells JOIN part ON p_partkey = obs_id GROUP BY 1, 2",
+    "collapse_median": CELLS + _DENSE.format(f="MEDIAN(COALESCE(value, 0.0))"),
+    "collapse_percentile": CELLS + _DENSE.format(f="QUANTILE_CONT(COALESCE(value, 0.0), 0.99)"),
+    "collapse_max": CELLS + _DENSE.format(f="MAX(COALESCE(value, 0.0))"),
+    "collapse_min": CELLS + _DENSE.format(f="MIN(COALESCE(value, 0.0))"),
+    "collapse_mean": CELLS + _DENSE.format(f="AVG(COALESCE(value, 0.0))"),
+    "collapse_count": CELLS + _DENSE.format(f="COUNT(value)"),
+    "collapse_callable": CELLS + _DENSE.format(f="MAX(COALESCE(value, 0.0)) - AVG(COALESCE(value, 0.0))"),
+    "collapse_nonzero_median": CELLS + "SELECT p_type AS obs_id, samp_id, ROUND(CAST(MEDIAN(value) AS DOUBLE), 6) AS value FROM cells JOIN part ON p_partkey = obs_id GROUP BY 1, 2",
     "collapse_one_to_many_add": _bins("SUM(value)"),
     "collapse_one_to_many_divide": _bins("ROUND(SUM(value / n), 6)"),
     "collapse_levels": CELLS
@@ -108,31 +113,10 @@ ORACLES: dict[str, str] = {
     "SELECT label, COUNT(*) AS members, CAST(COALESCE(SUM(c), 0) AS BIGINT) AS cells, COALESCE(SUM(s), 0.0) AS total FROM p LEFT JOIN v ON obs_id = p_partkey GROUP BY label",
     "pairwise_ids": "SELECT a.s_suppkey AS i, b.s_suppkey AS j FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey",
     "pairwise_dot": CELLS + "SELECT a.samp_id AS i, b.samp_id AS j, SUM(a.value * b.value) AS dot, COUNT(*) AS shared FROM cells a JOIN cells b ON a.obs_id = b.obs_id AND a.samp_id < b.samp_id GROUP BY 1, 2",
-    "reduce_fold": CELLS_R + "SELECT s_suppkey AS id, COALESCE(MAX(value), 0.0) AS value FROM supplier LEFT JOIN cells ON samp_id = s_suppkey GROUP BY 1",
+    "reduce_fold": CELLS + "SELECT s_suppkey AS id, COALESCE(MAX(value), 0.0) AS value FROM supplier LEFT JOIN cells ON samp_id = s_suppkey GROUP BY 1",
     "summary_stats": CELLS + ", t AS (SELECT COALESCE(SUM(value), 0.0) AS n FROM supplier LEFT JOIN cells ON samp_id = s_suppkey GROUP BY s_suppkey) " + _STATS,
-    "summary_stats_binary": CELLS_R + ", t AS (SELECT CAST(COUNT(value) AS DOUBLE) AS n FROM part LEFT JOIN cells ON obs_id = p_partkey GROUP BY p_partkey) " + _STATS,
-    "positions": "SELECT p_partkey AS id, ROW_NUMBER() OVER (ORDER BY p_partkey) - 1 AS pos FROM part WHERE p_size % 7 = 0",
-}
-
-
-#: The same over the whole matrix.
-ORACLES |= {
-    f"{name}_whole": CELLS + ORACLES[name].removeprefix(part)
-    for name, part in {
-        "sum_observation": CELLS_R, "min_observation": CELLS_R, "max_observation": CELLS_R, "nonzero_counts_observation": CELLS_A,
-        "vector_dense": CELLS_R, "reduce_fold": CELLS_R, "summary_stats_binary": CELLS_R,
-    }.items()
-}
-_SOLD = "SELECT DISTINCT {id} FROM lineitem WHERE l_returnflag = '{flag}'"
-ORACLES |= {
-    "positions_whole": ORACLES["positions"].removesuffix(" WHERE p_size % 7 = 0"),
-    "collapse_zero_aware_whole": ORACLES["collapse_zero_aware"].replace(" WHERE p_size <= 20", ""),
-    "concat_samples_whole": ORACLES["concat_samples"].replace(" WHERE s_suppkey <= 40 OR s_suppkey > 60", ""),
-    "merge_intersection_whole": "SELECT l_partkey AS obs_id, l_suppkey AS samp_id, SUM(l_quantity) AS value FROM lineitem WHERE l_returnflag IN ('A', 'N')"
-    + "".join(f" AND {i} IN ({_SOLD.format(id=i, flag=f)})" for i in ("l_partkey", "l_suppkey") for f in "AN")
-    + " GROUP BY 1, 2",
-    "merge_metadata_whole": "SELECT p_partkey AS id, ROW_NUMBER() OVER (ORDER BY s.a = 0, p_partkey) - 1 AS ord, p_brand AS brand FROM part "
-    "JOIN (SELECT l_partkey, COUNT(*) FILTER (WHERE l_returnflag = 'A') AS n, LEAST(n, 1) AS a FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY 1) s ON l_partkey = p_partkey",
+    "summary_stats_binary": CELLS + ", t AS (SELECT CAST(COUNT(value) AS DOUBLE) AS n FROM part LEFT JOIN cells ON obs_id = p_partkey GROUP BY p_partkey) " + _STATS,
+    "positions": "SELECT p_partkey AS id, ROW_NUMBER() OVER (ORDER BY p_partkey) - 1 AS pos FROM part",
 }
 
 

@@ -48,10 +48,11 @@ def test_samples_are_whole(spark, data):
         matrix.queries()[name](spark, data).count()
 
 
-def test_operators_run_on_the_whole_matrix(spark, data):
-    """The queries over a part of the matrix have one over all of it, with SQL unless it draws."""
-    parts = "merge_intersection merge_metadata positions concat_samples collapse_zero_aware sum_observation min_observation max_observation vector_dense reduce_fold summary_stats_binary nonzero_counts_observation"
-    assert {f"{p}_whole" for p in parts.split()} <= set(entry.oracle_sql()) & set(entry.queries())
-    assert not any(x in entry.oracle_sql()[f"{p}_whole"] for p in parts.split() for x in ("'R'", "% 3", "% 7", "<= 20"))
-    rows = matrix.queries()["subsample_by_hash_whole"](spark, data).groupBy("samp_id").sum("value").collect()
-    assert rows and all(r[1] <= 1000 for r in rows)
+def test_a_broken_import_is_reported(monkeypatch):
+    def broken(name):
+        raise ModuleNotFoundError(name="numpy" if name.endswith("queries") else name)
+
+    monkeypatch.setattr(entry.importlib, "import_module", broken)
+    assert entry._llm("sql") is None
+    with pytest.raises(ModuleNotFoundError):
+        entry.queries()

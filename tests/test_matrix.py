@@ -283,8 +283,18 @@ def test_collapse(spark, example):
     assert ids(example.collapse(F.col("md.environment"), min_group_size=2)) == ["A"]
     wide = make(spark, [[1, 4, 6], [0, 0, 9], [2.5, 1, 1]], ["a", "b", "c"], ["x", "y", "z"])
     label = F.when(F.col("id") < "c", "g").otherwise("h")
-    assert dense(wide.collapse(label, "observation", how=F.median, norm=False, zeros=True)) == [[0.5, 2, 7.5], [2.5, 1, 1]]
-    assert dense(wide.collapse(label, "observation", how=F.max, norm=False)) == [[1, 4, 9], [2.5, 1, 1]]
+    for how in ("median", np.median):
+        assert dense(wide.collapse(label, "observation", how=how, norm=False)) == [[0.5, 2, 7.5], [2.5, 1, 1]]
+    assert dense(wide.collapse(label, "observation", how=F.median, norm=False, nonzeros=True)) == [[1, 4, 7.5], [2.5, 1, 1]]
+    assert dense(wide.collapse(label, "observation", how="max", norm=False)) == [[1, 4, 9], [2.5, 1, 1]]
+    assert dense(wide.collapse(label, "observation", how="percentile:0.25", norm=False)) == [[0.25, 1, 6.75], [2.5, 1, 1]]
+    below = make(spark, [[-1, 4], [0, 0], [-3, 0]], ["a", "b", "c"], ["x", "y"])
+    for how, expected in (("median", [-1, 0]), ("min", [-3, 0]), ("max", [0, 4]), ("mean", [-4 / 3, 4 / 3]), ("count", [2, 1]), (lambda v: v[0] + 10 * v[2], [-31, 4])):
+        assert dense(below.collapse(F.lit("g"), "observation", how=how, norm=False)) == [pytest.approx(expected)]
+    # zeros do not give zero, so vectors without cells have a value too
+    assert dense(make(spark, [[0, 4], [0, 0]], ["a", "b"], ["x", "y"]).collapse(F.lit("g"), "observation", how=lambda v: (v == 0).sum(), norm=False)) == [[2, 1]]
+    with pytest.raises(ValueError):
+        wide.collapse(label, "observation", how="mode")
     # members without cells count in the divisor
     sparse = make(spark, [[4, 0], [0, 0]], ["a", "b"], ["x", "y"])
     assert dense(sparse.collapse(F.lit("g"), "observation")) == [[2, 0]]
