@@ -258,7 +258,8 @@ def look_alike_pairs(docs: DataFrame, doc: str = "doc_id", text: str = "text") -
     for side in "ab":
         pairs = pairs.join(blocks.select(F.col("raw").alias(f"raw_{side}"), F.col("part").alias(f"part_{side}"), F.col("ids").alias(f"ids_{side}")), [f"raw_{side}", f"part_{side}"])
     found = pairs.select(F.explode("ids_a").alias("x"), "ids_b").select("x", F.explode("ids_b").alias("y"))
-    return found.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
+    # a document that came with two texts is no pair, and may give one twice
+    return found.where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
 
 
 def look_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

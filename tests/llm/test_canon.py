@@ -74,6 +74,29 @@ def test_pairs(spark):
     assert df.select(canonical_text("text").alias("c")).where("c is null").count() == 1
 
 
+def test_split_forms_and_classes(spark, monkeypatch):
+    """Parts of forms and of their documents give the same pairs."""
+    monkeypatch.setattr(canon, "PART_DOCS", 3)
+    monkeypatch.setattr(canon, "PART_FORMS", 2)
+    texts = ["ab"] * 10 + ["аb"] * 7 + ["a\u200bb", "ａb", "ａ\u200bb", "аｂ"] + ["cd"] * 5 + ["ａb"]
+    df = spark.createDataFrame([(t, d) for d, t in enumerate(texts)], "text string, doc_id long")
+    got = [tuple(r) for r in look_alike_pairs(df).collect()]
+    expected = {(a, b) for (a, x), (b, y) in combinations(enumerate(texts), 2) if x != y and one(x) == one(y)}
+    assert set(got) == expected and len(got) == len(expected)
+
+
+def test_many_copies_of_one_form(spark):
+    """Copies are not compared with each other: 100,000 of them and one variant."""
+    df = spark.range(100_000).selectExpr("id as doc_id", "'stock reply' as text").unionByName(spark.createDataFrame([(-1, "stock reply\u200b")], "doc_id long, text string"))
+    pairs = look_alike_pairs(df)
+    assert pairs.count() == 100_000 and pairs.where("doc_a <> -1").count() == 0
+
+
+def test_document_with_two_texts(spark):
+    df = spark.createDataFrame([(1, "ab"), (1, "a\u200bb"), (2, "аb")], "doc_id long, text string")
+    assert [tuple(r) for r in look_alike_pairs(df).collect()] == [(1, 2)]
+
+
 def test_tables_are_made_by_rule():
     t = canon.tables()
     assert len(t["keys"]) > 11_000 and (t["length"] == 0).sum() > 100

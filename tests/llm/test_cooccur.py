@@ -27,7 +27,7 @@ def plain(rows, least, lift):
 
 def run(spark, rows, least, lift):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
-    got = cooccurrence(df, min_count=least, min_lift=lift).select("item_a", "item_b", "n_ab", "n_a", "n_b", "n").collect()
+    got = cooccurrence(df, min_count=least, min_lift=lift, min_llr=0.0).select("item_a", "item_b", "n_ab", "n_a", "n_b", "n").collect()
     assert len(got) == len({tuple(r) for r in got})
     return {tuple(r) for r in got}
 
@@ -79,3 +79,26 @@ def test_all_pairs_are_registered(spark, tmp_path):
     expected = plain(rows, 1, 0.0)
     assert set(got) == expected and len(got) == len(expected)
     assert min(r[2] for r in expected) == 1 and any("hot" in r[:2] for r in expected)
+
+
+def test_significance(spark):
+    """Pairs under the bound are left out, and only those; no pair of p5_found is under it."""
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows_of(6)], SCHEMA)
+    every = {tuple(r) for r in cooccurrence(df, min_count=2, min_lift=1.0, min_llr=0.0).collect()}
+    kept = {tuple(r) for r in cooccurrence(df, min_count=2, min_lift=1.0).collect()}
+    assert kept == {r for r in every if r[-1] >= 10.83} and 0 < len(kept) < len(every)
+    for k in (12, 30, 500):
+        for lift in (8.0, 20.0):
+            for share in (1.0, 2.0, 10.0):  # n(a) = k * share and so on
+                na = nb = k * share
+                n = lift * na * nb / k
+                if n < na + nb:
+                    continue
+                cells = [(k, na, nb), (na - k, na, n - nb), (nb - k, n - na, nb), (n - na - nb + k, n - na, n - nb)]
+                assert 2 * sum(o * math.log(o * n / (r * c)) for o, r, c in cells if o > 0) >= 28.9
+
+
+def test_stripe_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(cooccur, "PARTS", 3)
+    rows = rows_of(7)
+    assert run(spark, rows, 1, 0.0) == plain(rows, 1, 0.0)

@@ -4,10 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparrix.llm import mix, pack
+from sparrix.llm import mix, pack, stable
 from sparrix.llm.mix import SourceMix, block_pieces, permuted, quotas, shard_counts
 from sparrix.llm.pack import configurations, knapsack, pack_all, plan_containers
-from sparrix.llm.stable import StableSample
+from sparrix.llm.stable import StableSample, lost_keys
 from sparrix.llm.tokens import FOLDER, count_tokens, token_counts
 
 # -- stable samples
@@ -22,34 +22,53 @@ def chosen(sample):
     return {r["key"] for r in sample.sample().collect()}
 
 
+def sampled(df, **options):
+    return StableSample(df, "id", F.col("site"), "load_no", **{"rate": 0.1, "rates": {"rare": 0.6, None: 0.3}} | options)
+
+
 def test_sample_only_grows(spark):
     df, before = keys(spark), set()
     for load in range(1, 6):
-        now = chosen(StableSample(df.where(F.col("load_no") <= load), "id", F.col("site"), "load_no", at_least=10))
+        now = chosen(sampled(df.where(F.col("load_no") <= load)))
         assert before <= now and now
         before = now
-    shuffled = chosen(StableSample(df.orderBy(F.rand(1)).repartition(7), "id", F.col("site"), "load_no", at_least=10))
-    assert shuffled == before
-    rates = {r["stratum"]: (r["threshold"], r["keys"], r["chosen"]) for r in StableSample(df, "id", F.col("site"), "load_no", at_least=10).thresholds().collect()}
-    assert rates["rare"][2] >= 5 and rates["s1"][0] == pytest.approx(max(0.1, 10 / rates["s1"][1] * 1), rel=5) and None in rates
+    assert chosen(sampled(df.orderBy(F.rand(1)).repartition(7))) == before
+    rates = {r["stratum"]: (r["threshold"], r["keys"], r["chosen"]) for r in sampled(df).thresholds().collect()}
+    assert rates["rare"][0] == 0.6 and rates[None][0] == 0.3 and rates["s1"][0] == 0.1 and rates["rare"][2] >= 5
     assert sum(r[2] for r in rates.values()) == len(before)
-    other = chosen(StableSample(df, "id", F.col("site"), "load_no", at_least=10, salt="other"))
-    assert other != before
+    assert chosen(sampled(df, salt="other")) != before
+    assert lost_keys(df, [1, 2, 3, 4, 5], "load_no", sampled).count() == 0
+
+
+def test_late_and_resent_rows_lose_nothing(spark):
+    """Many rows of an old or no delivery arrive late, and ids come again in another stratum."""
+    df = spark.createDataFrame([(f"k{i}", "s", 1 + i % 3) for i in range(200)], "id string, site string, load_no int")
+    before = chosen(sampled(df))
+    late = [(f"x{i}", "s", (None, 1, 3)[i % 3]) for i in range(3000)]
+    resent = [(f"k{i}", (None, "t", "rare")[i % 3], 4) for i in range(200)]
+    more = df.unionByName(spark.createDataFrame(late + resent, df.schema))
+    assert before and before <= chosen(sampled(more))
+    # an id without a stratum at first, of a high rate, and later with one of a low rate
+    first = spark.createDataFrame([(f"n{i}", None, 1) for i in range(60)], df.schema)
+    again = first.unionByName(spark.createDataFrame([(f"n{i}", "s", 2) for i in range(60)], df.schema))
+    assert chosen(sampled(first)) and chosen(sampled(first)) <= chosen(sampled(again))
 
 
-def test_thresholds_are_never_lowered(spark):
+def test_thresholds_are_never_lowered(spark, monkeypatch):
     df = keys(spark)
-    high = StableSample(df.where("load_no = 1"), "id", F.col("site"), "load_no", rate=0.5)
-    later = StableSample(df, "id", F.col("site"), "load_no", rate=0.01, at_least=0, earlier=high.thresholds())
-    assert chosen(high) <= chosen(later)
-    by_name = StableSample(df, "id", F.col("site"), "load_no", rate=0.0, rates={"s1": 1.0}, at_least=0)
-    assert chosen(by_name) == {r["id"] for r in df.where("site = 's1' and id is not null").collect()}
-    assert chosen(StableSample(df.limit(0), "id", F.col("site"), "load_no")) == set()
+    high = sampled(df.where("load_no = 1"), rate=0.5, rates={})
+    for bound in (50_000, 0):  # broadcast, and joined in parts
+        monkeypatch.setattr(stable, "BROADCAST_STRATA", bound)
+        later = sampled(df, rate=0.01, rates={}, earlier=high.thresholds())
+        assert chosen(high) <= chosen(later)
+        assert {r["threshold"] for r in later.thresholds().collect()} == {0.5}
+    assert chosen(sampled(df, rate=0.0, rates={"s1": 1.0})) == {r["id"] for r in df.where("site = 's1' and id is not null").collect()}
+    assert chosen(sampled(df.limit(0))) == set()
 
 
 def test_key_with_several_strata(spark):
     df = spark.createDataFrame([("a", "x", 1), ("a", "y", 1)], "id string, site string, load_no int")
-    assert chosen(StableSample(df, "id", F.col("site"), "load_no", rate=0.0, rates={"y": 1.0}, at_least=0)) == {"a"}
+    assert chosen(sampled(df, rate=0.0, rates={"y": 1.0})) == {"a"}
 
 
 # -- packing
