@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -84,11 +85,13 @@ def merged_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
     return _least(hashes, by, SKETCH, "h").groupBy(*by).agg(F.collect_set("h").alias("sketch"))
 
 
+@lru_cache(1 << 14)
 def name_tokens(name: str) -> set[str]:
     """The words of a field name, in any of the usual spellings."""
     return {x.lower() for x in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", name)}
 
 
+@lru_cache(1 << 16)
 def name_similarity(a: str, b: str) -> float:
     """Mean of the overlap of words and of letter pairs; 1 for names that differ in spelling only."""
 

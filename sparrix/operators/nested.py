@@ -212,8 +212,14 @@ class Nodes:
     size: list[int] = field(default_factory=list)
     name: list[str | None] = field(default_factory=list)
     value: list[object] = field(default_factory=list)
-    vectors: list[dict[str, np.ndarray]] = field(default_factory=list)
-    count: int = 0
+    #: Of each list of vectors: record, numbers before it, parent, types, and how many there are; then their lengths and entries.
+    vectors: list[tuple[int, ...]] = field(default_factory=list)
+    lengths: list[int] = field(default_factory=list)
+    entries: list[float] = field(default_factory=list)
+
+    @property
+    def count(self) -> int:
+        return len(self.pre) + len(self.lengths) + len(self.entries)
 
 
 class Walker:
@@ -294,60 +300,54 @@ class Walker:
             stack.append(row)
             below.reverse()
             stack.extend(below)
-        n.count = len(n.pre) + sum(len(b["pre"]) for b in n.vectors)
 
     def _vectors(self, doc: int, value: list, kind: Kind, parent: int, pre: int, post: int) -> int:
-        """Labels vectors of numbers and their entries at once; the number of nodes, or 0 if there are other things in it."""
-        try:
-            lists = pa.array(value)
-            if not pa.types.is_list(lists.type) or not (pa.types.is_integer(lists.type.value_type) or pa.types.is_floating(lists.type.value_type)):
-                return 0
-            lists = lists.cast(pa.list_(pa.float64()))  # fails for a number that is not exact as a float
-        except (pa.ArrowException, TypeError, ValueError, OverflowError):
+        """Keeps vectors of numbers to be labelled at once; the number of their nodes, or 0 if there are other things in it."""
+        if set(map(type, value)) != {list}:
             return 0
-        inner = kind.inner or self._inner(kind)
-        kept = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        size = np.diff(offsets)
-        row = np.repeat(np.arange(len(size)), size)
-        place = np.arange(len(row)) - offsets[row]
-        flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
-        there = flat.is_valid().to_numpy(zero_copy_only=False)
-        number = flat.to_numpy(zero_copy_only=False)[there]
-        row, place = row[there], place[there]
-        below = np.bincount(row, minlength=len(size))
-        vector_pre = pre + np.cumsum(1 + below[kept]) - 1 - below[kept]
-        vector_of = np.full(len(size), -1)
-        vector_of[kept] = np.arange(len(kept))
-        at = vector_of[row]
-        nth = np.arange(len(row)) - np.concatenate(([0], np.cumsum(below)))[row]
-        entry_pre = vector_pre[at] + 1 + nth
-        blocks = {
-            "pre": (vector_pre, entry_pre), "post": (vector_pre - pre + post + below[kept], entry_pre - 1 - pre + post), "parent": (np.full(len(kept), parent), vector_pre[at]),
-            "kind": (np.full(len(kept), kind.id), np.full(len(row), inner.id)), "place": (kept, place), "size": (size[kept], np.full(len(row), -1)),
-            "number": (np.full(len(kept), np.nan), number),
-        }
-        joined = {k: np.concatenate(v) for k, v in blocks.items()}
-        order = np.argsort(joined["pre"], kind="stable")
-        joined = {k: v[order] for k, v in joined.items()}
-        joined["doc"] = np.full(len(order), doc)
-        self.nodes.vectors.append(joined)
-        return len(order)
+        flat = [x for v in value for x in v]
+        if not set(map(type, flat)) <= {int, float}:
+            return 0
+        n = self.nodes
+        n.vectors.append((doc, pre, post, parent, kind.id, (kind.inner or self._inner(kind)).id, len(value)))
+        n.lengths.extend(map(len, value))
+        n.entries.extend(flat)
+        return len(value) + len(flat)
+
+
+def _floats(numbers: list[float]) -> np.ndarray:
+    try:
+        return np.array(numbers, np.float64)
+    except OverflowError:  # a whole number beyond all floats
+        return np.array([float(x) if abs(x) < 1e308 else float("inf") for x in numbers])
 
 
 class _Columns:
     """The nodes as arrays, those of vectors behind the others; ``number`` is NaN but for their entries."""
 
     def __init__(self, nodes: Nodes):
-        blocks = nodes.vectors
-
-        def column(name: str) -> np.ndarray:
-            return np.concatenate([np.array(getattr(nodes, name), np.int64), *[b[name] for b in blocks]])
-
-        self.doc, self.pre, self.post, self.parent, self.kind, self.place, self.size = (column(c) for c in ("doc", "pre", "post", "parent", "kind", "place", "size"))
         self.plain = len(nodes.pre)
-        self.number = np.concatenate([np.full(self.plain, np.nan), *[b["number"] for b in blocks]])
-        self.name, self.value = nodes.name, nodes.value
+        self.name, self.value, self.entries = nodes.name, nodes.value, nodes.entries
+        plain = {c: np.array(getattr(nodes, c), np.int64) for c in ("doc", "pre", "post", "parent", "kind", "place", "size")}
+        doc, pre, post, parent, kind, inner, count = np.array(nodes.vectors, np.int64).reshape(-1, 7).T
+        length = np.array(nodes.lengths, np.int64)
+        of = np.repeat(np.arange(len(doc)), count)  # the list of each vector
+        ends = np.cumsum(1 + length)
+        first = np.cumsum(count) - count
+        base = (ends - 1 - length)[np.minimum(first, max(len(length) - 1, 0))] if len(length) else np.zeros(len(doc), np.int64)
+        at = ends - 1 - length - base[of]  # place of a vector among the nodes of its list
+        vector = np.repeat(np.arange(len(length)), length)  # the vector of each entry
+        nth = np.arange(len(vector)) - np.repeat(np.cumsum(length) - length, length)
+        entry_at = at[vector] + 1 + nth
+        of_entry = of[vector]
+        more = {
+            "doc": (doc[of], doc[of_entry]), "pre": (pre[of] + at, pre[of_entry] + entry_at), "post": (post[of] + at + length, post[of_entry] + entry_at - 1),
+            "parent": (parent[of], pre[of_entry] + at[vector]), "kind": (kind[of], inner[of_entry]), "place": (np.arange(len(length)) - first[of], nth),
+            "size": (length, np.full(len(nth), -1)),
+        }
+        for c, x in plain.items():
+            setattr(self, c, np.concatenate((x, *more[c])))
+        self.number = np.concatenate((np.full(self.plain + len(length), np.nan), _floats(nodes.entries)))
 
     def of_kind(self, kind: int) -> np.ndarray:
         """Rows of a type, in the order of records and pre-order."""
@@ -567,10 +567,9 @@ def node_table(df: DataFrame, keys: list[str], body: str, shape: Shape | None =
         paths = pa.array([k.path for k in walker.kinds], pa.string())
         more = len(c.pre) - c.plain
         names = n.name + [None] * more
-        is_vector = c.size[c.plain :] >= 0
-        kinds = [kind_of(v) for v in n.value] + ["array" if x else "number" for x in is_vector]
+        kinds = [kind_of(v) for v in n.value] + ["array"] * len(n.lengths) + ["number"] * len(n.entries)
         values = [None if isinstance(v, dict) or isinstance(v, list) and not shape.whole else as_text(v) for v in n.value]
-        values += [None if x else _scalar_text(v) for x, v in zip(is_vector, c.number[c.plain :].tolist(), strict=True)]
+        values += [None] * len(n.lengths) + [_scalar_text(x) for x in n.entries]
         for lo in range(0, len(c.pre), NODES_AT_ONCE):
             part = slice(lo, lo + NODES_AT_ONCE)
             docs = pa.array(c.doc[part])
@@ -679,8 +678,8 @@ def table_relations(files: DataFrame, key: str = "file_id", body: str = "body")
 
 #: The flat tables by name: their positions, and the name of their item.
 TABLES = {
-    "row": (["row"], "id"), "column": (["column"], "id"), "taxon": (["row", "place"], "taxon"), "pathway": (["row", "path", "place"], "name"), "member": (["row"], "member"),
-    "run": (["column", "run_place"], "run"), "lane": (["column", "run_place", "lane_place"], "lane"), "cell": (["row", "column"], ""),
+    "row": (["row_pos"], "id"), "column": (["column_pos"], "id"), "taxon": (["row_pos", "place"], "taxon"), "pathway": (["row_pos", "path_pos", "place"], "name"), "member": (["row_pos"], "member"),
+    "run": (["column_pos", "run_pos"], "run"), "lane": (["column_pos", "run_pos", "lane_pos"], "lane"), "cell": (["row_pos", "column_pos"], ""),
 }
 
 
