@@ -3,11 +3,20 @@
 The texts of a source are laid end to end in hash order and cut into blocks of a fixed
 number of tokens; the place of a text comes from sums over hash buckets, so a source may
 hold any part of the data. A source's quota is its share of the total, at most its blocks
-times its cap. Source counts of the output shards are drawn as multinomial counts given
-the quotas (multivariate hypergeometric), so the drawn shares come out as planned instead
-of nearly so. Slot t of a source is block p(t mod n) of its n blocks, p a pseudorandom
-permutation of its own for each pass, so no block is used twice in one pass. Slots and
-blocks are joined by source and index.
+times its cap. The output is a row of shards of a fixed number of slots; each shard draws
+its source counts from the multinomial distribution of the quotas, with a seed of its own
+group of shards, so no task depends on another.
+
+Correction: drawn counts differ from the quotas by chance, by about the square root of a
+quota. When all shards have drawn, the drawn totals are known, one number for each source.
+A source drawn too often gives up exactly the slots beyond its quota, picked by a
+pseudorandom permutation of all its slots, so evenly over the shards; they go to the
+sources drawn too seldom. The shares are then those planned, and a shard's counts differ
+from a multinomial draw by a share of its slots that falls with the square root of the total.
+
+Slot t of a source is block p(t mod n) of its n blocks, p a pseudorandom permutation of its
+own for each pass, so no block is used twice in one pass. Slots and blocks are joined by
+source and index.
 
 The total is the largest at which all sources with any token reach their share, but not
 less than ``LEAST_TOTAL`` of the listed sources' blocks; below that, sources short of
@@ -21,19 +30,21 @@ null or negative shares and caps count as 0; repeated rows of an id count once.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparrix.runtime import materialize
 
 BLOCK_TOKENS = 256
-#: The shards are at most so many and hold at least so many blocks.
-MOST_SHARDS, SHARD_BLOCKS = 4096, 64
+#: Slots of a shard, and shards that are drawn together; both are fixed, so only their number grows.
+SHARD_BLOCKS, GROUP = 64, 256
 LEAST_TOTAL = 0.5
+#: Sources that may be listed: their table is held by every task.
+MOST_SOURCES = 10_000
 BUCKET_ROWS = 50_000
 ROUNDS = 4
 
@@ -83,19 +94,32 @@ def quotas(shares: dict[str, float], blocks: dict[str, int], caps: dict[str, int
     return {s: min(most[s], math.floor(x + 0.5)) for s, x in given.items()}
 
 
-def shard_counts(quota: dict[str, int], seed: int) -> list[tuple[int, str, int, int]]:
-    """``(shard, source, from, to)``: the slots of each source in each shard."""
-    names = sorted(quota)
-    left = np.array([quota[s] for s in names], np.int64)
-    total = int(left.sum())
-    shards = max(1, min(MOST_SHARDS, total // SHARD_BLOCKS))
-    rng, used, out = np.random.default_rng(seed), np.zeros(len(names), np.int64), []
-    for k in range(shards if total else 0):
-        size = (k + 1) * total // shards - k * total // shards
-        drawn = rng.multivariate_hypergeometric(left, size, method="marginals")
-        out += [(k, s, int(u), int(u + d)) for s, u, d in zip(names, used, drawn, strict=True) if d]
-        left, used = left - drawn, used + drawn
-    return out
+def drawn_counts(quota: np.ndarray, group: int, seed: int) -> np.ndarray:
+    """Source counts of the shards of a group: a row for each shard, a column for each source."""
+    total = int(quota.sum())
+    first = group * GROUP * SHARD_BLOCKS
+    sizes = np.minimum(SHARD_BLOCKS, np.maximum(0, total - first - np.arange(GROUP) * SHARD_BLOCKS))
+    sizes = sizes[sizes > 0]
+    rng = np.random.default_rng([seed, group])
+    return rng.multinomial(sizes, quota / total)
+
+
+def settled(source: np.ndarray, t: np.ndarray, quota: np.ndarray, drawn: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Source and number of each slot once drawn totals are brought to the quotas."""
+    over, under = np.maximum(0, drawn - quota), np.maximum(0, quota - drawn)
+    source, t = source.copy(), t.copy()
+    mine = np.flatnonzero(over[source] > 0)
+    s = source[mine]
+    place = permuted(t[mine], drawn[s], s.astype(np.int64) * 7919 + seed)
+    t[mine] = place
+    away = place >= quota[s]
+    given = mine[away]
+    rank = (np.cumsum(over) - over)[s[away]] + place[away] - quota[s[away]]
+    ends = np.cumsum(under)
+    to = np.searchsorted(ends, rank, side="right")
+    source[given] = to
+    t[given] = drawn[to] + rank - (ends[to] - under[to])
+    return source, t
 
 
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -129,7 +153,9 @@ class SourceMix:
 
     def __init__(self, sizes: DataFrame, targets: DataFrame, length: int = BLOCK_TOKENS, least_total: float = LEAST_TOTAL, seed: int = 7):
         self.spark, self.length, self.seed = sizes.sparkSession, length, seed
-        rows = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("w"), F.max("max_repeats").alias("r")).collect()
+        rows = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("w"), F.max("max_repeats").alias("r")).limit(MOST_SOURCES + 1).collect()
+        if len(rows) > MOST_SOURCES:
+            raise ValueError(f"more than {MOST_SOURCES} sources are listed")
         self.shares = {r["source"]: max(0.0, float(r["w"] or 0)) for r in rows}
         self.caps = {r["source"]: max(0, int(r["r"] or 0)) for r in rows}
         listed = sizes.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
@@ -140,21 +166,57 @@ class SourceMix:
         self.blocks = {s: -(-n // length) for s, n in self.tokens.items()}
         self.quota = quotas(self.shares, self.blocks, self.caps, least_total)
 
+    def _groups(self) -> DataFrame:
+        slots = sum(self.quota.values())
+        return self.spark.range(0, -(-slots // (GROUP * SHARD_BLOCKS)))
+
+    def _drawn(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        names = sorted(self.quota)
+        return names, np.array([self.quota[s] for s in names], np.int64), np.array([self.blocks.get(s, 0) for s in names], np.int64)
+
     def slots(self) -> DataFrame:
         """``(shard, slot, source, repeat_no, block)``: which block stands where."""
-        schema = "shard long, source string, lo long, hi long, n long"
-        runs = [(k, s, lo, hi, self.blocks[s]) for k, s, lo, hi in shard_counts(self.quota, self.seed)]
-        runs = self.spark.createDataFrame(runs, schema)
-        each = runs.select("shard", "source", "n", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("t"))
-        each = each.select("*", F.floor(F.col("t") / F.col("n")).alias("repeat_no"), F.pmod("t", "n").alias("i"))
-
-        @F.arrow_udf(T.LongType())
-        def block(i: pa.Array, n: pa.Array, key: pa.Array) -> pa.Array:
-            return pa.array(permuted(*(x.to_numpy(zero_copy_only=False) for x in (i, n, key))))
-
-        each = each.withColumn("block", block("i", "n", F.xxhash64(F.lit(self.seed), "source", "repeat_no")))
-        order = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(self.seed), "source", "t"), "source", "t")) - 1
-        return each.select("shard", order.cast("long").alias("slot"), "source", "repeat_no", "block")
+        names, quota, blocks = self._drawn()
+        seed = self.seed
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for g in batch["id"].to_pylist():
+                    n = drawn_counts(quota, g, seed).sum(axis=0)
+                    yield pa.record_batch([pa.array(np.full(len(n), g)), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], names=["group", "source", "n"])
+
+        # a row for each group of shards and source
+        counts = materialize(self._groups().mapInArrow(count, "group long, source int, n long"), "drawn")
+        drawn = np.zeros(len(names), np.int64)
+        for row in counts.groupBy("source").agg(F.sum("n").alias("n")).collect():  # as many as sources
+            drawn[row["source"]] = row["n"]
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = counts.select("group", "source", before.alias("before")).groupBy("group").agg(F.sort_array(F.collect_list(F.struct("source", "before"))).alias("x")).select("group", F.col("x.before").alias("before"))
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for g, first in zip(batch["group"].to_pylist(), batch["before"].to_pylist(), strict=True):
+                    yield slots_of(g, np.array(first, np.int64))
+
+        def slots_of(g: int, first: np.ndarray) -> pa.RecordBatch:
+            counts = drawn_counts(quota, g, seed)
+            sizes = counts.sum(axis=1)
+            shard = np.repeat(np.arange(len(sizes)), sizes)
+            source = np.repeat(np.tile(np.arange(len(names)), len(sizes)), counts.ravel())
+            order = np.lexsort((np.random.default_rng([seed, g, 1]).random(len(source)), shard))  # the slots of a shard in random order
+            source = source[order]
+            slot = np.arange(len(source)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            by_source = np.argsort(source, kind="stable")
+            n = np.bincount(source, minlength=len(names))
+            t = np.empty(len(source), np.int64)
+            t[by_source] = np.arange(len(source)) - np.repeat(np.cumsum(n) - n, n)
+            source, t = settled(source, t + first[source], quota, drawn, seed)
+            repeat = t // blocks[source]
+            block = permuted(t % blocks[source], blocks[source], (source * 1_000_003 + repeat).astype(np.int64) * 15_485_863 + seed)
+            columns = [pa.array(g * GROUP + shard), pa.array(slot), pa.array(names, pa.string()).take(pa.array(source)), pa.array(repeat), pa.array(block)]
+            return pa.record_batch(columns, names=["shard", "slot", "source", "repeat_no", "block"])
+
+        return starts.mapInArrow(place, "shard long, slot long, source string, repeat_no long, block long")
 
     def mixed(self) -> DataFrame:
         """``(shard, slot, source, repeat_no, block, doc, from_token, to_token)``: the pieces of texts in order."""

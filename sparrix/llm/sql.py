@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sparrix.llm.canon import LAST, tables
+
 PRESENT = "v AS (SELECT DISTINCT cell_id, samp_id, obs_id, value FROM cells WHERE value IS NOT NULL AND value <> 0 AND samp_id IS NOT NULL AND obs_id IS NOT NULL)"
 COUNTED = (
     f"WITH {PRESENT}, w AS (SELECT DISTINCT samp_id, obs_id FROM v), total AS (SELECT COUNT(DISTINCT samp_id) AS n FROM w), "
@@ -28,8 +30,39 @@ STRATA = (
 )
 
 
-def oracle_sql() -> dict[str, str]:
+def _looks() -> str:
+    """``k`` (doc_id, raw, same): the common form by way of single characters and the engine's own composition."""
+    t = tables()
+    changed = [cp for cp in range(LAST) if t["length"][cp] != 1 or t["flat"][t["start"][cp]] != cp]
+    rows = []
+    for cp in changed:
+        at = int(t["start"][cp])
+        text = "".join(map(chr, t["flat"][at : at + int(t["length"][cp])])).replace("'", "''")
+        rows.append(f"({cp}, '{text}')")
+    return (
+        f"WITH m(cp, x) AS (VALUES {', '.join(rows)}), d AS (SELECT DISTINCT doc_id, text AS raw FROM documents), "
+        "c AS (SELECT doc_id, raw, REGEXP_EXTRACT_ALL(REPLACE(raw, CHR(13) || CHR(10), CHR(10)), '(?s).') AS l FROM d WHERE raw IS NOT NULL), "
+        "e AS (SELECT doc_id, raw, i, l[i] AS c FROM (SELECT *, UNNEST(range(1, len(l) + 1)) AS i FROM c) u), "
+        "j AS (SELECT doc_id, raw, STRING_AGG(COALESCE(m.x, e.c), '' ORDER BY i) AS y FROM e LEFT JOIN m ON m.cp = UNICODE(e.c) GROUP BY 1, 2), "
+        "k AS (SELECT d.doc_id, d.raw, CASE WHEN d.raw IS NULL THEN NULL ELSE NFC_NORMALIZE(COALESCE(j.y, '')) END AS same FROM d LEFT JOIN j ON j.doc_id = d.doc_id AND j.raw = d.raw) "
+    )
+
+
+def _look_alikes() -> dict[str, str]:
+    looks = _looks()
+    classes = (
+        "SELECT k.doc_id, class_id, size, forms FROM (SELECT DISTINCT doc_id, same FROM k WHERE raw <> '' AND doc_id IS NOT NULL) k JOIN (SELECT same, MIN(doc_id) AS class_id, COUNT(*) AS size, "
+        "COUNT(DISTINCT raw) AS forms FROM k WHERE raw <> '' AND doc_id IS NOT NULL GROUP BY same) s ON s.same = k.same"
+    )
     return {
+        "p9_found": looks + "SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b ON a.same = b.same AND a.doc_id < b.doc_id AND a.raw <> b.raw WHERE a.raw <> '' AND b.raw <> ''",
+        "p9_classes": looks + classes,
+        "p9_canonical": looks + "SELECT DISTINCT doc_id, same AS text FROM k",
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return _look_alikes() | {
         "p6_sample": STRATA + "SELECT axis, id, MIN(load_no) AS load_no FROM t WHERE u < threshold GROUP BY axis, id",
         "p6_thresholds": STRATA + "SELECT axis, stratum, MAX(threshold) AS threshold, COUNT(*) AS keys, COUNT(*) FILTER (WHERE u < threshold) AS chosen FROM t GROUP BY axis, stratum",
         "p6_lost": "SELECT 'samp' AS axis, id, CAST(load_no AS BIGINT) AS load_no FROM samp WHERE FALSE",

@@ -6,7 +6,6 @@ Vocabularies are read from a folder that is a parameter; none is part of the pac
 from __future__ import annotations
 
 import base64
-import importlib.util
 import os
 from functools import lru_cache
 
@@ -19,21 +18,17 @@ from pyspark.sql import types as T
 #: Folder of the vocabulary files, on every executor.
 FOLDER = os.environ.get("SPARRIX_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Texts are cut at line breaks into pieces of about this many characters for counting
-#: where the vocabulary allows it; a text without a break is encoded as it is.
-THREADS = 1
+# Fixed value: the pattern that splits a text before the merges of the byte-level vocabularies.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @lru_cache(2)
 def _encoder(folder: str, vocabulary: str):
     import tiktoken
 
-    spec = importlib.util.spec_from_file_location("vocabulary_folder", f"{folder}/__init__.py")
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
     with open(f"{folder}/{vocabulary}", "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("sparrix", pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("sparrix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def count_tokens(texts: list[str | None], folder: str = FOLDER, vocabulary: str = VOCABULARY) -> np.ndarray:

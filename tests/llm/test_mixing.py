@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparrix.llm import mix, pack, stable
-from sparrix.llm.mix import SourceMix, block_pieces, permuted, quotas, shard_counts
+from sparrix.llm.mix import SourceMix, block_pieces, permuted, quotas
 from sparrix.llm.pack import configurations, knapsack, pack_all, plan_containers
 from sparrix.llm.stable import StableSample, lost_keys
 from sparrix.llm.tokens import FOLDER, count_tokens, token_counts
@@ -165,13 +165,24 @@ def test_quotas():
     assert quotas({"a": 1.0, "b": 0.0}, {"b": 5}, {"a": 1, "b": 1}) == {"a": 0, "b": 0}
 
 
-def test_shard_counts():
-    quota = {"a": 1000, "b": 300, "c": 0}
-    rows = shard_counts(quota, 3)
-    for s, n in quota.items():
-        spans = sorted((lo, hi) for _, t, lo, hi in rows if t == s)
-        assert sum(hi - lo for lo, hi in spans) == n and all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False))
-    assert rows == shard_counts(quota, 3) != shard_counts(quota, 4) and shard_counts({"a": 0}, 1) == []
+def test_counts_are_multinomial_and_corrected():
+    """Drawn counts have the quotas' means and a multinomial's variance; the correction hits the quotas and moves few slots."""
+    quota = np.array([60_000, 25_000, 14_000, 1_000, 0])
+    total, groups = quota.sum(), -(-quota.sum() // (mix.GROUP * mix.SHARD_BLOCKS))
+    counts = np.concatenate([mix.drawn_counts(quota, g, 3) for g in range(groups)])
+    assert counts.sum() == total and (counts.sum(axis=1)[:-1] == mix.SHARD_BLOCKS).all()
+    p = quota / total
+    full = counts[counts.sum(axis=1) == mix.SHARD_BLOCKS]
+    assert full.var(axis=0)[:3] == pytest.approx(mix.SHARD_BLOCKS * (p * (1 - p))[:3], rel=0.15)
+    drawn = counts.sum(axis=0)
+    source = np.repeat(np.arange(5), drawn)
+    t = np.concatenate([np.arange(n) for n in drawn])
+    now, number = mix.settled(source, t, quota, drawn, 3)
+    assert np.bincount(now, minlength=5).tolist() == quota.tolist()
+    for s in range(5):  # the slots of a source are numbered without gaps
+        assert sorted(number[now == s].tolist()) == list(range(quota[s]))
+    assert 0 < (now != source).sum() == np.maximum(0, drawn - quota).sum() < 4 * np.sqrt(total)
+    assert (mix.drawn_counts(quota, 1, 3) == mix.drawn_counts(quota, 1, 3)).all() and (mix.drawn_counts(quota, 1, 3) != mix.drawn_counts(quota, 1, 4)).any()
 
 
 def test_blocks(spark, monkeypatch):
@@ -212,7 +223,10 @@ def test_mix(spark):
     again = SourceMix(df.repartition(5), targets, length=32)
     assert sorted(map(tuple, again.mixed().collect())) == sorted(map(tuple, rows))
     slots = m.slots().collect()
-    assert len({(r["shard"], r["slot"]) for r in slots}) == len(slots)
+    assert len({(r["shard"], r["slot"]) for r in slots}) == len(slots) == sum(m.quota.values())
+    taken = [(r["source"], r["repeat_no"], r["block"]) for r in slots]
+    assert len(set(taken)) == len(taken)
+    assert {s: sum(x[0] == s for x in taken) for s in m.quota} == m.quota
     assert SourceMix(df.limit(0), targets).mixed().count() == 0
 
 
