@@ -30,6 +30,7 @@ from sparrix.operators.group import GroupOps
 from sparrix.operators.pairwise import PairwiseOps
 from sparrix.operators.sample import SampleOps
 from sparrix.operators.window import WindowOps
+from sparrix.runtime import materialize
 
 #: The kinds of table of the exchange format.
 TABLE_TYPES = ("OTU table", "Pathway table", "Function table", "Ortholog table", "Gene table", "Metabolite table", "Taxon table")
@@ -48,9 +49,32 @@ class Props:
     samp_group_md: Mapping[str, tuple[str, str]] = field(default_factory=dict)
 
 
+#: An axis of more ids than this is numbered in parts; one task sorts fewer.
+ONE_TASK = 2_000_000
+#: A plan estimated at fewer bytes than this has not so many rows, and is not counted.
+FEW_BYTES = 32 << 20
+
+
 def renumbered(df: DataFrame, *order: str | Column) -> DataFrame:
-    """``ord`` from 0 without gaps. Only for axis frames: it sorts all rows in one place."""
-    return df.withColumn("ord", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    """``ord`` from 0 without gaps, by ``order``, whose values differ.
+
+    Up to ``ONE_TASK`` rows are sorted in one task. More are sorted by range into a table
+    of parts; the rows before a part are added to the places within it.
+    """
+    plain = df.withColumn("ord", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= FEW_BYTES:
+        return plain
+    rows = df.count()
+    if rows <= ONE_TASK:
+        return plain
+    parts = -(-rows // ONE_TASK) * 2
+    nth = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("__part"), nth.alias("__nth"))
+    ranged = materialize(ranged, "ranged")
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.select("__part", before.alias("__before")))  # a row for each part
+    return ranged.join(starts, "__part").withColumn("ord", (F.col("__before") + F.col("__nth")).cast("long")).drop("__part", "__nth", "__before")
 
 
 class MatrixTable(AxisOps, FilterOps, AggregateOps, WindowOps, GroupOps, CombineOps, SampleOps, PairwiseOps):
@@ -191,7 +215,20 @@ def _coerced(value: Any, kind: T.DataType) -> Any:
     return float(value) if isinstance(kind, T.DoubleType) else value
 
 
+def _are_columns(stacked: list[tuple[int, int, int, float]], vectors: int, rows: int, columns: int) -> bool:
+    """Whether a list of dicts holds columns. Its length says so if the axes differ in length.
+
+    On a square table they are columns if keys name several rows and one column only.
+    """
+    if rows != columns:
+        return vectors == columns
+    return any(r for _, r, _, _ in stacked) and not any(c for _, _, c, _ in stacked)
+
+
 def _triples(data: Any, dense: bool, rows: int, columns: int) -> list[tuple[int, int, float]]:
+    if hasattr(data, "tocoo"):  # a sparse matrix
+        coo = data.tocoo()
+        return [(int(r), int(c), float(v)) for r, c, v in zip(coo.row, coo.col, coo.data, strict=True)]
     if isinstance(data, np.ndarray):
         data = data.reshape(1, -1) if data.ndim == 1 and data.size else data
         return [(int(r), int(c), float(data[r, c])) for r, c in zip(*np.nonzero(data), strict=True)] if data.size else []
@@ -201,10 +238,13 @@ def _triples(data: Any, dense: bool, rows: int, columns: int) -> list[tuple[int,
         items = list(data)
         if not items:
             return []
-        if all(isinstance(x, Mapping) for x in items):  # one dict for each vector; a column is known by its shape
-            stacked = [(i, r, c, v) for i, x in enumerate(items) for (r, c), v in x.items()]
-            by_column = len(items) == columns != rows or any(c for _, _, c, _ in stacked) is False and any(r for _, r, _, _ in stacked)
-            return [(int(r), i, float(v)) if by_column else (i, int(c), float(v)) for i, r, c, v in stacked]
+        if all(isinstance(x, Mapping) for x in items):  # one dict for each vector
+            stacked = [(i, int(r), int(c), float(v)) for i, x in enumerate(items) for (r, c), v in x.items()]
+            if _are_columns(stacked, len(items), rows, columns):
+                return [(r, i, v) for i, r, _, v in stacked]
+            return [(i, c, v) for i, _, c, v in stacked]
+        if all(hasattr(x, "tocoo") for x in items):  # sparse vectors, one for each observation
+            return [(i, int(c), float(v)) for i, x in enumerate(items) for c, v in zip(x.tocoo().col, x.tocoo().data, strict=True)]
         if dense or all(isinstance(x, np.ndarray) for x in items):
             return [(r, c, float(v)) for r, x in enumerate(items) for c, v in enumerate(x) if v]
         if all(isinstance(x, list | tuple) and len(x) == 3 for x in items):

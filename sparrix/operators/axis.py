@@ -6,8 +6,10 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import TYPE_CHECKING, Any
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparrix.errors import TableError, UnknownIDError
 from sparrix.functions.scalar import natural_key
@@ -15,6 +17,29 @@ from sparrix.functions.scalar import natural_key
 if TYPE_CHECKING:
     from sparrix.core import MatrixTable
 
+#: Values of dense vectors that are made at once.
+VALUES_AT_ONCE = 4_000_000
+
+
+def _dense(n: int, kept: list[str]):
+    """From (pos, value) pairs to dense vectors of ``n`` values, some at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, VALUES_AT_ONCE // max(n, 1))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                lists = part["pairs"]
+                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                flat = lists.flatten()
+                row = np.repeat(np.arange(part.num_rows), sizes)
+                values = np.zeros(part.num_rows * n)
+                values[row * n + flat.field("pos").to_numpy(zero_copy_only=False)] = flat.field("value").to_numpy(zero_copy_only=False)
+                offsets = pa.array(np.arange(part.num_rows + 1) * n, pa.int32())
+                yield pa.record_batch([*[part[c] for c in kept], pa.ListArray.from_arrays(offsets, pa.array(values))], names=[*kept, "values"])
+
+    return run
+
 
 class AxisOps:
     # -- ids and shape
@@ -25,7 +50,9 @@ class AxisOps:
 
     def positions(self, axis: str = "sample") -> DataFrame:
         """``(id, pos)``: positions from 0 without gaps."""
-        return self._axis(axis)[0].select("id", (F.row_number().over(Window.orderBy("ord")) - 1).cast("long").alias("pos"))
+        from sparrix.core import renumbered
+
+        return renumbered(self._axis(axis)[0].select("id", F.col("ord").alias("o")), "o").select("id", F.col("ord").alias("pos"))
 
     def exists(self, id_: Any, axis: str = "sample") -> bool:
         return not self._axis(axis)[0].where(F.col("id") == F.lit(id_)).isEmpty()
@@ -189,12 +216,10 @@ class AxisOps:
         other, other_key = self._axis(self._other(axis))
         if dense:
             positions = self.positions(self._other(axis)).withColumnRenamed("id", other_key)
-            pairs = self.cells.join(positions, other_key).groupBy(F.col(key).alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("m"))
-            n = other.count()
-            values = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-            values = values if n else F.array().cast("array<double>")
-            empty = F.create_map().cast("map<bigint,double>")
-            return frame.join(pairs, "id", "left").withColumn("m", F.coalesce("m", empty)).withColumn("values", values).drop("m")
+            pairs = self.cells.join(positions, other_key).groupBy(F.col(key).alias("id")).agg(F.collect_list(F.struct("pos", "value")).alias("pairs"))
+            joined = frame.join(pairs, "id", "left").select(*frame.columns, "pairs")
+            schema = T.StructType([*(joined.schema[c] for c in frame.columns), T.StructField("values", T.ArrayType(T.DoubleType()))])
+            return joined.mapInArrow(_dense(other.count(), frame.columns), schema)
         order = other.select(F.col("id").alias(other_key), F.col("ord").alias("o"))
         packed = F.transform(F.sort_array(F.collect_list(F.struct("o", F.col(other_key).alias("id"), "value"))), lambda x: F.struct(x["id"].alias("id"), x["value"].alias("value")))
         pairs = self.cells.join(order, other_key).groupBy(F.col(key).alias("id")).agg(packed.alias("values"))
@@ -269,32 +294,52 @@ class AxisOps:
         frame, _ = self._axis(axis)
         return self._with_axis(axis, renumbered(frame.drop("ord"), (key or natural_key)(F.col("id")), "id").select(*frame.columns))
 
+    def sort_with(self, f: Callable[[list[Any]], Sequence[Any]], axis: str = "sample") -> MatrixTable:
+        """Puts an axis in the order in which ``f`` returns the list of its ids, which the driver holds."""
+        return self.sort_order(f([r["id"] for r in self.ids(axis).collect()]), axis)
+
+    def values(self, keys: DataFrame) -> DataFrame:
+        """``(obs_id, samp_id, value)`` of many cells at once, 0 where there is none; null where an id is unknown."""
+        known = keys.select("obs_id", "samp_id").distinct()
+        for axis, key in (("observation", "obs_id"), ("sample", "samp_id")):
+            known = known.join(self._axis(axis)[0].select(F.col("id").alias(key), F.lit(True).alias(f"has_{key}")), key, "left")
+        found = known.join(self.cells, ["obs_id", "samp_id"], "left")
+        return found.select("obs_id", "samp_id", F.when(F.col("has_obs_id") & F.col("has_samp_id"), F.coalesce("value", F.lit(0.0))).alias("value"))
+
     # -- equality
 
     def differences(self, other: MatrixTable) -> str:
-        """What differs first, or that nothing does."""
+        """What differs first: ``type``, ids, metadata or ``cells``; an empty text if nothing does.
+
+        Both tables are joined by id, nothing is gathered. Metadata that is null and
+        metadata that is absent are equal.
+        """
         if self.props.type != other.props.type:
-            return "Tables are not the same type"
+            return "type"
         for axis in ("observation", "sample"):
-            name = axis.capitalize()
-            mine, theirs = ([(r["id"]) for r in t.ids(axis).collect()] for t in (self, other))
-            if mine != theirs:
-                return f"{name} IDs are not the same"
-            if self._md_rows(axis) != other._md_rows(axis):
-                return f"{name} metadata are not the same"
-        return "Tables appear equal" if self._same_cells(other) else "Data elements are not the same"
-
-    def _md_rows(self, axis: str) -> list[Any]:
+            mine, theirs = (t.positions(axis).toDF("id", p) for t, p in ((self, "p"), (other, "q")))
+            if not mine.join(theirs, "id", "full").where(~F.col("p").eqNullSafe(F.col("q"))).isEmpty():
+                return f"{axis} ids"
+            mine, theirs = (t._md_texts(axis).toDF("id", p) for t, p in ((self, "p"), (other, "q")))
+            if not mine.join(theirs, "id").where(~F.col("p").eqNullSafe(F.col("q"))).isEmpty():
+                return f"{axis} metadata"
+        return "" if self._same_cells(other) else "cells"
+
+    def _md_texts(self, axis: str) -> DataFrame:
+        frame, _ = self._axis(axis)
         if not self.has_metadata(axis):
-            return []
-        return [r["md"].asDict(recursive=True) if r["md"] is not None else None for r in self.metadata(axis=axis).collect()]
+            return frame.select("id", F.lit("{}").alias("text"))
+        keys = sorted(frame.schema["md"].dataType.names)
+        return frame.select("id", F.to_json(F.struct(*[F.col("md")[k].alias(k) for k in keys])).alias("text"))
 
     def _same_cells(self, other: MatrixTable) -> bool:
-        return self.cells.exceptAll(other.cells).isEmpty() and other.cells.exceptAll(self.cells).isEmpty()
+        mine = self.cells.select("obs_id", "samp_id", F.col("value").alias("p"))
+        theirs = other.cells.select("obs_id", "samp_id", F.col("value").alias("q"))
+        return mine.join(theirs, ["obs_id", "samp_id"], "full").where(~F.col("p").eqNullSafe(F.col("q"))).isEmpty()
 
     def equals(self, other: object) -> bool:
         """Equal in type, ids and their order, metadata and values."""
-        return isinstance(other, AxisOps) and self.differences(other) == "Tables appear equal"
+        return isinstance(other, AxisOps) and not self.differences(other)
 
     def __eq__(self, other: object) -> bool:
         return self.equals(other)

@@ -16,6 +16,8 @@ from sparrix.errors import UnknownIDError
 if TYPE_CHECKING:
     from sparrix.core import MatrixTable
 
+#: A caller's list is broadcast up to this length.
+LISTED = 100_000
 VectorTest = Callable[[np.ndarray, Any, dict | None], bool]
 
 
@@ -39,7 +41,7 @@ class FilterOps:
             listed = frame.sparkSession.createDataFrame([(x,) for x in ids], f"id {frame.schema['id'].dataType.simpleString()}")
             if missing := listed.join(frame, "id", "left_anti").first():
                 raise UnknownIDError(missing[0], axis)
-            return self._semi(axis, F.broadcast(listed), invert)  # as long as the caller's list
+            return self._semi(axis, F.broadcast(listed) if len(ids) <= LISTED else listed, invert)
         elif isinstance(keep, FunctionType):
             kept = self._passing(keep, axis, invert)
         else:
@@ -83,6 +85,7 @@ class FilterOps:
         if n <= 0 or m <= 0:
             raise IndexError("head takes positive numbers")
         obs, samp = (self._axis(a)[0].orderBy("ord").limit(k) for a, k in (("observation", n), ("sample", m)))
-        cells = self.cells.join(F.broadcast(obs.select(F.col("id").alias("obs_id"))), "obs_id", "left_semi")
-        cells = cells.join(F.broadcast(samp.select(F.col("id").alias("samp_id"))), "samp_id", "left_semi")
+        hint = F.broadcast if max(n, m) <= LISTED else lambda df: df
+        cells = self.cells.join(hint(obs.select(F.col("id").alias("obs_id"))), "obs_id", "left_semi")
+        cells = cells.join(hint(samp.select(F.col("id").alias("samp_id"))), "samp_id", "left_semi")
         return self._new(cells.select("obs_id", "samp_id", "value"), obs, samp)

@@ -7,7 +7,7 @@ from typing import TYPE_CHECKING
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,12 +47,12 @@ class SampleOps:
         if by_id:
             chosen = frame.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n).select("id")
             return self._semi(axis, chosen, False).remove_empty(self._other(axis))
-        if not with_replacement:
-            enough = self.cells.groupBy("samp_id").agg(F.sum(F.floor("value")).alias("t")).where(F.col("t") >= n).select("samp_id")
-            cells = self.cells.join(enough, "samp_id", "left_semi")
-        else:
-            cells = self.cells
-        return self._new(_drawn(cells, n, with_replacement, seed)).remove_empty()
+        return self._present(_drawn(self.cells, n, with_replacement, seed))
+
+    def _present(self, cells: DataFrame) -> MatrixTable:
+        """The table of cells that are all above 0, with the ids that have one."""
+        axes = {axis: frame.join(cells.select(F.col(key).alias("id")).distinct(), "id", "left_semi") for axis, (frame, key) in ((a, self._axis(a)) for a in ("observation", "sample"))}
+        return self._new(cells, axes["observation"], axes["sample"])
 
     def subsample_by_hash(self, n: int, seed: int = 0) -> MatrixTable:
         """``subsample`` without replacement within the JVM, unit by unit.
@@ -66,7 +66,7 @@ class SampleOps:
         total = F.count("*").over(Window.partitionBy("samp_id")).alias("total")
         nth = F.row_number().over(Window.partitionBy("samp_id").orderBy(F.xxhash64(F.lit(seed), "samp_id", "obs_id", "u"), "obs_id", "u")).alias("nth")
         kept = units.select("obs_id", "samp_id", total, nth).where((F.col("nth") <= n) & (F.col("total") >= n))
-        return self._new(kept.groupBy("obs_id", "samp_id").agg(F.count("*").cast("double").alias("value"))).remove_empty()
+        return self._present(kept.groupBy("obs_id", "samp_id").agg(F.count("*").cast("double").alias("value")))
 
     def subsamples(self, n: int, axis: str = "sample", by_id: bool = False, seed: int = 0) -> Iterator[MatrixTable]:
         """Endless subsamples, each with a seed of its own."""
@@ -76,11 +76,14 @@ class SampleOps:
 
 
 def _drawn(cells: DataFrame, n: int, with_replacement: bool, seed: int) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("obs_id")
-        rng = np.random.default_rng([seed, crc32(str(pdf["samp_id"].iloc[0]).encode())])
-        out = pdf.assign(value=draw(pdf["value"].to_numpy(), n, with_replacement, rng))
-        return out[out["value"] > 0]
-
-    schema = T.StructType([cells.schema[c] for c in ("obs_id", "samp_id")]).add("value", T.DoubleType())
-    return cells.select("obs_id", "samp_id", "value").groupBy("samp_id").applyInPandas(run, schema)
+    """A vector is drawn by one task, whose memory bounds its length; its seed is its own."""
+    o, k = cells.schema["obs_id"].dataType, cells.schema["samp_id"].dataType
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("obs_id")
+        rng = np.random.default_rng([seed, crc32(str(table["samp_id"][0].as_py()).encode())])
+        value = draw(table["value"].to_numpy(), n, with_replacement, rng)
+        return table.set_column(2, "value", pa.array(value)).filter(pa.array(value > 0))
+
+    schema = T.StructType([T.StructField("obs_id", o), T.StructField("samp_id", k), T.StructField("value", T.DoubleType())])
+    return cells.select("obs_id", "samp_id", "value").groupBy("samp_id").applyInArrow(run, schema)

@@ -22,14 +22,16 @@ class WindowOps:
         cells = self.cells.select("obs_id", "samp_id", value.alias("value"))
         return self._new(cells.where(F.col("value").isNotNull() & (F.col("value") != 0)) if zeros else cells)
 
-    def norm(self, axis: str = "sample") -> MatrixTable:
-        """Each value divided by the sum of its vector. A vector whose values add up to 0 has no shares: it is left without cells."""
-        _, key = self._axis(axis)
-        return self._cells_new(F.try_divide("value", F.sum("value").over(Window.partitionBy(key))))
+    def norm(self, axis: str = "sample", gather: bool = False) -> MatrixTable:
+        """Each value divided by the sum of its vector. A vector whose values add up to 0 has no shares: it is left without cells.
 
-    def norm_by_join(self, axis: str = "sample") -> MatrixTable:
-        """``norm`` for axes with very long vectors: totals are aggregated and joined, so no vector is gathered in one task."""
+        Totals are aggregated and joined, so no vector is held in one task. With
+        ``gather`` each vector is brought together instead, which saves an exchange where
+        all vectors are short.
+        """
         _, key = self._axis(axis)
+        if gather:
+            return self._cells_new(F.try_divide("value", F.sum("value").over(Window.partitionBy(key))))
         totals = self.cells.groupBy(key).agg(F.sum("value").alias("total"))
         cells = self.cells.join(totals, key).select("obs_id", "samp_id", F.try_divide("value", "total").alias("value"))
         return self._new(cells.where(F.col("value").isNotNull() & (F.col("value") != 0)))

@@ -117,8 +117,8 @@ def norm_observation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query
-def norm_by_join(spark: SparkSession, d: str) -> DataFrame:
-    return sales(spark, d).norm_by_join("sample").cells
+def norm_gathered(spark: SparkSession, d: str) -> DataFrame:
+    return sales(spark, d).norm("sample", gather=True).cells
 
 
 def _rank(method: str) -> None:
@@ -190,8 +190,9 @@ def vector_dense(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def value_by_ids(spark: SparkSession, d: str) -> DataFrame:
-    t = sales(spark, d)
-    return spark.createDataFrame([(o, s, t.value(o, s)) for o, s in ((1, 1), (2, 3), (9, 9))], "obs_id long, samp_id long, value double")
+    keys = _read(spark, d, "lineitem").select(F.col("l_partkey").alias("obs_id"), F.col("l_suppkey").alias("samp_id"))
+    swapped = keys.select(F.col("obs_id"), (F.col("samp_id") + 1).alias("samp_id"))  # cells that are not there, ids that are unknown
+    return sales(spark, d).values(keys.unionByName(swapped))
 
 
 @_query

@@ -45,7 +45,7 @@ ORACLES: dict[str, str] = {
     "density": CELLS + "SELECT (SELECT COUNT(*) FROM cells) / CAST((SELECT COUNT(*) FROM part) * (SELECT COUNT(*) FROM supplier) AS DOUBLE) AS density",
     "norm_sample": CELLS + "SELECT obs_id, samp_id, value / SUM(value) OVER (PARTITION BY samp_id) AS value FROM cells",
     "norm_observation": CELLS + "SELECT obs_id, samp_id, value / SUM(value) OVER (PARTITION BY obs_id) AS value FROM cells",
-    "norm_by_join": CELLS + "SELECT obs_id, samp_id, value / SUM(value) OVER (PARTITION BY samp_id) AS value FROM cells",
+    "norm_gathered": CELLS + "SELECT obs_id, samp_id, value / SUM(value) OVER (PARTITION BY samp_id) AS value FROM cells",
     "rankdata_average": _rank(f"RANK() {_OVER} + ({_TIES} - 1) / 2.0"),
     "rankdata_min": _rank(f"RANK() {_OVER}"),
     "rankdata_max": _rank(f"RANK() {_OVER} + {_TIES} - 1"),
@@ -65,8 +65,9 @@ ORACLES: dict[str, str] = {
     "SELECT obs_id, samp_id, value FROM s WHERE obs_id IN (SELECT obs_id FROM s GROUP BY obs_id HAVING SUM(value) > 0)",
     "head_5x5": CELLS + "SELECT obs_id, samp_id, value FROM cells WHERE obs_id IN (SELECT p_partkey FROM part ORDER BY 1 LIMIT 5) AND samp_id IN (SELECT s_suppkey FROM supplier ORDER BY 1 LIMIT 5)",
     "vector_dense": CELLS + "SELECT p_partkey AS id, COALESCE(value, 0.0) AS value FROM part LEFT JOIN cells ON obs_id = p_partkey AND samp_id = 7",
-    "value_by_ids": CELLS
-    + ", k(obs_id, samp_id) AS (VALUES (CAST(1 AS BIGINT), CAST(1 AS BIGINT)), (2, 3), (9, 9)) SELECT k.obs_id, k.samp_id, COALESCE(value, 0.0) AS value FROM k LEFT JOIN cells c ON c.obs_id = k.obs_id AND c.samp_id = k.samp_id",
+    "value_by_ids": CELLS + ", k AS (SELECT l_partkey AS obs_id, l_suppkey AS samp_id FROM lineitem UNION SELECT l_partkey, l_suppkey + 1 FROM lineitem) "
+    "SELECT k.obs_id, k.samp_id, CASE WHEN s_suppkey IS NOT NULL AND p_partkey IS NOT NULL THEN COALESCE(value, 0.0) END AS value FROM k "
+    "LEFT JOIN cells c ON c.obs_id = k.obs_id AND c.samp_id = k.samp_id LEFT JOIN supplier ON s_suppkey = k.samp_id LEFT JOIN part ON p_partkey = k.obs_id",
     "nonzero": CELLS + "SELECT obs_id, samp_id FROM cells",
     "transpose": CELLS + "SELECT samp_id AS obs_id, obs_id AS samp_id, value FROM cells",
     "update_ids": CELLS + "SELECT obs_id, 'sup-' || CAST(samp_id AS VARCHAR) AS samp_id, value FROM cells",

@@ -31,6 +31,12 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
     return ship(builder.getOrCreate())
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors' Python, unless they find it by themselves.
 
@@ -38,8 +44,7 @@ def ship(spark: SparkSession) -> SparkSession:
     """
     package = Path(__file__).resolve().parent
     root, context = str(package.parent), spark.sparkContext
-    here = context.master.startswith("local[") or context.master == "local"
-    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or here and os.getcwd() == root or getattr(context, "_sparrix_shipped", False):
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or is_local(spark) and os.getcwd() == root or getattr(context, "_sparrix_shipped", False):
         return spark
     path = Path(tempfile.mkdtemp(prefix="sparrix-")) / "sparrix.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
@@ -58,32 +63,50 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not is_local(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sparrix-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def work_path(spark: SparkSession, tag: str) -> str:
+    """A path of its own in the shared folder, deleted at the end."""
+    path = f"{shared_dir(spark)}/sparrix-{os.getpid()}/{tag}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back.
 
     Cuts the lineage without keeping anything on an executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparrix-{os.getpid()}/{tag}-{uuid.uuid4().hex[:12]}"
+    path = work_path(spark, tag)
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sparrix_path = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Deletes the table behind a result of ``materialize`` that nothing reads any more."""
+    path = getattr(df, "_sparrix_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+        _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release(spark: SparkSession) -> None:
-    """Deletes the tables that ``materialize`` wrote for this session."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    """Deletes all tables that ``materialize`` wrote for this session; frames that read them are of no more use."""
     for owner, path in [x for x in _WRITTEN if x[0] is spark]:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        _delete(spark, path)
         _WRITTEN.remove((owner, path))
 
 

@@ -14,6 +14,11 @@ from pyspark.sql import types as T
 
 from sparrix.core import MatrixTable, Props
 from sparrix.errors import ParseError, UnknownIDError
+from sparrix.sources.files import text_file
+
+# Fixed values of the format.
+FORMAT_VERSION = "1.0.0"
+FORMAT_URL = ""
 
 AXIS = "array<struct<id: string, metadata: string>>"
 #: The parts of a document; metadata stays JSON text, so that its shape is free.
@@ -85,40 +90,41 @@ def _from_object(spark: SparkSession, doc: dict[str, Any], dense: bool | None) -
     return MatrixTable.from_data(spark, doc["data"], obs, samp, md[0], md[1], _props(doc), input_is_dense=dense)
 
 
-def to_json_parts(table: MatrixTable, generated_by: str, date: datetime | None = None) -> Iterator[str]:
-    """The document in pieces, row after row; values have six decimals."""
+def _head(table: MatrixTable, generated_by: str, date: datetime | None) -> str:
     p = table.props
-    rows, columns = table.shape
     head = {
-        "id": p.table_id, "format": "1.0.0", "format_url": "", "type": p.type, "generated_by": generated_by, "date": (date or p.create_date or datetime.now()).isoformat(),
-        "matrix_type": "sparse", "matrix_element_type": "float", "shape": [rows, columns],
+        "id": p.table_id, "format": FORMAT_VERSION, "format_url": FORMAT_URL, "type": p.type, "generated_by": generated_by, "date": (date or p.create_date or datetime.now()).isoformat(),
+        "matrix_type": "sparse", "matrix_element_type": "float", "shape": list(table.shape),
     }
-    yield json.dumps(head, ensure_ascii=False)[:-1] + ', "data": ['
-    o = table.positions("observation").toDF("obs_id", "r")
-    s = table.positions("sample").toDF("samp_id", "c")
-    data = table.cells.join(o, "obs_id").join(s, "samp_id").orderBy("r", "c").select(F.format_string("[%d,%d,%f]", "r", "c", "value").alias("x"))
-    yield from _joined(r["x"] for r in data.toLocalIterator())
-    for key, axis in (("rows", "observation"), ("columns", "sample")):
-        yield f'], "{key}": ['
-        frame = table._axis(axis)[0].orderBy("ord")
-        md = F.to_json("md", {"ignoreNullFields": "false"}) if table.has_metadata(axis) else F.lit(None).cast("string")
-        yield from _joined(f'{{"id": {json.dumps(r["id"], ensure_ascii=False)}, "metadata": {r["m"] or "null"}}}' for r in frame.select("id", md.alias("m")).toLocalIterator())
-    yield "]}"
+    return json.dumps(head, ensure_ascii=False)[:-1]
 
 
-def _joined(items: Iterable[str]) -> Iterator[str]:
-    for i, x in enumerate(items):
-        yield f",{x}" if i else x
+def _sections(table: MatrixTable) -> Iterator[tuple[str, DataFrame, list[str]]]:
+    """Name, frame with ``x`` and order of the document's lists; values have six decimals."""
+    o, s = table.positions("observation").toDF("obs_id", "r"), table.positions("sample").toDF("samp_id", "c")
+    yield "data", table.cells.join(o, "obs_id").join(s, "samp_id").select("r", "c", F.format_string("[%d,%d,%f]", "r", "c", "value").alias("x")), ["r", "c"]
+    for key, axis in (("rows", "observation"), ("columns", "sample")):
+        md = F.coalesce(F.to_json("md", {"ignoreNullFields": "false"}), F.lit("null")) if table.has_metadata(axis) else F.lit("null")
+        quoted = F.substring(F.to_json(F.struct(F.col("id").cast("string").alias("k"))), 6, 1 << 30)  # {"k":"..."}
+        entry = F.concat(F.lit('{"id": '), F.expr("left(q, length(q) - 1)"), F.lit(', "metadata": '), md, F.lit("}"))
+        yield key, table._axis(axis)[0].withColumn("q", quoted).select("ord", entry.alias("x")), ["ord"]
 
 
 def to_json(table: MatrixTable, generated_by: str, date: datetime | None = None) -> str:
-    return "".join(to_json_parts(table, generated_by, date))
+    """The document of a table small enough for the driver."""
+    lists = [f'"{name}": [{",".join(r["x"] for r in df.orderBy(*order).toLocalIterator())}]' for name, df, order in _sections(table)]
+    return f"{_head(table, generated_by, date)}, {', '.join(lists)}}}"
 
 
 def write_json(table: MatrixTable, path: str, generated_by: str, date: datetime | None = None) -> None:
-    """One local file, written piece by piece as the rows arrive."""
-    with open(path, "w", encoding="utf-8") as out:
-        out.writelines(to_json_parts(table, generated_by, date))
+    """One file; its lists are written by the tasks in parts and put together."""
+    with text_file(path) as out:
+        out.text(_head(table, generated_by, date))
+        for name, df, order in _sections(table):
+            out.text(f', "{name}": [')
+            out.rows(df, order, "x", listed=True)
+            out.text("]")
+        out.text("}\n")
 
 
 def field(spark: SparkSession, path: str, key: str) -> Any:

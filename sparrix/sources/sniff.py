@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-import os
 from collections.abc import Iterable
 from typing import TYPE_CHECKING, Any
 
 from sparrix.errors import ParseError
+from sparrix.runtime import work_path
+from sparrix.sources.files import blocks, copy, exists, first_bytes, is_folder, md5_of, size_of
 
 if TYPE_CHECKING:
     from pyspark.sql import DataFrame, SparkSession
@@ -18,34 +18,25 @@ if TYPE_CHECKING:
 GENERATED_BY = "sparrix"
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://")
-
-
 def is_gzip(path: str) -> bool:
-    with open(_local(path), "rb") as f:
-        return f.read(2) == b"\x1f\x8b"
+    return first_bytes(path, 2) == b"\x1f\x8b"
 
 
 def is_hdf5(path: str) -> bool:
-    with open(_local(path), "rb") as f:
-        return f.read(8) == b"\x89HDF\r\n\x1a\n"
+    return first_bytes(path, 8) == b"\x89HDF\r\n\x1a\n"
 
 
 def sniff(path: str) -> str:
     """parquet (a folder), hdf5, json or tsv, by content."""
-    local = _local(path)
-    if os.path.isdir(local):
+    if is_folder(path):
         return "parquet"
-    if not os.path.getsize(local):
+    if not size_of(path):
         raise ValueError(f"{path} is empty")
     if is_hdf5(path):
         return "hdf5"
-    opener = gzip.open if is_gzip(path) else open
-    with opener(local, "rt", encoding="utf-8") as f:
-        for line in f:
-            if line.strip():
-                return "json" if line.lstrip().startswith("{") else "tsv"
+    for block in blocks(path, is_gzip(path)):
+        if text := block.lstrip():
+            return "json" if text.startswith(b"{") else "tsv"
     raise ValueError(f"{path} is blank")
 
 
@@ -62,10 +53,9 @@ def read_matrix(spark: SparkSession, path: str, format: str | None = None, ids:
     if kind not in ("json", "tsv"):
         raise ParseError(f"unknown format {kind!r}")
     named = path
-    if not path.endswith(".gz") and os.path.exists(_local(path)) and is_gzip(path):
-        # Spark goes by the name, so a compressed file of another name is read here
-        with gzip.open(_local(path), "rt", encoding="utf-8") as f:
-            named = f.read() if kind == "json" else f.read().splitlines()
+    if not path.endswith(".gz") and exists(path) and not is_folder(path) and is_gzip(path):
+        named = work_path(spark, "file") + ".gz"  # Spark goes by the name
+        copy(path, named)
     table = json_table.read_json(spark, named) if kind == "json" else tsv.read_tsv(spark, named)
     if ids is None:
         return table
@@ -80,25 +70,22 @@ def write_matrix(table: MatrixTable, path: str, format: str = "parquet", generat
     if format == "parquet":
         parquet.write_parquet(table, path, **options)
     elif format == "json":
-        json_table.write_json(table, _local(path), generated_by)
+        json_table.write_json(table, path, generated_by)
     elif format == "tsv":
-        tsv.write_tsv(table, _local(path), **options)
+        tsv.write_tsv(table, path, **options)
     elif format == "hdf5":
-        hdf5.write_hdf5(table, _local(path), generated_by, **options)
+        hdf5.write_hdf5(table, path, generated_by, **options)
     else:
         raise ValueError(f"unknown format {format!r}")
 
 
 def file_md5(source: str | Iterable[str]) -> str:
     """The digest of a file or of lines."""
-    digest = hashlib.md5()
     if isinstance(source, str):
-        with open(_local(source), "rb") as f:
-            while block := f.read(1 << 20):
-                digest.update(block)
-    else:
-        for line in source:
-            digest.update(line.encode())
+        return md5_of(source)
+    digest = hashlib.md5()
+    for line in source:
+        digest.update(line.encode())
     return digest.hexdigest()
 
 

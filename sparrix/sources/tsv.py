@@ -4,33 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from sparrix.core import MatrixTable, Props, axis_frame
+from sparrix.core import MatrixTable, Props, axis_frame, renumbered
 from sparrix.errors import ParseError, TableError
 from sparrix.functions.scalar import is_number
+from sparrix.sources.files import text_file
 from sparrix.sources.lines import read_lines
 
-#: Wide output is pivoted up to this number of columns, beyond it the lines are aggregated.
-MOST_PIVOT = 5000
-
 
 def _header(lines: DataFrame) -> tuple[list[str], object]:
     """The header's fields and the number of its line.
 
     It is the last ``#`` line before the data if that has several fields, otherwise the
-    first line that does not begin with ``#``.
+    first line that does not begin with ``#``. Both come from aggregates, nothing is sorted.
     """
-    last = None
-    for row in lines.orderBy("line_no").where("trim(line) <> ''").toLocalIterator():  # ends at the first line of data
-        if row["line"].startswith("#"):
-            last = row
-            continue
-        if last is not None and "\t" in last["line"]:
-            return last["line"].lstrip("#").split("\t"), last["line_no"]
-        return row["line"].split("\t"), row["line_no"]
-    raise ParseError("the file has no data")
+    at = F.struct("line_no", "line")
+    comment = F.col("line").startswith("#")
+    first = lines.where((F.trim("line") != "") & ~comment).agg(F.min(at)).first()[0]
+    if first is None:
+        raise ParseError("the file has no data")
+    last = lines.where(comment & (F.col("line_no") < _place(first["line_no"]))).agg(F.max(at)).first()[0]
+    if last is not None and "\t" in last["line"]:
+        return last["line"].lstrip("#").split("\t"), last["line_no"]
+    return first["line"].split("\t"), first["line_no"]
+
+
+def _place(line_no: Row) -> Column:
+    return F.struct(*[F.lit(line_no[k]).alias(k) for k in ("f", "b", "m")])
 
 
 def read_tsv(
@@ -44,7 +46,7 @@ def read_tsv(
     """
     lines = read_lines(spark, source)
     fields, header_no = _header(lines)
-    after = (F.col("line_no") > F.struct(F.lit(header_no["f"]).alias("f"), F.lit(header_no["b"]).alias("b"), F.lit(header_no["m"]).alias("m"))) & ~F.col("line").startswith("#")
+    after = (F.col("line_no") > _place(header_no)) & ~F.col("line").startswith("#")
     parts = F.split("line", "\t")
     rows = lines.where(after & (F.trim("line") != "")).select("line_no", parts.alias("p")).withColumn("id", F.trim(F.get("p", F.lit(0))))
     n = len(fields) - 1
@@ -52,7 +54,7 @@ def read_tsv(
     has_md = not numeric and n > 0
     samples = [s.strip() for s in fields[1 : n if has_md else n + 1]]
     wide = rows.select("id", "line_no", F.slice("p", 2, len(samples)).alias("v"), F.get("p", F.lit(n)).alias("text"))
-    obs = wide.withColumn("ord", (F.row_number().over(Window.orderBy("line_no")) - 1).cast("long"))
+    obs = renumbered(wide.select("id", "line_no", "text"), "line_no")
     if has_md:
         name = md_name or fields[-1].strip()
         obs = obs.select("id", "ord", F.struct((process or F.trim)(F.col("text")).alias(name)).alias("md"))
@@ -83,12 +85,8 @@ def tsv_lines(
     """
     if table.is_empty():
         raise TableError("an empty table cannot be written as text")
-    samples = table.positions("sample")
-    n = samples.count()
-    pos = table.cells.join(samples.withColumnRenamed("id", "samp_id"), "samp_id").select("obs_id", "pos", "value")
-    vector = pos.groupBy("obs_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("m"))
-    value = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("string"))
-    joined = table.obs.join(vector.withColumnRenamed("obs_id", "id"), "id", "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<bigint,double>")))
+    joined = table.vectors("observation")
+    value = F.transform("values", lambda x: x.cast("string"))
     parts = [F.col("id").cast("string"), F.array_join(value, delim)]
     if header_key is not None:
         md = F.col("md")[header_key] if table.has_metadata("observation") and header_key in table.obs.schema["md"].dataType.names else F.lit(None).cast("string")
@@ -111,14 +109,12 @@ def to_tsv(table: MatrixTable, header_key: str | None = None, header_value: str
 
 
 def write_tsv(table: MatrixTable, path: str, **options) -> None:
-    """One local file, written line by line as the rows arrive."""
-    lines = tsv_lines(table, **options).orderBy("ord")
+    """One file; its lines are written by the tasks in parts and put together."""
+    lines = tsv_lines(table, **options)
     header = {k: v for k, v in options.items() if k != "formatter"}
-    with open(path, "w", encoding="utf-8") as out:
-        for line in tsv_header(table, **header):
-            out.write(line + "\n")
-        for row in lines.toLocalIterator():
-            out.write(row["line"] + "\n")
+    with text_file(path) as out:
+        out.text("".join(f"{line}\n" for line in tsv_header(table, **header)))
+        out.rows(lines, ["ord"], "line")
 
 
 def write_tsv_parts(table: MatrixTable, path: str, **options) -> None:

@@ -2,9 +2,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparrix import core
 from sparrix.core import MatrixTable
 from sparrix.errors import DisjointIDError, TableError, UnknownAxisError, UnknownIDError, errstate
 from sparrix.functions.scalar import natural_key
+from sparrix.operators import axis
 from sparrix.operators.combine import newick_tips
 from tests.helpers import dense, ids, make, pairs
 
@@ -98,7 +100,7 @@ def test_reduce(zeros):
 def test_norm(spark, example, zeros):
     assert np.allclose(dense(example.norm("sample")), [[0, 1 / 5, 2 / 7], [1, 4 / 5, 5 / 7]])
     assert np.allclose(dense(example.norm("observation")), [[0, 1 / 3, 2 / 3], [3 / 12, 4 / 12, 5 / 12]])
-    assert dense(example.norm("sample")) == dense(example.norm_by_join("sample"))
+    assert dense(example.norm("sample")) == dense(example.norm("sample", gather=True))
     cancelled = make(spark, [[1, 1], [-1, 1]], ["x", "y"], ["p", "q"]).norm("sample")
     assert dense(cancelled) == [[0, 0.5], [0, 0.5]]  # no shares where values add up to 0
 
@@ -372,11 +374,12 @@ def test_summary(example, zeros):
 
 
 def test_equality(example):
-    assert example == example.copy() and example.differences(example) == "Tables appear equal"
-    assert example.differences(example._new(type="x")) == "Tables are not the same type"
-    assert "Sample IDs" in example.differences(example.sort_order(["S2", "S1", "S3"]))
-    assert "Observation metadata" in example.differences(example.del_metadata(axis="observation"))
-    assert "Data elements" in example.differences(example.pa()) and example != example.pa()
+    assert example == example.copy() and example.differences(example) == ""
+    assert example.differences(example._new(type="x")) == "type"
+    assert example.differences(example.sort_order(["S2", "S1", "S3"])) == "sample ids"
+    assert example.differences(example.head(1, 3)) == "observation ids"
+    assert example.differences(example.del_metadata(axis="observation")) == "observation metadata"
+    assert example.differences(example.pa()) == "cells" and example != example.pa()
 
 
 def test_checks(spark, example):
@@ -395,3 +398,48 @@ def test_invariants(example):
     again = parts[0].concat(parts[1:]).sort_order(["S1", "S2", "S3"]).sort_order(["O1", "O2"], "observation")
     assert dense(again) == dense(example)
     assert {r["label"]: r["total"] for r in example.partition_sizes(F.col("md.environment")).collect()} == pairs(example.collapse(F.col("md.environment"), norm=False).sum("sample"))
+
+
+def test_numbering_in_parts(spark, monkeypatch):
+    """Many ids are numbered in parts like few in one task."""
+    monkeypatch.setattr(core, "ONE_TASK", 40)
+    monkeypatch.setattr(core, "FEW_BYTES", 0)
+    df = spark.range(500).selectExpr("concat('k', id * 7919 % 1009) AS id", "id AS v")
+    got = {r["id"]: r["ord"] for r in core.renumbered(df, "id").collect()}
+    assert got == {x: i for i, x in enumerate(sorted(got))} and len(got) == 500
+    assert core.renumbered(df, "id").columns == ["id", "v", "ord"]
+    assert [r["ord"] for r in core.renumbered(df.limit(0), "id").collect()] == []
+
+
+def test_dense_vectors_in_steps(spark, example, monkeypatch):
+    monkeypatch.setattr(axis, "VALUES_AT_ONCE", 1)
+    rows = {r["id"]: list(r["values"]) for r in example.vectors("sample").collect()}
+    table = dense(example)
+    assert rows == {s: [row[i] for row in table] for i, s in enumerate(ids(example))}
+
+
+def test_many_values(spark, example):
+    keys = spark.createDataFrame([("O1", "S1"), ("O1", "S1"), ("O2", "S1"), ("zz", "S1"), ("O1", "zz")], "obs_id string, samp_id string")
+    got = {(r["obs_id"], r["samp_id"]): r["value"] for r in example.values(keys).collect()}
+    assert got == {("O1", "S1"): example.value("O1", "S1"), ("O2", "S1"): example.value("O2", "S1"), ("zz", "S1"): None, ("O1", "zz"): None}
+
+
+def test_sort_with(example):
+    assert ids(example.sort_with(lambda x: sorted(x, reverse=True))) == ["S3", "S2", "S1"]
+
+
+def test_dicts_and_sparse_vectors():
+    triples = core._triples
+    assert triples([{(0, 0): 1, (0, 2): 5}, {(0, 1): 2}], False, 2, 3) == [(0, 0, 1), (0, 2, 5), (1, 1, 2)]  # rows
+    assert triples([{(0, 0): 1}, {(1, 0): 2}, {}], False, 2, 3) == [(0, 0, 1), (1, 1, 2)]  # columns
+    assert triples([{(0, 0): 1, (0, 1): 3}, {}], False, 2, 2) == [(0, 0, 1), (0, 1, 3)]
+    assert triples([{(0, 0): 1, (1, 0): 3}, {(1, 0): 2}], False, 2, 2) == [(0, 0, 1), (1, 0, 3), (1, 1, 2)]
+
+    class Coo:
+        row, col, data = np.array([0, 1]), np.array([2, 0]), np.array([4, 5])
+
+        def tocoo(self):
+            return self
+
+    assert triples(Coo(), False, 2, 3) == [(0, 2, 4), (1, 0, 5)]
+    assert triples([Coo(), Coo()], False, 2, 3) == [(0, 2, 4), (0, 0, 5), (1, 2, 4), (1, 0, 5)]
