@@ -16,6 +16,7 @@ from sparrix.core import TABLE_TYPES
 from sparrix.functions.scalar import float_or_text, int_or_text, join_list, split_list, split_nested
 from sparrix.runtime import local_session
 from sparrix.sources import read_matrix, write_matrix
+from sparrix.sources.files import blocks, text_file
 from sparrix.sources.long import read_fasta_names, read_mapping, read_uc
 from sparrix.sources.tsv import to_tsv
 
@@ -25,8 +26,8 @@ FORMATTERS = {"naive": lambda c: c.cast("string"), "sc_separated": lambda c: joi
 
 def _emit(text: str, path: str | None) -> None:
     if path:
-        with open(path, "w", encoding="utf-8") as out:
-            out.write(text + "\n")
+        with text_file(path) as out:
+            out.text(text + "\n")
     else:
         print(text)
 
@@ -59,7 +60,12 @@ def export_metadata(spark, input_fp: str, sample_metadata_fp: str | None = None,
     table = read_matrix(spark, input_fp)
     for path, axis in ((sample_metadata_fp, "sample"), (observation_metadata_fp, "observation")):
         if path:
-            table.metadata_columns(axis).toPandas().rename(columns={"id": ""}).to_csv(path, sep="\t", index=False)
+            columns = table.metadata_columns(axis)
+            texts = [F.coalesce(F.to_json(F.col(f"`{f.name}`")) if f.dataType.typeName() in ("array", "struct", "map") else F.col(f"`{f.name}`").cast("string"), F.lit("")) for f in columns.schema]
+            order = table._axis(axis)[0].select("id", "ord")
+            with text_file(path) as out:
+                out.text("\t".join(["", *columns.columns[1:]]) + "\n")
+                out.rows(columns.select("id", F.concat_ws("\t", *texts).alias("line")).join(order, "id"), ["ord"], "line")
 
 
 def convert(
@@ -106,8 +112,8 @@ def show_install_info(spark=None) -> str:
 
 def _ids_of(path: str) -> list[str]:
     """The first field of each line; ``#`` lines are skipped."""
-    with open(path, encoding="utf-8") as f:
-        return [line.rstrip("\n").split("\t")[0] for line in f if line.strip() and not line.startswith("#")]
+    text = b"".join(blocks(path)).decode("utf-8")  # a list of the caller's
+    return [line.split("\t")[0] for line in text.splitlines() if line.strip() and not line.startswith("#")]
 
 
 def subset_table(spark, axis: str, ids: str, output_fp: str, input_hdf5_fp: str | None = None, input_json_fp: str | None = None, input_fp: str | None = None) -> None:

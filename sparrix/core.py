@@ -250,3 +250,9 @@ def _triples(data: Any, dense: bool, rows: int, columns: int) -> list[tuple[int,
         if all(isinstance(x, list | tuple) and len(x) == 3 for x in items):
             return [(int(r), int(c), float(v)) for r, c, v in items]
     raise TableError(f"values of type {type(data).__name__} cannot be read as a matrix")
+
+
+def example_table(spark: SparkSession) -> MatrixTable:
+    """A small table to try things with."""
+    obs, samp = [{"lineage": ["k__A", "p__B"]}, {"lineage": ["k__A", "p__C"]}], [{"site": "gut"}, {"site": "skin"}, {"site": "gut"}]
+    return MatrixTable.from_data(spark, np.array([[0.0, 1.0, 2.0], [3.0, 4.0, 5.0]]), ["O1", "O2"], ["S1", "S2", "S3"], obs, samp)

@@ -64,3 +64,13 @@ def strip_brackets(text: Column) -> Column:
 def prefer_first(a: Column, b: Column) -> Column:
     """Metadata merge: the first that is there."""
     return F.coalesce(a, b)
+
+
+def flattened(lists: Column) -> Column:
+    """One list of the elements of several."""
+    return F.flatten(lists)
+
+
+def unzipped(pairs: Column) -> Column:
+    """A list of structs as a struct of lists."""
+    return F.struct(F.transform(pairs, lambda x: x.getField("first")).alias("first"), F.transform(pairs, lambda x: x.getField("second")).alias("second"))

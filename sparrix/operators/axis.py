@@ -95,6 +95,12 @@ class AxisOps:
         rows, columns = self.shape
         return f"{rows} x {columns} {type(self).__name__} with {self.nnz} nonzero entries ({int(self.density() * 100)}% dense)"
 
+    def __str__(self) -> str:
+        """The wide text of a table small enough for the driver."""
+        from sparrix.sources.tsv import to_tsv
+
+        return to_tsv(self)
+
     # -- metadata
 
     def has_metadata(self, axis: str) -> bool:

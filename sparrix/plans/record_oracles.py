@@ -71,6 +71,73 @@ UNREAD = (
     "WHERE body IS NULL OR NOT json_valid(body) OR json_type(CASE WHEN json_valid(body) THEN body END) <> 'OBJECT'"
 )
 
+_KNOWN = {
+    "type": "'otu table', 'pathway table', 'function table', 'ortholog table', 'gene table', 'metabolite table', 'taxon table'", "matrix_type": "'sparse', 'dense'",
+    "matrix_element_type": "'int', 'float', 'unicode', 'str'",
+}
+
+
+def _string(field: str, b: str = "b") -> str:
+    return f"CASE json_type({b}, '$.{field}') WHEN 'VARCHAR' THEN json_extract_string({b}, '$.{field}') END"
+
+
+def _blank(x: str) -> str:
+    return f"CAST({x} AS VARCHAR) IN ('null', '\"\"', '[]', '{{}}', '0', '0.0', 'false')"
+
+
+def _simple(field: str, fault: str) -> str:
+    return f"SELECT file_id, '{field}' AS rule, CASE WHEN json_type(b, '$.{field}') IS NULL THEN 'missing' ELSE {fault} END AS message FROM f"
+
+
+_SIDES = "CASE WHEN json_array_length(b, '$.shape') = 2 AND json_type(b, '$.shape[0]') = 'UBIGINT' AND json_type(b, '$.shape[1]') = 'UBIGINT' THEN [CAST(json_extract(b, '$.shape[0]') AS BIGINT), CAST(json_extract(b, '$.shape[1]') AS BIGINT)] END"
+_WHOLE = ("BIGINT", "UBIGINT")
+_GOOD = f"CASE {_string('matrix_element_type')} WHEN 'int' THEN {{t}} IN {_WHOLE} WHEN 'float' THEN {{t}} = 'DOUBLE' ELSE {{t}} = 'VARCHAR' END"
+
+
+def _entries(field: str) -> str:
+    lists = f"SELECT file_id, b, {_SIDES} AS sides, CASE json_type(b, '$.{field}') WHEN 'ARRAY' THEN from_json(json_extract(b, '$.{field}'), '[\"JSON\"]') END AS l FROM f"
+    return f"SELECT *, i - 1 AS place, l[i] AS x FROM (SELECT *, UNNEST(range(1, len(l) + 1)) AS i FROM ({lists}) a) b_"
+
+
+def _listed(field: str, judge: str, rest: str) -> str:
+    """The first fault of a list's entries, or what is wrong with the list."""
+    faults = f"SELECT file_id, MIN_BY(fault || ' at place ' || place, place) AS m FROM (SELECT file_id, place, {judge} AS fault FROM ({_entries(field)}) e) g WHERE fault IS NOT NULL GROUP BY 1"
+    return f"SELECT f.file_id, '{field}' AS rule, CASE WHEN json_type(b, '$.{field}') IS NULL THEN 'missing' {rest} END AS message FROM f LEFT JOIN ({faults}) m ON m.file_id = f.file_id"
+
+
+_ENTRY = (
+    f"CASE WHEN COALESCE(json_type(x), 'NULL') <> 'OBJECT' THEN 'no object' WHEN json_type(x, '$.id') IS NULL THEN 'no id' WHEN json_type(x, '$.metadata') IS NULL THEN 'no metadata' "
+    f"WHEN {_blank("json_extract(x, '$.id')")} THEN 'empty id' WHEN json_type(x, '$.metadata') NOT IN ('NULL', 'OBJECT') THEN 'metadata of another kind' END"
+)
+_TYPE = "json_type(x, '$[{0}]')"
+_COORD = "TRY_CAST(json_extract_string(x, '$[{0}]') AS BIGINT)"
+_TRIPLE = (
+    f"CASE WHEN COALESCE(json_type(x), 'NULL') <> 'ARRAY' OR json_array_length(x) <> 3 THEN 'no triple' WHEN {_TYPE.format(0)} NOT IN {_WHOLE} OR {_TYPE.format(1)} NOT IN {_WHOLE} THEN 'no whole coordinate' "
+    f"WHEN NOT {_GOOD.format(t=_TYPE.format(2))} THEN 'value of another kind' WHEN {_COORD.format(0)} < 0 OR {_COORD.format(0)} >= sides[1] THEN 'row out of bounds' "
+    f"WHEN {_COORD.format(1)} < 0 OR {_COORD.format(1)} >= sides[2] THEN 'column out of bounds' END"
+)
+_VECTOR = (
+    "CASE WHEN COALESCE(json_type(x), 'NULL') <> 'ARRAY' THEN 'no list' WHEN json_array_length(x) <> sides[2] THEN 'row of another length' "
+    f"WHEN len(list_filter(from_json(x, '[\"JSON\"]'), lambda v: NOT COALESCE({_GOOD.format(t='json_type(v)')}, FALSE))) > 0 THEN 'value of another kind' END"
+)
+_SIDE = "WHEN json_type(b, '$.{0}') <> 'ARRAY' THEN 'no list' WHEN m IS NOT NULL THEN m WHEN json_array_length(b, '$.{0}') <> ({1})[{2}] THEN json_array_length(b, '$.{0}') || ' entries where shape has ' || ({1})[{2}]"
+_JUDGED = f"({_SIDES}) IS NOT NULL AND COALESCE({_string('matrix_type')} IN ({_KNOWN['matrix_type']}), FALSE) AND COALESCE({_string('matrix_element_type')} IN ({_KNOWN['matrix_element_type']}), FALSE)"
+VALIDATED = (
+    "WITH f AS (SELECT DISTINCT file_id, CAST(body AS JSON) AS b FROM table_files WHERE json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body END) = 'OBJECT'), r AS ("
+    + " UNION ALL ".join([
+        _simple("id", "NULL"), _simple("format", f"CASE WHEN NOT COALESCE(REGEXP_MATCHES({_string('format')}, '^([A-Za-z][A-Za-z ]* )?1[.]0[.]0$'), FALSE) THEN 'not version 1.0.0' END"),
+        *[_simple(x, f"CASE WHEN {_blank(f"json_extract(b, '$.{x}')")} THEN 'has no content' END") for x in ("format_url", "generated_by")],
+        _simple("type", f"CASE WHEN {_blank("json_extract(b, '$.type')")} THEN 'has no content' WHEN NOT COALESCE(LOWER({_string('type')}) IN ({_KNOWN['type']}), FALSE) THEN 'not one of the known ones' END"),
+        _simple("date", rf"CASE WHEN NOT COALESCE(REGEXP_MATCHES({_string('date')}, '^\d{{4}}-\d{{1,2}}-\d{{1,2}}(T\d{{1,2}}:\d{{1,2}}(:\d{{1,2}}(\.\d{{1,6}})?)?)?$') AND TRY_CAST(REGEXP_EXTRACT({_string('date')}, '^[0-9-]+') AS DATE) IS NOT NULL, FALSE) THEN 'no ISO date' END"),
+        *[_simple(x, f"CASE WHEN NOT COALESCE({_string(x)} IN ({_KNOWN[x]}), FALSE) THEN 'not one of the known ones' END") for x in ("matrix_type", "matrix_element_type")],
+        _simple("shape", f"CASE WHEN ({_SIDES}) IS NULL THEN 'not two whole numbers' END"),
+        _listed("rows", _ENTRY, _SIDE.format("rows", _SIDES, 1)), _listed("columns", _ENTRY, _SIDE.format("columns", _SIDES, 2)),
+        _listed("data", f"CASE {_string('matrix_type')} WHEN 'sparse' THEN {_TRIPLE} ELSE {_VECTOR} END", f"WHEN NOT ({_JUDGED}) THEN 'cannot be judged' WHEN json_type(b, '$.data') <> 'ARRAY' THEN 'no list' WHEN m IS NOT NULL THEN m WHEN {_string('matrix_type')} = 'dense' AND json_array_length(b, '$.data') <> ({_SIDES})[1] THEN 'another number of rows'"),
+    ])
+    + ") SELECT DISTINCT file_id, rule, message FROM r WHERE message IS NOT NULL UNION ALL "
+    "SELECT DISTINCT file_id, 'json', 'no JSON object' FROM table_files WHERE NOT COALESCE(json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body END) = 'OBJECT', FALSE)"
+)
+
 # -- headers
 
 KIND = "CASE type WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' ELSE 'number' END"
@@ -149,4 +216,4 @@ PACKED = (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _found(), "p2_unread": UNREAD, "p3_found": CHANGES, "p4_found": PACKED} | {f"p2_{name}": TABLES + sql for name, sql in PARTS.items()}
+    return {"table_files_validated": VALIDATED, "p2_found": _found(), "p2_unread": UNREAD, "p3_found": CHANGES, "p4_found": PACKED} | {f"p2_{name}": TABLES + sql for name, sql in PARTS.items()}

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparrix.core import MatrixTable, renumbered
 from sparrix.errors import ParseError
@@ -82,3 +83,10 @@ def read_mapping(
     if not out.groupBy("id").count().where("count > 1").isEmpty():
         raise ParseError("the ids of the mapping file are not unique")
     return out
+
+
+def mapping_frame(spark: SparkSession, mapping: Mapping[str, Mapping[str, str]]) -> DataFrame:
+    """A mapping of ids to fields as the frame that ``read_mapping`` gives."""
+    names = list(dict.fromkeys(k for fields in mapping.values() for k in fields))
+    schema = T.StructType([T.StructField(k, T.StringType()) for k in ["id", *names]])
+    return spark.createDataFrame([(i, *[fields.get(k, "") for k in names]) for i, fields in mapping.items()], schema)

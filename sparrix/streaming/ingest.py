@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def _timed(stream: DataFrame, time: str) -> DataFrame:
+    """Watermarks want an instant; a local time is one in the session's time zone."""
+    return stream.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def first_sent(stream: DataFrame, cell: str, loaded_at: str, delay: str = "60 days") -> DataFrame:
     """Each cell once: rows sent again within the delay are dropped, and the state with them."""
-    return stream.withWatermark(loaded_at, delay).dropDuplicatesWithinWatermark([cell])
+    return _timed(stream, loaded_at).withWatermark(loaded_at, delay).dropDuplicatesWithinWatermark([cell])
 
 
 def running_cells(stream: DataFrame, obs: str = "obs_id", samp: str = "samp_id", value: str = "value") -> DataFrame:
@@ -24,7 +29,7 @@ def running_cells(stream: DataFrame, obs: str = "obs_id", samp: str = "samp_id",
 
 def windowed_totals(stream: DataFrame, time: str, window: str = "1 day", delay: str = "7 days", samp: str = "samp_id", value: str = "value") -> DataFrame:
     """``(start, samp_id, n, total)`` of each event-time window; rows later than the delay are dropped."""
-    w = stream.withWatermark(time, delay).groupBy(F.window(time, window).alias("w"), F.col(samp).alias("samp_id"))
+    w = _timed(stream, time).withWatermark(time, delay).groupBy(F.window(time, window).alias("w"), F.col(samp).alias("samp_id"))
     return w.agg(F.count(value).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), "samp_id", "n", "total")
 
 

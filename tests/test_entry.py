@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from sparrix.plans import matrix
+from sparrix.plans import matrix, records, surface
 
 
 def rounded(rows):
@@ -27,7 +27,7 @@ def test_names():
         assert f"p{n}_found" in entry.queries()
 
 
-@pytest.mark.parametrize("name", sorted(set(matrix.queries()) & set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted((set(matrix.queries()) | set(records.queries())) & set(entry.oracle_sql())))
 def test_query(spark, data, duck, name):
     df = entry.queries()[name](spark, data)
     columns = sorted(df.columns)
@@ -37,6 +37,10 @@ def test_query(spark, data, duck, name):
     assert got == rounded(tuple(r[i] for i in at) for r in rel.fetchall())
 
 
+def test_every_query_of_the_surface_has_sql():
+    assert set(surface.queries()) == set(surface.oracle_sql()) and set(surface.queries()) <= set(entry.queries())
+
+
 def test_flagship(spark):
     if not os.path.isdir("/root/testdata/sf0.001"):
         pytest.skip("no test data")
