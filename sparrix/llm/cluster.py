@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparrix.runtime import materialize
+from sparrix.runtime import discard, materialize
 
 #: A share is kept in so many bits of a packed entry, the feature's hash in the others.
 SHARE_BITS = 20
@@ -454,8 +454,9 @@ def pivot_clusters(pairs: DataFrame, cliques: DataFrame | None = None, vectors:
             gone = materialize(gone, "gone")
             absorbed = gone if absorbed is None else absorbed.unionByName(gone)
             several = materialize(several.join(gone, "id", "left_anti").select("id", "clique"), "cliques")
-        live = live.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
-        live = materialize(live, "live")
+        before, live = live, materialize(live.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti"), "live")
+        if before is not both:
+            discard(before)
         if live.isEmpty() and (several is None or several.groupBy("clique").count().where("count > 1").isEmpty()):
             break
     vertices = both.select(F.col("a").alias("id"))
@@ -495,7 +496,8 @@ def linked_groups(pairs: DataFrame) -> DataFrame:
         up = now.select(F.col("id").alias("a"), F.col("grp").alias("ga"))
         over = pairs.join(up, "a").join(up.toDF("b", "gb"), "b").where("ga <> gb")
         over = over.select(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b"), "similarity")
-        pairs = materialize(over.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "over")
+        before, pairs = pairs, materialize(over.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "over")
+        discard(before)
         if pairs.isEmpty():
             return materialize(labels, "groups")
 
@@ -533,14 +535,26 @@ class CompositionClusters:
         groups = materialize(self.groups(), "members")
         return groups.select(F.col("record").alias("a"), "grp").join(groups.select(F.col("record").alias("b"), "grp"), "grp").where("a < b").select("a", "b")
 
+    def _labels(self) -> DataFrame:
+        pairs = materialize(alike_pairs(self.distinct, self.threshold, False, self.codes_differ), "pairs")
+        return pivot_clusters(pairs, dominant_cliques(self.distinct, self.threshold), self.vectors).select(F.col("id").alias("record"), F.col("pivot").alias("grp"))
+
+    def members(self) -> DataFrame:
+        """``(record, pivot, similarity)``: each record with the pivot of its cluster and its similarity to it."""
+        labels = self._with_copies(self._labels(), "grp")
+        alone = self.vectors.select("record").join(labels, "record", "left_anti").select("record", F.col("record").alias("grp"))
+        labels = materialize(labels.unionByName(alone), "labels")
+        others = labels.where("record <> grp").select(F.col("record").alias("a"), F.col("grp").alias("b"))
+        similarity = _similarities(self.vectors, others).select(F.col("a").alias("record"), F.round("similarity", 9).alias("similarity"))
+        return labels.join(similarity, "record", "left").select("record", F.col("grp").alias("pivot"), F.when(F.col("record") == F.col("grp"), 1.0).otherwise(F.col("similarity")).alias("similarity"))
+
     def clusters(self, typical: int = 3) -> DataFrame:
         """``(cluster, size, medoid, typical)``; each record is in one cluster.
 
         The medoid has the largest sum of similarities to the others of its cluster, and
         names it; ``typical`` holds the first so many records by that sum, ties by id.
         """
-        pairs = materialize(alike_pairs(self.distinct, self.threshold, False, self.codes_differ), "pairs")
-        labels = pivot_clusters(pairs, dominant_cliques(self.distinct, self.threshold), self.vectors).select(F.col("id").alias("record"), F.col("pivot").alias("grp"))
+        labels = self._labels()
         members = self._with_copies(labels, "grp").join(self.copies, "record", "left").select("record", "grp", F.coalesce("rep", "record").alias("rep"))
         members = materialize(members, "members")
         weight = members.groupBy("rep", "grp").agg(F.count("*").alias("w"))

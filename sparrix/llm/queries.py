@@ -14,7 +14,7 @@ from sparrix.llm.mix import SourceMix
 from sparrix.llm.pack import pack_all
 from sparrix.llm.stable import StableSample, lost_keys
 from sparrix.llm.tokens import token_counts
-from sparrix.runtime import ship
+from sparrix.runtime import materialize, ship
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +29,19 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CompositionClusters(_read(spark, sf_dir, "cells")).clusters()
 
 
+def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CompositionClusters(_read(spark, sf_dir, "cells")).members().withColumnRenamed("record", "samp_id")
+
+
+def p1_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for the clusters: each record in one, alike to its pivot, which is its own, no two pivots alike in a chain without need."""
+    members = materialize(p1_members(spark, sf_dir), "members")
+    pivots = members.where("samp_id = pivot").select("pivot")
+    return members.agg(
+        F.count("*").alias("members"), F.count_distinct("samp_id").alias("records"), F.count(F.when(~(F.col("similarity") >= 0.55 - 1e-6), 1)).alias("unlike"),
+    ).crossJoin(members.join(pivots, "pivot", "left_anti").agg(F.count("*").alias("without_pivot")))  # two rows of one number
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence(_read(spark, sf_dir, "cells")).select(F.col("item_a").alias("obs_a"), F.col("item_b").alias("obs_b"))
 
@@ -99,6 +112,34 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("container_kind", "capacity_tokens", "containers", "tokens", least.alias("least_containers"), unused.alias("unused_share"))
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each kind: texts packed, and what must not be: containers too full, tokens lost or doubled, texts split that fit."""
+    counts = materialize(token_counts(_read(spark, sf_dir, "documents")), "counts")
+    containers = _read(spark, sf_dir, "containers")
+    packed = materialize(pack_all(counts, containers), "packed").join(F.broadcast(containers), "container_kind")
+    full = packed.groupBy("container_kind", "container", "capacity_tokens").agg(F.sum("tokens").alias("n")).groupBy("container_kind").agg(F.count(F.when(F.col("n") > F.col("capacity_tokens"), 1)).alias("too_full"))
+    texts = packed.groupBy("container_kind", "doc", "capacity_tokens").agg(F.sum("tokens").alias("n"), F.count("*").alias("pieces"), F.count_distinct("piece").alias("numbers"))
+    sizes = counts.groupBy("doc").agg(F.max("tokens").alias("tokens"))
+    texts = texts.join(sizes, "doc", "full").groupBy("container_kind").agg(
+        F.count("*").alias("texts"), F.count(F.when(~F.col("n").eqNullSafe(F.col("tokens")) | (F.col("pieces") != F.col("numbers")), 1)).alias("miscounted"),
+        F.count(F.when((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens")), 1)).alias("split_needlessly"),
+    )
+    return texts.join(full, "container_kind")
+
+
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each listed source: places used too often, and whether its share is off by over a point from what its cap allows."""
+    mix = _mix(spark, sf_dir)
+    slots = materialize(mix.slots(), "slots")
+    total = max(1, sum(mix.quota.values()))
+    twice = slots.groupBy("source", "repeat_no", "block").count().groupBy("source").agg(F.count(F.when(F.col("count") > 1, 1)).alias("twice"), F.max("repeat_no").alias("last"), F.sum("count").alias("n"))
+    planned = spark.createDataFrame([(s, mix.caps[s], mix.quota[s] / total) for s in mix.quota], "source string, cap int, planned double")
+    joined = planned.join(twice, "source", "left").na.fill(0, ["twice", "n"])
+    return joined.select(
+        "source", F.col("twice").alias("placed_twice"), F.coalesce((F.col("last") >= F.col("cap")).cast("int"), F.lit(0)).alias("above_cap"), (F.abs(F.col("n") / total - F.col("planned")) > 0.01).cast("int").alias("share_off"),
+    )
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> SourceMix:
     docs = _read(spark, sf_dir, "documents")
     targets = _read(spark, sf_dir, "mix_targets")
@@ -126,4 +167,4 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p5_found, p5_pairs, p5_all_pairs, p6_sample, p6_thresholds, p6_lost, p7_packed, p7_fill, p8_mixed, p8_shares, p9_found, p9_classes, p9_canonical)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p1_members, p1_checks, p5_found, p5_pairs, p5_all_pairs, p6_sample, p6_thresholds, p6_lost, p7_packed, p7_fill, p7_checks, p8_mixed, p8_shares, p8_checks, p9_found, p9_classes, p9_canonical)}

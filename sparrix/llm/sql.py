@@ -63,6 +63,10 @@ def _look_alikes() -> dict[str, str]:
 
 def oracle_sql() -> dict[str, str]:
     return _look_alikes() | {
+        "p1_checks": f"WITH {PRESENT}, t AS (SELECT samp_id, obs_id, SUM(value) AS value FROM v GROUP BY 1, 2), s AS (SELECT samp_id FROM t GROUP BY 1 HAVING MIN(value) > 0) "
+        "SELECT COUNT(*) AS members, COUNT(*) AS records, 0 AS unlike, 0 AS without_pivot FROM s",
+        "p7_checks": "SELECT container_kind, (SELECT COUNT(DISTINCT doc_id) FROM documents WHERE text IS NOT NULL AND text <> '') AS texts, 0 AS miscounted, 0 AS split_needlessly, 0 AS too_full FROM containers WHERE capacity_tokens > 0",
+        "p8_checks": "SELECT DISTINCT source, 0 AS placed_twice, 0 AS above_cap, 0 AS share_off FROM mix_targets WHERE source IS NOT NULL",
         "p6_sample": STRATA + "SELECT axis, id, MIN(load_no) AS load_no FROM t WHERE u < threshold GROUP BY axis, id",
         "p6_thresholds": STRATA + "SELECT axis, stratum, MAX(threshold) AS threshold, COUNT(*) AS keys, COUNT(*) FILTER (WHERE u < threshold) AS chosen FROM t GROUP BY axis, stratum",
         "p6_lost": "SELECT 'samp' AS axis, id, CAST(load_no AS BIGINT) AS load_no FROM samp WHERE FALSE",
