@@ -1,8 +1,10 @@
 """Items that appear together: stripes with a log-likelihood ratio.
 
-Each item of a basket gives a stripe, the items that stand behind it in the basket. A
-task merges the stripes of its baskets before they are shuffled by item and merged again;
-the stripe of an item is shuffled in ``PARTS`` parts, as an item may be in most baskets.
+Items are numbered from the rarest on. Each item of a basket gives a stripe, the items
+that are behind it by number, so a pair is kept with its rarer item and an item of most
+baskets has hardly any stripe of its own. A task merges the stripes of its baskets before
+they are shuffled by item and merged again; the stripe of an item of very many baskets is
+shuffled in ``PARTS`` parts.
 
 Two exact bounds keep the stripes short: a pair that is together ``min_count`` times has
 two items with at least so many baskets, and as n(a,b) is at most the smaller of n(a) and
@@ -23,22 +25,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparrix.core import renumbered
 from sparrix.runtime import materialize
 
 #: Items kept up to this number are broadcast to the baskets, more are shuffled.
 BROADCAST_ITEMS = 200_000
 #: A basket with more items is spread over several rows, by blocks of first items.
 BLOCK = 1024
-#: Parts of an item's stripe that are merged apart from each other.
-PARTS = 16
+#: Parts of the stripe of an item of more than so many baskets that are merged apart from each other.
+PARTS, MANY_BASKETS = 16, 50_000
 #: The log-likelihood ratio that chance exceeds for one pair in a thousand.
 SIGNIFICANT = 10.83
 #: Pairs that one step of a task holds in memory.
 PAIRS_AT_ONCE = 2_000_000
 
 
-def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (firsts, items), items ascending and firsts its head, to merged stripes."""
+def _stripes(many: int, long: bool):
+    """From rows (firsts, items), items ascending and firsts its head, to merged stripes; items from ``many`` on are of very many baskets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _merged_stripes(batches, many, np.int64 if long else np.int32)
+
+    return run
+
+
+def _part_of(a: np.ndarray, b: np.ndarray, many: int) -> np.ndarray:
+    return np.where(a >= many, b % PARTS, 0).astype(np.int32)
+
+
+def _merged_stripes(batches: Iterator[pa.RecordBatch], many: int, kind: type) -> Iterator[pa.RecordBatch]:
     a_held: list[np.ndarray] = []
     b_held: list[np.ndarray] = []
     n_held: list[np.ndarray] = []
@@ -46,21 +61,21 @@ def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b, n = np.concatenate(a_held), np.concatenate(b_held), np.concatenate(n_held)
-        order = np.lexsort((b, b % PARTS, a))
+        order = np.lexsort((b, _part_of(a, b, many), a))
         a, b, n = a[order], b[order], n[order]
         new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
         return a[new], b[new], np.add.reduceat(n, new)
 
     def rows(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        part = (b % PARTS).astype(np.int32)
+        part = _part_of(a, b, many)
         start = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (part[1:] != part[:-1]))))
         ends = np.append(start[1:], len(a))
         for lo in range(0, len(start), 10_000):
             s, e = start[lo : lo + 10_000], ends[lo : lo + 10_000]
             offsets = pa.array(np.append(s, e[-1]) - s[0], pa.int32())
             values = slice(s[0], e[-1])
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (b[values], n[values].astype(np.int32))]  # a task has fewer baskets
-            yield pa.record_batch([pa.array(a[s]), pa.array(part[s]), *lists], names=["a", "part", "b", "n"])
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (b[values].astype(kind), n[values].astype(np.int32))]  # a task has fewer baskets
+            yield pa.record_batch([pa.array(a[s].astype(kind)), pa.array(part[s]), *lists], names=["a", "part", "b", "n"])
 
     def pairs(first: np.ndarray, heads: np.ndarray, items: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """first: bounds of the baskets' items; heads: how many of a basket are first items."""
@@ -128,13 +143,9 @@ def cooccurrence(
     rows = materialize(rows.repartition("basket").distinct(), "occurrences")
     n = rows.select(F.count_distinct("basket")).first()[0]
     counts = rows.groupBy("item").agg(F.count("*").alias("c")).where((F.col("c") >= min_count) & (F.col("c") * F.lit(float(min_lift)) <= n))
-    seed = 42
-    while True:  # no two items may share their number
-        items = materialize(counts.select("item", "c", F.xxhash64("item", F.lit(seed)).alias("code")), "items")
-        size, codes = items.select(F.count("*"), F.count_distinct("code")).first()
-        if size == codes:
-            break
-        seed += 1
+    items = materialize(renumbered(counts, "c", "item").withColumnRenamed("ord", "code"), "items")
+    size, many = items.select(F.count("*"), F.coalesce(F.min(F.when(F.col("c") > MANY_BASKETS, F.col("code"))), F.lit((1 << 62)))).first()
+    long = size >= 1 << 31
     known = items.select("item", "code")
     coded = rows.join(F.broadcast(known) if size <= BROADCAST_ITEMS else known, "item").select("basket", "code")
     baskets = coded.groupBy("basket").agg(F.sort_array(F.collect_list("code")).alias("items")).where(F.size("items") > 1)
@@ -142,7 +153,8 @@ def cooccurrence(
     blocks = baskets.select("items", starts.alias("start")).select(
         F.least(F.size("items") - F.col("start"), F.lit(BLOCK)).alias("heads"), F.expr("slice(items, start + 1, size(items))").alias("items")
     )
-    stripes = blocks.mapInArrow(_stripes, "a long, part int, b array<long>, n array<int>").repartition("a", "part")
+    kind = "long" if long else "int"
+    stripes = blocks.mapInArrow(_stripes(many, long), f"a {kind}, part int, b array<{kind}>, n array<int>").repartition("a", "part")
     pairs = stripes.select("a", "part", F.explode(F.arrays_zip("b", "n")).alias("x")).select("a", "part", "x.b", "x.n")
     pairs = pairs.groupBy("a", "part", "b").agg(F.sum("n").alias("n_ab")).drop("part")
     pairs = pairs.where(F.col("n_ab") >= min_count)

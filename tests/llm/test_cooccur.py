@@ -100,5 +100,7 @@ def test_significance(spark):
 
 def test_stripe_in_parts(spark, monkeypatch):
     monkeypatch.setattr(cooccur, "PARTS", 3)
+    monkeypatch.setattr(cooccur, "MANY_BASKETS", 20)
     rows = rows_of(7)
     assert run(spark, rows, 1, 0.0) == plain(rows, 1, 0.0)
+    assert len(list(cooccur._stripes(5, True)(iter([])))) == 0
