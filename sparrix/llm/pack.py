@@ -1,14 +1,16 @@
 """Filling containers of fixed capacity with texts, with as little unused space as possible.
 
 All planning is done on the histogram of lengths, whose size is bounded by the capacity,
-not by the data. A configuration linear program (cover the histogram by the fewest
-containers, a variable for each way to fill one) is solved by multiplicative weights: the
-lengths not yet covered have the highest weights, and knapsack dynamic programming prices
-the best fill under the weights. The solution is rounded down, the space left in its
-containers is filled from what remains, and the rest is filled largest first. A plan made
-largest first throughout is kept if it needs fewer containers. The plan
-says for each length which ranks go to which containers; texts are ranked within their
-length by bucket, without any group being gathered, and looked up in the plan.
+not by the data; the plans of all kinds of container are made by tasks at the same time. A
+configuration linear program (cover the histogram by the fewest containers, a variable for
+each way to fill one) is solved by multiplicative weights: the lengths not yet covered have
+the highest weights, and knapsack dynamic programming prices the best fill under the
+weights. The solution is rounded down; real lengths are put for its classes and topped up
+with what fits, and a fill is used while it leaves no more space than the plan made largest
+first leaves on average. What remains is filled largest first. Of the two plans the one
+with fewer containers is kept, the program's if they are equal. The plan says for each
+length which ranks go to which containers; texts are ranked within their length by bucket,
+without any group being gathered, and looked up in the plan.
 
 Edge cases: a text without tokens is in no container; one that exceeds the capacity is
 split into pieces of the capacity and a rest, others never; texts of equal length go by
@@ -17,6 +19,8 @@ their id; repeated rows of an id count once; without texts there are no containe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,7 +32,8 @@ from sparrix.runtime import materialize
 #: Size classes of the linear program, and units of capacity in its pricing.
 CLASSES = 96
 UNITS = 512
-#: The cover is to be within about this share of the best; the steps there may be.
+#: The cover is to be within about this share of the best. It takes at most
+#: CLASSES * ln(CLASSES + 1) / PRECISION ** 2 steps, about 69,000.
 PRECISION, MOST_STEPS = 0.08, 80_000
 #: Pricing is done in so many first steps and every so many later ones.
 ALWAYS_PRICED, PRICED_EVERY = 150, 150
@@ -36,6 +41,8 @@ ALWAYS_PRICED, PRICED_EVERY = 150, 150
 SMALL = 1 / 48
 #: Rows of one bucket of the ranking, about.
 BUCKET_ROWS = 50_000
+#: Kinds of container there may be: every text is packed once for each.
+MOST_KINDS = 1000
 
 Pattern = dict[int, int]
 
@@ -77,11 +84,15 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
     most = np.maximum(1, demand).astype(np.int64)
     eta = np.log(len(sizes) + 1) / PRECISION
     cover, fills, uses = np.zeros(len(sizes)), np.zeros((0, len(sizes)), np.int64), []
-    for k in range(MOST_STEPS):
+    k = -1
+    while True:
+        k += 1
         level = cover / demand
         least = level.min()
         if least >= 1:
             break
+        if k > MOST_STEPS:
+            raise RuntimeError("the program did not converge within its bound")
         weight = np.exp(-eta * (level - least)) / demand
         worth = fills @ weight
         if k < ALWAYS_PRICED or not k % PRICED_EVERY:
@@ -100,25 +111,22 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
 def plan_containers(histogram: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     """Fills, each with the number of containers so filled; every item is in one of them.
 
-    Rounding the program may cost what it gained, so the plan that fills largest first
-    without it is made as well, and taken if it needs fewer containers.
+    Rounding the program may cost more than it gains, so the plan that fills largest first
+    is made as well: it says how much space a fill may leave, and is kept if it needs fewer.
     """
     items = {s: n for s, n in sorted(histogram.items()) if n > 0}
     if any(s > capacity or s < 1 for s in items):
         raise ValueError("an item is larger than the capacity or empty")
-    plans = [_plan(dict(items), capacity, program) for program in (True, False)]
-    return min(plans, key=lambda plan: sum(times for _, times in plan))
+    plain = _largest_first(dict(items), capacity)
+    used = sum(times for _, times in plain)
+    spare = capacity - sum(s * n for s, n in items.items()) / used if used else 0
+    programmed = _by_program(dict(items), capacity, int(spare))
+    return min([programmed, plain], key=lambda plan: sum(times for _, times in plan))
 
 
-def _plan(left: dict[int, int], capacity: int, program: bool) -> list[tuple[Pattern, int]]:
+def _largest_first(left: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     plan: list[tuple[Pattern, int]] = []
-    if capacity in left:
-        plan.append(({capacity: 1}, left.pop(capacity)))
-    large = [s for s in left if s > capacity * SMALL]
-    if large and program:
-        plan += _from_configurations(left, large, capacity)
-    plan = _filled(plan, left, capacity)
-    while left:  # what remains, largest first
+    while left:
         room, fill = capacity, {}
         for s in sorted(left, reverse=True):
             if s <= room:
@@ -131,13 +139,23 @@ def _plan(left: dict[int, int], capacity: int, program: bool) -> list[tuple[Patt
     return plan
 
 
+def _by_program(left: dict[int, int], capacity: int, spare: int) -> list[tuple[Pattern, int]]:
+    plan: list[tuple[Pattern, int]] = []
+    if capacity in left:
+        plan.append(({capacity: 1}, left.pop(capacity)))
+    large = [s for s in left if s > capacity * SMALL]
+    if large:
+        plan += _from_configurations(left, large, capacity, spare)
+    return [*_filled(plan, left, capacity), *_largest_first(left, capacity)]
+
+
 def _take(left: dict[int, int], size: int, n: int) -> None:
     left[size] -= n
     if not left[size]:
         del left[size]
 
 
-def _from_configurations(left: dict[int, int], large: list[int], capacity: int) -> list[tuple[Pattern, int]]:
+def _from_configurations(left: dict[int, int], large: list[int], capacity: int, spare: int) -> list[tuple[Pattern, int]]:
     """Rounds the linear program's solution down and puts real lengths for its classes."""
     counts = np.array([left[s] for s in large])
     group = np.minimum((np.cumsum(counts) - 1) * CLASSES // counts.sum(), CLASSES - 1)
@@ -146,6 +164,7 @@ def _from_configurations(left: dict[int, int], large: list[int], capacity: int)
     sizes = np.array([m[0] for m in members])
     demand = np.array([sum(left[s] for s in m) for m in members], float)
     plan: list[tuple[Pattern, int]] = []
+    every = sorted(left, reverse=True)
     # the fullest first: the solution covers some classes more than once
     for fill, times in sorted(configurations(sizes, demand, capacity), key=lambda x: (-(x[0] @ sizes), -x[1])):
         times, used = int(times), np.flatnonzero(fill)
@@ -161,7 +180,12 @@ def _from_configurations(left: dict[int, int], large: list[int], capacity: int)
                         need -= take
                     if not need:
                         break
-            if not real:
+            room = capacity - sum(s * n for s, n in real.items())
+            for s in every:
+                if s <= room and (more := min(room // s, left.get(s, 0) - real.get(s, 0))) > 0:
+                    real[s] = real.get(s, 0) + more
+                    room -= s * more
+            if not real or room > spare:
                 break
             alike = min(times, *(left[s] // n for s, n in real.items()))
             plan.append((real, alike))
@@ -204,59 +228,70 @@ def _lookup(plan: list[tuple[Pattern, int]]) -> tuple[np.ndarray, ...]:
     return size, start, first, each
 
 
-def ranked_within(df: DataFrame, by: str, order: str, rows: int) -> DataFrame:
-    """Adds ``rank``, 0-based among the rows of equal ``by``.
+def ranked_within(df: DataFrame, by: list[str], order: str, rows: int) -> DataFrame:
+    """Adds ``rank``, 0-based among the rows of equal ``by``, none of them null.
 
     Rows are ranked within buckets of the hash of ``order``, to which the number of rows in
     the buckets before is added, so one value may hold any part of all rows.
     """
     buckets = max(1, -(-rows // BUCKET_ROWS))
     df = df.withColumn("bucket", F.pmod(F.xxhash64(order), F.lit(buckets)))
-    counts = df.groupBy(by, "bucket").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(by, "bucket", F.coalesce(before, F.lit(0)).alias("before"))
-    local = df.withColumn("nth", F.row_number().over(Window.partitionBy(by, "bucket").orderBy(order)) - 1)
-    return local.join(counts, [by, "bucket"]).withColumn("rank", F.col("nth") + F.col("before")).drop("nth", "before", "bucket")
+    counts = df.groupBy(*by, "bucket").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*by, "bucket", F.coalesce(before, F.lit(0)).alias("before"))
+    local = df.withColumn("nth", F.row_number().over(Window.partitionBy(*by, "bucket").orderBy(order)) - 1)
+    return local.join(counts, [*by, "bucket"]).withColumn("rank", F.col("nth") + F.col("before")).drop("nth", "before", "bucket")
+
 
+def _planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From capacities with their histograms to the look-ups of their plans."""
+    for batch in batches:
+        for kind, capacity, sizes, counts in zip(*(batch[c].to_pylist() for c in ("kind", "capacity", "sizes", "counts")), strict=True):
+            plan = plan_containers(dict(zip(sizes, counts, strict=True)), capacity)
+            yield pa.record_batch([pa.array([kind], pa.int32()), *[pa.array([x.tolist()], pa.list_(pa.int64())) for x in _lookup(plan)]], names=["kind", "size", "start", "first", "each"])
 
-def pack(sizes: DataFrame, capacity: int) -> DataFrame:
-    """``(container, doc, piece, tokens)`` from ``sizes`` (doc, tokens; each doc once).
 
-    Containers are numbered from 0; ``piece`` is 0 but for the parts of a split text.
+def pack_all(sizes: DataFrame, containers: DataFrame) -> DataFrame:
+    """``(container_kind, container, doc, piece, tokens)`` for each kind of container.
+
+    ``containers``: container_kind, capacity_tokens; a table of a few rows. Kinds without a
+    positive capacity are left out. Containers are numbered from 0 in each kind; ``piece``
+    is 0 but for the parts of a split text.
     """
-    c = F.lit(capacity)
-    whole = sizes.select("doc", F.explode(F.sequence(F.lit(0), F.floor((F.col("tokens") - 1) / c))).alias("piece"), "tokens")
-    pieces = whole.select("doc", "piece", F.least(c, F.col("tokens") - F.col("piece") * c).cast("long").alias("tokens"))
-    histogram = {r["tokens"]: r["n"] for r in pieces.groupBy("tokens").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
-    size, start, first, each = _lookup(plan_containers(histogram, capacity))
+    spark = sizes.sparkSession
+    sizes = materialize(sizes.groupBy("doc").agg(F.max("tokens").alias("tokens")), "sizes")
+    kinds = containers.where("capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct().orderBy("container_kind", "capacity_tokens").limit(MOST_KINDS + 1).collect()
+    if len(kinds) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of container")
+    if not kinds:
+        return sizes.select(F.lit("").alias("container_kind"), F.lit(0).cast("long").alias("container"), "doc", F.lit(0).cast("long").alias("piece"), "tokens").where("false")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(k["container_kind"]).alias("container_kind"), F.lit(int(k["capacity_tokens"])).cast("long").alias("c")) for i, k in enumerate(kinds)]))
+    whole = sizes.select("doc", "tokens", each.alias("k")).select("k.*", "doc", "tokens")
+    whole = whole.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("tokens") - 1) / F.col("c")))).alias("piece"))
+    pieces = whole.select("kind", "container_kind", "doc", "piece", F.least("c", F.col("tokens") - F.col("piece") * F.col("c")).cast("long").alias("tokens"))
+    # at most as many rows as the capacities add up to
+    counts = pieces.groupBy("kind", "tokens").agg(F.count("*").alias("n")).collect()
+    histograms = [sorted((r["tokens"], r["n"]) for r in counts if r["kind"] == i) for i in range(len(kinds))]
+    rows = [(i, int(k["capacity_tokens"]), [s for s, _ in h], [n for _, n in h]) for i, (k, h) in enumerate(zip(kinds, histograms, strict=True))]
+    plans = spark.createDataFrame(rows, "kind int, capacity long, sizes array<long>, counts array<long>").repartition(len(kinds), "kind")
+    plans = plans.mapInArrow(_planned, "kind int, size array<long>, start array<long>, first array<long>, each array<long>").collect()
+    span = max(int(k["capacity_tokens"]) for k in kinds) + 1
+    plans = sorted(plans, key=lambda r: r["kind"])
+    size = np.concatenate([np.array(r["size"], np.int64) + r["kind"] * span for r in plans])
+    start, first, takes = (np.concatenate([np.array(r[c], np.int64) for r in plans]) for c in ("start", "first", "each"))
 
     @F.arrow_udf(T.LongType())
-    def container(tokens: pa.Array, rank: pa.Array) -> pa.Array:
-        s, r = tokens.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
+    def container(kind: pa.Array, tokens: pa.Array, rank: pa.Array) -> pa.Array:
+        k, s, r = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (kind, tokens, rank))
+        s = s + k * span
         out = np.zeros(len(s), np.int64)
         for one in np.unique(s):
             lo, hi = np.searchsorted(size, one), np.searchsorted(size, one, side="right")
             mine = s == one
             at = lo + np.searchsorted(start[lo:hi], r[mine], side="right") - 1
-            out[mine] = first[at] + (r[mine] - start[at]) // each[at]
+            out[mine] = first[at] + (r[mine] - start[at]) // takes[at]
         return pa.array(out)
 
-    ranked = ranked_within(pieces.withColumn("id", F.struct("doc", "piece")), "tokens", "id", sum(histogram.values()))
-    return ranked.select(container("tokens", "rank").alias("container"), "doc", "piece", "tokens")
-
-
-def pack_all(sizes: DataFrame, containers: DataFrame) -> DataFrame:
-    """``(container_kind, container, doc, piece, tokens)`` for each kind of container.
-
-    ``containers``: container_kind, capacity_tokens; a table of a few rows. Kinds without a
-    positive capacity are left out.
-    """
-    sizes = materialize(sizes.groupBy("doc").agg(F.max("tokens").alias("tokens")), "sizes")
-    kinds = containers.where("capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct().orderBy("container_kind").collect()
-    out = None
-    for kind, capacity in kinds:
-        part = pack(sizes, capacity).select(F.lit(kind).alias("container_kind"), "container", "doc", "piece", "tokens")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return sizes.select(F.lit("").alias("container_kind"), F.lit(0).cast("long").alias("container"), "doc", F.lit(0).cast("long").alias("piece"), "tokens").where("false")
-    return out
+    most = max(sum(n for _, n in h) for h in histograms)
+    ranked = ranked_within(pieces.withColumn("id", F.struct("doc", "piece")), ["kind", "tokens"], "id", most)
+    return ranked.select("container_kind", container("kind", "tokens", "rank").alias("container"), "doc", "piece", "tokens")

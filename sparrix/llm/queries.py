@@ -106,7 +106,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers, tokens and unused share of each kind, with the least number there could be."""
     packed = pack_all(token_counts(_read(spark, sf_dir, "documents")), _read(spark, sf_dir, "containers"))
     sums = packed.groupBy("container_kind").agg((F.max("container") + 1).alias("containers"), F.sum("tokens").alias("tokens"))
-    joined = sums.join(F.broadcast(_read(spark, sf_dir, "containers")), "container_kind")
+    joined = sums.join(_read(spark, sf_dir, "containers"), "container_kind")
     least = F.ceil(F.col("tokens") / F.col("capacity_tokens"))
     unused = F.round(1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6)
     return joined.select("container_kind", "capacity_tokens", "containers", "tokens", least.alias("least_containers"), unused.alias("unused_share"))
@@ -116,7 +116,7 @@ def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each kind: texts packed, and what must not be: containers too full, tokens lost or doubled, texts split that fit."""
     counts = materialize(token_counts(_read(spark, sf_dir, "documents")), "counts")
     containers = _read(spark, sf_dir, "containers")
-    packed = materialize(pack_all(counts, containers), "packed").join(F.broadcast(containers), "container_kind")
+    packed = materialize(pack_all(counts, containers), "packed").join(containers, "container_kind")
     full = packed.groupBy("container_kind", "container", "capacity_tokens").agg(F.sum("tokens").alias("n")).groupBy("container_kind").agg(F.count(F.when(F.col("n") > F.col("capacity_tokens"), 1)).alias("too_full"))
     texts = packed.groupBy("container_kind", "doc", "capacity_tokens").agg(F.sum("tokens").alias("n"), F.count("*").alias("pieces"), F.count_distinct("piece").alias("numbers"))
     sizes = counts.groupBy("doc").agg(F.max("tokens").alias("tokens"))

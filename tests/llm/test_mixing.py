@@ -111,7 +111,7 @@ def test_plan(seed):
 def test_hard_plan():
     """90 containers are enough; largest first, 110 are needed."""
     histogram = {51: 60, 27: 60, 26: 60, 23: 120}
-    assert sum(t for _, t in pack._plan(dict(histogram), 100, program=False)) == 110
+    assert sum(t for _, t in pack._largest_first(dict(histogram), 100)) == 110
     assert sum(t for _, t in plan_containers(histogram, 100)) <= 93
     assert sum(t for _, t in plan_containers({51: 60, 27: 60, 22: 60}, 100)) == 60
     assert plan_containers({}, 10) == [] and plan_containers({10: 3}, 10) == [({10: 1}, 3)]
