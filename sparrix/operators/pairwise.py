@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Ids that share a vector of the other axis and are paired by one task.
+PART = 2000
+
 
 class PairwiseOps:
     def pairwise_ids(self, axis: str = "sample", tri: bool = True, diag: bool = False) -> DataFrame:
@@ -26,13 +29,15 @@ class PairwiseOps:
     def pairwise_dot(self, axis: str = "sample") -> DataFrame:
         """``(i, j, dot, shared)``: products of the pairs that share a non-zero, by joining on the other axis.
 
-        Pairs without a common non-zero have a product of 0 and no row. Rows and columns
-        of the other axis that are long give their square; there is no way around that.
+        Pairs without a common non-zero have a product of 0 and no row. A vector of the
+        other axis that many ids share gives their square; its ids are split into parts,
+        each joined with all of them, so that no task makes more than a part of the square.
         """
         frame, key = self._axis(axis)
         _, other = self._axis(self._other(axis))
         order = frame.select(F.col("id").alias(key), "ord")
-        c = self.cells.join(order, key)
-        a = c.select(other, F.col(key).alias("i"), F.col("ord").alias("oi"), F.col("value").alias("vi"))
-        b = c.select(other, F.col(key).alias("j"), F.col("ord").alias("oj"), F.col("value").alias("vj"))
-        return a.join(b, other).where("oi < oj").groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("dot"), F.count("*").alias("shared"))
+        parts = self.cells.groupBy(other).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+        c = self.cells.join(order, key).join(parts, other)
+        a = c.select(other, F.pmod(F.xxhash64(key), F.col("parts")).cast("int").alias("part"), F.col(key).alias("i"), F.col("ord").alias("oi"), F.col("value").alias("vi"))
+        b = c.select(other, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col(key).alias("j"), F.col("ord").alias("oj"), F.col("value").alias("vj"))
+        return a.join(b, [other, "part"]).where("oi < oj").groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("dot"), F.count("*").alias("shared"))

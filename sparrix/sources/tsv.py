@@ -13,6 +13,9 @@ from sparrix.functions.scalar import is_number
 from sparrix.sources.files import text_file
 from sparrix.sources.lines import read_lines
 
+#: The fields of a header are broadcast up to this number.
+LISTED = 100_000
+
 
 def _header(lines: DataFrame) -> tuple[list[str], object]:
     """The header's fields and the number of its line.
@@ -65,7 +68,8 @@ def read_tsv(
     number = F.trim("text").try_cast("double")
     message = F.format_string("not a number in the row of %s, column %s: %s", F.col("id"), (F.col("pos") + 2).cast("string"), F.col("text"))
     cells = long.select(F.col("id").alias("obs_id"), "pos", F.when(number.isNull(), F.raise_error(message)).otherwise(number).cast("double").alias("value")).where("value <> 0")
-    names = F.broadcast(samp.select(F.col("ord").alias("pos"), F.col("id").alias("samp_id")))  # the header's fields
+    names = samp.select(F.col("ord").alias("pos"), F.col("id").alias("samp_id"))
+    names = F.broadcast(names) if len(samples) <= LISTED else names
     table = MatrixTable(cells.join(names, "pos").select("obs_id", "samp_id", "value"), obs, samp, Props())
     for mapping, axis in ((obs_mapping, "observation"), (sample_mapping, "sample")):
         if mapping is not None:

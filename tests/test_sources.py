@@ -1,5 +1,6 @@
 import gzip
 import json
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,13 +9,14 @@ from pyspark.sql import functions as F
 from sparrix.core import MatrixTable
 from sparrix.errors import ParseError, SparrixError, TableError
 from sparrix.functions.scalar import float_or_text, int_or_text, join_list, join_nested, split_list, split_nested, strip_brackets
-from sparrix.sources import read_matrix, write_matrix
+from sparrix.sources import hdf5, read_matrix, write_matrix
 from sparrix.sources import sniff as sniffing
 from sparrix.sources.frames import to_anndata, to_pandas
 from sparrix.sources.json_table import field, read_json, subset, to_json
 from sparrix.sources.long import read_adjacency, read_fasta_names, read_mapping, read_uc
 from sparrix.sources.parquet import read_parquet, write_parquet
 from sparrix.sources.tsv import first_bad_value, read_tsv, to_tsv, write_tsv_parts
+from sparrix.spec import validate_hdf5
 from tests.helpers import dense, ids, make
 
 WIDE = """# a comment
@@ -203,3 +205,51 @@ def test_text_functions(spark):
     assert list(row) == [["a", "b", "c"], [["a", "b"], ["c"]], "7", "x1", "7.0", "1, 2"]
     row = spark.range(1).select(join_list(F.array(F.lit("a;b"), F.lit("c"))), join_nested(F.array(F.array(F.lit("a"), F.lit("b|x")), F.array(F.lit("c"))))).first()
     assert list(row) == ["a:b; c", "a; b:x|c"]
+
+
+@pytest.fixture
+def stand_in(spark, monkeypatch):
+    """The HDF5 library, or calls like its own where it is not installed."""
+    try:
+        import h5py  # noqa: F401
+    except ImportError:
+        folder = Path(__file__).parent / "stand_ins"
+        spark.sparkContext.addPyFile(str(folder / "h5py.py"))
+        monkeypatch.syspath_prepend(str(folder))
+
+
+def test_hdf5(spark, table, tmp_path, stand_in, monkeypatch):
+    path = str(tmp_path / "t.hdf5")
+    table = table._new(type="OTU table", table_id="x").add_group_metadata({"tree": ("newick", "(a,b);")}, "observation")
+    monkeypatch.setattr(hdf5, "VALUES_AT_ONCE", 2)
+    write_matrix(table, path, "hdf5", formats={"n": lambda v: f"<{v}>"})
+    back = read_matrix(spark, path)
+    assert dense(back) == dense(table) and ids(back) == ids(table) and ids(back, "observation") == ids(table, "observation")
+    assert back.props.type == "OTU table" and back.props.table_id == "x" and back.group_metadata("observation") == {"tree": ("newick", "(a,b);")}
+    md = {r["id"]: r["md"] for r in back.obs.collect()}
+    assert md["b"]["tax"] == ["x", "y"] and md["c"]["tax"] is None and md["b"]["n"] == "<1>"
+    parsed = hdf5.read_hdf5(spark, path, parse={"n": lambda v: hdf5.text(v).strip("<>") or None})
+    assert {r["id"]: r["md"]["n"] for r in parsed.obs.collect()} == {"a": None, "b": "1", "c": "3"}
+    part = read_matrix(spark, path, ids=["S1"], axis="sample")
+    assert ids(part) == ["S1"] and ids(part, "observation") == ["b"]
+    rows = read_matrix(spark, path, ids=["a"], axis="observation")
+    assert ids(rows, "observation") == ["a"] and dense(rows) == [[3, 5]]
+    assert not hdf5.read_hdf5(spark, path, metadata=False).has_metadata("observation")
+    with pytest.raises(ValueError):
+        read_matrix(spark, path, ids=["zz"])
+    assert validate_hdf5(path) == []
+
+
+def test_hdf5_rules(spark, table, tmp_path, stand_in):
+    import h5py
+
+    path = str(tmp_path / "bad.hdf5")
+    write_matrix(table, path, "hdf5")
+    with h5py.File(path, "r") as f:
+        f.mode = "w"
+        del f["sample"].members["group-metadata"]
+        f["observation"]["metadata"].create_dataset("short", data=["one"], dtype=h5py.string_dtype())
+        f.attrs.update({"creation-date": "yesterday", "nnz": 9, "shape": (3, 4)})
+        del f.attrs["id"]
+    found = {rule for rule, _ in validate_hdf5(path)}
+    assert found == {"id", "sample/group-metadata", "observation/metadata/short", "creation-date", "nnz", "sample/ids"}
