@@ -17,6 +17,15 @@ if TYPE_CHECKING:
     pass
 
 
+# The headings of the report's two parts, for totals or numbers of non-zeros, by axis.
+HEADINGS = {
+    (False, "sample"): ("Counts/sample", "Counts/sample"),
+    (False, "observation"): ("Counts/sample", "Counts/sample"),
+    (True, "sample"): ("Observations/sample", "Observations/sample"),
+    (True, "observation"): ("Sample/observations", "Observations/sample"),
+}
+
+
 class AggregateOps:
     def sum(self, axis: str = "whole") -> DataFrame:
         """``(id, total)`` of an axis, 0 for a vector without cells; or ``(total)`` of all."""
@@ -95,17 +104,17 @@ class AggregateOps:
         density = self.density()
         per = self.nonzero_counts(axis, binary=qualitative)
         s = self.summary(axis, binary=qualitative).first()
-        other = "observations" if axis == "sample" else "samples"
+        summary, detail = HEADINGS[qualitative, axis]
         lines = [f"Num samples: {columns:,}", f"Num observations: {rows:,}"]
         if not qualitative:
             lines += [f"Total count: {total:,.0f}", f"Table density (fraction of non-zero values): {density:1.3f}"]
-        lines += ["", f"{other.capitalize()}/{axis} summary:" if qualitative else f"Counts/{axis} summary:"]
+        lines += ["", f"{summary} summary:"]
         for name, value in (("Min", s["mn"]), ("Max", s["mx"]), ("Median", s["med"]), ("Mean", s["mean"]), ("Std. dev.", s["sd"])):
             lines.append(f" {name}: {value or 0:,.3f}")
         for name, one in (("Sample", "sample"), ("Observation", "observation")):
             keys = self._axis(one)[0].schema["md"].dataType.names if self.has_metadata(one) else []
             lines.append(f" {name} Metadata Categories: {'; '.join(keys) if keys else 'None provided'}")
-        lines += ["", f"{other.capitalize()}/{axis} detail:" if qualitative else f"Counts/{axis} detail:"]
+        lines += ["", f"{detail} detail:"]
         frame, _ = self._axis(axis)
         detail = per.join(frame.select("id", "ord"), "id").orderBy("n", "ord")
         lines += [f"{r['id']}: {r['n']:,.3f}" for r in detail.toLocalIterator()]

@@ -49,9 +49,11 @@ LEAST_WEIGHT = 0.3
 
 
 def header_fields(headers: DataFrame, body: str = "body") -> DataFrame:
-    """``producer``, ``file_no``, ``rec_id``, ``table_id``, ``field``, ``kind``, ``value``: the leaves of all headers."""
-    keys = ["producer", "file_no", "rec_id", "table_id"]
-    return leaf_table(headers.select(*keys, body).distinct(), keys, body)
+    """``producer``, ``file_no``, ``rec_id``, ``table_id``, ``field``, ``kind``, ``value``: the leaves of all headers.
+
+    Records sent again repeat their leaves, which changes no result.
+    """
+    return leaf_table(headers, ["producer", "file_no", "rec_id", "table_id"], body)
 
 
 def kind_bits(kind: Column) -> Column:

@@ -59,14 +59,11 @@ class Shape:
 # -- values
 
 
+KINDS = {type(None): "null", bool: "boolean", int: "number", float: "number", str: "string", list: "array", dict: "object"}
+
+
 def kind_of(value: object) -> str:
-    if value is None:
-        return "null"
-    if isinstance(value, bool):
-        return "boolean"
-    if isinstance(value, int | float):
-        return "number"
-    return "string" if isinstance(value, str) else "array" if isinstance(value, list) else "object"
+    return KINDS[type(value)]
 
 
 def as_text(value: object) -> str | None:
@@ -638,8 +635,8 @@ def leaf_table(df: DataFrame, keys: list[str], body: str) -> DataFrame:
                         else:
                             at.append(i)
                             fields.append(prefix + k)
-                            kinds.append(kind_of(x))
-                            values.append(as_text(x))
+                            kinds.append(KINDS[type(x)])
+                            values.append(x if x.__class__ is str else as_text(x))
             places = pa.array(at, pa.int64())
             yield pa.record_batch([*[batch[k].take(places) for k in keys], _clean(fields), pa.array(kinds, pa.string()), _clean(values)], names=[*keys, "field", "kind", "value"])
 

@@ -303,6 +303,33 @@ def summary_lines(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, [(x,) for x in clicks(spark, d).summary_text().split("\n") if x], "line string")
 
 
+@_query(
+    _values(
+        [(q, a, n, t) for q, a, texts in (
+            ("totals", "sample", ("Counts/sample summary:", "Counts/sample detail:")), ("totals", "observation", ("Counts/sample summary:", "Counts/sample detail:")),
+            ("numbers", "sample", ("Observations/sample summary:", "Observations/sample detail:")), ("numbers", "observation", ("Sample/observations summary:", "Observations/sample detail:")),
+        ) for n, t in enumerate(texts)], "kind, axis, nth, heading",
+    )
+)
+def summary_headings(spark: SparkSession, d: str) -> DataFrame:
+    t, found = places(spark, d), []
+    for kind, qualitative in (("totals", False), ("numbers", True)):
+        for axis in ("sample", "observation"):
+            heads = [x for x in t.summary_text(qualitative, axis).split("\n") if x.endswith(":")]
+            found += [(kind, axis, n, x) for n, x in enumerate(heads)]
+    return _rows(spark, found, "kind string, axis string, nth int, heading string")
+
+
+@_query(CELLS + "SELECT obs_id, samp_id, ROW_NUMBER() OVER (ORDER BY obs_id, samp_id) AS nth FROM cells")
+def nonzero_order(spark: SparkSession, d: str) -> DataFrame:
+    """The non-zero cells row by row, numbered as they come."""
+    order = sales(spark, d).nonzero()
+    placed = order.select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))  # both grow with the place in a sorted frame
+    from pyspark.sql import Window
+
+    return placed.select("obs_id", "samp_id", F.row_number().over(Window.orderBy("p", "m")).cast("long").alias("nth"))
+
+
 # -- samples: what must hold for any draw
 
 ENOUGH = CELLS + ", t AS (SELECT samp_id, SUM(FLOOR(value)) AS n FROM cells GROUP BY 1) SELECT samp_id, {n} AS total FROM t WHERE n >= {least}"
