@@ -120,8 +120,7 @@ def plan_containers(histogram: dict[int, int], capacity: int) -> list[tuple[Patt
     plain = _largest_first(dict(items), capacity)
     used = sum(times for _, times in plain)
     spare = capacity - sum(s * n for s, n in items.items()) / used if used else 0
-    programmed = _by_program(dict(items), capacity, int(spare))
-    return min([programmed, plain], key=lambda plan: sum(times for _, times in plan))
+    return min([*_by_program(items, capacity, int(spare)), plain], key=lambda plan: sum(times for _, times in plan))
 
 
 def _largest_first(left: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
@@ -139,14 +138,24 @@ def _largest_first(left: dict[int, int], capacity: int) -> list[tuple[Pattern, i
     return plan
 
 
-def _by_program(left: dict[int, int], capacity: int, spare: int) -> list[tuple[Pattern, int]]:
-    plan: list[tuple[Pattern, int]] = []
-    if capacity in left:
-        plan.append(({capacity: 1}, left.pop(capacity)))
-    large = [s for s in left if s > capacity * SMALL]
-    if large:
-        plan += _from_configurations(left, large, capacity, spare)
-    return [*_filled(plan, left, capacity), *_largest_first(left, capacity)]
+#: Parts of the program's solution that are tried, as its last fills may leave worse rests than they are worth.
+PARTS = (1.0, 0.5, 0.25, 0.1)
+
+
+def _by_program(items: dict[int, int], capacity: int, spare: int) -> list[list[tuple[Pattern, int]]]:
+    """Plans that use all or parts of the program's fills, and fill largest first what remains."""
+    whole = [({capacity: 1}, items[capacity])] if capacity in items else []
+    items = {s: n for s, n in items.items() if s < capacity}
+    large = [s for s in items if s > capacity * SMALL]
+    if not large:
+        return []
+    members, fills = _solved(items, large, capacity)
+    plans = []
+    for part in PARTS:
+        left = dict(items)
+        plan = _rounded(left, members, fills, part, capacity, spare)
+        plans.append([*whole, *_filled(plan, left, capacity), *_largest_first(left, capacity)])
+    return plans
 
 
 def _take(left: dict[int, int], size: int, n: int) -> None:
@@ -155,18 +164,24 @@ def _take(left: dict[int, int], size: int, n: int) -> None:
         del left[size]
 
 
-def _from_configurations(left: dict[int, int], large: list[int], capacity: int, spare: int) -> list[tuple[Pattern, int]]:
-    """Rounds the linear program's solution down and puts real lengths for its classes."""
-    counts = np.array([left[s] for s in large])
+def _solved(items: dict[int, int], large: list[int], capacity: int) -> tuple[list[list[int]], list[tuple[np.ndarray, float]]]:
+    """The lengths of each class, largest first, and the program's fills, the fullest first."""
+    counts = np.array([items[s] for s in large])
     group = np.minimum((np.cumsum(counts) - 1) * CLASSES // counts.sum(), CLASSES - 1)
     members = [[s for s, g in zip(large, group, strict=True) if g == k][::-1] for k in range(CLASSES)]
     members = [m for m in members if m]
     sizes = np.array([m[0] for m in members])
-    demand = np.array([sum(left[s] for s in m) for m in members], float)
+    demand = np.array([sum(items[s] for s in m) for m in members], float)
+    # the solution covers some classes more than once
+    return members, sorted(configurations(sizes, demand, capacity), key=lambda x: (-(x[0] @ sizes), -x[1]))
+
+
+def _rounded(left: dict[int, int], members: list[list[int]], fills: list[tuple[np.ndarray, float]], part: float, capacity: int, spare: int) -> list[tuple[Pattern, int]]:
+    """A part of the solution rounded down, with real lengths for its classes."""
     plan: list[tuple[Pattern, int]] = []
     every = sorted(left, reverse=True)
-    # the fullest first: the solution covers some classes more than once
-    for fill, times in sorted(configurations(sizes, demand, capacity), key=lambda x: (-(x[0] @ sizes), -x[1])):
+    for fill, times in fills:
+        times *= part
         times, used = int(times), np.flatnonzero(fill)
         while times > 0:
             # as long as the same real lengths last, the containers are alike
