@@ -19,10 +19,12 @@ an ordinary sign is ordinary; repeated rows give repeated values.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import operator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrix.runtime import materialize
@@ -32,6 +34,8 @@ QUOTES = "\"'"
 BLANKS = " \u00a0\u2007\u202f\u3000\r\n\x0b\x0c"
 #: Rules are broadcast up to this number of characters, beyond it they are shuffled.
 BROADCAST_CHARS = 8_000_000
+#: Parts into which the fields of one skeleton are divided where rules are shuffled.
+PARTS = 32
 MASK = "a"
 
 
@@ -143,15 +147,29 @@ def _rules(delimiters: str):
 
 def split_packed(df: DataFrame, field: str, keys: list[str], delimiters: str = DELIMITERS) -> DataFrame:
     """``keys``, ``pos``, ``value``: one row for each value packed in ``field``."""
-    special = _class(_specials(delimiters))
+    specials = _specials(delimiters)
+    rare = [c for c in dict.fromkeys(specials) if ord(c) > 255]  # a class that has these is slow, so only fields that have them are matched with it
+
+    def matched(by: Callable[[str], Column]) -> Column:
+        common = by(_class("".join(c for c in specials if c not in rare)))
+        if not rare:
+            return common
+        return F.when(reduce(operator.or_, [F.col("packed").contains(c) for c in rare]), by(_class(specials))).otherwise(common)
+
     rows = df.where(F.col(field).isNotNull()).select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(field).alias("packed"))
-    segments = F.regexp_extract_all("packed", F.lit(f"([^{special}]+|[{special}])"), F.lit(1))
-    skeleton = F.regexp_replace("packed", f"[^{special}]+", MASK)
+    segments = matched(lambda special: F.regexp_extract_all("packed", F.lit(f"([^{special}]+|[{special}])"), F.lit(1)))
+    skeleton = matched(lambda special: F.regexp_replace("packed", f"[^{special}]+", MASK))
     rows = rows.select("*", skeleton.alias("skeleton"))
     distinct = rows.select("skeleton").distinct()
     rules = materialize(distinct.mapInArrow(_rules(delimiters), "skeleton string, rule array<struct<pos: bigint, at: array<int>>>"), "rules")
     size = rules.select(F.sum(F.length("skeleton"))).first()[0] or 0
-    joined = rows.join(F.broadcast(rules) if size <= BROADCAST_CHARS else rules, "skeleton").withColumn("segments", segments)
-    one = joined.select(*[f"k{i}" for i in range(len(keys))], "segments", F.explode("rule").alias("v"))
-    text = F.array_join(F.transform("v.at", lambda i: F.get("segments", i)), "")
-    return one.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.col("v.pos").alias("pos"), text.alias("value"))
+    if size <= BROADCAST_CHARS:
+        joined = rows.join(F.broadcast(rules), "skeleton")
+    else:  # one skeleton may be that of any part of all fields
+        part = F.pmod(F.xxhash64("packed"), F.lit(PARTS)).cast("int").alias("part")
+        joined = rows.select("*", part).join(rules.select("*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")), ["skeleton", "part"])
+    joined = joined.withColumn("segments", segments)
+    # texts are put together before they are exploded, so that no row carries all segments
+    value = lambda v: F.struct(v["pos"].alias("pos"), F.array_join(F.transform(v["at"], lambda i: F.get("segments", i)), "").alias("text"))
+    one = joined.select(*[f"k{i}" for i in range(len(keys))], F.explode(F.transform("rule", value)).alias("v"))
+    return one.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.col("v.pos").alias("pos"), F.col("v.text").alias("value"))

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sparrix.operators.drift import assign, header_fields, name_similarity, schema_changes, unify
-from sparrix.operators import drift, nested
+from sparrix.operators import drift, nested, packed
 from sparrix.operators.nested import TABLE_SHAPE, Shape, Walker, as_text, node_table, node_tables, parse, table_relations, unread_records
 from sparrix.operators.packed import BLANKS, DELIMITERS, MASK, resolve, split_packed
 from sparrix.plans import records
@@ -135,6 +135,12 @@ def test_packed_frame(spark):
     assert split_packed(df.limit(0), "packed", ["skeleton"]).count() == 0
 
 
+def test_packed_rules_shuffled(spark, data, monkeypatch):
+    expected = {tuple(r) for r in records.p4_found(spark, data).collect()}
+    monkeypatch.setattr(packed, "BROADCAST_CHARS", 0)
+    assert {tuple(r) for r in records.p4_found(spark, data).collect()} == expected
+
+
 def test_lineages(spark, data):
     obs = spark.read.parquet(f"{data}/obs.parquet")
     expected = {(r["id"], p, v) for r in obs.where("taxonomy is not null").collect() for p, v in plain_split(r["taxonomy"])}
