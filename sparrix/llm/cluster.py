@@ -44,6 +44,10 @@ PACKED_ENTRIES = 512
 HOT_KEY = 2000
 #: Records of a key of two features that are compared at once; more are split into blocks.
 BLOCK_RECORDS = 20_000
+#: Records of a group that are paired with all others by one task, about.
+PART_RECORDS = 2000
+#: Clusters of more records have their shares sorted in so many steps instead of at once.
+WINDOW_RECORDS, STEPS = 200_000, 4096
 #: Slots for candidate pairs that one step of the comparison holds in memory.
 PAIRS_AT_ONCE = 2_000_000
 #: Float sums of shares that should be equal differ by less than this.
@@ -502,6 +506,32 @@ def linked_groups(pairs: DataFrame) -> DataFrame:
             return materialize(labels, "groups")
 
 
+def _least_sums(shares: DataFrame) -> DataFrame:
+    """``(rep, s)``: for each share of a feature in a cluster, the sum over the cluster's records of the smaller of theirs and it.
+
+    ``shares``: rep, grp, feature, share, and the number w of records that have it so.
+    """
+    of = Window.partitionBy("grp", "feature")
+    upto = of.orderBy("share").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    least = F.sum(F.col("w") * F.col("share")).over(upto) + F.col("share") * (F.sum("w").over(of) - F.sum("w").over(upto))
+    return shares.select("rep", least.alias("s"))
+
+
+def _least_sums_in_steps(shares: DataFrame) -> DataFrame:
+    """``_least_sums`` for clusters of any size: equal shares are added up first, and sorted within steps of the share only."""
+    step = F.floor(F.col("share") * STEPS).cast("int").alias("step")
+    each = shares.groupBy("grp", "feature", "share").agg(F.sum("w").alias("w")).select("*", step)
+    steps = each.groupBy("grp", "feature", "step").agg(F.sum("w").alias("ws"), F.sum(F.col("w") * F.col("share")).alias("ss"))
+    of = Window.partitionBy("grp", "feature").orderBy("step")  # at most STEPS + 1 rows
+    below = F.coalesce(F.sum("ss").over(of.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    above = F.coalesce(F.sum("ws").over(of.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    steps = steps.select("grp", "feature", "step", "ws", below.alias("below"), above.alias("above"))
+    inner = Window.partitionBy("grp", "feature", "step").orderBy("share").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.select("*", F.sum(F.col("w") * F.col("share")).over(inner).alias("upto"), F.sum("w").over(inner).alias("upto_w")).join(steps, ["grp", "feature", "step"])
+    least = F.col("below") + F.col("upto") + F.col("share") * (F.col("ws") - F.col("upto_w") + F.col("above"))
+    return shares.join(each.select("grp", "feature", "share", least.alias("s")), ["grp", "feature", "share"]).select("rep", "s")
+
+
 class CompositionClusters:
     """Clusters of the records of ``cells`` with alike composition.
 
@@ -533,7 +563,11 @@ class CompositionClusters:
     def group_pairs(self) -> DataFrame:
         """``(a, b)`` with a < b: each pair of records in one group."""
         groups = materialize(self.groups(), "members")
-        return groups.select(F.col("record").alias("a"), "grp").join(groups.select(F.col("record").alias("b"), "grp"), "grp").where("a < b").select("a", "b")
+        # a group's records are divided into parts, each joined with all of them, so no task makes more than a part of the pairs
+        groups = groups.join(groups.groupBy("grp").agg(F.ceil(F.count("*") / PART_RECORDS).cast("int").alias("parts")), "grp")
+        a = groups.select("grp", F.pmod(F.xxhash64("record"), F.col("parts")).cast("int").alias("part"), F.col("record").alias("a"))
+        b = groups.select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("record").alias("b"))
+        return a.join(b, ["grp", "part"]).where("a < b").select("a", "b")
 
     def _labels(self) -> DataFrame:
         pairs = materialize(alike_pairs(self.distinct, self.threshold, False, self.codes_differ), "pairs")
@@ -561,10 +595,12 @@ class CompositionClusters:
         # for each feature, the others of a cluster count with their own share if it is smaller, else with the record's
         shares = self.vectors.select(F.col("record").alias("rep"), F.explode(F.arrays_zip("feature", "share")).alias("x"))
         shares = weight.join(shares, "rep").select("rep", "grp", F.col("x.feature").alias("feature"), F.col("x.share").alias("share"), "w")
-        of = Window.partitionBy("grp", "feature")
-        upto = of.orderBy("share").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        least = F.sum(F.col("w") * F.col("share")).over(upto) + F.col("share") * (F.sum("w").over(of) - F.sum("w").over(upto))
-        sums = shares.select("rep", least.alias("s")).groupBy("rep").agg(F.sum("s").alias("s"))
+        large = members.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > WINDOW_RECORDS).select("grp")
+        if large.isEmpty():
+            sums = _least_sums(shares)
+        else:
+            sums = _least_sums(shares.join(large, "grp", "left_anti")).unionByName(_least_sums_in_steps(shares.join(large, "grp", "left_semi")))
+        sums = sums.groupBy("rep").agg(F.sum("s").alias("s"))
         scored = members.join(sums, "rep").select("record", "grp", F.round("s", 9).alias("s"))
         nth = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("s"), "record")).alias("nth")
         best = scored.select("record", "grp", nth).where(F.col("nth") <= typical).groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("nth", "record"))).alias("x"))

@@ -202,3 +202,26 @@ def test_cells_named_by_text(spark):
     rows = [("1", "a", "s", 2.0), ("1", "a", "s", 2.0), ("2", "b", "s", 2.0), ("3", "a", "t", 2.0), ("4", "b", "t", 2.0), ("5", "c", "t", 1.0)]
     df = spark.createDataFrame(rows, "cell_id string, obs_id string, samp_id string, value double")
     assert [tuple(r) for r in CompositionClusters(df).group_pairs().collect()] == [("s", "t")]
+
+
+def test_large_groups_and_clusters_in_parts(spark, monkeypatch):
+    """Pairs of a group in parts, and medoid sums in steps, are those made at once."""
+    triples = hot_triples(11)
+    df = frame(spark, triples)
+    expected = sorted(tuple(r) for r in CompositionClusters(df).clusters().collect())
+    monkeypatch.setattr(cluster, "PART_RECORDS", 3)
+    monkeypatch.setattr(cluster, "WINDOW_RECORDS", 10)
+    monkeypatch.setattr(cluster, "STEPS", 5)
+    c = CompositionClusters(df)
+    assert sorted(tuple(r) for r in c.clusters().collect()) == expected
+    got = [tuple(r) for r in c.group_pairs().collect()]
+    assert set(got) == plain_groups(triples)[0] and len(got) == len(set(got))
+
+
+def test_members_have_their_pivot(spark):
+    triples = hot_triples(12)
+    members = CompositionClusters(frame(spark, triples)).members().collect()
+    _, names = plain_groups(triples)
+    assert sorted(r["record"] for r in members) == names
+    pivots = {r["pivot"] for r in members}
+    assert {r["record"] for r in members if r["record"] == r["pivot"]} == pivots and all(r["similarity"] >= 0.55 - 1e-9 for r in members)
