@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparrix import cli
+from sparrix.config import parse_settings
 from sparrix.core import MatrixTable, Props
 from sparrix.errors import PROFILE, DisjointIDError, TableError, errstate, geterr, geterrcall, seterrcall
 from sparrix.functions import scalar
@@ -332,7 +333,7 @@ def nonzero_order(spark: SparkSession, d: str) -> DataFrame:
 
 # -- samples: what must hold for any draw
 
-ENOUGH = CELLS + ", t AS (SELECT samp_id, SUM(FLOOR(value)) AS n FROM cells GROUP BY 1) SELECT samp_id, {n} AS total FROM t WHERE n >= {least}"
+ENOUGH = CELLS + ", t AS (SELECT samp_id, SUM(FLOOR(value)) AS n FROM cells GROUP BY 1) SELECT samp_id, CAST({n} AS DOUBLE) AS total FROM t WHERE n >= {least}"
 
 
 @_query(ENOUGH.format(n="5000.0", least=5000))
@@ -523,9 +524,9 @@ def split_on_semicolons_and_pipes(spark: SparkSession, d: str) -> DataFrame:
     return lists.select("id", "p", F.posexplode("l").alias("q", "part"))
 
 
-@_query("SELECT DISTINCT id, CASE WHEN REGEXP_MATCHES(TRIM(dob), '^[0-9]+$') THEN CAST(CAST(TRIM(dob) AS BIGINT) AS VARCHAR) ELSE dob END AS as_int, REGEXP_MATCHES(TRIM(dob), '^[0-9]+(\\.[0-9]+)?$') AS is_number FROM samp WHERE dob IS NOT NULL")
+@_query("SELECT DISTINCT id, CASE WHEN REGEXP_MATCHES(TRIM(dob), '^[0-9]+$') THEN CAST(CAST(TRIM(dob) AS BIGINT) AS VARCHAR) ELSE dob END AS as_int, CAST(REGEXP_MATCHES(TRIM(dob), '^[0-9]+(\\.[0-9]+)?$') AS INTEGER) AS is_number FROM samp WHERE dob IS NOT NULL")
 def numbers_read(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "samp").where("dob is not null").select("id", scalar.int_or_text(F.col("dob")).alias("as_int"), scalar.is_number(F.col("dob")).alias("is_number")).distinct()
+    return _read(spark, d, "samp").where("dob is not null").select("id", scalar.int_or_text(F.col("dob")).alias("as_int"), scalar.is_number(F.col("dob")).cast("int").alias("is_number")).distinct()
 
 
 @_query("SELECT DISTINCT id, REGEXP_REPLACE(taxonomy, '^[\\[\\] \\n\\t]+|[\\[\\] \\n\\t]+$', '', 'g') AS text FROM obs")
@@ -533,9 +534,9 @@ def brackets_stripped(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "obs").select("id", scalar.strip_brackets(F.col("taxonomy")).alias("text")).distinct()
 
 
-@_query("SELECT DISTINCT id, REPLACE(REPLACE(taxonomy, '|', ':'), ';', '; ') AS text FROM obs WHERE taxonomy IS NOT NULL AND taxonomy NOT LIKE '%; %' AND taxonomy NOT LIKE '% ;%' AND taxonomy NOT LIKE ' %' AND taxonomy NOT LIKE '% '")
+@_query("SELECT DISTINCT id, LIST_AGGREGATE(LIST_TRANSFORM(string_split(taxonomy, ';'), lambda x: REPLACE(TRIM(x), '|', ':')), 'string_agg', '; ') AS text FROM obs WHERE taxonomy IS NOT NULL")
 def joined_again(spark: SparkSession, d: str) -> DataFrame:
-    rows = _read(spark, d, "obs").where("taxonomy is not null and taxonomy not like '%; %' and taxonomy not like '% ;%' and taxonomy not like ' %' and taxonomy not like '% '")
+    rows = _read(spark, d, "obs").where("taxonomy is not null")
     return rows.select("id", scalar.join_nested(F.array(scalar.split_list(F.col("taxonomy")))).alias("text")).distinct()
 
 
@@ -557,7 +558,7 @@ def error_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    "WITH c AS (SELECT DISTINCT obs_id, samp_id FROM cells WHERE value IS NOT NULL AND value <> 0 AND obs_id IS NOT NULL AND samp_id IS NOT NULL) SELECT name, CAST(broken AS BOOLEAN) AS broken FROM ("
+    "WITH c AS (SELECT DISTINCT obs_id, samp_id FROM cells WHERE value IS NOT NULL AND value <> 0 AND obs_id IS NOT NULL AND samp_id IS NOT NULL) SELECT name, CAST(broken AS INTEGER) AS broken FROM ("
     "SELECT 'empty' AS name, (SELECT COUNT(*) FROM obs) = 0 OR (SELECT COUNT(*) FROM samp) = 0 AS broken "
     "UNION ALL SELECT 'obsdup', (SELECT COUNT(*) FROM (SELECT id FROM obs GROUP BY id HAVING COUNT(*) > 1)) > 0 UNION ALL SELECT 'sampdup', (SELECT COUNT(*) FROM (SELECT id FROM samp GROUP BY id HAVING COUNT(*) > 1)) > 0 "
     "UNION ALL SELECT 'obsnull', (SELECT COUNT(*) FROM obs WHERE id IS NULL) > 0 UNION ALL SELECT 'sampnull', (SELECT COUNT(*) FROM samp WHERE id IS NULL) > 0 "
@@ -566,7 +567,7 @@ def error_states(spark: SparkSession, d: str) -> DataFrame:
 def broken_checks(spark: SparkSession, d: str) -> DataFrame:
     """Which checks the raw axes break, whose rows are sent again."""
     t = MatrixTable.from_triples(_read(spark, d, "cells"), obs_axis=_read(spark, d, "obs"), samp_axis=_read(spark, d, "samp"))
-    return _rows(spark, [(k, bool(PROFILE._checks[k]["test"](t))) for k in PROFILE.state if not k.endswith("mdsize")], "name string, broken boolean")
+    return _rows(spark, [(k, int(PROFILE._checks[k]["test"](t))) for k in PROFILE.state if not k.endswith("mdsize")], "name string, broken int")
 
 
 @_query(_values([("call", "seen"), ("print", "duplicate sample ids"), ("raise", "TableError"), ("warn", "duplicate sample ids")], "state, result"))
@@ -597,6 +598,12 @@ def error_handling(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, found, "state string, result string")
 
 
+@_query("SELECT 'nation_' || n_nationkey AS name, n_name AS value FROM nation")
+def settings_read(spark: SparkSession, d: str) -> DataFrame:
+    text = "# nations\n\n" + "".join(f"nation_{r['n_nationkey']}  \t{r['n_name']} \n" for r in _read(spark, d, "nation").collect())
+    return _rows(spark, list(parse_settings(text).items()), "name string, value string")
+
+
 # -- commands
 
 
@@ -669,13 +676,13 @@ def cli_export_metadata(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.text(path).toDF("line")
 
 
-@_query(_values([("bad", "The input file is not a valid table."), ("bad", "rows: missing"), ("good", "format_url: has no content"), ("good", "The input file is not a valid table.")], "file, line"))
+@_query(_values([("bad", "The input file is not a valid table."), ("bad", "rows: missing"), ("good", "The input file is a valid table.")], "file, line"))
 def cli_validate(spark: SparkSession, d: str) -> DataFrame:
-    """A written document names no address of the format, which the format wants; and a broken one."""
+    """A written document, and one without its rows."""
     good, bad = _saved(clicks(spark, d), "json"), f"{work_path(spark, 'bad')}.json"
     text = "".join(r[0] for r in spark.read.text(good, wholetext=True).collect())
     with text_file(bad) as f:
-        f.text(text.replace('"rows":', '"lines":').replace('"format_url": ""', '"format_url": "http://format.example"'))
+        f.text(text.replace('"rows":', '"lines":'))
     return _rows(spark, [(name, x) for name, path in (("good", good), ("bad", bad)) for x in _printed(cli.validate_table, spark, path)], "file string, line string")
 
 
@@ -711,7 +718,7 @@ def streamed_cells(spark: SparkSession, d: str) -> DataFrame:
     return appended_cells(spark, out).select("obs_id", "samp_id", F.round("value", 6).alias("value"))
 
 
-@_query("SELECT DATE_TRUNC('day', ts) AS start, event_type AS samp_id, COUNT(value) AS n, ROUND(SUM(value), 4) AS total FROM events GROUP BY 1, 2 HAVING DATE_TRUNC('day', ts) + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) - INTERVAL 7 DAY")
+@_query("SELECT STRFTIME(DATE_TRUNC('day', ts), '%Y-%m-%d') AS start, event_type AS samp_id, COUNT(value) AS n, ROUND(SUM(value), 4) AS total FROM events GROUP BY DATE_TRUNC('day', ts), 1, 2 HAVING DATE_TRUNC('day', ts) + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) - INTERVAL 7 DAY")
 def streamed_windows(spark: SparkSession, d: str) -> DataFrame:
     """Event-time windows that the watermark has closed."""
     from sparrix.streaming.ingest import windowed_totals
@@ -719,7 +726,7 @@ def streamed_windows(spark: SparkSession, d: str) -> DataFrame:
     out = work_path(spark, "windows")
     totals = windowed_totals(_streamed(spark, d, "events"), "ts", samp="event_type")
     totals.writeStream.format("parquet").option("path", out).option("checkpointLocation", work_path(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(totals.schema).parquet(out).select(F.col("start").cast("timestamp_ntz").alias("start"), "samp_id", "n", F.round("total", 4).alias("total"))
+    return spark.read.schema(totals.schema).parquet(out).select(F.date_format("start", "yyyy-MM-dd").alias("start"), "samp_id", "n", F.round("total", 4).alias("total"))
 
 
 @_query(SENT + "SELECT obs_id, samp_id, ROUND(SUM(value), 6) AS value FROM once GROUP BY obs_id, samp_id HAVING SUM(value) <> 0")

@@ -35,8 +35,8 @@ def metadata_to_pandas(table: MatrixTable, axis: str) -> pd.DataFrame:
     return table.metadata_columns(axis).toPandas().set_index("id").rename_axis(None)
 
 
-def to_anndata(table: MatrixTable, transpose: bool = True) -> Any:
-    """An AnnData object, samples down if ``transpose``."""
+def to_anndata(table: MatrixTable, transpose: bool = True, dtype: str = "float32") -> Any:
+    """An AnnData object of dense values, samples down if ``transpose``."""
     try:
         import anndata
     except ImportError as e:
@@ -44,5 +44,5 @@ def to_anndata(table: MatrixTable, transpose: bool = True) -> Any:
     axes = {a: metadata_to_pandas(table, a) if table.has_metadata(a) else None for a in ("sample", "observation")}
     pdf = to_pandas(table, dense=True)
     if transpose:
-        return anndata.AnnData(pdf.T.to_numpy("float32"), obs=axes["sample"], var=axes["observation"])
-    return anndata.AnnData(pdf.to_numpy("float32"), obs=axes["observation"], var=axes["sample"])
+        return anndata.AnnData(pdf.T.to_numpy(dtype), obs=axes["sample"], var=axes["observation"])
+    return anndata.AnnData(pdf.to_numpy(dtype), obs=axes["observation"], var=axes["sample"])

@@ -16,9 +16,10 @@ from sparrix.core import MatrixTable, Props
 from sparrix.errors import ParseError, UnknownIDError
 from sparrix.sources.files import text_file
 
-# Fixed values of the format.
+# Fixed value of the format.
 FORMAT_VERSION = "1.0.0"
-FORMAT_URL = ""
+#: What a written document names as the address of its format; any text that is not empty conforms.
+FORMAT_URL = "urn:sparrix:json-table:1.0"
 
 AXIS = "array<struct<id: string, metadata: string>>"
 #: The parts of a document; metadata stays JSON text, so that its shape is free.

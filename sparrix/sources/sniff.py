@@ -94,3 +94,19 @@ def files_md5(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     return spark.read.format("binaryFile").load(path).select("path", F.md5("content").alias("md5"))
+
+
+def text_to_json(spark: SparkSession, source: str | Iterable[str], generated_by: str = GENERATED_BY, **options: Any) -> str:
+    """A wide text table as a JSON document; options are those of ``read_tsv``."""
+    from sparrix.sources.json_table import to_json
+    from sparrix.sources.tsv import read_tsv
+
+    return to_json(read_tsv(spark, source, **options), generated_by)
+
+
+def json_to_text(spark: SparkSession, source: str | dict[str, Any], **options: Any) -> str:
+    """A JSON document as wide text; options are those of ``to_tsv``."""
+    from sparrix.sources.json_table import read_json
+    from sparrix.sources.tsv import to_tsv
+
+    return to_tsv(read_json(spark, source), **options)

@@ -6,17 +6,17 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparrix.core import MatrixTable
+from sparrix.core import MatrixTable, example_table
 from sparrix.errors import ParseError, SparrixError, TableError
 from sparrix.functions.scalar import float_or_text, int_or_text, join_list, join_nested, split_list, split_nested, strip_brackets
 from sparrix.sources import hdf5, read_matrix, write_matrix
 from sparrix.sources import sniff as sniffing
 from sparrix.sources.frames import to_anndata, to_pandas
 from sparrix.sources.json_table import field, read_json, subset, to_json
-from sparrix.sources.long import read_adjacency, read_fasta_names, read_mapping, read_uc
+from sparrix.sources.long import mapping_frame, read_adjacency, read_fasta_names, read_mapping, read_uc
 from sparrix.sources.parquet import read_parquet, write_parquet
 from sparrix.sources.tsv import first_bad_value, read_tsv, to_tsv, write_tsv_parts
-from sparrix.spec import validate_hdf5
+from sparrix.spec import validate_hdf5, validate_text
 from tests.helpers import dense, ids, make
 
 WIDE = """# a comment
@@ -253,3 +253,21 @@ def test_hdf5_rules(spark, table, tmp_path, stand_in):
         del f.attrs["id"]
     found = {rule for rule, _ in validate_hdf5(path)}
     assert found == {"id", "sample/group-metadata", "observation/metadata/short", "creation-date", "nnz", "sample/ids"}
+
+
+def test_text_and_json_into_each_other(spark):
+    text = "#OTU ID\ta\tb\no1\t1.0\t0.0\no2\t0.0\t2.5"
+    doc = sniffing.text_to_json(spark, text.split("\n"))
+    assert json.loads(doc)["data"] == [[0, 0, 1.0], [1, 1, 2.5]] and validate_text(spark, doc.replace('"type": null', '"type": "OTU table"').replace('"id": null', '"id": "x"')) == []
+    assert sniffing.json_to_text(spark, doc).split("\n")[1:] == text.split("\n")
+
+
+def test_a_table_as_text(spark, table):
+    assert str(table).split("\n")[2] == "b\t0.0\t1.0\t2.5"
+    small = example_table(spark)
+    assert small.shape == (2, 3) and ids(small.filter(F.col("md.site") == "gut")) == ["S1", "S3"]
+
+
+def test_mapping_of_a_dict(spark):
+    rows = {r["id"]: (r["a"], r["b"]) for r in mapping_frame(spark, {"x": {"a": "1"}, "y": {"a": "2", "b": "3"}}).collect()}
+    assert rows == {"x": ("1", ""), "y": ("2", "3")}

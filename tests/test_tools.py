@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparrix import cli
+from sparrix.config import load_settings, parse_settings
 from sparrix.errors import ErrorProfile, TableError, errcheck, errstate, geterr, seterr
 from sparrix.sources import read_matrix, write_matrix
 from sparrix.spec import validate_documents, validate_text
@@ -170,3 +171,15 @@ def test_streaming(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         append_batches(stream(), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     assert {r["obs_id"]: r["value"] for r in appended_cells(spark, str(tmp_path / "out")).collect()} == {"o": 7.0, "p": 1.0}
+
+
+def test_settings(tmp_path, monkeypatch):
+    first, second = tmp_path / "a", tmp_path / "b"
+    first.write_text("# comment\n  one  1\n\ntwo some \t words \nalone\n  # more\nthree 3")
+    second.write_text("one 2\n")
+    assert parse_settings(first.read_text()) == {"one": "1", "two": "some words", "alone": None, "three": "3"}
+    assert load_settings([first, tmp_path / "none", second])["one"] == "2" and load_settings([]) == {}
+    monkeypatch.setenv("SPARRIX_CONFIG", str(second))
+    monkeypatch.setenv("HOME", str(tmp_path))
+    (tmp_path / ".sparrix_config").write_text("home yes")
+    assert load_settings() == {"one": "2", "home": "yes"}
