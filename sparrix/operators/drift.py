@@ -29,11 +29,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparrix.operators.nested import leaf_table
 from sparrix.runtime import materialize
@@ -110,9 +108,14 @@ def name_similarity(a: str, b: str) -> float:
 def assign(weights: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of rows and columns with the largest sum of weights; pairs of no weight are left out.
 
-    The assignment problem by shortest augmenting paths over a square matrix.
+    The assignment problem by shortest augmenting paths over a square matrix; where no two
+    rows have their largest weight in one column, these are the best there can be.
     """
     rows, columns = weights.shape
+    best = weights.argmax(axis=1) if weights.size else np.zeros(0, int)
+    found = [(i, int(j)) for i, j in enumerate(best) if weights[i, j] > 0]
+    if len({j for _, j in found}) == len(found):
+        return found
     n = max(rows, columns)
     cost = np.zeros((n + 1, n + 1))
     cost[1 : rows + 1, 1 : columns + 1] = -weights
@@ -200,18 +203,18 @@ def _assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*named, pa.array([old[i] for i, _ in found], pa.string()), pa.array([new[j] for _, j in found], pa.string())], names=EDGE_NAMES[:4])
 
 
-def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-    """The rows of each (producer, file_no), as lists by column; they come one behind the other."""
+def _files(batches: Iterator[pa.RecordBatch], by: tuple[str, ...] = ("producer", "file_no")) -> Iterator[dict[str, list]]:
+    """The rows of each group, as lists by column; they come one behind the other."""
     held: dict[str, list] = {}
     for batch in batches:
         rows = batch.to_pydict()
-        keys = list(zip(rows["producer"], rows["file_no"], strict=True))
+        keys = list(zip(*(rows[c] for c in by), strict=True))
         lo = 0
         for hi in range(1, len(keys) + 1):
             if hi < len(keys) and keys[hi] == keys[lo]:
                 continue
             part = {c: x[lo:hi] for c, x in rows.items()}
-            if held and (held["producer"][0], held["file_no"][0]) == keys[lo]:
+            if held and tuple(held[c][0] for c in by) == keys[lo]:
                 held = {c: held[c] + part[c] for c in part}
             else:
                 if held:
@@ -277,29 +280,36 @@ def _agreeing(values: DataFrame, pairs: DataFrame, key: list[str]) -> DataFrame:
     return agree.where("agree = n").select(*key, "field", "new_field", "agree")
 
 
-def _origins(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For one producer, the origin of each field of each file; ``old`` is the name before a rename.
+def _origins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each producer, whose rows come in the order of their files, the origin of each field of each file; ``old`` is the name before a rename.
 
     No two fields of a file have the same origin: a name that comes back while its column
     goes on under another name starts an origin of its own, marked by the file.
     """
-    now: dict[str, str] = {}
-    out = []
-    for no, rows in pdf.sort_values(["file_no", "field"]).groupby("file_no"):
-        came = {f: old for f, old in zip(rows["field"], rows["old"], strict=True) if isinstance(old, str)}
-        held = {f: now.get(old, old) for f, old in came.items()}
-        for old in came.values():
-            now.pop(old, None)
-        held |= {f: now[f] for f in rows["field"] if f not in came and f in now}
-        used: set[str] = set()
-        for f in [*held, *(f for f in rows["field"] if f not in held)]:
-            origin = held.get(f, f)
-            if origin in used:
-                origin = f"{f}{MARK}{no}"
-            used.add(origin)
-            now[f] = origin
-            out.append((pdf["producer"].iloc[0], no, f, origin))
-    return pd.DataFrame(out, columns=["producer", "file_no", "field", "origin"])
+    for group in _files(batches, ("producer",)):
+        now: dict[str, str] = {}
+        origins: list[str] = []
+        names, olds, numbers = group["field"], group["old"], group["file_no"]
+        lo = 0
+        for hi in range(1, len(numbers) + 1):
+            if hi < len(numbers) and numbers[hi] == numbers[lo]:
+                continue
+            came = {f: old for f, old in zip(names[lo:hi], olds[lo:hi], strict=True) if old is not None}
+            held = {f: now.get(old, old) for f, old in came.items()}
+            for old in came.values():
+                now.pop(old, None)
+            held |= {f: now[f] for f in names[lo:hi] if f not in came and f in now}
+            of: dict[str, str] = {}
+            used: set[str] = set()
+            for f in [*held, *(f for f in names[lo:hi] if f not in held)]:
+                origin = held.get(f, f)
+                if origin in used:
+                    origin = f"{f}{MARK}{numbers[lo]}"
+                used.add(origin)
+                now[f] = of[f] = origin
+            origins += [of[f] for f in names[lo:hi]]
+            lo = hi
+        yield pa.record_batch([pa.array(group["producer"], pa.string()), pa.array(numbers, pa.int64()), pa.array(names, pa.string()), pa.array(origins, pa.string())], names=["producer", "file_no", "field", "origin"])
 
 
 def contained(s: set[int], m: set[int]) -> float:
@@ -373,9 +383,11 @@ def unify(fields: DataFrame, changes: DataFrame, targets: list[str]) -> DataFram
     takes are in one of their own meaning, named by its most frequent name.
     """
     key = ["producer", "file_no", "field"]
-    schema = T.StructType([*(fields.schema[c] for c in key), T.StructField("origin", T.StringType())])
+    number = fields.schema["file_no"].dataType
     renamed = changes.where("change = 'renamed'").select("producer", "file_no", F.col("new_field").alias("field"), F.col("field").alias("old"))
-    origin = materialize(fields.select(*key).distinct().join(renamed, key, "left").groupBy("producer").applyInPandas(_origins, schema), "origin")
+    named = fields.select(*key).distinct().join(renamed, key, "left").select("producer", F.col("file_no").cast("long").alias("file_no"), "field", "old")
+    origin = named.repartition("producer").sortWithinPartitions(*key).mapInArrow(_origins, "producer string, file_no long, field string, origin string")
+    origin = materialize(origin.withColumn("file_no", F.col("file_no").cast(number)), "origin")
     base = materialize(value_sketches(fields, key), "sketches")
     named = materialize(origin.join(base, key, "left").select(*key, "origin", F.coalesce("sketch", F.array().cast("array<long>")).alias("sketch")), "named")
     mine = merged_sketches(named, ["producer", "origin"])
@@ -389,17 +401,18 @@ def unify(fields: DataFrame, changes: DataFrame, targets: list[str]) -> DataFram
         model = merged_sketches(named.where(F.col("field").isin(names)).withColumn("target", F.col("field")), ["target"])
         model = {r["target"]: set(r["sketch"]) for r in model.collect()}  # as many as targets, each of SKETCH hashes
 
-        def match(pdf: pd.DataFrame) -> pd.DataFrame:
-            origins = sorted(pdf["origin"])
-            sketches = dict(zip(pdf["origin"], map(set, pdf["sketch"]), strict=True))
-            files = dict(zip(pdf["origin"], map(set, pdf["files"]), strict=True))
-            w = np.array([[_weight(a, sketches[a], b, model.get(b, set())) for b in names] for a in origins])
-            lanes = _lanes(w, [files[a] for a in origins])
-            w = np.array([w[lane].max(axis=0) for lane in lanes])
-            return pd.DataFrame([(pdf["producer"].iloc[0], origins[i], targets[j]) for k, j in assign(w) for i in lanes[k]], columns=["producer", "origin", "target"])
-
-        schema = T.StructType([fields.schema["producer"], T.StructField("origin", T.StringType()), T.StructField("target", T.StringType())])
-        matched = materialize(mine.groupBy("producer").applyInPandas(match, schema), "matched")
+        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for group in _files(batches, ("producer",)):
+                origins, files = group["origin"], list(map(set, group["files"]))
+                sketches = list(map(set, group["sketch"]))
+                w = np.array([[_weight(a, sketch, b, model.get(b, set())) for b in names] for a, sketch in zip(origins, sketches, strict=True)])
+                lanes = _lanes(w, files)
+                found = [(origins[i], targets[j]) for k, j in assign(np.array([w[lane].max(axis=0) for lane in lanes])) for i in lanes[k]]
+                columns = [[group["producer"][0]] * len(found), [o for o, _ in found], [t for _, t in found]]
+                yield pa.record_batch([pa.array(x, pa.string()) for x in columns], names=["producer", "origin", "target"])
+
+        grouped = mine.repartition("producer").sortWithinPartitions("producer", "origin")
+        matched = materialize(grouped.mapInArrow(match, "producer string, origin string, target string"), "matched")
         left = mine.select("producer", "origin").join(matched, ["producer", "origin"], "left_anti")
         files = materialize(origin.join(left, ["producer", "origin"]).select("producer", "file_no", "origin").distinct(), "left")
         # one row for each name and each pair of names: as many as there are columns to make

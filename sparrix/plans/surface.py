@@ -174,9 +174,10 @@ def compared(spark: SparkSession, d: str) -> DataFrame:
 def partition_tables(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for label, t in sales(spark, d).partition(F.col("md.nation"), "sample"):
-        part = t.sum().select(F.lit(label).alias("label"), "total").crossJoin(t.samp.agg(F.count("*").alias("members")))  # two rows of one number
+        none = F.lit(0).cast("long").alias("members")
+        part = t.sum().select(F.lit(label).alias("label"), none, "total").unionByName(t.samp.agg(F.lit(label).alias("label"), F.count("*").alias("members"), F.lit(0.0).alias("total")))
         out = part if out is None else out.unionByName(part)
-    return out.select("label", "members", "total")
+    return out.groupBy("label").agg(F.sum("members").alias("members"), F.sum("total").alias("total"))
 
 
 @_query(CELLS + "SELECT CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS obs_id, samp_id, SUM(value) AS value FROM cells JOIN part ON p_partkey = obs_id GROUP BY 1, 2")
@@ -366,9 +367,10 @@ def subsamples_by_id(spark: SparkSession, d: str) -> DataFrame:
     for seed, s in zip((5, 6), t.subsamples(10, "sample", by_id=True, seed=5), strict=False):
         kept = t.cells.join(s.samp.select(F.col("id").alias("samp_id")), "samp_id", "left_semi").select("obs_id", "samp_id", F.col("value").alias("v"))
         changed = kept.join(s.cells, ["obs_id", "samp_id"], "full").where(~F.col("v").eqNullSafe(F.col("value"))).agg(F.count("*").alias("changed"))
-        part = s.samp.agg(F.lit(seed).alias("seed"), F.count("*").alias("ids")).crossJoin(changed)  # two rows of one number
+        ids = s.samp.agg(F.lit(seed).alias("seed"), F.count("*").alias("ids"), F.lit(0).cast("long").alias("changed"))
+        part = ids.unionByName(changed.select(F.lit(seed).alias("seed"), F.lit(0).cast("long").alias("ids"), "changed"))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.groupBy("seed").agg(F.sum("ids").alias("ids"), F.sum("changed").alias("changed"))
 
 
 # -- files
