@@ -156,11 +156,14 @@ def cooccurrence(
     kind = "long" if long else "int"
     stripes = blocks.mapInArrow(_stripes(many, long), f"a {kind}, part int, b array<{kind}>, n array<int>").repartition("a", "part")
     pairs = stripes.select("a", "part", F.explode(F.arrays_zip("b", "n")).alias("x")).select("a", "part", "x.b", "x.n")
-    pairs = pairs.groupBy("a", "part", "b").agg(F.sum("n").alias("n_ab")).drop("part")
-    pairs = pairs.where(F.col("n_ab") >= min_count)
-    side = F.broadcast(items) if size <= BROADCAST_ITEMS else items
-    pairs = pairs.join(side.select(F.col("code").alias("a"), F.col("item").alias("ia"), F.col("c").alias("ca")), "a")
-    pairs = pairs.join(side.select(F.col("code").alias("b"), F.col("item").alias("ib"), F.col("c").alias("cb")), "b")
+    pairs = pairs.groupBy("a", "part", "b").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= min_count)
+    named = lambda x: items.select(F.col("code").alias(x), F.col("item").alias(f"i{x}"), F.col("c").alias(f"c{x}"))
+    if size <= BROADCAST_ITEMS:
+        pairs = pairs.join(F.broadcast(named("a")), "a").join(F.broadcast(named("b")), "b")
+    else:  # pairs lie by item and part already, so the items go to them
+        parts = F.explode(F.when(F.col("a") >= many, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))).alias("part")
+        first = named("a").select(F.col("a").cast(kind).alias("a"), parts, "ia", "ca")
+        pairs = pairs.join(first, ["a", "part"]).drop("part").join(named("b").withColumn("b", F.col("b").cast(kind)), "b")
     swap = F.col("ia") > F.col("ib")
     out = pairs.select(
         F.least("ia", "ib").alias("item_a"), F.greatest("ia", "ib").alias("item_b"), "n_ab",
