@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparrix.runtime import work_path
@@ -36,6 +36,12 @@ def size_of(path: str) -> int:
     return fs.getFileStatus(target).getLen()
 
 
+def local_path(path: str) -> str | None:
+    """The path in the local file system, if it is there."""
+    _, target, fs = _path(path)
+    return target.toUri().getPath() if fs.getScheme() == "file" else None
+
+
 def blocks(path: str, unzipped: bool = False) -> Iterator[bytes]:
     """The bytes of a file, block by block."""
     spark, target, fs = _path(path)
@@ -76,10 +82,11 @@ class TextFile:
     def text(self, text: str) -> None:
         self.out.write(bytearray(text.encode("utf-8")))
 
-    def rows(self, df: DataFrame, order: list[str], column: str, listed: bool = False) -> None:
+    def rows(self, df: DataFrame, order: list[str], column: str | Column, listed: bool = False) -> None:
         """The texts of a column in the order of others, a line each; with ``listed`` commas stand between them."""
         folder = work_path(self.spark, "text")
-        text = F.concat(F.lit(","), F.col(column)) if listed else F.col(column)
+        column = F.col(column) if isinstance(column, str) else column
+        text = F.concat(F.lit(","), column) if listed else column
         df.repartitionByRange(*order).sortWithinPartitions(*order).select(text.alias("value")).write.text(folder)
         _, target, fs = _path(folder)
         parts = sorted((s.getPath() for s in fs.listStatus(target) if s.getPath().getName().startswith("part-") and s.getLen()), key=lambda p: p.getName())
@@ -101,4 +108,4 @@ def text_file(path: str) -> Iterator[TextFile]:
         file.out.close()
 
 
-__all__ = ["blocks", "copy", "exists", "first_bytes", "is_folder", "md5_of", "size_of", "text_file"]
+__all__ = ["blocks", "copy", "exists", "first_bytes", "is_folder", "local_path", "md5_of", "size_of", "text_file"]

@@ -12,6 +12,7 @@ from sparrix.functions.scalar import float_or_text, int_or_text, join_list, join
 from sparrix.sources import hdf5, read_matrix, write_matrix
 from sparrix.sources import sniff as sniffing
 from sparrix.sources.frames import to_anndata, to_pandas
+from sparrix.sources import json_parts
 from sparrix.sources.json_table import field, read_json, subset, to_json
 from sparrix.sources.long import mapping_frame, read_adjacency, read_fasta_names, read_mapping, read_uc
 from sparrix.sources.parquet import read_parquet, write_parquet
@@ -271,3 +272,64 @@ def test_a_table_as_text(spark, table):
 def test_mapping_of_a_dict(spark):
     rows = {r["id"]: (r["a"], r["b"]) for r in mapping_frame(spark, {"x": {"a": "1"}, "y": {"a": "2", "b": "3"}}).collect()}
     assert rows == {"x": ("1", ""), "y": ("2", "3")}
+
+
+#: Quotes, escapes, brackets and commas within texts; lists within metadata.
+_ODD = ['a,b', 'q"[', 'back\\', '\\"', '{,}', 'ü,é', ']]', 'plain', '"rows": [']
+
+
+def _document(dense, indent):
+    n = 40
+    rows = [{"id": f"{i}{_ODD[i % 9]}", "metadata": {"tags": [_ODD[(i + k) % 9] for k in range(3)], "n": i}} for i in range(n)]
+    columns = [{"id": f"c{i}", "metadata": None} for i in range(7)]
+    cells = [[r, c, r + c / 4 + 1] for r in range(n) for c in range(7) if (r + c) % 3]
+    data = [[next((v for a, b, v in cells if (a, b) == (r, c)), 0) for c in range(7)] for r in range(n)] if dense else cells
+    doc = {"id": "x, [y]", "format": "1.0.0", "format_url": "u", "type": "OTU table", "generated_by": 'me, "you"', "date": "2024-01-02", "notes": {"a": [1, 2, {"data": [3, 4]}], "b": "]"},
+           "columns": columns, "data": data, "shape": [n, 7], "more": [], "rows": rows, "matrix_type": "dense" if dense else "sparse", "matrix_element_type": "float"}
+    return json.dumps(doc, indent=indent, ensure_ascii=False)
+
+
+@pytest.fixture
+def blocks_of(spark, monkeypatch):
+    """Documents are read in parts, from blocks of so many bytes."""
+
+    def use(n, local=True):
+        monkeypatch.setattr(json_parts, "ONE_TASK_BYTES", 0)
+        monkeypatch.setattr(json_parts, "BLOCK_BYTES", n)
+        if not local:
+            monkeypatch.setattr(json_parts, "local_path", lambda path: None)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(n))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+
+    yield use
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize(("dense", "indent", "block", "local"), [(False, None, 997, True), (False, 1, 1500, False), (True, None, 601, False), (True, 2, 3000, True)])
+def test_json_in_parts(spark, tmp_path, blocks_of, dense, indent, block, local):
+    path, text = str(tmp_path / "t.json"), _document(dense, indent)
+    Path(path).write_text(text, encoding="utf-8")
+    whole = read_json(spark, path)
+    expected = [sorted(map(str, f.collect())) for f in (whole.cells, whole.obs, whole.samp)]
+    blocks_of(block, local)
+    parts = json_parts.read_parts(spark, path)
+    assert parts.sizes == {k: len(v) for k, v in json.loads(text).items() if k in json_parts.LISTS}
+    assert json.loads(parts.text) == {k: [] if k in json_parts.LISTS else v for k, v in json.loads(text).items()}
+    for name in json_parts.LISTS:
+        assert [json.loads(r["text"]) for r in parts.entries(name).orderBy("ord").collect()] == json.loads(text)[name]
+    back = read_json(spark, path)
+    assert [sorted(map(str, f.collect())) for f in (back.cells, back.obs, back.samp)] == expected and back.props == whole.props
+
+
+def test_json_in_parts_that_cannot_be_read(spark, tmp_path, blocks_of):
+    blocks_of(500)
+    path = tmp_path / "t.json"
+    path.write_text(_document(False, None)[:-1])
+    with pytest.raises(ParseError):
+        read_json(spark, str(path))
+    path.write_text(_document(False, None).replace("[4, 0, 5.0]", "[4, 0, x]"))
+    with pytest.raises(Exception, match="an entry cannot be read"):
+        read_json(spark, str(path)).cells.collect()
+    path.write_text('{"rows": [], "data": [ ], "columns": []}')
+    assert json_parts.read_parts(spark, str(path)).sizes == dict.fromkeys(("rows", "data", "columns"), 0)
