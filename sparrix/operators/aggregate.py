@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +26,23 @@ HEADINGS = {
 }
 
 
+def _fold(pairs: Column, n: int, f: Callable[[Column, Column], Column]) -> Column:
+    """The fold over a vector of ``n`` values of which ``pairs`` has the non-zeros in order."""
+    zero = F.lit(0.0)
+
+    def zeros(acc: Column, k: Column) -> Column:
+        one = f(acc, zero)
+        two = f(one, zero)
+        every = F.aggregate(F.sequence(F.lit(1).cast("long"), k), acc, lambda a, _: f(a, zero))
+        same = one.eqNullSafe(two) & one.cast("string").eqNullSafe(two.cast("string"))  # -0.0 is not 0.0
+        return F.when(k <= 0, acc).when((k == 1) | same, one).otherwise(every)
+
+    first = F.get(pairs, F.lit(0))
+    start = F.struct(F.lit(1).cast("long").alias("at"), F.when(first["pos"] == 0, first["value"]).otherwise(zero).alias("value"))
+    step = lambda acc, x: F.struct((x["pos"] + 1).alias("at"), f(zeros(acc["value"], x["pos"] - acc["at"]), x["value"]).alias("value"))
+    return F.aggregate(F.filter(pairs, lambda x: x["pos"] > 0), start, step, lambda acc: zeros(acc["value"], F.lit(n).cast("long") - acc["at"]))
+
+
 class AggregateOps:
     def sum(self, axis: str = "whole") -> DataFrame:
         """``(id, total)`` of an axis, 0 for a vector without cells; or ``(total)`` of all."""
@@ -65,26 +82,45 @@ class AggregateOps:
     def reduce(self, f: Callable[[float, float], float] | Callable[[Column, Column], Column], axis: str = "sample", column: bool = False) -> DataFrame:
         """``(id, value)``: a left fold over each dense vector, zeros included.
 
-        With ``column``, ``f`` combines two columns and the fold runs within the JVM.
+        ``f`` must depend on its two values only: zeros in a row are folded until one of
+        them changes nothing, so dense vectors are not made. With ``column``, ``f``
+        combines two columns and the fold runs within the JVM.
         """
         if self.is_empty():
             raise TableError("cannot reduce an empty table")
-        vectors = self.vectors(axis).select("id", "values")
+        frame, key = self._axis(axis)
+        other = self._other(axis)
+        _, other_key = self._axis(other)
+        n = self.length(other)
+        positions = self.positions(other).withColumnRenamed("id", other_key)
+        pairs = self.cells.join(positions, other_key).groupBy(F.col(key).alias("id")).agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("pairs"))
+        vectors = frame.select("id").join(pairs, "id", "left")
         if column:
-            rest = F.slice("values", 2, F.size("values"))
-            return vectors.select("id", F.aggregate(rest, F.get("values", F.lit(0)), f).alias("value"))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                folded = []
-                for values in pdf["values"]:
-                    acc = values[0]
-                    for x in values[1:]:
-                        acc = f(acc, x)
-                    folded.append(float(acc))
-                yield pd.DataFrame({"id": pdf["id"], "value": np.array(folded)})
-
-        return vectors.mapInPandas(run, T.StructType([vectors.schema["id"], T.StructField("value", T.DoubleType())]))
+            return vectors.select("id", _fold(F.coalesce("pairs", F.array().cast(pairs.schema["pairs"].dataType)), n, f).alias("value"))
+
+        def zeros(acc: float, k: int) -> float:
+            while k > 0:
+                before, acc, k = acc, f(acc, np.float64(0)), k - 1
+                if (acc == before and np.signbit(acc) == np.signbit(before)) or (acc != acc and before != before):  # noqa: PLR0124
+                    break
+            return acc
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists, folded, lo = batch["pairs"], [], 0
+                flat = lists.flatten()
+                places, values = flat.field("pos").to_numpy(zero_copy_only=False), flat.field("value").to_numpy(zero_copy_only=False)
+                for size in lists.value_lengths().fill_null(0).to_pylist():
+                    hi = lo + size
+                    first = size and places[lo] == 0
+                    acc, at, lo = (values[lo] if first else np.float64(0)), 1, lo + bool(first)
+                    for place, x in zip(places[lo:hi].tolist(), values[lo:hi], strict=True):
+                        acc, at = f(zeros(acc, place - at), x), place + 1
+                    folded.append(float(zeros(acc, n - at)))
+                    lo = hi
+                yield pa.record_batch([batch["id"], pa.array(folded, pa.float64())], names=["id", "value"])
+
+        return vectors.mapInArrow(run, T.StructType([vectors.schema["id"], T.StructField("value", T.DoubleType())]))
 
     def summary(self, axis: str = "sample", binary: bool = False) -> DataFrame:
         """``(mn, mx, med, mean, sd, total)`` of the vectors' totals, or of their numbers of non-zeros.

@@ -1,3 +1,5 @@
+from functools import reduce
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -443,3 +445,16 @@ def test_dicts_and_sparse_vectors():
 
     assert triples(Coo(), False, 2, 3) == [(0, 2, 4), (1, 0, 5)]
     assert triples([Coo(), Coo()], False, 2, 3) == [(0, 2, 4), (0, 0, 5), (1, 2, 4), (1, 0, 5)]
+
+
+def test_reduce_makes_no_dense_vectors(spark, monkeypatch):
+    """A fold is that over the dense vectors, with zeros before, between and behind, but for their making."""
+    rows = [[0, 0, -3, 0, 0, 0, 2, 0, 0], [5, 0, 0, 0, 0, 0, 0, 0, -1], [0] * 9, [-1, -2, -3, -4, -5, -6, -7, -8, -9]]
+    t = make(spark, rows, list("abcd"), [f"s{i}" for i in range(9)])
+    monkeypatch.setattr(type(t), "vectors", None)
+    folds = [(lambda a, b: max(a, b), F.greatest), (lambda a, b: b - a, lambda a, b: b - a), (lambda a, b: a / 2 + b + 1, lambda a, b: a / 2 + b + 1)]
+    for f, column in folds:
+        for axis, vectors in (("observation", rows), ("sample", [list(x) for x in zip(*rows, strict=True)])):
+            wanted = [reduce(f, map(float, v)) for v in vectors]
+            names = list("abcd") if axis == "observation" else [f"s{i}" for i in range(9)]
+            assert pairs(t.reduce(f, axis)) == pairs(t.reduce(column, axis, column=True)) == dict(zip(names, wanted, strict=True))
