@@ -22,7 +22,7 @@ from sparrix.plans.matrix import Query, _read, abundances, sales
 from sparrix.plans.oracles import CELLS, SENT
 from sparrix.runtime import work_path
 from sparrix.sources import read_matrix, sniff, write_matrix
-from sparrix.sources.files import text_file
+from sparrix.sources.files import copy_changed, text_file
 from sparrix.sources.frames import to_pandas
 from sparrix.sources.json_table import field, read_json, subset
 from sparrix.sources.long import read_adjacency, read_fasta_names, read_mapping, read_uc
@@ -682,9 +682,7 @@ def cli_export_metadata(spark: SparkSession, d: str) -> DataFrame:
 def cli_validate(spark: SparkSession, d: str) -> DataFrame:
     """A written document, and one without its rows."""
     good, bad = _saved(clicks(spark, d), "json"), f"{work_path(spark, 'bad')}.json"
-    text = "".join(r[0] for r in spark.read.text(good, wholetext=True).collect())
-    with text_file(bad) as f:
-        f.text(text.replace('"rows":', '"lines":'))
+    copy_changed(good, bad, '"rows":', '"lines":')
     return _rows(spark, [(name, x) for name, path in (("good", good), ("bad", bad)) for x in _printed(cli.validate_table, spark, path)], "file string, line string")
 
 

@@ -26,10 +26,10 @@ from sparrix.sources.files import exists, is_folder, local_path, size_of
 
 #: Documents of more bytes than this are read in parts.
 ONE_TASK_BYTES = 8 << 20
-#: Bytes of a local file that a task reads.
-BLOCK_BYTES = 16 << 20
-#: The lists that may be long.
-LISTS = ("rows", "columns", "data")
+#: Bytes of a local file that a task reads, and those of a file that all cores are to share.
+BLOCK_BYTES, LEAST_BYTES = 16 << 20, 1 << 20
+#: The lists that may be long, and the one that stays in the text where all others may be.
+LISTS, SHORT = ("rows", "columns", "data"), "shape"
 #: Bytes that are looked at at once; bytes of any other value that may be cut by the end of a block.
 AT_ONCE, OTHER = 1 << 20, 1 << 16
 
@@ -133,7 +133,7 @@ def _changes(texts: Texts):
     return run
 
 
-def _walk(found: Iterator[tuple[int, bytes]], states: State) -> Iterator[tuple[int, str, Any]]:
+def _walk(found: Iterator[tuple[int, bytes]], states: State, every: bool) -> Iterator[tuple[int, str, Any]]:
     """Block, kind and what there is: ``flat`` a text outside of lists and objects of the top level, ``in`` one within
     with the places of its commas; ``open`` the name of such a list, empty for anything else; ``close``."""
     block = None
@@ -157,18 +157,18 @@ def _walk(found: Iterator[tuple[int, bytes]], states: State) -> Iterator[tuple[i
                 if opens:
                     key = _KEY.search(text[max(lo, hi - OTHER) : hi])
                     name = json.loads(key[1].decode("utf-8", "replace"), strict=False) if key else ""
-                    yield b, "open", name if name in LISTS else ""
+                    yield b, "open", name if (name != SHORT if every else name in LISTS) else ""
             lo, deep = hi, bool(opens) if opens is not None else deep
         depth = int(after[-1]) if len(after) else depth
 
 
-def _around(texts: Texts, states: State):
+def _around(texts: Texts, states: State, every: bool):
     """Of each block, in order: texts outside the long lists, and of a list the ends of its part in the block and the number of its commas."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         piece = None
-        for b, kind, x in _walk(texts(batches), states):
+        for b, kind, x in _walk(texts(batches), states, every):
             if kind == "flat":
                 rows.append({"b": b, "nth": len(rows), "flat": x})
             elif kind == "open":
@@ -199,7 +199,7 @@ def _around(texts: Texts, states: State):
 _AROUND = pa.schema([("b", pa.int64()), ("nth", pa.int64()), ("flat", pa.binary()), ("opened", pa.bool_()), ("name", pa.string()), ("head", pa.binary()), ("tail", pa.binary()), ("whole", pa.binary()), ("commas", pa.int64()), ("closed", pa.bool_())])
 
 
-def _entries(texts: Texts, states: State, begun: dict[int, tuple[str, int]], wanted: tuple[str, ...]):
+def _entries(texts: Texts, states: State, begun: dict[int, tuple[str, int]], wanted: tuple[str, ...], every: bool):
     """The entries of the wanted lists that are within one block. begun: the list in which a block begins, and the place of the entry that is cut there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +208,7 @@ def _entries(texts: Texts, states: State, begun: dict[int, tuple[str, int]], wan
         def batch(found: pa.Array) -> pa.RecordBatch:
             return pa.record_batch([pa.repeat(pa.scalar(name), len(found)), pa.array(np.arange(nth, nth + len(found)), pa.int64()), found], names=["list", "ord", "text"])
 
-        for b, kind, x in _walk(texts(batches), states):
+        for b, kind, x in _walk(texts(batches), states, every):
             if b != block:
                 block, pending = b, b""
                 (name, nth), cut = begun.get(b, ("", 0)), True
@@ -247,19 +247,21 @@ class Parts:
     sizes: dict[str, int]
     begun: dict[int, tuple[str, int]] = field(default_factory=dict)
     cut: list[tuple[str, int, bytes]] = field(default_factory=list)
+    every: bool = False
 
     def entries(self, *names: str) -> DataFrame:
         """``(list, ord, text)`` of each entry of these lists."""
-        whole = self.blocks.mapInArrow(_entries(self.texts, self.states, self.begun, names), "list string, ord long, text binary")
+        whole = self.blocks.mapInArrow(_entries(self.texts, self.states, self.begun, names, self.every), "list string, ord long, text binary")
         cut = self.blocks.sparkSession.createDataFrame([x for x in self.cut if x[0] in names], "list string, ord long, text binary")
         return whole.unionByName(cut).select("list", "ord", F.col("text").cast("string").alias("text"))
 
 
-def read_parts(spark: SparkSession, path: str) -> Parts | None:
-    """None where a document cannot be read so: a list twice, or another long value cut by the end of a block."""
+def read_parts(spark: SparkSession, path: str, every: bool = False) -> Parts | None:
+    """With ``every``, all lists of the document but ``SHORT`` may be long. None where a document cannot be read so: a list twice, or another long value cut by the end of a block."""
     if local := local_path(path):
-        n = -(-size_of(path) // BLOCK_BYTES)
-        blocks, texts = spark.range(0, n, 1, n), _local_texts(local, size_of(path), BLOCK_BYTES)
+        step = min(BLOCK_BYTES, max(LEAST_BYTES, -(-size_of(path) // spark.sparkContext.defaultParallelism)))
+        n = -(-size_of(path) // step)
+        blocks, texts = spark.range(0, n, 1, n), _local_texts(local, size_of(path), step)
     else:
         blocks, texts = spark.read.option("lineSep", ",").text(path).select(F.col("_metadata.file_block_start").alias("b"), F.col("value").cast("binary").alias("value")), _texts
     states, inside, depth, size = {}, 0, 0, 0
@@ -268,8 +270,8 @@ def read_parts(spark: SparkSession, path: str) -> Parts | None:
         depth += r["within"] if inside else r["out"]
         inside, size = inside ^ r["odd"], size + r["bytes"]
     schema = "b long, nth long, flat binary, opened boolean, name string, head binary, tail binary, whole binary, commas long, closed boolean"
-    pieces = sorted(blocks.mapInArrow(_around(texts, states), schema).collect(), key=lambda r: (r["b"], r["nth"]))
-    parts = Parts(blocks, texts, states, "", {})
+    pieces = sorted(blocks.mapInArrow(_around(texts, states, every), schema).collect(), key=lambda r: (r["b"], r["nth"]))
+    parts = Parts(blocks, texts, states, "", {}, every=every)
     flat: list[bytes] = []
     name, nth, held = "", 0, []
     for p in pieces:

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparrix.core import MatrixTable, example_table
+from sparrix import spec
 from sparrix.errors import ParseError, SparrixError, TableError
 from sparrix.functions.scalar import float_or_text, int_or_text, join_list, join_nested, split_list, split_nested, strip_brackets
 from sparrix.sources import hdf5, read_matrix, write_matrix
+from sparrix.sources import files as sources_files
 from sparrix.sources import sniff as sniffing
 from sparrix.sources.frames import to_anndata, to_pandas
 from sparrix.sources import json_parts
@@ -333,3 +335,36 @@ def test_json_in_parts_that_cannot_be_read(spark, tmp_path, blocks_of):
         read_json(spark, str(path)).cells.collect()
     path.write_text('{"rows": [], "data": [ ], "columns": []}')
     assert json_parts.read_parts(spark, str(path)).sizes == dict.fromkeys(("rows", "data", "columns"), 0)
+
+
+@pytest.mark.parametrize(("dense", "block", "local"), [(False, 3000, True), (True, 1800, False)])
+def test_validation_in_parts(spark, tmp_path, blocks_of, monkeypatch, dense, block, local):
+    """A large document is judged like a small one, but no row holds it."""
+    doc = json.loads(_document(dense, None)) | {"notes": None, "data": None}
+    doc["data"] = [[float(c % 3) for c in range(7)] for r in range(len(doc["rows"]))] if dense else [[r, c, r / 4] for r in range(len(doc["rows"])) for c in range(7)]
+    n, data = len(doc["rows"]), doc["data"]
+    put = lambda at, x: [*data[:at], x, *data[at + 1 :]]
+    plain = [{"id": f"r{i}", "metadata": None} for i in range(n)]
+    texts = [json.dumps(doc | x, ensure_ascii=False) for x in ({}, {"rows": [*plain[:-1], {"id": "", "metadata": None}], "type": "x"}, {"shape": [n, 8], "data": put(n // 2, [0])})]
+    if not dense:
+        texts += [json.dumps(doc | {"rows": plain[1:], "data": put(n // 2, [n, 0, 1.0])}), json.dumps(doc | {"data": put(n // 2, [0, 0, 1])}), json.dumps(doc | {"matrix_type": "x", "columns": 3})]
+        texts += [texts[0].replace('"rows":', '"lines":'), json.dumps(doc | {"data": put(n // 2, "@")}).replace('"@"', "[0,0,1.0] [0,1,1.0]"), json.dumps(doc | {"data": put(n // 2, "@")}).replace('"@"', "")]
+    wanted = [validate_text(spark, text) for text in texts]
+    assert wanted[0] == [] and all(wanted[1:]) and len(wanted[1]) == 2
+    blocks_of(block, local)
+    monkeypatch.setattr(spec, "validate_documents", None)
+    path = tmp_path / "t.json"
+    for text, found in zip(texts, wanted, strict=True):
+        path.write_text(text, encoding="utf-8")
+        assert spec.validate_file(spark, str(path)) == found, text
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_changed_copy(spark, tmp_path, monkeypatch, local):
+    text = ("é" * 30 + "aab") * 9 + "aa"
+    (tmp_path / "a").write_text(text, encoding="utf-8")
+    monkeypatch.setattr(sources_files, "BLOCK", 7)
+    if not local:
+        monkeypatch.setattr(sources_files, "local_path", lambda path: None)
+    sources_files.copy_changed(str(tmp_path / "a"), str(tmp_path / "b"), "éaab", "aé")
+    assert (tmp_path / "b").read_text(encoding="utf-8") == text.replace("éaab", "aé")
