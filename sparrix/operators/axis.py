@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sparrix.errors import TableError, UnknownIDError
 from sparrix.functions.scalar import natural_key
@@ -41,6 +42,29 @@ def _dense(n: int, kept: list[str]):
     return run
 
 
+def _mapped(n: int, f: Callable[[np.ndarray], tuple], schema: T.StructType):
+    """From (pos, value) pairs to what ``f`` makes of dense vectors of ``n`` values; all are made in one place, one after the other."""
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = np.zeros(n)
+        shown = values.view()
+        shown.flags.writeable = False
+        for batch in batches:
+            lists = batch["pairs"]
+            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            flat = lists.flatten()
+            pos, value = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "value"))
+            found, lo = [], 0
+            for hi in ends.tolist():
+                values[pos[lo:hi]] = value[lo:hi]
+                found.append(f(shown))
+                values[pos[lo:hi]], lo = 0, hi
+            yield pa.record_batch([batch["id"], *(pa.array([x[i] for x in found], k.type) for i, k in enumerate(list(kinds)[1:]))], schema=kinds)
+
+    return run
+
+
 class AxisOps:
     # -- ids and shape
 
@@ -221,9 +245,7 @@ class AxisOps:
         frame, key = self._axis(axis)
         other, other_key = self._axis(self._other(axis))
         if dense:
-            positions = self.positions(self._other(axis)).withColumnRenamed("id", other_key)
-            pairs = self.cells.join(positions, other_key).groupBy(F.col(key).alias("id")).agg(F.collect_list(F.struct("pos", "value")).alias("pairs"))
-            joined = frame.join(pairs, "id", "left").select(*frame.columns, "pairs")
+            joined = self._with_pairs(axis)
             schema = T.StructType([*(joined.schema[c] for c in frame.columns), T.StructField("values", T.ArrayType(T.DoubleType()))])
             return joined.mapInArrow(_dense(other.count(), frame.columns), schema)
         order = other.select(F.col("id").alias(other_key), F.col("ord").alias("o"))
@@ -231,6 +253,24 @@ class AxisOps:
         pairs = self.cells.join(order, other_key).groupBy(F.col(key).alias("id")).agg(packed.alias("values"))
         return frame.join(pairs, "id", "left")
 
+    def _with_pairs(self, axis: str) -> DataFrame:
+        """The axis with the non-zeros of each vector, as ``pairs`` of position and value."""
+        frame, key = self._axis(axis)
+        _, other_key = self._axis(self._other(axis))
+        positions = self.positions(self._other(axis)).withColumnRenamed("id", other_key)
+        pairs = self.cells.join(positions, other_key).groupBy(F.col(key).alias("id")).agg(F.collect_list(F.struct("pos", "value")).alias("pairs"))
+        return frame.join(pairs, "id", "left").select(*frame.columns, "pairs")
+
+    def map_vectors(self, f: Callable[[np.ndarray], tuple], returns: str, axis: str = "sample") -> DataFrame:
+        """``(id, ...)``: what ``f`` returns of each dense vector, a tuple with the fields of ``returns``.
+
+        A vector is whole only within the task that makes it, in a place that the next one
+        takes: ``f`` sees all its values, and must copy what it keeps of them.
+        """
+        joined = self._with_pairs(axis).select("id", "pairs")
+        schema = T.StructType([joined.schema["id"], *T._parse_datatype_string(returns)])
+        return joined.mapInArrow(_mapped(self._axis(self._other(axis))[0].count(), f, schema), schema)
+
     def iter(self, axis: str = "sample", dense: bool = True) -> Iterator[tuple[Any, Any, Any]]:
         """Values, id and metadata of one vector after the other, in order."""
         for row in self.vectors(axis, dense).orderBy("ord").toLocalIterator():

@@ -135,8 +135,7 @@ def by_position(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(CELLS + "SELECT s_suppkey AS id, (SELECT COUNT(*) FROM part) AS length, COALESCE(SUM(value), 0.0) AS total, COUNT(value) AS nonzeros FROM supplier LEFT JOIN cells ON samp_id = s_suppkey GROUP BY s_suppkey")
 def vectors_dense(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("values")
-    return sales(spark, d).vectors("sample").select("id", F.size(v).alias("length"), F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("total"), F.size(F.filter(v, lambda x: x != 0)).alias("nonzeros"))
+    return sales(spark, d).map_vectors(lambda v: (len(v), float(v.sum()), int(np.count_nonzero(v != 0))), "length int, total double, nonzeros int", "sample")
 
 
 @_query(CELLS + "SELECT obs_id, samp_id, value FROM cells")

@@ -10,6 +10,7 @@ from sparrix.errors import DisjointIDError, TableError, UnknownAxisError, Unknow
 from sparrix.functions.scalar import natural_key
 from sparrix.operators import axis
 from sparrix.operators.combine import newick_tips
+from sparrix.plans import matrix, surface
 from tests.helpers import dense, ids, make, pairs
 
 
@@ -420,6 +421,22 @@ def test_dense_vectors_in_steps(spark, example, monkeypatch):
     assert rows == {s: [row[i] for row in table] for i, s in enumerate(ids(example))}
 
 
+def test_mapped_vectors(spark, data, monkeypatch):
+    """A function gets every dense vector, but none leaves its task."""
+    table = [[0, 1, 2], [0, 0, -5.5]]
+    t = make(spark, table, ["O1", "O2"], ["a", "b", "c"])
+    wanted = {a: {i: list(map(float, v)) for i, v in zip(names, rows, strict=True)} for a, names, rows in (("sample", "abc", zip(*table, strict=True)), ("observation", ["O1", "O2"], table))}
+    monkeypatch.setattr(type(t), "vectors", None)
+    for a in ("sample", "observation"):
+        got = t.map_vectors(lambda v: (v.tolist(), len(v)), "v array<double>, n int", a)
+        assert got.columns == ["id", "v", "n"] and {r["id"]: list(r["v"]) for r in got.collect()} == wanted[a]
+    assert [f.name for f in surface.vectors_dense(spark, data).schema] == ["id", "length", "total", "nonzeros"]
+    stats = {r["id"]: (r["total"], r["nnz"]) for r in matrix.sales(spark, data).vector_stats("sample").collect()}
+    parts = spark.read.parquet(f"{data}/part.parquet").count()
+    got = surface.vectors_dense(spark, data).collect()
+    assert {r["id"]: (r["total"], r["nonzeros"]) for r in got} == stats and {r["length"] for r in got} == {parts}
+
+
 def test_many_values(spark, example):
     keys = spark.createDataFrame([("O1", "S1"), ("O1", "S1"), ("O2", "S1"), ("zz", "S1"), ("O1", "zz")], "obs_id string, samp_id string")
     got = {(r["obs_id"], r["samp_id"]): r["value"] for r in example.values(keys).collect()}
